@@ -106,13 +106,13 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_line_dedup": r"""
         WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        long AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM docs),
+        long AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
         keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM long),
         shared AS (SELECT k, min(doc_id) AS keeper FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
-        marked AS (SELECT d.doc_id, d.line, d.at, s.k IS NOT NULL AND s.keeper <> d.doc_id AS gone FROM keyed d LEFT JOIN shared s ON d.k = s.k)
+        marked AS (SELECT d.doc_id, d.line, d.pos, s.k IS NOT NULL AND s.keeper <> d.doc_id AS gone FROM keyed d LEFT JOIN shared s ON d.k = s.k)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op7_urls": r"""
         WITH parts AS (SELECT page_id, url,
