@@ -19,16 +19,17 @@ from duelgrid.llm.storage import materialize
 FEATURE_BITS = 14
 #: Rows the scorer is fitted on at most (a hash sample of all rows); the labellers' accuracies come from all rows.
 FIT_ROWS = 20_000
-LABELLERS = ("length", "repetition", "symbols", "letters", "variety", "capitals", "punctuation", "word_length")
+LABELLERS = ("prose", "plain_words", "length", "repetition", "symbols", "letters", "variety", "capitals", "punctuation", "word_length")
 GOOD, BAD, ABSTAIN = "1", "0", "-"
 _RUN = re.compile(r"(.)\1+")
 
 
-def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) -> str:
-    """BAD outside `bad`, GOOD inside `good`, else ABSTAIN."""
-    if not bad[0] <= value <= bad[1]:
-        return BAD
-    return GOOD if good[0] <= value <= good[1] else ABSTAIN
+def _good(holds: bool) -> str:
+    return GOOD if holds else ABSTAIN
+
+
+def _bad(holds: bool) -> str:
+    return BAD if holds else ABSTAIN
 
 
 def _shape(word: str) -> str:
@@ -36,12 +37,12 @@ def _shape(word: str) -> str:
 
 
 def read_text(text: str | None) -> tuple[str, list[int], list[float]]:
-    """(votes, feature buckets, feature values) of a whole text; no words: all abstain but the length, no features."""
+    """(votes, feature buckets, feature values) of a whole text; no words: all abstain, no features."""
     text = text or ""
     words = text.split()
     n = len(words)
     if not n:
-        return BAD + ABSTAIN * (len(LABELLERS) - 1), [], []
+        return ABSTAIN * len(LABELLERS), [], []
     held = Counter(words)
     windows = Counter(zip(words, words[1:], words[2:], words[3:], words[4:]))
     repeated = sum(c for c in windows.values() if c > 1) / max(1, n - 4)
@@ -60,16 +61,21 @@ def read_text(text: str | None) -> tuple[str, list[int], list[float]]:
             marks += times * sum(word.count(c) for c in ".,;:!?")
             symbols += times * sum(word.count(c) for c in "#*$%&|<>")
     variety = len(held) / n**0.85
+    capitals = upper / max(letters, 1) if n >= 5 else 0.0
+    plain = sum(times for shape, times in shapes.items() if shape.strip(".,;:!?") in {"a", "Aa", "A"}) / n
+    # Objections are rare and each speaks of another kind of junk, so most labellers only object or abstain.
     votes = "".join(
         (
-            _vote(n, (50, 1e9), (5, 1e9)),
-            _vote(repeated, (0, 0.05), (0, 0.2)),
-            _vote(symbols / n, (0, 0.01), (0, 0.1)),
-            _vote(letters / chars, (0.85, 1), (0.7, 1)),
-            _vote(variety, (0.9, 9), (0.6, 9)) if n >= 20 else ABSTAIN,
-            _vote(upper / max(letters, 1), (0, 0.06), (0, 0.2)) if n >= 5 else ABSTAIN,
-            _vote(marks / n, (0, 0.4), (0, 0.8)),
-            _vote(chars / n, (3, 10), (2, 14)),
+            _good(repeated <= 0.05 and symbols <= 0.01 * n and letters >= 0.75 * chars and capitals <= 0.1),
+            _good(plain >= 0.9),
+            _good(n >= 20),
+            _bad(repeated > 0.3),
+            _bad(symbols > 0.1 * n),
+            _bad(letters < 0.65 * chars),
+            _bad(n >= 20 and variety < 0.6),
+            _bad(capitals > 0.3),
+            _bad(n >= 5 and marks > 0.8 * n),
+            _bad(not 2 <= chars / n <= 14),
         )
     )
     values = {f"s:{shape}": (times / n) ** 0.5 for shape, times in shapes.items()}
@@ -87,7 +93,7 @@ def estimate_accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[di
     """(posterior of GOOD by vote pattern, accuracy by labeller), by expectation-maximisation over pattern counts.
 
     Each labeller has a distribution of votes (good, bad, abstain) for either class; votes are taken as independent
-    given the class. It starts from the share of good votes. There are at most 3 ** labellers patterns, at any size.
+    given the class. It starts from bad where any labeller objects. There are at most 3 ** labellers patterns, at any size.
     """
     if not patterns:
         return {}, {}
@@ -95,7 +101,7 @@ def estimate_accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[di
     code = np.array([[(GOOD, BAD, ABSTAIN).index(v) for v in p] for p in names])
     good = (code == 0).sum(axis=1)
     bad = (code == 1).sum(axis=1)
-    posterior = (good + 1) / (good + bad + 2)
+    posterior = np.where(bad > 0, 0.1, np.where(good > 0, 0.9, 0.5))
     table = np.zeros((2, code.shape[1], 3))
     for _ in range(rounds):
         for cls, weight in enumerate((times * posterior, times * (1 - posterior))):
@@ -139,7 +145,7 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 3
     return weights
 
 
-def score_quality(docs: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, votes, posterior, score, kept) of every whole text; kept where score >= threshold.
 
     Votes and features are read once from each text and written to the shared folder. Votes of all rows are counted
