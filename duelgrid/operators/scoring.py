@@ -10,26 +10,30 @@ from duelgrid.operators.baselines import signed
 from duelgrid.operators.contests import classes_of, reference_contexts
 
 
-def _wide(coefficients: DataFrame, model: str, prefix: str, key: str) -> DataFrame:
+def predictors(model: str, ordinal: bool = False) -> tuple[str, ...]:
+    """Classes with a linear predictor of their own: one for binary and proportional-odds models."""
+    return ("1",) if model == "win" or ordinal else classes_of(model)
+
+
+def _wide(coefficients: DataFrame, model: str, classes: tuple[str, ...], prefix: str, key: str) -> DataFrame:
     """One row a player with the coefficient of every class in an array, in order of the classes."""
-    classes = ("1",) if model == "win" else classes_of(model)
     rows = coefficients.where((F.col("model") == model) & F.col("term").startswith(prefix + "::"))
     values = F.array(*(F.sum(F.when(F.col("cls") == c, F.col("coefficient")).otherwise(0.0)) for c in classes))
     return rows.groupBy(F.substring(F.col("term"), len(prefix) + 3, 1 << 20).alias(key)).agg(values.alias(f"{key}_beta"))
 
 
-def context_base(contests: DataFrame, coefficients: DataFrame, model: str, role: str) -> DataFrame:
+def context_base(contests: DataFrame, coefficients: DataFrame, model: str, role: str, classes: tuple[str, ...]) -> DataFrame:
     """(base, scale, weight): what each reference context adds to a player's linear predictor, by class.
 
     Rusher: minus the opponents' mean, scale 1. Blocker: the focal player less the others' sum / k, scale -1 / k.
     """
-    classes = ("1",) if model == "win" else classes_of(model)
-    contexts = reference_contexts(contests, role).where(F.col("model") == model).withColumn("context_id", F.monotonically_increasing_id())
-    opponents = contexts.select("context_id", F.explode(F.filter(F.split("opponents", r"\|"), lambda k: k != "")).alias("blocker_key"))
-    blockers = _wide(coefficients, model, "blocker", "blocker_key")
+    contexts = reference_contexts(contests, role).where(F.col("model") == model)
+    # sums are taken once for each distinct set of opponents
+    opponents = contexts.select("opponents").distinct().select("opponents", F.explode(F.filter(F.split("opponents", r"\|"), lambda k: k != "")).alias("blocker_key"))
+    blockers = _wide(coefficients, model, classes, "blocker", "blocker_key")
     sums = [F.sum(F.get("blocker_key_beta", F.lit(i))).alias(f"s{i}") for i in range(len(classes))]
-    total = opponents.join(F.broadcast(blockers), "blocker_key").groupBy("context_id").agg(F.count(F.lit(1)).alias("k"), *sums)
-    rows = contexts.join(total, "context_id", "left")
+    total = opponents.join(F.broadcast(blockers), "blocker_key").groupBy("opponents").agg(F.count(F.lit(1)).alias("k"), *sums)
+    rows = contexts.join(total, "opponents", "left")
     plain = coefficients.where(F.col("model") == model).where(F.col("term").isin("(Intercept)", "double_team", "double_team_unknown"))
     fixed = plain.agg(*(F.sum(F.when((F.col("term") == t) & (F.col("cls") == c), F.col("coefficient")).otherwise(0.0)).alias(f"{n}{i}") for n, t in (("c", "(Intercept)"), ("d", "double_team"), ("u", "double_team_unknown")) for i, c in enumerate(classes)))
     rows = rows.crossJoin(F.broadcast(fixed))
@@ -38,7 +42,7 @@ def context_base(contests: DataFrame, coefficients: DataFrame, model: str, role:
         base = [shared[i] - F.coalesce(F.col(f"s{i}") / F.col("k"), F.lit(0.0)) for i in range(len(classes))]
         scale = F.lit(1.0)
     else:
-        rows = rows.join(F.broadcast(_wide(coefficients, model, "rusher", "rusher_key")), "rusher_key")
+        rows = rows.join(F.broadcast(_wide(coefficients, model, classes, "rusher", "rusher_key")), "rusher_key")
         base = [shared[i] + F.get("rusher_key_beta", F.lit(i)) - F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / F.col("group_size") for i in range(len(classes))]
         scale = -1.0 / F.col("group_size")
     return rows.select(*(b.alias(f"b{i}") for i, b in enumerate(base)), scale.alias("scale"), "weight")
@@ -52,11 +56,11 @@ def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str
     players x partitions. With `cuts` the model is the proportional-odds one (one linear predictor).
     """
     ordinal = cuts is not None
-    classes = ("1",) if model == "win" or ordinal else classes_of(model)
+    classes = predictors(model, ordinal)
     names = [f"b{i}" for i in range(len(classes))]
-    base = context_base(contests, coefficients, model, role).groupBy(*names, "scale").agg(F.sum("weight").alias("weight"))
+    base = context_base(contests, coefficients, model, role, classes).groupBy(*names, "scale").agg(F.sum("weight").alias("weight"))
     key = "rusher_key" if role == "Rusher" else "blocker_key"
-    players = _wide(coefficients, model, role.lower(), key).withColumnRenamed(key, "player_key")
+    players = _wide(coefficients, model, classes, role.lower(), key).withColumnRenamed(key, "player_key")
     met = base.crossJoin(F.broadcast(players))
     eta = [F.col(n) + F.col("scale") * F.get(f"{key}_beta", F.lit(i)) for i, n in enumerate(names)]
     if ordinal:

@@ -29,9 +29,9 @@ DRAWS, TUNING_DRAWS = 20, 4
 DIGITS = 6
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS decimals (no negative zero), so that results can be compared between engines."""
-    return df.select(*(F.round(F.col(f.name), DIGITS).__add__(F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema))
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to some decimals (no negative zero), so that results can be compared between engines."""
+    return df.select(*(F.round(F.col(f.name), digits).__add__(F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema))
 
 
 def hashed(*parts: Column) -> Column:
@@ -250,7 +250,7 @@ def bootstrap_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rating_draws(spark: SparkSession, sf: str) -> DataFrame:
     draws = S.bootstrap_draws(A.game_pool(spark, sf), DRAWS, PARAMS.seed + 100_000, "ratings")
-    return rounded(W.bootstrap_scores(A.contests(spark, sf), draws, share=0.5))
+    return rounded(W.bootstrap_scores(A.contests(spark, sf), draws, share=0.5), 9)
 
 
 def bootstrap_ratings(spark: SparkSession, sf: str) -> DataFrame:

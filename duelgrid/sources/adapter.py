@@ -109,7 +109,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_week(index) <= 15, "train").otherwise("test").alias("split"),
         eligible.alias("eligible_primary"),
         F.when(~eligible, "excluded_game").alias("exclusion_reason"),
-        (F.col("o_totalprice") / 1e5).alias("epa"),
+        (F.col("o_totalprice") / 9e4).alias("epa"),
         F.lit(True).alias("early_protection_complete"),
         F.col("B").cast("int").alias("early_protection_participants"),
         F.lit(0).alias("early_protection_ungraded_actors"),
