@@ -67,7 +67,7 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     while going.any():
         left, right, keys, bits, mask = value[going] >> half[going], value[going] & low[going], key[going], half[going], low[going]
         for turn in range(4):
-            mixed = (right + keys + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (right + keys + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
