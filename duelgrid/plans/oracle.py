@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from duelgrid.params import THRESHOLDS, Params
-from duelgrid.plans.queries import DRAWS, TUNING_DRAWS
+from duelgrid.plans.queries import DRAWS, SUM_DIGITS, TUNING_DRAWS
 
 SEED = Params().seed
 WEIGHTS = "CASE WHEN model = 'win' THEN CASE WHEN cls = '1' THEN 1.0 ELSE 0.0 END ELSE CASE cls WHEN 'win' THEN 0.25 WHEN 'pressure' THEN 0.5 WHEN 'sack' THEN 1.0 ELSE 0.0 END END"
@@ -14,13 +14,9 @@ LABEL = "CASE WHEN isinf(strength) THEN 'league_only' ELSE strength::BIGINT::VAR
 FIXED = "CASE WHEN model = 'win' THEN 25.0 ELSE 50.0 END"
 
 
-def r(value: str) -> str:
+def r(value: str, digits: int = 6) -> str:
     """Rounded like the queries' doubles, without negative zero."""
-    return f"(round(({value})::DOUBLE, 6) + 0.0)"
-
-
-def finer(value: str) -> str:
-    return f"(round(({value})::DOUBLE, 9) + 0.0)"
+    return f"(round(({value})::DOUBLE, {digits}) + 0.0)"
 
 
 def hash_number(text: str) -> str:
@@ -234,7 +230,7 @@ TABLES = {
         FROM (SELECT DISTINCT model, role, player_key FROM part) v JOIN rate_shares s ON s.model = v.model
         LEFT JOIN rate_masses m ON m.replicate_id = s.replicate_id AND m.model = v.model AND m.role = v.role AND m.player_key = v.player_key AND m.cls = s.cls
         LEFT JOIN (SELECT replicate_id, model, role, player_key, sum(mass) AS total FROM rate_masses GROUP BY ALL) t ON t.replicate_id = s.replicate_id AND t.model = v.model AND t.role = v.role AND t.player_key = v.player_key) GROUP BY ALL)""",
-    "rate": f"""(SELECT replicate_id, model, role, player_key, present, score_type, {finer("CASE WHEN role = 'Rusher' THEN value WHEN model = 'win' THEN 1 - value ELSE -value END")} AS score FROM (
+    "rate": f"""(SELECT replicate_id, model, role, player_key, present, score_type, {r("CASE WHEN role = 'Rusher' THEN value WHEN model = 'win' THEN 1 - value ELSE -value END", 9)} AS score FROM (
         SELECT *, CASE WHEN model = 'win' THEN 'rate' ELSE 'expected_severity' END AS score_type, plain AS value FROM rate_value UNION ALL SELECT *, 'expected_credited_severity', credited FROM rate_value WHERE model = 'severity'))""",
     "week_first": "(SELECT role, player_key, min(week) AS first FROM part WHERE model = 'win' GROUP BY ALL)",
     "raw_week": """(SELECT f.role, f.player_key, w.week::INTEGER AS week, count(*) AS interactions, count(DISTINCT game_id) AS games, sum(win_target)::DOUBLE AS wins, sum(1 - win_target)::DOUBLE AS losses, sum(mass * win_target) AS allocated_wins,
@@ -332,9 +328,9 @@ SOURCES = {
     "play_basis": f"SELECT term, {r('center')} AS center, {r('scale')} AS scale FROM basis",
     "play_levels": "SELECT kind, level FROM levels",
     "play_design": f"SELECT play_id, term, {r('value')} AS value FROM design",
-    "game_gramian": f"SELECT game_id, a, b, {r('value')} AS value, rows FROM gram",
-    "play_gramian": f"SELECT a, b, {r('sum(value)')} AS value, sum(rows)::BIGINT AS rows FROM gram GROUP BY ALL",
-    "bootstrap_gramian": f"SELECT d.replicate_id, a, b, {r('sum(value * copies)')} AS value, sum(rows * copies)::BIGINT AS rows FROM gram g JOIN drawn d ON d.game_id = g.game_id GROUP BY ALL",
+    "game_gramian": f"SELECT game_id, a, b, {r('value', SUM_DIGITS)} AS value, rows FROM gram",
+    "play_gramian": f"SELECT a, b, {r('sum(value)', SUM_DIGITS)} AS value, sum(rows)::BIGINT AS rows FROM gram GROUP BY ALL",
+    "bootstrap_gramian": f"SELECT d.replicate_id, a, b, {r('sum(value * copies)', SUM_DIGITS)} AS value, sum(rows * copies)::BIGINT AS rows FROM gram g JOIN drawn d ON d.game_id = g.game_id GROUP BY ALL",
     "game_folds": "SELECT * FROM folds",
     "bootstrap_draws": "SELECT * FROM drawn",
     "bootstrap_ratings": f"""WITH x AS (SELECT *, {average_rank("score", "replicate_id, model, score_type, role")} AS rk, {top_credit("score", "replicate_id, model, score_type, role")} AS tc FROM rate)

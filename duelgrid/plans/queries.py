@@ -27,6 +27,8 @@ PARAMS = Params()
 #: Replicates of the registered bootstrap queries; the operators take any number.
 DRAWS, TUNING_DRAWS = 20, 4
 DIGITS = 6
+#: Decimals of large sums, whose last digits depend on the order of addition.
+SUM_DIGITS = 3
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -229,15 +231,15 @@ def _game_gramian(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def game_gramian(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_game_gramian(spark, sf))
+    return rounded(_game_gramian(spark, sf), SUM_DIGITS)
 
 
 def play_gramian(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_game_gramian(spark, sf).groupBy("a", "b").agg(F.sum("value").alias("value"), F.sum("rows").alias("rows")))
+    return rounded(_game_gramian(spark, sf).groupBy("a", "b").agg(F.sum("value").alias("value"), F.sum("rows").alias("rows")), SUM_DIGITS)
 
 
 def bootstrap_gramian(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(G.draw_gramians(_game_gramian(spark, sf), bootstrap_draws(spark, sf)))
+    return rounded(G.draw_gramians(_game_gramian(spark, sf), bootstrap_draws(spark, sf)), SUM_DIGITS)
 
 
 def game_folds(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,7 @@ MATCHUP_CSV = (
 )
 PLAY_COUNTS = ("N_W", "N_P", "N_H", "N_S", "B", "U", "E", "P_B", "H_B", "S_B", "P_A", "H_A", "S_A", "K_B")
 PLAY_CSV = (
-    "game_id string, play_id string, nflfast_game_id string, week int, split string, eligible_primary string, exclusion_reason string, epa double, "
+    "game_id string, play_id string, week int, split string, eligible_primary string, exclusion_reason string, epa double, "
     "early_protection_complete string, early_protection_participants int, early_protection_ungraded_actors int, "
     + ", ".join(f"{c} double" for c in PLAY_COUNTS)
     + ", accepted_penalty string, down int, ydstogo double, yardline_100 double, half_seconds_remaining double, score_differential double, qtr int, "
@@ -36,7 +36,7 @@ def _read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read by name: every column as text first, then typed, so that NA texts become nulls and extra columns are ignored."""
     raw = spark.read.csv(path, header=True, escape='"', quote='"')
     wanted = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
-    absent = [name for name, _ in wanted if name not in raw.columns and name not in ("nflfast_game_id", "game_half")]
+    absent = [name for name, _ in wanted if name not in raw.columns and name != "game_half"]
     if absent:
         raise ValueError("Missing columns: " + ", ".join(absent))
     return raw.select(*((missing(n) if n in raw.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
