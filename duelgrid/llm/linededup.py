@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelgrid.llm.storage import materialize
+
 #: White space of the line rule: space and the control characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,7 +41,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         F.count_if(F.col("_id").isNull()).alias("_nulls"),
     )
     shared = counted.where((F.col("_docs") >= min_docs) & ((F.col("_low") != F.col("_high")) | ((F.col("_nulls") > 0) & F.col("_low").isNotNull())))
-    shared = shared.select("_h1", "_h2", F.when(F.col("_nulls") == 0, F.col("_low")).alias("_keeper"))
+    # written, so that the join is between plain shuffles and the partition of a very common line can be split
+    shared = materialize(shared.select("_h1", "_h2", F.when(F.col("_nulls") == 0, F.col("_low")).alias("_keeper")), "shared-lines")
     dropped = lines.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     dropped = dropped.groupBy("_id", "_row").agg(F.collect_set("_at").alias("_ats")).select(F.col("_id").alias("_did"), F.col("_row").alias("_drow"), "_ats")
     whole = rows.select("_id", "_row", F.split("_text", "\n").alias("_lines"))
