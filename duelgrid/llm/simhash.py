@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 3, similari
     later = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_id"), "component_id").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     firsts = later.select("component_id").distinct().join(texts.withColumnRenamed("_id", "component_id"), "component_id")
-    firsts = firsts.groupBy("component_id").agg(F.max("_text").alias("_first"))
+    # written, so that the join below is between plain shuffles and a hot group's partition can be split
+    firsts = materialize(firsts.groupBy("component_id").agg(F.max("_text").alias("_first")), "firsts")
     pairs = later.join(texts, "_id").join(firsts, "component_id").select("_id", "component_id", "_text", "_first")
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, component_id {docs.schema[id_col].dataType.simpleString()}"
 
