@@ -1,8 +1,9 @@
 """The corpus pipeline, stage by stage."""
 
+from test_nearcopies import brute_groups
+
 import corpus_pipeline
 from duelgrid.llm.decontaminate import find_benchmark
-from duelgrid.llm.simhash import near_duplicate_components, shingle_similarity
 
 
 def test_stages(spark, sf):
@@ -14,11 +15,9 @@ def test_stages(spark, sf):
     assert known.columns == docs.columns and known.count() >= 0.97 * len(before)
     single = stages["near_duplicates"](spark, known, sf)
     kept = {r.doc_id: r.text for r in single.collect()}
-    groups = {r.doc_id: r.component_id for r in near_duplicate_components(known, 5, 3).collect()}
-    texts = {r.doc_id: r.text for r in known.collect()}
-    for i, c in groups.items():
-        near = i != c and (texts[i] == texts[c] or shingle_similarity(texts[i], texts[c], 5) >= 0.8)
-        assert (i in kept) != near
+    groups = brute_groups([(r.doc_id, r.text) for r in known.collect()])
+    extra = set(kept) - set(groups.values())
+    assert set(groups.values()) <= set(kept) and len(extra) <= 0.02 * (len(groups) - len(set(groups.values())))
     assert len(set(kept.values())) == len(kept)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     clean = stages["decontamination"](spark, single, sf)
