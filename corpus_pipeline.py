@@ -14,6 +14,8 @@ from duelgrid.llm.storage import materialize
 
 #: A document is rejected if its language is unknown or it differs from the given one with at least this share.
 SURE = 0.5
+#: Seed of the draws that round a document's copies.
+COPY_SEED = 7_411
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +38,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, as often as it takes them on average (once or twice)."""
-    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    met = docs.join(taken, docs["doc_id"] == taken["_id"])
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Documents as often as the mix takes their words: taken / size copies on average.
+
+    A document has floor(taken / size) copies, and one more with the fraction's probability by a seeded hash, so the
+    expected copies times its size are the words taken from it.
+    """
+    more = F.pmod(F.xxhash64("doc_id", F.lit(COPY_SEED)), F.col("size")) < F.expr("taken % size")
+    times = F.expr("taken div size") + more.cast("long")
+    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), times.alias("_mix_times")).where("_mix_times > 0")
+    met = docs.join(taken, docs["doc_id"] == taken["_mix_id"])
+    return met.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The corpus pipeline, stage by stage."""
 
+from pyspark.sql import functions as F
 from test_nearcopies import brute_groups
 
 import corpus_pipeline
 from duelgrid.llm.decontaminate import find_benchmark
+from duelgrid.llm.mixing import mix_sources
 
 
 def test_stages(spark, sf):
@@ -36,3 +38,18 @@ def test_run_and_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def _words(docs):
+    return {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+
+
+def test_mix_words_meet_targets(spark, table):
+    # b is to give 0.83 of its words and c 1.67 times its words: whole copies of each document can't
+    docs = table([(i, " ".join(f"w{i}x{j}" for j in range(200 + i % 80)), "en", "abc"[i % 3]) for i in range(3000)]).drop("_id")
+    target = {r["source"]: r["target"] for r in mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    given, size = _words(corpus_pipeline.mix(spark, docs, "")), _words(docs)
+    assert min(t / size[s] for s, t in target.items()) < 0.9
+    for source in "abc":
+        # a copy more or less has a standard deviation of at most half a document: four of them over 1,000 documents
+        assert abs(given[source] - target[source]) <= 4 * 0.5 * 280 * 1000**0.5 + 64
