@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.llm.positions import running_positions
@@ -123,17 +123,27 @@ def mix_sources(docs: DataFrame, block: int = 64, share: float = 1.5, most: floa
     after all others. Rows that repeat an id are rows of their own. Sources are as few as the driver can list
     (MAX_SOURCES, checked); everything else is spread by hash cells, so one source may hold any part of the rows.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size")), "sized")
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), count_words(F.col(text_col)).alias("_size"))
+    met = mix_sized(materialize(sized, "sized"), block, share, most, shards, seed)
+    return met.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken")
+
+
+def count_words(text: Column) -> Column:
+    """Words of a text (null: none)."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def mix_sized(sized: DataFrame, block: int = 64, share: float = 1.5, most: float = 2.0, shards: int = 24, seed: int = SEED) -> DataFrame:
+    """`mix_sources` over rows whose words are counted (_id, _source, _size); other columns are kept. Adds source_size, target, taken."""
     plan, counts = plan_mix(sized, block, share, most, shards, seed)
     schema = "_source string, _number int, source_size long, target double"
-    sources = docs.sparkSession.createDataFrame([(p["_source"], p["_number"], p["source_size"], p["target"]) for p in plan], schema)
-    numbered = sized.join(F.broadcast(sources), sized["_source"].eqNullSafe(sources["_source"])).select("_id", "_size", "_number", "source_size", "target")
+    sources = sized.sparkSession.createDataFrame([(p["_source"], p["_number"], p["source_size"], p["target"]) for p in plan], schema)
+    numbered = sized.join(F.broadcast(sources), sized["_source"].eqNullSafe(sources["_source"])).drop("_source")
     placed = materialize(running_positions(numbered, ["_number"], ["_id", "_size"], "_size"), "placed")
-    taken = slot_table(docs, plan, counts, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("_times"))
+    taken = slot_table(sized, plan, counts, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("_times"))
     first, last = F.expr(f"_start div {block}"), F.expr(f"(_start + _size - 1) div {block}")
     parts = placed.where("_size > 0").withColumn("_block", F.explode(F.sequence(first, last)))
     inside = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("_size")) - F.greatest(F.col("_block") * block, F.col("_start"))
     met = parts.join(taken, (parts["_number"] == taken["number"]) & (parts["_block"] == taken["block"]))
     sums = met.groupBy("_number", "_pos").agg(F.sum(inside * F.col("_times")).alias("taken"))
-    return placed.join(sums, ["_number", "_pos"], "left").select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(sums, ["_number", "_pos"], "left").drop("_number", "_pos", "_start").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))

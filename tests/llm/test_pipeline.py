@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 from test_nearcopies import brute_groups
 
@@ -53,3 +55,21 @@ def test_mix_words_meet_targets(spark, table):
     for source in "abc":
         # a copy more or less has a standard deviation of at most half a document: four of them over 1,000 documents
         assert abs(given[source] - target[source]) <= 4 * 0.5 * 280 * 1000**0.5 + 64
+
+
+def test_mix_keeps_rows_without_or_with_shared_ids(spark, table):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(100))
+    # one source, so the target is 1.5 times its size: every row has one or two copies, or a few none
+    rows = [(None, text(i), "en", "a") for i in range(300)] + [(7, text(i), "en", "a") for i in range(300, 600)] + [(8, text(600), "en", "a")] * 300
+    docs = table(rows).drop("_id")
+    found = corpus_pipeline.mix(spark, docs.repartition(5), "")
+    given = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    by_id = Counter()
+    for (doc_id, _), times in given.items():
+        by_id[doc_id] += times
+    # 300 rows each: 450 copies, give or take four standard deviations of the draws and of the blocks
+    assert set(by_id) == {None, 7, 8} and all(380 <= n <= 520 for n in by_id.values())
+    assert max(n for (i, _), n in given.items() if i != 8) <= 2 and sum(i is None for i, _ in given) > 250
+    # neither the partitions nor the order of the rows matter
+    again = corpus_pipeline.mix(spark, docs.orderBy(F.desc("text")).coalesce(2), "")
+    assert Counter((r["doc_id"], r["text"]) for r in again.collect()) == given
