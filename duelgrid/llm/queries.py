@@ -32,7 +32,7 @@ def held_out(modulus: int, remainder: int = 2) -> Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
