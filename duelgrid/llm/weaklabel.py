@@ -33,7 +33,7 @@ def _bad(holds: bool) -> str:
 
 
 def _shape(word: str) -> str:
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 def read_text(text: str | None) -> tuple[str, list[int], list[float]]:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelgrid.llm import ctw
+from duelgrid.llm import ctw, weaklabel
 from duelgrid.llm.langid import LanguageFilters, fit_filters, predict_language
 from duelgrid.llm.lmscore import score_texts
 from duelgrid.llm.queries import held_out, op4_language, op6_repetition, op8_quality
@@ -183,3 +183,10 @@ def test_scores_against_brute_force(table):
     assert score_texts(table([]), F.lit(True), depth=2).count() == 0
     alone = score_texts(table([(1, "ab")]), F.lit(False), depth=2).first()
     assert alone.score == pytest.approx(-3 * 8 * math.log10(2), abs=1e-4)
+
+
+def test_shape_reads_whole_words():
+    # what follows the first 64 characters counts too
+    long = "a" * 100
+    assert weaklabel._shape(long) == "a" and weaklabel._shape(long + "7b") == "a0a"
+    assert weaklabel.read_text(long)[0] != weaklabel.read_text(long + "7" + long)[0]
