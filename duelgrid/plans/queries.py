@@ -20,12 +20,14 @@ from duelgrid.operators.quality import matchup_quality as matchup_rules
 from duelgrid.operators.quality import play_quality as play_rules
 from duelgrid.operators.ridge import fit_model
 from duelgrid.operators.scoring import standardized_scores as population_scores
-from duelgrid.params import CLASSES, Params
+from duelgrid.params import CLASSES, MODELS, ROLES, Params
 from duelgrid.sources import adapter as A
 
 PARAMS = Params()
 #: Replicates of the registered bootstrap queries; the operators take any number.
 DRAWS, TUNING_DRAWS = 20, 4
+#: The largest gradient of a finished proportional-odds fit.
+ORDINAL_TOLERANCE = 2e-5
 DIGITS = 6
 #: Decimals of large sums, whose last digits depend on the order of addition.
 SUM_DIGITS = 3
@@ -421,7 +423,7 @@ def coefficient_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ridge_win(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fit_model(A.contests(spark, sf), "win", A.folds(spark, sf), [0.1, 0.01]).coefficients)
+    return rounded(fit_model(A.contests(spark, sf), "win", A.folds(spark, sf), PARAMS.penalty_grid()).coefficients)
 
 
 def ridge_severity(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,16 +431,21 @@ def ridge_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ordinal_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(coefficients_of(fit_ordinal(A.contests(spark, sf), 0.01, 2e-4, 25), spark))
+    """Coefficients of the proportional-odds fit, its largest gradient and whether that is below the tolerance."""
+    fit = fit_ordinal(A.contests(spark, sf), 0.01, ORDINAL_TOLERANCE)
+    return rounded(coefficients_of(fit, spark)).withColumn("gradient", F.lit(fit.gradient)).withColumn("converged", F.lit(fit.gradient < ORDINAL_TOLERANCE))
 
 
 def weekly_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Standardised win scores of cumulative fits at the season's penalty, for two weeks."""
+    """Standardised scores of both models' cumulative fits at the season's penalty, for every week."""
     contests, parts = A.contests(spark, sf), []
-    for week in (9, 18):
+    for week in range(1, PARAMS.last_week + 1):
         seen = contests.where(F.col("week") <= week)
-        beta = fit_model(seen, "win", fixed=0.01).coefficients
-        parts += [population_scores(contests, beta, "win", r, PARAMS.severity_weights).withColumn("week", F.lit(week)) for r in ("Rusher", "Blocker")]
+        for model in MODELS:
+            # a model of which a class hasn't occurred yet has no scores in that week
+            fit = fit_model(seen, model, fixed=0.01)
+            if fit.status == "complete":
+                parts += [population_scores(contests, fit.coefficients, model, r, PARAMS.severity_weights).withColumn("week", F.lit(week)) for r in ROLES]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
