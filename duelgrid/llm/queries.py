@@ -10,6 +10,7 @@ from duelgrid.llm.langid import fit_filters, predict_language
 from duelgrid.llm.linededup import dedup_lines
 from duelgrid.llm.lmscore import score_texts
 from duelgrid.llm.mixing import mix_sources
+from duelgrid.llm.pipeline import run
 from duelgrid.llm.repetition import repetition_quality, repetition_verdict
 from duelgrid.llm.sharding import assign_shards
 from duelgrid.llm.simhash import near_duplicate_components
@@ -84,9 +85,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 QUERIES = {

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (single-machine tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("duelgrid.shared.dir", None)
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all run on one machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("duelgrid.shared.dir", None)
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="duelgrid-")
         spark.conf.set("duelgrid.shared.dir", named)
     return named.rstrip("/")
