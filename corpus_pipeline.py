@@ -1,97 +1,5 @@
-"""A training-data pipeline: language ID, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: its stages and `run`, from the llm subpackage."""
 
-from __future__ import annotations
+from duelgrid.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from duelgrid.llm.decontaminate import find_benchmark
-from duelgrid.llm.langid import UNKNOWN, fit_filters, predict_language
-from duelgrid.llm.mixing import count_words, mix_sized
-from duelgrid.llm.nearcopies import near_duplicates
-from duelgrid.llm.sharding import assign_shards
-from duelgrid.llm.storage import materialize
-
-#: A document is rejected if its language is unknown or it differs from the given one with at least this share.
-SURE = 0.5
-#: Seed of the draws that round a document's copies.
-COPY_SEED = 7_411
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language that doesn't contradict the given one; a null lang accepts any language."""
-    filters = fit_filters(docs, F.lit(True))
-    judged = predict_language(docs, filters, [F.col(c) for c in docs.columns])
-    agrees = F.col("lang").isNull() | (F.col("lang") == F.col("lang_pred")) | (F.col("score") < SURE)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & agrees).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
-    return docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
-
-
-def number_rows(rows: DataFrame) -> DataFrame:
-    """Add `_id`, a key of every row's own: `_mix_hash` and a number among the rows that share it.
-
-    Equal rows are numbered inside the partition they were written from (`_mix_part`), after those of earlier
-    partitions, so that no task gets all rows of a hash. Whatever the partitions, the same rows give the same keys.
-    """
-    inside = Window.partitionBy("_mix_hash", "_mix_part").orderBy("_mix_row")
-    earlier = Window.partitionBy("_mix_hash").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_mix_hash", "_mix_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_mix_hash", "_mix_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).where("_before > 0")
-    met = rows.withColumn("_at", F.row_number().over(inside)).join(before, ["_mix_hash", "_mix_part"], "left")
-    number = F.col("_at") - 1 + F.coalesce("_before", F.lit(0))
-    return met.withColumn("_id", F.concat_ws("-", "_mix_hash", number.cast("string"))).drop("_at", "_before")
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words: taken / size copies on average.
-
-    A document has floor(taken / size) copies, and one more with the fraction's probability by a seeded hash, so the
-    expected copies times its size are the words taken from it. Every row counts as a row of its own: rows with a null
-    doc_id are mixed like others, and rows that share a doc_id, or everything, each have copies of their own. The mix
-    depends on the rows' contents alone.
-    """
-    contents = F.md5(F.to_json(F.struct(*(docs[c] for c in docs.columns)), {"ignoreNullFields": "false"}))
-    added = {"_mix_hash": contents, "_mix_part": F.spark_partition_id(), "_mix_row": F.monotonically_increasing_id(), "_mix_size": count_words(F.col("text"))}
-    held = materialize(docs.withColumns(added), "rows")
-    rows = held.select("_mix_hash", "_mix_part", "_mix_row", F.col("source").alias("_source"), F.col("_mix_size").alias("_size"))
-    sized = materialize(number_rows(rows).select("_id", "_source", "_size", F.col("_mix_row").alias("_met")), "sized")
-    more = F.pmod(F.xxhash64("_id", F.lit(COPY_SEED)), F.col("_size")) < F.expr("taken % _size")
-    times = F.expr("taken div _size") + more.cast("long")
-    taken = mix_sized(sized).where("taken > 0").select("_met", times.alias("_mix_times")).where("_mix_times > 0")
-    met = held.join(taken, held["_mix_row"] == taken["_met"])
-    return met.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*docs.columns)
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
-    return assign_shards(docs, 24)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", decontaminate),
-    ("mixing", mix),
-    ("sharding", shard),
-]
-
-#: Learned filters, fingerprints and edit distances have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
