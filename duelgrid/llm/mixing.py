@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelgrid.llm.positions import running_positions
@@ -14,48 +15,38 @@ from duelgrid.llm.storage import materialize
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Sources that the driver handles; more is an error.
-MAX_SOURCES = 100_000
 #: Slots that one row of the slot table expands to at most.
 CHUNK = 4096
+#: Slots, and rows of a source, that one task handles at about.
+TASK_SLOTS, CELL_ROWS = 500_000, 500_000
 SEED = 20_240_607
 
 
-def fill_targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Targets in proportion to the weights that add up to `share` of all sizes, none above `most` times its size."""
-    left, free, targets = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
-    left = min(left, most * sum(sizes))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        over = {i for i in free if unit * weights[i] > most * sizes[i]}
-        if not over:
-            for i in free:
-                targets[i] = unit * weights[i]
-            break
-        for i in over:
-            targets[i] = most * sizes[i]
-            left -= targets[i]
-        free -= over
-        left = max(left, 0.0)
-    return targets
-
-
-def draw_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
-    """[shard, source] slot counts: each shard is a multinomial draw of its size with the weights that are left.
-
-    No source is drawn beyond what it has left (the excess is drawn again), and the last shard takes the rest, so the
-    sources' totals are exactly `slots`.
+def fill_unit(sources: DataFrame, total: float, most: float) -> float:
+    """The target of a unit of weight such that all targets, none above `most` times its source's size, add up to `total`.
+
+    `sources` has `_weight` and `source_size`. A source that its weight would carry over its limit stays at the limit, and
+    what it leaves is shared by weight again: the unit only grows, so each round is one sum over the sources.
+    """
+    unit, stopped, over = 0.0, -1, F.lit(0)
+    while True:
+        row = sources.agg(
+            F.coalesce(F.sum(F.when(over == 1, most * F.col("source_size"))), F.lit(0.0)).alias("held"),
+            F.coalesce(F.sum(F.when(over == 0, F.col("_weight"))), F.lit(0.0)).alias("free"),
+            F.sum(over).alias("n"),
+        ).first()
+        if not row["free"] or row["n"] == stopped:
+            return unit
+        unit, stopped = max(unit, max(total - row["held"], 0.0) / row["free"]), row["n"]
+        over = (unit * F.col("_weight") > most * F.col("source_size")).cast("int")
+
+
+def draw_counts(slots: int, shards: int, seed: list[int]) -> np.ndarray:
+    """How many of a source's slots each output shard gets: a multinomial draw, which adds up to `slots`.
+
+    Drawn for each source, the sources' counts in a shard are a multinomial draw of the shard's slots by the sources' slots.
     """
-    rng, left = np.random.Generator(np.random.PCG64(seed)), np.array(slots, np.int64)
-    out = np.zeros((shards, len(slots)), np.int64)
-    for shard in range(shards):
-        need = int(left.sum()) // (shards - shard)
-        while need:
-            drawn = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            out[shard] += drawn
-            left -= drawn
-            need -= int(drawn.sum())
-    return out
+    return np.random.Generator(np.random.PCG64(seed)).multinomial(slots, np.full(shards, 1 / shards))
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -76,32 +67,50 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return value.astype(np.int64)
 
 
-def plan_mix(sized: DataFrame, block: int, share: float, most: float, shards: int, seed: int) -> tuple[list[dict], np.ndarray]:
-    """What each source gives: rows of the source table (bounded by MAX_SOURCES), and its slots in each output shard."""
-    rows = sized.groupBy("_source").agg(F.sum("_size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    sizes = [int(r["size"]) for r in rows]
-    targets = fill_targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))], share, most) if sum(sizes) else [0.0] * len(rows)
-    plan = []
-    for i, (row, size, target) in enumerate(zip(rows, sizes, targets)):
-        blocks = -(-size // block)
-        plan.append({"_source": row["_source"], "_number": i, "source_size": size, "target": float(target), "blocks": blocks, "slots": min(round(target * blocks / size), int(most * blocks)) if size else 0})
-    return plan, draw_counts([p["slots"] for p in plan], shards, seed)
-
+def plan_mix(sized: DataFrame, block: int, share: float, most: float) -> DataFrame:
+    """What each source gives: (_source, _number, source_size, rows, target, blocks, slots), planned in Spark.
 
-def slot_table(docs: DataFrame, plan: list[dict], counts: np.ndarray, seed: int) -> DataFrame:
+    Sources are numbered by code point, null last: a range sort, and row numbers after those of the partitions before.
+    """
+    sums = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    order = [F.col("_source").isNull(), F.col("_source")]
+    ranked = materialize(sums.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "sources")
+    counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1 + F.col("_before")
+    ranked = ranked.join(counts.select("_part", before.alias("_before")), "_part").withColumn("_number", number.cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_number") % len(WEIGHTS) + 1).cast("int"))
+    ranked = materialize(ranked.select("_source", "_number", "source_size", "rows", weight.alias("_weight")), "sources")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    unit = fill_unit(ranked, min(share, most) * total, most) if total else 0.0
+    planned = ranked.withColumn("target", F.least(F.lit(unit) * F.col("_weight"), most * F.col("source_size")))
+    planned = planned.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    slots = F.least(F.rint(F.col("target") * F.col("blocks") / F.col("source_size")), F.floor(most * F.col("blocks"))).cast("long")
+    return materialize(planned.withColumn("slots", F.when(F.col("source_size") > 0, slots).otherwise(0)).drop("_weight"), "plan")
+
+
+def slot_table(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     """(shard, slot, source number, block): every slot of the mix and the block it takes.
 
     A source's slots are counted through all shards; slot j takes block perm(j mod blocks) of pass j div blocks, with a
-    permutation of its own for each source and pass, so no block is taken again before all others have been.
+    permutation of its own for each source and pass, so no block is taken again before all others have been. Runs of
+    slots are cut into chunks and dealt over as many tasks as the number of slots asks for.
     """
-    spark, firsts, runs = docs.sparkSession, counts.cumsum(axis=0) - counts, []
-    for shard in range(len(counts)):
-        runs += [(shard, n, int(firsts[shard, n]), int(counts[shard, n]), plan[n]["blocks"]) for n in range(len(plan)) if counts[shard, n]]
-    table = spark.createDataFrame(runs, "shard int, number int, first long, count long, blocks long")
-    table = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {CHUNK}")))).repartition(F.col("shard"), F.col("number"), F.col("_part"))
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out: list[tuple[int, int, int, int, int]] = []
+            for number, slots, blocks in zip(*(c.to_pylist() for c in part.columns)):
+                counts = draw_counts(slots, shards, [seed, number])
+                firsts = np.cumsum(counts) - counts
+                out += [(shard, number, int(firsts[shard]), int(counts[shard]), blocks) for shard in np.flatnonzero(counts).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate([pa.int32(), *[pa.int64()] * 4])], names=["shard", "number", "first", "count", "blocks"])
+
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SLOTS))
+    table = plan.where("slots > 0").select("_number", "slots", "blocks").mapInArrow(draw, "shard int, number long, first long, count long, blocks long")
+    table = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {CHUNK}"))))
+    table = table.repartition(tasks, "shard", "number", "_part")
     table = table.withColumn("slot", F.explode(F.sequence(F.col("_part") * CHUNK, F.least((F.col("_part") + 1) * CHUNK, F.col("count")) - 1)))
 
     @F.pandas_udf("long")
@@ -120,8 +129,9 @@ def mix_sources(docs: DataFrame, block: int = 64, share: float = 1.5, most: floa
     source's permutations; blocks meet the slots by index. A source's slots are its target's share of its blocks, so
     the words taken come within about one block of the target, and no block, hence no row, is taken more than `most`
     times. The same rows and seed give the same mix. Null text: size 0, taken 0. A null source is a source of its own,
-    after all others. Rows that repeat an id are rows of their own. Sources are as few as the driver can list
-    (MAX_SOURCES, checked); everything else is spread by hash cells, so one source may hold any part of the rows.
+    after all others. Rows that repeat an id are rows of their own. Sources are planned in Spark, as many as there
+    are, and their rows are spread by hash cells, so one source may hold any part of the rows. An empty table gives no rows;
+    other columns are not read.
     """
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), count_words(F.col(text_col)).alias("_size"))
     met = mix_sized(materialize(sized, "sized"), block, share, most, shards, seed)
@@ -135,12 +145,12 @@ def count_words(text: Column) -> Column:
 
 def mix_sized(sized: DataFrame, block: int = 64, share: float = 1.5, most: float = 2.0, shards: int = 24, seed: int = SEED) -> DataFrame:
     """`mix_sources` over rows whose words are counted (_id, _source, _size); other columns are kept. Adds source_size, target, taken."""
-    plan, counts = plan_mix(sized, block, share, most, shards, seed)
-    schema = "_source string, _number int, source_size long, target double"
-    sources = sized.sparkSession.createDataFrame([(p["_source"], p["_number"], p["source_size"], p["target"]) for p in plan], schema)
-    numbered = sized.join(F.broadcast(sources), sized["_source"].eqNullSafe(sources["_source"])).drop("_source")
-    placed = materialize(running_positions(numbered, ["_number"], ["_id", "_size"], "_size"), "placed")
-    taken = slot_table(sized, plan, counts, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("_times"))
+    plan = plan_mix(sized, block, share, most)
+    rows = plan.agg(F.sum("rows")).first()[0] or 0
+    sources = plan.select(F.col("_source").alias("_of"), "_number", "source_size", "target")
+    numbered = sized.join(sources, sized["_source"].eqNullSafe(sources["_of"])).drop("_source", "_of")
+    placed = materialize(running_positions(numbered, ["_number"], ["_id", "_size"], "_size", cells=max(256, rows // CELL_ROWS)), "placed")
+    taken = slot_table(plan, shards, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("_times"))
     first, last = F.expr(f"_start div {block}"), F.expr(f"(_start + _size - 1) div {block}")
     parts = placed.where("_size > 0").withColumn("_block", F.explode(F.sequence(first, last)))
     inside = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("_size")) - F.greatest(F.col("_block") * block, F.col("_start"))

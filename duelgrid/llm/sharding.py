@@ -13,6 +13,8 @@ from duelgrid.llm.storage import materialize
 
 #: The first cells hold the top 12 bits of a group's hash; each refinement splits a cell by 8 further bits.
 FIRST_SHIFT, STEP = 52, 8
+#: Rows of a shard that one task numbers at about.
+CELL_ROWS = 500_000
 
 
 class _Cells:
@@ -111,7 +113,7 @@ def minimax_cuts(units: DataFrame, shards: int) -> tuple[list[int], int]:
     return [cells.cells[n][0] for n in cuts if n < len(cells.cells)], capacity
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", spread: int = 512) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row into one of `shards` shards of near equal bytes; rows of equal text stay together.
 
     Returns the id, size (UTF-8 bytes of the text plus 8), text_crc32, shard and slot (gapless from 0 in each shard).
@@ -132,7 +134,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     shard = F.lit(0)
     for key in cuts:
         shard = shard + (F.col("_key") >= F.lit(key)).cast("int")
-    placed = running_positions(units.withColumn("_shard", shard), ["_shard"], ["_id", "_key"], cells=spread)
+    cells = max(512, units.count() // (shards * CELL_ROWS))
+    placed = running_positions(units.withColumn("_shard", shard), ["_shard"], ["_id", "_key"], cells=cells)
     return placed.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
