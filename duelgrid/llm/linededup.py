@@ -22,8 +22,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
 
     A key is the line without BLANKS at its ends, A-Z lower-cased; keys under `min_chars` code points always stay.
     Returns the id, n_lines, n_dropped and kept_text (kept lines joined by a newline). A null or empty text is one
-    empty line. Documents count once for each key, however often it repeats inside; rows that repeat an id each count
-    and are each returned. Keys are compared by two 64-bit hashes (128 bits), and only hashes and positions are
+    empty line. A document is an id: it counts once for each key, however often the key repeats inside or in rows that
+    repeat the id; these rows are each returned. An empty table gives no rows; other columns are not read. Keys are compared by two 64-bit hashes (128 bits), and only hashes and positions are
     shuffled until the text meets its dropped positions. A null id is smaller than all others.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -32,15 +32,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     lines = rows.select("_id", "_row", F.posexplode(F.split(lower_ascii(F.col("_text")), "\n")).alias("_at", "_line"))
     lines = lines.select("_id", "_row", "_at", F.btrim("_line", F.lit(BLANKS)).alias("_key")).where(F.length("_key") >= min_chars)
     lines = lines.select("_id", "_row", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
-    first = F.when(F.col("_id").isNotNull(), F.col("_id"))
-    per_doc = lines.groupBy("_h1", "_h2", "_id", "_row").agg(F.collect_list("_at").alias("_ats")) if min_docs > 2 else lines
-    counted = per_doc.groupBy("_h1", "_h2").agg(
-        (F.count(F.lit(1)) if min_docs > 2 else F.lit(min_docs)).alias("_docs"),
-        F.min(first).alias("_low"),
-        F.max(first).alias("_high"),
-        F.count_if(F.col("_id").isNull()).alias("_nulls"),
-    )
-    shared = counted.where((F.col("_docs") >= min_docs) & ((F.col("_low") != F.col("_high")) | ((F.col("_nulls") > 0) & F.col("_low").isNotNull())))
+    # a document counts once for each key: distinct ids first, with partial sums, then their number
+    holders = lines.groupBy("_h1", "_h2", "_id").agg(F.count(F.lit(1)).alias("_times"))
+    counted = holders.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_low"), F.count_if(F.col("_id").isNull()).alias("_nulls"))
+    shared = counted.where(F.col("_docs") >= min_docs)
     # written, so that the join is between plain shuffles and the partition of a very common line can be split
     shared = materialize(shared.select("_h1", "_h2", F.when(F.col("_nulls") == 0, F.col("_low")).alias("_keeper")), "shared-lines")
     dropped = lines.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
