@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from duelgrid.llm.storage import materialize
 
-#: Bytes of an n-gram, slots of the filters (one byte of language bits each), and hash functions.
+#: Bytes of an n-gram, slots of the filters (one byte of language bits in each plane), and hash functions.
 GRAM, SLOT_BITS, HASHES = 4, 20, 3
 #: Odd multipliers of the hash functions.
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
-MAX_LANGS = 8
+#: Languages of a bit plane: one byte a slot.
+PLANE = 8
 UNKNOWN = "und"
 #: ASCII letters lower-cased, every other ASCII byte a space; bytes of longer characters stay.
 LETTERS = bytes(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else (b if b >= 128 else 32) for b in range(256))
@@ -59,11 +60,11 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
 
 
 class LanguageFilters:
-    """The learned filters: names of the languages, one byte of language bits a slot, documents and fill of each."""
+    """The learned filters: names of the languages, bit planes (a byte of 8 languages' bits a slot), fill of each language."""
 
-    def __init__(self, langs: list[str], bits: np.ndarray):
-        self.langs, self.bits = langs, bits
-        fill = np.array([np.mean((bits >> i) & 1) for i in range(len(langs))])
+    def __init__(self, langs: list[str], planes: np.ndarray):
+        self.langs, self.planes = langs, planes
+        fill = np.array([np.mean((planes[i // PLANE] >> (i % PLANE)) & 1) for i in range(len(langs))])
         self.false_rate = fill**HASHES
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -71,11 +72,14 @@ class LanguageFilters:
         if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         codes = grams(text)
-        masks = self.bits[slots(codes, 0)]
-        for which in range(1, HASHES):
-            masks = masks & self.bits[slots(codes, which)]
-        by_mask = np.bincount(masks, minlength=256)
-        hits = np.array([by_mask[_HOLDERS[i]].sum() for i in range(len(self.langs))], np.float64)
+        places = [slots(codes, which) for which in range(HASHES)]
+        hits = np.zeros(PLANE * len(self.planes))
+        for number, plane in enumerate(self.planes):
+            masks = plane[places[0]]
+            for place in places[1:]:
+                masks = masks & plane[place]
+            hits[PLANE * number : PLANE * (number + 1)] = _HELD @ np.bincount(masks, minlength=1 << PLANE)
+        hits = hits[: len(self.langs)]
         # of n grams, a filter passes its own and a known share of the others
         true = np.clip((hits - len(codes) * self.false_rate) / (1 - self.false_rate), 0, None)
         if not true.sum():
@@ -84,8 +88,8 @@ class LanguageFilters:
         return self.langs[best], float(true[best] / true.sum())
 
 
-#: For each language bit, the masks that hold it.
-_HOLDERS = [np.array([m for m in range(256) if m >> i & 1]) for i in range(MAX_LANGS)]
+#: [language bit, mask]: whether the mask holds the bit.
+_HELD = (np.arange(1 << PLANE) >> np.arange(PLANE)[:, None]) & 1
 
 
 def fit_filters(docs: DataFrame, train: Column, min_share: float = 0.004, min_ratio: float = 0.35, text_col: str = "text", lang_col: str = "lang") -> LanguageFilters:
@@ -93,44 +97,42 @@ def fit_filters(docs: DataFrame, train: Column, min_share: float = 0.004, min_ra
 
     A gram enters the filter of a language if at least `min_share` of the language's documents hold it and that share
     is at least `min_ratio` of its share in any other language. With D grams a document, at most D / min_share grams
-    enter, whatever the corpus; the filters have a fixed size (2 ** SLOT_BITS bytes) and only they reach the driver.
-    Up to MAX_LANGS languages (one bit each; more is an error), in order of their names.
+    enter, whatever the corpus; only the filters reach the driver: 2 ** SLOT_BITS bytes for every 8 languages.
+    Languages are numbered by their names. No rows, or no language, give filters without languages; null texts hold no
+    gram; other columns are not read.
     """
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    bits = np.zeros(1 << SLOT_BITS, np.uint8)
+    planes = np.zeros((-(-len(langs) // PLANE), 1 << SLOT_BITS), np.uint8)
     if not langs:
-        return LanguageFilters([], bits)
-    number, size = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for i, lang in enumerate(langs):
-        number = F.when(F.col("_lang") == lang, i).otherwise(number)
-        size = F.when(F.col("lang") == i, float(sizes[lang])).otherwise(size)
+        return LanguageFilters([], planes)
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("_lang")).cast("int") - 1
+    size = F.element_at(F.array(*(F.lit(float(sizes[lang])) for lang in langs)), F.col("lang") + 1)
     counted = _gram_counts(rows.select(number.alias("lang"), "_text")).groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
-    shares = counted.select("gram", "lang", (F.col("docs") / size).alias("share"))
-    by_gram = shares.groupBy("gram").agg(*(F.max(F.when(F.col("lang") == i, F.col("share"))).alias(f"s{i}") for i in range(len(langs))))
-    columns = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(len(langs))]
-    most = F.greatest(*columns, F.lit(0.0))
-    mask = F.lit(0)
-    for i, share in enumerate(columns):
-        mask = mask + F.when((share >= min_share) & (share >= min_ratio * most), 1 << i).otherwise(0)
-    chosen = by_gram.select("gram", mask.cast("int").alias("mask")).where("mask > 0")
+    shares = counted.select("gram", "lang", (F.col("docs") / size).alias("share")).where(F.col("share") >= min_share)
+    # one entry a language, so the list of a gram is short
+    by_gram = shares.groupBy("gram").agg(F.max("share").alias("_most"), F.collect_list(F.struct("lang", "share")).alias("_all"))
+    held = by_gram.select("gram", "_most", F.explode("_all").alias("_one")).where(F.col("_one.share") >= min_ratio * F.col("_most"))
+    chosen = held.groupBy("gram", F.expr(f"_one.lang div {PLANE}").cast("int").alias("plane")).agg(F.bit_or(F.expr(f"shiftleft(1, _one.lang % {PLANE})")).alias("mask"))
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            codes, held = part.column(0).to_numpy().astype(np.uint32), part.column(1).to_numpy()
+            codes = part.column(0).to_numpy().astype(np.uint32)
             for which in range(HASHES):
-                yield pa.RecordBatch.from_arrays([pa.array(slots(codes, which).astype(np.int32)), pa.array(held)], names=["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(slots(codes, which).astype(np.int32)), part.column(2)], names=["plane", "slot", "mask"])
 
-    placed = chosen.mapInArrow(place, "slot int, mask int").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    bits[placed["slot"].to_numpy()] = placed["mask"].to_numpy().astype(np.uint8)
-    return LanguageFilters(langs, bits)
+    placed = chosen.mapInArrow(place, "plane int, slot int, mask int").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    planes[placed["plane"].to_numpy(), placed["slot"].to_numpy()] = placed["mask"].to_numpy().astype(np.uint8)
+    return LanguageFilters(langs, planes)
 
 
 def predict_language(docs: DataFrame, filters: LanguageFilters, carry: list[Column] | None = None, text_col: str = "text") -> DataFrame:
-    """The `carry` columns with lang_pred and score of every whole text. The filters are broadcast (fixed size)."""
+    """The `carry` columns with lang_pred and score of every whole text. The filters (1 MB for 8 languages) are broadcast.
+
+    Null, empty and letterless texts are UNKNOWN with score 0; repeated rows are each returned; an empty table gives no
+    rows. Columns to carry must not be named lang_pred, score or _text: rename them, or carry them in a struct.
+    """
     held = docs.sparkSession.sparkContext.broadcast(filters)
     rows = docs.select(*(carry or []), F.col(text_col).alias("_text"))
     kept = rows.drop("_text")
