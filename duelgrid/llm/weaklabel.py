@@ -17,7 +17,7 @@ from duelgrid.llm.storage import materialize
 
 #: Buckets of the hashed features.
 FEATURE_BITS = 14
-#: Rows the scorer is fitted on at most (a hash sample of all rows); the labellers' accuracies come from all rows.
+#: Distinct rows the scorer is fitted on, about (a hash sample of all rows); the labellers' accuracies come from all rows.
 FIT_ROWS = 20_000
 LABELLERS = ("prose", "plain_words", "length", "repetition", "symbols", "letters", "variety", "capitals", "punctuation", "word_length")
 GOOD, BAD, ABSTAIN = "1", "0", "-"
@@ -123,8 +123,11 @@ def estimate_accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[di
     return dict(zip(names, posterior.tolist())), accuracy
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer (the last one is the constant) on posterior labels, by accelerated gradient steps."""
+def fit_scorer(rows: list[tuple[list[int], list[float], float, int]], rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer (the last one is the constant) on posterior labels, by accelerated gradient steps.
+
+    Rows are (buckets, values, label, how many rows are like this one).
+    """
     size = 1 << FEATURE_BITS
     weights = np.zeros(size + 1)
     if not rows:
@@ -132,12 +135,12 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 3
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     bucket = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
     value = np.concatenate([np.asarray(r[1], np.float64) for r in rows])
-    target = np.array([r[2] for r in rows])
+    target, times = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.float64)
     norms = np.bincount(owner, value**2, len(rows))
     step, ahead, last = 4 / (norms.max() + 1), weights.copy(), weights.copy()
     for turn in range(rounds):
         margin = np.bincount(owner, value * ahead[bucket], len(rows)) + ahead[-1]
-        miss = (1 / (1 + np.exp(-margin)) - target) / len(rows)
+        miss = (1 / (1 + np.exp(-margin)) - target) * times / times.sum()
         slope = np.append(np.bincount(bucket, value * miss[owner], size), miss.sum()) + ridge * np.append(ahead[:-1], 0)
         weights = ahead - step * slope
         ahead = weights + turn / (turn + 3) * (weights - last)
@@ -149,9 +152,10 @@ def score_quality(docs: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_R
     """(id, votes, posterior, score, kept) of every whole text; kept where score >= threshold.
 
     Votes and features are read once from each text and written to the shared folder. Votes of all rows are counted
-    by pattern; expectation-maximisation runs on those counts. The scorer is fitted on at most about `fit_rows` rows,
-    chosen by a hash of the id and labelled by their posterior; it then scores all rows. Null and text without words:
-    score 0, not kept. Repeated rows are each returned.
+    by pattern; expectation-maximisation runs on those counts. The scorer is fitted on about `fit_rows` distinct rows
+    at most, chosen by a hash of their votes and features, weighed by how often they occur and labelled by their
+    posterior; it then scores all rows. Null and text without words: score 0, not kept. Repeated rows, and rows of null
+    ids, are each returned; other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -160,8 +164,11 @@ def score_quality(docs: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_R
     posterior, _ = estimate_accuracies(patterns)
     total = sum(patterns.values())
     bound = int(min(1.0, fit_rows / max(total, 1)) * 1_000_000)
-    sample = read.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1_000_000)) < bound).select("buckets", "vals", "votes").toPandas()
-    weights = fit_scorer([(b, v, posterior[p]) for b, v, p in zip(sample["buckets"], sample["vals"], sample["votes"])])
+    chosen = read.where(F.pmod(F.xxhash64("votes", "buckets", "vals"), F.lit(1_000_000)) < bound)
+    # copies are one row with a count, so a text that fills a third of the table is read once
+    sample = chosen.groupBy("votes", "buckets", "vals").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    sample = sample.assign(_order=[(p, list(b)) for p, b in zip(sample["votes"], sample["buckets"])]).sort_values("_order")
+    weights = fit_scorer([(b, v, posterior[p], n) for b, v, p, n in zip(sample["buckets"], sample["vals"], sample["votes"], sample["n"])])
     held = docs.sparkSession.sparkContext.broadcast((weights, posterior))
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
