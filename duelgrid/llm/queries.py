@@ -19,8 +19,8 @@ from duelgrid.llm.weaklabel import score_quality
 
 #: (verdict, host, path) of the URL rules.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Sites whose canonical URLs form the list of the URL filter.
-SPAM_SITES = r"(^|\.)(spam-farm|cheap-pills)\."
+#: Pages whose canonical URLs form the list of the URL filter: those of some sites, and those with runs of symbols in the title.
+SPAM_SITES, JUNK_TITLE = r"(^|\.)(spam-farm|cheap-pills|casino-win)\.", r"<title>[^<]*[#*$%|]{3}"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,58 +33,70 @@ def held_out(modulus: int, remainder: int = 2) -> Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item, its edits and place. Null and empty texts hold none. Empty tables give no rows; extra columns are not read."""
     return find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. Null texts count 8 bytes and are one group; repeated rows have slots of their own. Empty tables give no rows; extra columns are not read."""
     placed = assign_shards(_table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after lines shared by documents are dropped. Null and empty texts are one empty line. Empty tables give no rows; extra columns are not read."""
     kept = dedup_lines(_table(spark, sf_dir, "documents"), 10, 2)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document. Null, empty and letterless texts are `und` with score 0; null langs teach nothing. Empty tables give no rows; extra columns are not read."""
     docs = _table(spark, sf_dir, "documents")
     filters = fit_filters(docs, ~held_out(4))
     return predict_language(docs, filters, [F.col("doc_id"), held_out(4).alias("held_out")])
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Null texts have none; a null source is a source of its own, the last one. Empty tables give no rows; extra columns are not read."""
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every document. Null and empty texts have no words and fail. Empty tables give no rows; extra columns are not read."""
     measured = repetition_quality(_table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & repetition_verdict())
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by rules, else by the list. Null urls have an empty host and path and are allowed. Empty tables give no rows; extra columns are not read."""
     pages = _table(spark, sf_dir, "pages")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    blocked = pages.where(host.rlike(SPAM_SITES)).select(canonical(host, path).alias("key"))
+    listed = host.rlike(SPAM_SITES) | F.coalesce(F.col("html"), F.lit("")).rlike(JUNK_TITLE)
+    blocked = pages.where((host != "") & listed).select(canonical(host, path).alias("key"))
     return filter_urls(pages, URL_RULES, blocked)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, score and verdict of every document. Null texts and texts without words score 0 and are not kept. Empty tables give no rows; extra columns are not read."""
     return score_quality(_table(spark, sf_dir, "documents"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Texts without words have fingerprint zero and are linked like any other. Empty tables give no rows; extra columns are not read."""
     found = near_duplicate_components(_table(spark, sf_dir, "documents"), 3, 2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree scores of every document. Null texts are empty: their end is scored. Empty tables give no rows; extra columns are not read."""
     docs = _table(spark, sf_dir, "documents")
     scored = score_texts(docs, ~held_out(7))
     return scored.withColumn("held_out", held_out(7))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row that the pipeline's stages keep; each stage states its handling of odd rows. Empty tables give no rows; extra columns are not read."""
     return run(spark, sf_dir)
 
 
@@ -114,11 +126,12 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op7_urls": r"""
-        WITH parts AS (SELECT page_id, url,
+        WITH parts AS (SELECT page_id, url, html,
                translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         keyed AS (SELECT *, regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '') AS k FROM parts),
-        spam AS (SELECT DISTINCT k FROM keyed WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')),
+        spam AS (SELECT DISTINCT k FROM keyed WHERE host <> '' AND (regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.')
+                  OR regexp_matches(coalesce(html, ''), '<title>[^<]*[#*$%|]{3}'))),
         rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, h, p)),
         fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelgrid.llm.storage import materialize
+
 #: Longs of 64 bits in a block, bits set in it a key, and most blocks (64 MB of filter, whatever the list's size).
 BLOCK_LONGS, PROBES, MAX_BLOCKS = 8, 6, 1 << 20
 KEYS_PER_BLOCK = 32
@@ -63,23 +65,28 @@ def build_filter(keys: DataFrame) -> np.ndarray:
     return table
 
 
-def listed(candidates: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of `candidates` whose `key` is in `keys` (`key` and what else it carries): filter first, then join exactly.
-
-    Only rows that pass the filter are shuffled; the hash join by key removes its false positives. `keys` holds each
-    key once, so nothing multiplies.
-    """
-    held = candidates.sparkSession.sparkContext.broadcast(build_filter(keys))
+def flag_possible(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """`rows` (which has `key`) with `_maybe`: false only if the key isn't in `keys`. Nothing is shuffled."""
+    held = rows.sparkSession.sparkContext.broadcast(build_filter(keys))
 
     def test(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for part in parts:
             block, words = _bits(part.column(part.num_columns - 1).to_numpy(), len(table))
             hit = ((table[block] & words) == words).all(axis=1)
-            yield part.filter(pa.array(hit)).select(range(part.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hit)], names=[*part.schema.names[:-1], "_maybe"])
 
-    hashed = candidates.withColumn("_h", F.xxhash64("key"))
-    return hashed.mapInArrow(test, candidates.schema).join(keys.hint("shuffle_hash"), "key")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _maybe boolean"
+    return rows.withColumn("_h", F.xxhash64("key")).mapInArrow(test, schema)
+
+
+def match_rule(rules: list[tuple[str, str, str]], host: Column, path: Column) -> Column:
+    """(rule, verdict) of the longest rule that fits, null if none does; of equally long ones the one later in order wins."""
+    fits = [
+        F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict")))
+        for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0]), reverse=True)
+    ]
+    return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -87,29 +94,22 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: Da
 
     `rules` are (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's;
     the longest one wins and decides. Otherwise a page is blocked if its canonical URL is in `blocked` (a `key` column;
-    repeats and nulls are ignored), else allowed. Rules and list go through one filter: every page is a candidate by
-    its canonical URL, and by each of its host's suffixes with the beginnings of its path that have a rule's length.
-    A url that is null or has no :// has an empty host and path and is allowed. Repeated rows are each returned.
-    Few rules are meant (they set the candidates a page has); the list may have any size.
+    repeats and nulls are ignored), else allowed. The few rules are tested in each row. The list may have any size: rows
+    go through its Bloom filter where they are read; only rows that pass are shuffled, and an exact hash join of their
+    distinct keys with the list removes false positives. The keys found are written, so that the rows of one very
+    common URL can be dealt over several tasks when they meet it.
+
+    A url that is null or has no :// has an empty host and path and is allowed. Repeated rows are each returned. Other
+    columns are not read; an empty table gives no rows.
     """
     shown = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    labels = F.split("host", r"\.")
-    count = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), count), lambda n: F.array_join(F.slice(labels, count - n + 1, n), "."))
-    lengths = F.array(*(F.lit(n) for n in sorted({len(p) for _, _, p in rules})) or [F.lit(0)])
-    starts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n))
-    ruled = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(F.lit("r:"), s, p))))
-    own = F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))))
-    candidates = shown.select("host", "path").distinct().where("host <> ''")
-    candidates = candidates.select("host", "path", F.explode(F.concat(own, ruled)).alias("key"))
-    spark = pages.sparkSession
-    fixed = spark.createDataFrame([("r:" + h + p, v) for v, h, p in rules], "key string, verdict string")
-    urls = blocked.where(F.col("key").isNotNull()).select(F.concat(F.lit("u:"), "key").alias("key")).distinct().withColumn("verdict", F.lit("block"))
-    hits = listed(candidates, fixed.unionByName(urls))
-    is_rule = F.col("key").startswith("r:")
-    best = hits.groupBy("host", "path").agg(
-        F.max(F.when(is_rule, F.struct(F.length("key").alias("n"), F.substring("key", 3, 1 << 30).alias("rule"), "verdict"))).alias("_rule"),
-        F.max(F.when(~is_rule, F.lit("block"))).alias("_own"),
-    )
-    met = shown.join(best, ["host", "path"], "left")
-    return met.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.col("_own"), F.lit("allow")).alias("verdict"))
+    keys = blocked.where(F.col("key").isNotNull()).select("key").distinct()
+    tested = flag_possible(shown.withColumn("key", canonical(F.col("host"), F.col("path"))), keys)
+    tested = materialize(tested.withColumn("_maybe", F.col("_maybe") & (F.col("host") != "")), "urls")
+    found = tested.where("_maybe").select("key").distinct().join(keys.hint("shuffle_hash"), "key")
+    found = materialize(found.withColumn("_listed", F.lit(True)), "listed")
+    passed = tested.where("_maybe").join(found, "key", "left").select("_id", "host", "path", "_listed")
+    rest = tested.where("not _maybe").select("_id", "host", "path", F.lit(None).cast("boolean").alias("_listed"))
+    judged = rest.unionByName(passed).withColumn("_rule", match_rule(rules, F.col("host"), F.col("path")))
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_listed"), F.lit("block")), F.lit("allow"))
+    return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
