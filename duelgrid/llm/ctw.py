@@ -1,26 +1,17 @@
-"""Context-tree weighting over binary-decomposed bytes: the tree, its mixed estimates and its use on texts (numpy)."""
+"""Context-tree weighting over binary-decomposed bytes: contexts of texts and a table of their bytes' probabilities (numpy)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Byte that ends every text and stands before it (it never occurs in UTF-8).
 END = 0xFF
-#: Contexts are bytes reduced to 64 classes: the 63 most frequent bytes and one for all others.
-CLASS_BITS = 6
-DEPTH = 6
-#: Contexts whose estimates are worked out together.
-CHUNK = 1024
-LN10 = float(np.log(10.0))
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by 8; error below 1e-12 for x >= 0.5."""
-    shift = np.ones_like(x)
-    for k in range(8):
-        shift *= x + k
-    z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(shift)
+#: Bytes of the longest context, and the most that a key of 64 bits has room for.
+DEPTH, MOST_DEPTH = 5, 6
+#: Bytes that are worked on together in a task.
+PIECE = 1 << 21
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -28,145 +19,65 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower() + bytes([END])
 
 
-def byte_classes(counts: np.ndarray) -> np.ndarray:
-    """Class of each byte by falling count (ties: smaller byte first)."""
-    classes = np.full(256, (1 << CLASS_BITS) - 1, np.int64)
-    order = np.lexsort((np.arange(256), -counts))[: (1 << CLASS_BITS) - 1]
-    classes[order] = np.arange(len(order))
-    return classes
-
-
-def contexts(texts: list[bytes], classes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, context codes, starts) of texts laid end to end; before a text stand `depth` END bytes.
-
-    A context code has the class of the byte just before in its lowest bits.
-    """
-    pad = bytes([END]) * depth
-    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
+def pieces(texts: list[bytes], depth: int, size: int = PIECE) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Lists of (text's number, the `depth` bytes before, bytes) of about `size` bytes; a longer text comes in several."""
+    out: list[tuple[int, bytes, bytes]] = []
+    held = 0
+    for number, text in enumerate(texts):
+        for at in range(0, len(text), size):
+            before = text[max(0, at - depth) : at]
+            body = text[at : at + size]
+            out.append((number, bytes([END]) * (depth - len(before)) + before, body))
+            held += len(body)
+            if held >= size:
+                yield out
+                out, held = [], 0
+    if out:
+        yield out
+
+
+def contexts(batch: list[tuple[int, bytes, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text's number, key) of every byte: a key is the context (the byte just before lowest) and the byte in its low bits."""
+    data = np.frombuffer(b"".join(before + body for _, before, body in batch), np.uint8).astype(np.int64)
+    sizes = np.array([len(body) for _, _, body in batch], np.int64)
     begins = np.cumsum(sizes + depth) - sizes
     kept = np.ones(len(data), bool)
-    for k in range(1, depth + 1):
-        kept[begins - k] = False
-    cls = classes[data]
     code = np.zeros(len(data), np.int64)
     for k in range(1, depth + 1):
-        code[k:] |= cls[:-k] << (CLASS_BITS * (k - 1))
-    return data[kept], code[kept], np.cumsum(sizes) - sizes
-
-
-def _heap(counts: np.ndarray) -> np.ndarray:
-    """[row, 512] binary sums: leaf 256 + byte, node i above 2i (bit 0) and 2i + 1 (bit 1)."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for i in range(7, -1, -1):
-        low = 1 << i
-        heap[:, low : 2 * low] = heap[:, 2 * low : 4 * low].reshape(len(counts), low, 2).sum(axis=2)
-    return heap
-
-
-def _log_kt(heap: np.ndarray) -> np.ndarray:
-    """[row, 256] log probability that Krichevsky and Trofimov's estimator gives to each node's bits, in any order."""
-    pairs = heap[:, 2:].reshape(len(heap), 255, 2)
-    a, b = pairs[:, :, 0], pairs[:, :, 1]
-    out = np.zeros((len(heap), 256))
-    out[:, 1:] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
-    return out
-
-
-class Level:
-    """Kept contexts of one length (codes ascending) and their byte counts as sparse entries, by row."""
-
-    def __init__(self, codes: np.ndarray, rows: np.ndarray, bytes_: np.ndarray, counts: np.ndarray):
-        order = np.argsort(rows, kind="stable")
-        self.codes, self.rows, self.bytes, self.counts = codes, rows[order], bytes_[order], counts[order]
-
-    def __len__(self) -> int:
-        return len(self.codes)
-
-    def dense(self, low: int, high: int) -> np.ndarray:
-        """[high - low, 256] counts of some rows."""
-        part = slice(*np.searchsorted(self.rows, [low, high]))
-        out = np.zeros((high - low, 256))
-        np.add.at(out, (self.rows[part] - low, self.bytes[part]), self.counts[part])
-        return out
-
-
-def _chunks(size: int):
-    return ((low, min(low + CHUNK, size)) for low in range(0, size, CHUNK))
-
-
-def build_tables(levels: list[Level]) -> np.ndarray:
-    """[row, 256] float32 log10 probabilities of the next byte in each kept context, shallow contexts first.
-
-    levels[0] is the root, and every context's shorter suffix is kept too. Each node of the byte's binary decomposition
-    has a context tree of its own: a node's weighted probability is half its KT estimate plus half the product over its
-    longer contexts (with what no kept one holds as one more leaf). Prediction mixes the KT estimates of all depths
-    along the path by the resulting posterior weights of stopping at each. Rows are worked on CHUNK at a time.
-    """
-    parents = [np.zeros(len(levels[0]), np.int64)]
-    for d in range(1, len(levels)):
-        parents.append(np.searchsorted(levels[d - 1].codes, levels[d].codes & ((1 << CLASS_BITS * (d - 1)) - 1)))
-    stop: list[np.ndarray] = [np.empty(0)] * len(levels)
-    below = inside = None
-    for d in range(len(levels) - 1, -1, -1):
-        stop[d] = np.ones((len(levels[d]), 256), np.float32)
-        up = len(levels[d - 1]) if d else 1
-        next_below, next_inside = np.zeros((up, 256)), np.zeros((up, 256))
-        for low, high in _chunks(len(levels[d])):
-            counts = levels[d].dense(low, high)
-            weighted = direct = _log_kt(_heap(counts))
-            if below is not None:
-                split = below[low:high] + _log_kt(_heap(counts - inside[low:high]))
-                weighted = np.logaddexp(direct, split) - np.log(2)
-                stop[d][low:high] = np.exp(direct - np.log(2) - weighted)
-            np.add.at(next_below, parents[d][low:high], weighted)
-            np.add.at(next_inside, parents[d][low:high], counts)
-        below, inside = next_below, next_inside
-    del below, inside
-    table, first = np.empty((sum(map(len, levels)), 256), np.float32), 0
-    held, free = np.zeros((1, 256), np.float32), np.ones((1, 256), np.float32)
-    for d, level in enumerate(levels):
-        next_held, next_free = (np.empty((len(level), 256), np.float32) for _ in range(2))
-        for low, high in _chunks(len(level)):
-            up = parents[d][low:high]
-            pairs = _heap(level.dense(low, high))[:, 2:].reshape(high - low, 255, 2)
-            one = np.full((high - low, 256), 0.5)
-            one[:, 1:] = (pairs[:, :, 1] + 0.5) / (pairs.sum(axis=2) + 1)
-            next_held[low:high] = held[up] + free[up] * stop[d][low:high] * one
-            next_free[low:high] = free[up] * (1 - stop[d][low:high])
-            chance = np.clip(held[up] + free[up] * one, 1e-12, 1 - 1e-12)
-            logs = np.zeros((high - low, 512))
-            for i in range(8):
-                at = 1 << i
-                logs[:, 2 * at : 4 * at : 2] = logs[:, at : 2 * at] + np.log(1 - chance[:, at : 2 * at])
-                logs[:, 2 * at + 1 : 4 * at : 2] = logs[:, at : 2 * at] + np.log(chance[:, at : 2 * at])
-            table[first + low : first + high] = logs[:, 256:] / LN10
-        held, free, stop[d] = next_held, next_free, np.empty(0)
-        first += len(level)
-    return table
-
-
-def transitions(codes: list[np.ndarray]) -> np.ndarray:
-    """[row, class] -> row of the context that is longer by one byte of that class; 0 where it isn't kept."""
-    first, total = 1, sum(len(c) for c in codes)
-    table, above = np.zeros((total, 1 << CLASS_BITS), np.int32), 0
-    for d in range(1, len(codes)):
-        parent = above + np.searchsorted(codes[d - 1], codes[d] & ((1 << CLASS_BITS * (d - 1)) - 1))
-        table[parent, codes[d] >> (CLASS_BITS * (d - 1))] = np.arange(first, first + len(codes[d]), dtype=np.int32)
-        above, first = first, first + len(codes[d])
-    return table
-
-
-def score_texts(texts: list[bytes], classes: np.ndarray, moves: np.ndarray, table: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of each text, its end included: one walk down the context tree a byte, and one look-up."""
-    data, code, starts = contexts(texts, classes, depth)
-    row = np.zeros(len(data), np.int32)
-    going, node, left = np.arange(len(data)), row, code
-    for _ in range(depth):
-        node = moves.ravel()[node.astype(np.int64) << CLASS_BITS | (left & ((1 << CLASS_BITS) - 1))]
-        alive = node > 0
-        going, node, left = going[alive], node[alive], left[alive] >> CLASS_BITS
-        row[going] = node
-    each = table.ravel()[row.astype(np.int64) << 8 | data].astype(np.float64)
-    return np.add.reduceat(each, starts) if len(starts) else np.empty(0)
+        kept[begins - k] = False
+        code[k:] |= data[:-k] << (8 * (k - 1))
+    return np.repeat([n for n, _, _ in batch], sizes), (code << 8 | data)[kept]
+
+
+class KeyTable:
+    """A hash table of keys (not negative) and numbers, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        open_, step = np.arange(len(keys)), 0
+        while len(open_):
+            place = self._place(keys[open_], step)
+            free = self.keys[place] < 0
+            taken, first = np.unique(place[free], return_index=True)
+            chosen = open_[free][first]
+            self.keys[taken], self.values[taken] = keys[chosen], values[chosen]
+            open_, step = np.setdiff1d(open_, chosen, assume_unique=True), step + 1
+
+    def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
+        mixed = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (mixed.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is held, its number or 0)."""
+        out, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        open_, step = np.arange(len(keys)), 0
+        while len(open_):
+            ask = keys[open_]
+            place = self._place(ask, step)
+            there = self.keys[place]
+            hit = there == ask
+            out[open_[hit]] = self.values[place[hit]]
+            found[open_[hit]] = True
+            open_, step = open_[~hit & (there >= 0)], step + 1
+        return found, out

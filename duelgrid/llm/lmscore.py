@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,14 +14,15 @@ from pyspark.sql import functions as F
 from duelgrid.llm import ctw
 from duelgrid.llm.storage import materialize
 
-#: A context is kept if it stands before at least one of so many training bytes; so at most so many of each length are.
-MOST_CONTEXTS = 1 << 16
+#: Keys (a context and the byte after it) that are broadcast with their probability at most; the others are joined.
+MOST_KEYS = 1 << 20
 #: A token is broadcast with its count if it is at least one of so many training tokens; the others are joined.
 MOST_TOKENS = 1 << 19
 #: Stands for a text's end among the tokens (no word holds a line feed).
 END_TOKEN = "\n"
-#: Texts counted together, and bytes scored together, inside a task.
-SLICE, PIECE = 1024, 1 << 16
+#: Texts counted together, and scored together, inside a task; bytes counted together.
+SLICE, ROWS, COUNTED = 1024, 512, 1 << 22
+LN2, LN10 = math.log(2.0), math.log(10.0)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -28,7 +30,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
-    """(token, byte, n): counts of tokens (byte null) and of bytes (token null) over all texts of `_text`."""
+    """(token, n): counts of tokens over all texts of `_text`."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -38,142 +40,226 @@ def count_tokens(rows: DataFrame) -> DataFrame:
                 for text in texts:
                     held.update(_words(text))
                 names = [END_TOKEN, *(w.decode("utf-8", "replace") for w in held)]
-                seen = np.bincount(np.frombuffer(b"".join(ctw.text_bytes(t) for t in texts), np.uint8), minlength=256)
-                used = np.flatnonzero(seen)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names + [None] * len(used), pa.string()),
-                        pa.array([None] * len(names) + used.tolist(), pa.int32()),
-                        pa.array([len(texts), *held.values(), *seen[used].tolist()], pa.int64()),
-                    ],
-                    names=["token", "byte", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(texts), *held.values()], pa.int64())], names=["token", "n"])
 
-    return rows.mapInArrow(work, "token string, byte int, n bigint").groupBy("token", "byte").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(work, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def count_contexts(rows: DataFrame, classes: np.ndarray, depth: int) -> DataFrame:
+def count_contexts(rows: DataFrame, depth: int) -> DataFrame:
     """(code, byte, n): how often a byte follows a context of `depth` bytes, over all texts of `_text`."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, SLICE):
-                data, code, _ = ctw.contexts([ctw.text_bytes(t) for t in part.column(0).slice(at, SLICE).to_pylist()], classes, depth)
-                keys, n = np.unique(code << 8 | data, return_counts=True)
+            texts = [ctw.text_bytes(t) for t in part.column(0).to_pylist()]
+            for batch in ctw.pieces(texts, depth, COUNTED):
+                keys, n = np.unique(ctw.contexts(batch, depth)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
     summed = rows.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     return summed.select(F.shiftright("key", 8).alias("code"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
 
 
-class ByteModel:
-    """A fitted tree: byte classes, moves between contexts and the table of log10 probabilities."""
+def log_gamma(x: Column) -> Column:
+    """Stirling's series after a shift by 8; error below 1e-12 for x >= 0.5."""
+    shift = x
+    for k in range(1, 8):
+        shift = shift * (x + k)
+    z = x + 8
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(shift)
+
+
+def log_kt(a: str, b: str) -> Column:
+    """Log probability that Krichevsky and Trofimov's estimator gives to a zeros and b ones, in any order."""
+    zeros, ones = F.col(a).cast("double"), F.col(b).cast("double")
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
-    def __init__(self, classes: np.ndarray, moves: np.ndarray, table: np.ndarray, depth: int):
-        self.classes, self.moves, self.table, self.depth = classes, moves, table, depth
 
-    def score(self, texts: list[bytes]) -> list[float]:
-        """log10 probability of each text; texts are taken in pieces of about PIECE bytes."""
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= PIECE:
-                out += ctw.score_texts(held, self.classes, self.moves, self.table, self.depth).tolist()
-                held, size = [], 0
-        if held:
-            out += ctw.score_texts(held, self.classes, self.moves, self.table, self.depth).tolist()
-        return out
+def byte_path(byte: str) -> Column:
+    """The 8 (node, bit) pairs that lead to a byte: node 1 is the top, node i is above 2i (bit 0) and 2i + 1 (bit 1)."""
+    steps = [F.struct(F.expr(f"{1 << k} | shiftright({byte}, {8 - k})").alias("node"), F.expr(f"shiftright({byte}, {7 - k}) & 1").alias("bit")) for k in range(8)]
+    return F.array(*steps)
 
 
-def fit_tree(rows: DataFrame, byte_counts: np.ndarray, depth: int, most: int) -> ByteModel:
-    """Count contexts over all training texts in Spark, keep those that hold 1 / most of the bytes, mix in numpy.
+def suffix(depth: int, code: str = "code") -> Column:
+    """The `depth` last bytes of a context."""
+    return F.col(code).bitwiseAND((1 << 8 * depth) - 1)
 
-    Counting and pruning are grouped sums; only kept contexts reach the driver, at most `most` of each length whatever
-    the corpus, with the bytes seen after them.
+
+def fit_tree(counts: DataFrame, depth: int) -> list[DataFrame]:
+    """For each context length 0..depth: (code, node, chance), the probability of a 1 at a node of the next byte.
+
+    `counts` is `count_contexts`. Each node of the byte's binary decomposition has a context tree of its own: a node's
+    weighted probability is half its KT estimate plus half the product over its longer contexts. From the longest
+    contexts up, sums of counts and of weighted log probabilities are grouped by the suffix; from the root down, each
+    context meets its suffix and mixes the KT estimates of all lengths by the posterior weights of stopping at each.
+    `chance` is the mixture as it stands where no longer context is known. Every context of the training texts is kept,
+    and no step passes through the driver.
     """
-    classes = ctw.byte_classes(byte_counts)
-    whole = materialize(count_contexts(rows, classes, depth), "contexts")
-    least = max(2.0, float(byte_counts.sum()) / most)
-    levels: list[ctw.Level] = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            shorter = F.col("code").bitwiseAND((1 << ctw.CLASS_BITS * d) - 1).alias("code")
-            whole = whole.groupBy(shorter, "byte").agg(F.sum("n").alias("n"))
-            whole = materialize(whole, "contexts") if d > 2 else whole
-        # a context has at most 256 bytes after it, so its list is short
-        by_code = whole.groupBy("code").agg(F.sum("n").alias("_all"), F.collect_list(F.struct("byte", "n")).alias("_next")).where(F.col("_all") >= (least if d else 0))
-        found = by_code.select("code", F.explode("_next").alias("_e")).select("code", F.col("_e.byte").alias("byte"), F.col("_e.n").alias("n")).toPandas()
-        codes = np.unique(found["code"].to_numpy(np.int64)) if d else np.zeros(1, np.int64)
-        levels.append(ctw.Level(codes, np.searchsorted(codes, found["code"].to_numpy(np.int64)).astype(np.int32), found["byte"].to_numpy(np.int16), found["n"].to_numpy(np.float64)))
+    seen = counts.select("code", "n", F.explode(byte_path("byte")).alias("_s")).select("code", "n", F.col("_s.node").alias("node"), F.col("_s.bit").alias("bit"))
+    level = seen.groupBy("code", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("b"))
+    level = materialize(level.withColumns({"weighted": log_kt("a", "b"), "stop": F.lit(1.0)}), "level")
+    levels = [level]
+    for d in range(depth - 1, -1, -1):
+        level = level.groupBy(suffix(d).alias("code"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("_below"))
+        level = level.withColumn("_direct", log_kt("a", "b"))
+        both = F.greatest("_direct", "_below") + F.log1p(F.exp(-F.abs(F.col("_direct") - F.col("_below")))) - LN2
+        level = level.withColumn("weighted", both).withColumn("stop", F.exp(F.col("_direct") - LN2 - F.col("weighted")))
+        level = materialize(level.select("code", "node", "a", "b", "weighted", "stop"), "level")
+        levels.append(level)
     levels.reverse()
-    return ByteModel(classes, ctw.transitions([level.codes for level in levels]), ctw.build_tables(levels), depth)
+    one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
+    out: list[DataFrame] = []
+    for d, level in enumerate(levels):
+        own = level.select("code", "node", "stop", one.alias("_one"))
+        if d:
+            above = out[-1].select(F.col("code").alias("_up"), F.col("node").alias("_at"), F.col("held").alias("_held"), F.col("free").alias("_free"))
+            own = own.join(above, (suffix(d - 1) == F.col("_up")) & (F.col("node") == F.col("_at")))
+        else:
+            own = own.withColumns({"_held": F.lit(0.0), "_free": F.lit(1.0)})
+        mixed = own.select("code", "node", (F.col("_held") + F.col("_free") * F.col("_one")).alias("chance"), (F.col("_held") + F.col("_free") * F.col("stop") * F.col("_one")).alias("held"), (F.col("_free") * (1 - F.col("stop"))).alias("free"))
+        out.append(materialize(mixed, "mixed"))
+    return [level.select("code", "node", "chance") for level in out]
+
+
+def _log10_of(chance: Column, bit: Column) -> Column:
+    sure = F.least(F.greatest(chance, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return F.log10(F.when(bit == 1, sure).otherwise(1 - sure))
+
+
+def known_keys(counts: DataFrame, deepest: DataFrame) -> DataFrame:
+    """(key, n, log10p) of every context and byte of the training texts."""
+    # a context has at most 255 nodes, so its map is short
+    by_code = deepest.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("node", "chance"))).alias("_at"))
+    met = counts.join(by_code, "code")
+    logs = F.aggregate(byte_path("byte"), F.lit(0.0), lambda total, s: total + _log10_of(F.element_at("_at", s["node"]), s["bit"]))
+    return met.select(F.shiftleft("code", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), "n", logs.alias("log10p"))
 
 
-def score_texts(docs: DataFrame, train: Column, depth: int = ctw.DEPTH, most: int = MOST_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unknown_keys(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(key, log10p) of other keys: each node of the byte is decided in the longest context that knows it."""
+    path = keys.select("key", F.shiftright("key", 8).alias("_code"), F.explode(byte_path("cast(key & 255 as int)")).alias("_s")).select("key", "_code", F.col("_s.node").alias("node"), F.col("_s.bit").alias("bit"))
+    asked = path.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), suffix(d, "_code").alias("code")) for d in range(len(levels))))).alias("_l"))
+    asked = asked.select("key", "node", "bit", F.col("_l.d").alias("d"), F.col("_l.code").alias("code"))
+    table = levels[0].withColumn("d", F.lit(0))
+    for d, level in enumerate(levels[1:], 1):
+        table = table.unionByName(level.withColumn("d", F.lit(d)))
+    met = asked.join(table, ["d", "code", "node"], "left")
+    best = met.groupBy("key", "node", "bit").agg(F.max(F.when(F.col("chance").isNotNull(), F.struct("d", "chance"))).alias("_best"))
+    return best.groupBy("key").agg(F.sum(_log10_of(F.coalesce("_best.chance", F.lit(0.5)), F.col("bit"))).alias("log10p"))
+
+
+def frequent(keys: DataFrame, most: int) -> ctw.KeyTable:
+    """The most frequent keys, at most `most` of them, with their log probabilities."""
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    left, least = most, None
+    for row in sorted(keys.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["o"]
+    chosen = keys.where(octave >= least if least is not None else F.lit(False)).select("key", "log10p").toPandas()
+    return ctw.KeyTable(chosen["key"].to_numpy(np.int64), chosen["log10p"].to_numpy(np.float32))
+
+
+def _counted(owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, times) of the distinct pairs, in order."""
+    order = np.lexsort((keys, owners))
+    owners, keys = owners[order], keys[order]
+    first = np.flatnonzero(np.concatenate(([True], (owners[1:] != owners[:-1]) | (keys[1:] != keys[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    return owners[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _pair_lists(owners: np.ndarray, names: pa.Array, times: np.ndarray, rows: int, kind: pa.DataType) -> pa.ListArray:
+    """A list of (name, times) for each of `rows` owners; owners ascend."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=rows)))).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([names, pa.array(times, pa.int32())], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs, type=kind)
+
+
+def score_texts(docs: DataFrame, train: Column, depth: int = ctw.DEPTH, most_keys: int = MOST_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every whole text.
 
-    The model learns from all rows for which `train` holds (null: it doesn't). `score` is its log10 probability of the
-    text's UTF-8 bytes, A-Z lower-cased, and their end; bits_per_byte is the code length. `base_score` is the add-one
-    unigram log10 probability of the words and their end. Frequent tokens (at most MOST_TOKENS) are counted where the
-    text is read; a document's other tokens are joined with the token counts. Null texts are empty: only the end is
-    scored. Repeated rows are each returned; with no training rows all bytes have probability 1/256.
+    The model learns from all rows for which `train` holds (null: it doesn't), and holds every context of them. `score` is
+    its log10 probability of the text's UTF-8 bytes, A-Z lower-cased, and their end; bits_per_byte is the code length.
+    `base_score` is the add-one unigram log10 probability of the words and their end. The most frequent keys (at most
+    `most_keys`) and tokens (MOST_TOKENS) are looked up where the text is read; a document's other keys and tokens are
+    joined with the model's tables, so what an executor holds doesn't grow with the corpus.
+
+    Null texts are empty: only the end is scored. Repeated rows are each returned; with no training rows all bytes have
+    probability 1/256. Other columns are not read; an empty table gives no rows.
     """
+    if not 1 <= depth <= ctw.MOST_DEPTH:
+        raise ValueError(f"depth must be 1 to {ctw.MOST_DEPTH}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     learn = rows.where("_train").select("_text")
-    counted = materialize(count_tokens(learn), "tokens")
-    tokens = counted.where("token is not null").select("token", "n")
-    by_byte = np.zeros(256, np.int64)
-    for row in counted.where("byte is not null").select("byte", "n").collect():
-        by_byte[row["byte"]] = row["n"]
+    tokens = materialize(count_tokens(learn), "tokens")
     size = tokens.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     kinds, total = size["kinds"], size["all"]
     often = {r["token"]: r["n"] for r in tokens.where(F.col("n") >= max(2.0, total / MOST_TOKENS)).collect()}
-    model = fit_tree(learn, by_byte, depth, most)
+    counts = materialize(count_contexts(learn, depth), "contexts")
+    levels = fit_tree(counts, depth)
+    known = materialize(known_keys(counts, levels[-1]), "keys")
     logs = {w.encode("utf-8"): float(np.log10(n + 1)) for w, n in often.items()}
-    held = spark.sparkContext.broadcast((model, logs))
+    held = spark.sparkContext.broadcast((frequent(known, most_keys), logs))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, _n_bytes bigint, _n bigint, _known bigint, _part double, _score double, _rare array<struct<token:string,times:int>>"
+    schema = f"_id {kind}, _n_bytes bigint, _n bigint, _known bigint, _part double, _score double, _rare array<struct<token:string,times:int>>, _keys array<struct<key:bigint,times:int>>"
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = held.value
-        rare_type = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int32())]))
-        end = frequent.get(END_TOKEN.encode())
+        table, common = held.value
+        of_tokens, of_keys = (pa.list_(pa.struct([(name, t), ("times", pa.int32())])) for name, t in (("token", pa.string()), ("key", pa.int64())))
+        end = common.get(END_TOKEN.encode())
         for part in parts:
-            for at in range(0, part.num_rows, 512):
-                texts = part.column(1).slice(at, 512).to_pylist()
-                n, known, base, offsets, names, times = [], [], [], [0], [], []
-                for text in texts:
+            for at in range(0, part.num_rows, ROWS):
+                texts = part.column(1).slice(at, ROWS).to_pylist()
+                n, sure, base, owners, names, times = [], [], [], [], [], []
+                for number, text in enumerate(texts):
                     words = _words(text)
-                    ours, sure, log = Counter(words), int(end is not None), end or 0.0
+                    ours, seen, log = Counter(words), int(end is not None), end or 0.0
                     for word, count in ours.items():
-                        found = frequent.get(word)
+                        found = common.get(word)
                         if found is None:
+                            owners.append(number)
                             names.append(word)
                             times.append(count)
                         else:
-                            sure += count
+                            seen += count
                             log += count * found
                     if end is None:
+                        owners.append(number)
                         names.append(END_TOKEN.encode())
                         times.append(1)
                     n.append(len(words) + 1)
-                    known.append(sure)
+                    sure.append(seen)
                     base.append(log)
-                    offsets.append(len(names))
                 raw = [ctw.text_bytes(t) for t in texts]
-                pairs = pa.StructArray.from_arrays([pa.array([w.decode("utf-8", "replace") for w in names], pa.string()), pa.array(times, pa.int32())], names=["token", "times"])
+                score, missed = np.zeros(len(texts)), []
+                for batch in ctw.pieces(raw, depth):
+                    owner, keys = ctw.contexts(batch, depth)
+                    there, log10p = table.find(keys)
+                    score += np.bincount(owner, log10p, len(texts))
+                    missed.append((owner[~there], keys[~there]))
+                whose, which, repeats = _counted(*(np.concatenate([m[i] for m in missed]) for i in (0, 1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(at, 512), pa.array([len(r) - 1 for r in raw]), pa.array(n), pa.array(known), pa.array(base), pa.array(tree.score(raw)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs, type=rare_type)],
-                    names=["_id", "_n_bytes", "_n", "_known", "_part", "_score", "_rare"],
-                )
+                    [
+                        part.column(0).slice(at, ROWS), pa.array([len(r) - 1 for r in raw], pa.int64()), pa.array(n, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
+                        _pair_lists(np.array(owners, np.int64), pa.array([w.decode("utf-8", "replace") for w in names], pa.string()), np.array(times), len(texts), of_tokens),
+                        _pair_lists(whose, pa.array(which, pa.int64()), repeats, len(texts), of_keys),
+                    ],
+                    names=["_id", "_n_bytes", "_n", "_known", "_part", "_score", "_rare", "_keys"],
+                )
 
     read = materialize(rows.select("_id", "_text").mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    pairs = read.select("_row", F.explode("_rare").alias("_r")).select("_row", F.col("_r.token").alias("token"), F.col("_r.times").alias("times"))
-    joined = pairs.join(tokens, "token").groupBy("_row").agg(F.sum("times").alias("_more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_rest"))
-    met = read.drop("_rare").join(joined, "_row", "left")
+    asked = read.select("_row", F.explode("_rare").alias("_r")).select("_row", F.col("_r.token").alias("token"), F.col("_r.times").alias("times"))
+    joined = asked.join(tokens, "token").groupBy("_row").agg(F.sum("times").alias("_more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_rest"))
+    missed = read.select("_row", F.explode("_keys").alias("_r")).select("_row", F.col("_r.key").alias("key"), F.col("_r.times").alias("times"))
+    wanted = materialize(missed.select("key").distinct(), "wanted")
+    new = unknown_keys(wanted.join(known, "key", "left_anti"), levels)
+    answers = materialize(known.select("key", "log10p").join(wanted, "key", "left_semi").unionByName(new), "answers")
+    deeper = missed.join(answers, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("log10p")).alias("_deeper"))
+    met = read.drop("_rare", "_keys").join(joined, "_row", "left").join(deeper, "_row", "left")
     base = F.col("_part") + F.coalesce("_rest", F.lit(0.0)) - F.col("_n") * F.lit(float(np.log10(total + kinds + 1)))
+    score = F.col("_score") + F.coalesce("_deeper", F.lit(0.0))
     return met.select(
         F.col("_id").alias(id_col),
         F.col("_n_bytes").alias("n_bytes"),
@@ -181,6 +267,6 @@ def score_texts(docs: DataFrame, train: Column, depth: int = ctw.DEPTH, most: in
         (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        F.col("_score").alias("score"),
-        (-F.col("_score") / F.lit(float(np.log10(2.0))) / (F.col("_n_bytes") + 1)).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score / F.lit(float(np.log10(2.0))) / (F.col("_n_bytes") + 1)).alias("bits_per_byte"),
     )
