@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,10 @@ import pytest
 from duelgrid.llm.components import connected_components
 from duelgrid.llm.decontaminate import best_occurrence, find_benchmark, pieces
 from duelgrid.llm.linededup import dedup_lines
-from duelgrid.llm.mixing import draw_counts, fill_targets, mix_sources, permute
+from duelgrid.llm.mixing import SEED, draw_counts, mix_sources, permute, plan_mix
 from duelgrid.llm.positions import running_positions
 from duelgrid.llm.sharding import assign_shards
-from duelgrid.llm.simhash import WINDOW, anchors, near_duplicate_components, syndromes
+from duelgrid.llm.simhash import CODE, anchors, covering_words, near_duplicate_components, syndromes
 from duelgrid.llm.simhash_bits import fingerprint
 from duelgrid.llm.urlfilter import filter_urls
 
@@ -113,25 +113,40 @@ def test_line_dedup_odd(table):
     assert sorted(r.n_dropped for r in dedup_lines(table(hot)).collect()) == [0] + [1] * 299
     three = sorted((r.doc_id, r.n_dropped) for r in dedup_lines(table([(1, "shared by two"), (2, "shared by two"), (3, "shared by three\nx"), (4, "shared by three"), (5, "shared by three")]), min_docs=3).collect())
     assert three == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)]
+    # rows that repeat an id are one document, whatever the threshold
+    again = [(1, "a line in two"), (1, "a line in two"), (1, "a line in two"), (2, "a line in two")]
+    assert [r.n_dropped for r in dedup_lines(table(again), min_docs=3).collect()] == [0] * 4
+    assert sorted((r.doc_id, r.n_dropped) for r in dedup_lines(table(again)).collect()) == [(1, 0)] * 3 + [(2, 1)]
+    assert [r.n_dropped for r in dedup_lines(table(again[:2])).collect()] == [0, 0]
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in dedup_lines(table([(None, "a line in two"), (1, "a line in two")])).collect()) == [(0, 0), (1, 1)]
 
 
 # --- near-duplicates ------------------------------------------------------------------------------------------------
 
 
 def test_hamming_code_covers_with_radius_one():
-    values = np.random.default_rng(0).integers(0, 1 << WINDOW, 2000)
-    wrong = syndromes(values)
-    fixed = values ^ np.where(wrong > 0, np.int64(1) << np.maximum(wrong - 1, 0), 0)
-    assert not syndromes(fixed).any()
-    rows, keys = anchors(values.astype(np.int64), 2)
-    codes = keys[keys < 1 << WINDOW]
-    assert not syndromes(codes).any()
+    values = np.random.default_rng(0).integers(0, 1 << CODE, 2000).astype(np.uint64)
+    rows, words = covering_words(values, CODE, 2)
+    assert not syndromes(words).any() and not syndromes(covering_words(values, CODE, 1)[1]).any()
     for i in range(5):
-        near = {int(c) for c in keys[(rows == i) & (keys < 1 << WINDOW)]}
-        flips = [0] + [1 << a for a in range(WINDOW)] + [1 << a | 1 << b for a in range(WINDOW) for b in range(a)]
+        flips = [0] + [1 << a for a in range(CODE)] + [1 << a | 1 << b for a in range(CODE) for b in range(a)]
         wanted = {int(values[i]) ^ f for f in flips}
-        wanted = {w for w in wanted if not syndromes(np.array([w]))[0]}
-        assert near == wanted
+        assert {int(w) for w in words[rows == i]} == {w for w in wanted if not syndromes(np.array([w], np.uint64))[0]}
+
+
+def test_homes_meet_replicas_of_all_near_fingerprints():
+    rng = np.random.default_rng(1)
+    marks = rng.integers(-(2**63), 2**63, 300)
+    for bits in (0, 1, 2, 3):
+        flips = np.zeros(len(marks), np.uint64)
+        for i in range(len(marks)):
+            for at in rng.choice(64, bits, replace=False):
+                flips[i] |= np.uint64(1) << np.uint64(at)
+        homes = Counter(zip(*(a.tolist() for a in anchors(marks, bits, 1))))
+        replicas = set(zip(*(a.tolist() for a in anchors(marks ^ flips.view(np.int64), bits, 2))))
+        assert {i for i, _ in set(homes) & replicas} == set(range(len(marks)))
+    at, _ = anchors(marks, 2, 2)
+    assert np.bincount(at).max() <= 3 * 28
 
 
 def brute_components(rows, width, bits):
@@ -243,15 +258,36 @@ def test_short_and_repeated_items(spark, table, monkeypatch):
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert fill_targets([100, 100], [3.0, 1.0], 1.5, 2.0) == pytest.approx([200, 100])
-    found = fill_targets([10, 1000, 500], [3.0, 1.0, 2.0], 1.5, 2.0)
-    assert found[0] == 20 and sum(found) == pytest.approx(1.5 * 1510) and all(t <= 2 * s + 1e-9 for t, s in zip(found, [10, 1000, 500]))
+def targets(spark, sizes):
+    """Words of each source's target, with weights 3, 1, 2 repeating."""
+    sized = spark.createDataFrame([(i, f"s{i:03}", n) for i, n in enumerate(sizes)], "_id long, _source string, _size long")
+    return [r.target for r in plan_mix(sized, 64, 1.5, 2.0).orderBy("_number").collect()]
+
+
+def brute_targets(sizes):
+    left, free, found = 1.5 * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while free:
+        unit = left / sum([3, 1, 2][i % 3] for i in free)
+        over = {i for i in free if unit * [3, 1, 2][i % 3] > 2 * sizes[i]}
+        for i in over or free:
+            found[i] = 2.0 * sizes[i] if over else unit * [3, 1, 2][i % 3]
+        left -= sum(found[i] for i in over)
+        free = free - over if over else set()
+    return found
+
+
+def test_targets(spark):
+    assert targets(spark, [100, 100]) == pytest.approx([200, 100])
+    found = targets(spark, [10, 1000, 500])
+    assert found[0] == 20 and sum(found) == pytest.approx(1.5 * 1510)
+    rng = random.Random(5)
+    for sizes in ([0, 5, 9, 0], [rng.randrange(1, 10 ** rng.randrange(1, 7)) for _ in range(50)]):
+        assert targets(spark, sizes) == pytest.approx(brute_targets(sizes))
 
 
 def test_draws_add_up_and_permutations_are_permutations():
-    counts = draw_counts([10, 0, 977, 3], 24, 5)
-    assert counts.sum(axis=0).tolist() == [10, 0, 977, 3] and counts.min() >= 0
+    counts = draw_counts(977, 24, [5, 1])
+    assert counts.sum() == 977 and counts.min() >= 0 and draw_counts(0, 24, [5, 1]).sum() == 0
     for n in (1, 2, 3, 17, 64, 1000):
         for key in (0, 1, 12345):
             image = permute(np.arange(n), np.full(n, n), np.full(n, key))
@@ -272,7 +308,18 @@ def test_mix(table):
     assert sums.target.sum() == pytest.approx(1.5 * found["size"].sum())
     again = mix_sources(docs.repartition(7)).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert again.equals(found)
+    # a replay: the words of a source in hash order, blocks of 64, its slots through its permutations
+    plan = {r["_source"]: r for r in plan_mix(docs.selectExpr("doc_id AS _id", "source AS _source", "size(regexp_extract_all(coalesce(text, ''), '\\\\S+', 0)) AS _size"), 64, 1.5, 2.0).collect()}
+    cell = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, cast(size(regexp_extract_all(coalesce(text, ''), '\\\\S+', 0)) AS bigint)), 256)").collect()}
+    for source, p in plan.items():
+        stream = [i for i, _ in sorted(((r[0], len((r[1] or "").split())) for r in rows if r[3] == source), key=lambda x: (cell[x[0]], x)) for _ in range(len((rows[i][1] or "").split()))]
+        j = np.arange(p.slots)
+        blocks = permute(j % p.blocks, np.full(p.slots, p.blocks), j // p.blocks * 1_000_003 + p["_number"] * 7919 + SEED)
+        taken = Counter(i for b in blocks.tolist() for i in stream[64 * b : 64 * b + 64])
+        assert {r.doc_id: r.taken for r in found.itertuples() if rows[r.doc_id][3] == source and r.taken} == dict(taken)
     assert mix_sources(table([])).count() == 0
+    many = mix_sources(table([(i, "a b c", "en", f"s{i}") for i in range(3000)])).toPandas()
+    assert len(many) == 3000 and set(many.taken) <= {0, 3, 6}
     assert [r.taken for r in mix_sources(table([(1, None), (2, "")])).collect()] == [0, 0]
     assert len(mix_sources(table(ODD)).collect()) == len(ODD)
 

@@ -38,14 +38,23 @@ def test_language_edges(table):
     assert predict_language(table([]), filters, [F.col("doc_id")]).count() == 0
     none = fit_filters(table([]), F.lit(True))
     assert none.predict("text") == ("und", 0.0)
-    with pytest.raises(ValueError, match="languages"):
-        fit_filters(table([(i, "text", f"l{i}") for i in range(9)]), F.lit(True))
+
+
+def test_more_languages_than_a_plane_holds(table):
+    rng = random.Random(4)
+    own = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for _ in range(20)]
+    text = lambda i: " ".join(rng.choices(own[i], k=40))
+    filters = fit_filters(table([(i, text(i % 20), f"l{i % 20:02}") for i in range(200)]), F.lit(True))
+    assert filters.planes.shape == (3, 1 << 20) and len(filters.langs) == 20
+    assert all(filters.predict(text(i))[0] == f"l{i:02}" for i in range(20))
+    # brute force: grams are exact sets here, for no filter is full
+    assert filters.false_rate.max() < 1e-6
 
 
 def test_false_positives_are_corrected():
     bits = np.zeros(1 << 20, np.uint8)
     bits[::2] |= 1
-    filters = LanguageFilters(["a", "b"], bits | 2)
+    filters = LanguageFilters(["a", "b"], (bits | 2)[None])
     assert filters.false_rate[0] == pytest.approx(0.125) and filters.false_rate[1] == 1.0
 
 
@@ -116,24 +125,6 @@ def test_accuracies_of_planted_labellers():
     assert accuracy[LABELLERS[0]] > accuracy[LABELLERS[2]]
 
 
-def test_tree_probabilities_are_a_distribution():
-    texts = [ctw.text_bytes(t) for t in ("abracadabra abracadabra", "banana bandana", "", "é\x00z")]
-    classes = ctw.byte_classes(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
-    data, code, starts = ctw.contexts(texts, classes, 3)
-    assert len(data) == sum(map(len, texts)) and list(starts) == [0, 24, 39, 40]
-    keys, n = np.unique(code << 8 | data, return_counts=True)
-    levels = []
-    for d in range(4):
-        short = (keys >> 8) & ((1 << ctw.CLASS_BITS * d) - 1)
-        codes, rows = np.unique(short, return_inverse=True)
-        levels.append(ctw.Level(codes, rows, keys & 255, n.astype(float)))
-    table = ctw.build_tables(levels)
-    assert np.abs((10.0 ** table.astype(float)).sum(axis=1) - 1).max() < 1e-5
-    moves = ctw.transitions([level.codes for level in levels])
-    seen = ctw.score_texts([ctw.text_bytes("abracadabra"), ctw.text_bytes("zqxjkvzqxjk")], classes, moves, table, 3)
-    assert seen[0] > seen[1]
-
-
 def kt(a, b):
     out = 0.0
     for n, total in ((a, 0), (b, a)):
@@ -142,20 +133,88 @@ def kt(a, b):
     return out
 
 
-def test_kt_and_mixing_against_the_definition():
-    heap = np.zeros((1, 512))
-    heap[0, 2], heap[0, 3] = 4, 7
-    assert ctw._log_kt(heap)[0, 1] == pytest.approx(kt(4, 7), abs=1e-10)
-    # root with two contexts: the first bit (node 1) of bytes 0x00 and 0x80
-    counts = {0: (6, 1), 1: (0, 5)}
-    root = ctw.Level(np.zeros(1, np.int64), np.zeros(2, int), np.array([0, 128]), np.array([6.0, 6.0]))
-    rows = [(c, byte, n) for c, (a, b) in counts.items() for byte, n in ((0, a), (128, b)) if n]
-    deep = ctw.Level(np.array([0, 1]), np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([float(r[2]) for r in rows]))
-    table = ctw.build_tables([root, deep])
-    direct, split = kt(6, 6), kt(6, 1) + kt(0, 5)
-    stop = math.exp(direct) / (math.exp(direct) + math.exp(split))
-    wanted = stop * 6.5 / 13 + (1 - stop) * 5.5 / 6
-    assert (10.0 ** table[2].astype(float))[128:].sum() == pytest.approx(wanted, abs=1e-6)
+def nodes_of(byte):
+    return [((1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1) for k in range(8)]
+
+
+class NaiveTree:
+    """Context-tree weighting as defined: a dictionary of counts for each context and node, recursion, no arrays."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts = depth, Counter()
+        for text in texts:
+            for context, byte in self.steps(text):
+                for node, bit in nodes_of(byte):
+                    for d in range(depth + 1):
+                        self.counts[context[depth - d :], node, bit] += 1
+        self.seen = {(c, n) for c, n, _ in self.counts}
+        self.children = {}
+        for c, n in self.seen:
+            if c:
+                self.children.setdefault((c[1:], n), []).append((c, n))
+        self.logs = {}
+
+    def steps(self, text):
+        data = bytes([ctw.END]) * self.depth + ctw.text_bytes(text)
+        return [(data[i - self.depth : i], data[i]) for i in range(self.depth, len(data))]
+
+    def direct(self, at):
+        return kt(self.counts[(*at, 0)], self.counts[(*at, 1)])
+
+    def weighted(self, at):
+        if at not in self.logs:
+            own = self.direct(at)
+            self.logs[at] = own if len(at[0]) == self.depth else np.logaddexp(own, sum(map(self.weighted, self.children[at]))) - math.log(2)
+        return self.logs[at]
+
+    def chance(self, context, node):
+        free, held = 1.0, 0.0
+        known = [d for d in range(self.depth + 1) if (context[self.depth - d :], node) in self.seen]
+        for d in known:
+            at = (context[self.depth - d :], node)
+            a, b = self.counts[(*at, 0)], self.counts[(*at, 1)]
+            stop = 1.0 if d == known[-1] else math.exp(self.direct(at) - math.log(2) - self.weighted(at))
+            held, free = held + free * stop * (b + 0.5) / (a + b + 1), free * (1 - stop)
+        return held if known else 0.5
+
+    def score(self, text):
+        out = 0.0
+        for context, byte in self.steps(text):
+            for node, bit in nodes_of(byte):
+                one = self.chance(context, node)
+                out += math.log10(one if bit else 1 - one)
+        return out
+
+
+@pytest.mark.parametrize("most_keys", [1 << 20, 12, 0])
+def test_scores_against_a_naive_tree(table, most_keys):
+    rng = random.Random(9)
+    vocabulary = ["ba", "lo", "Rin", "té", "kamo", "\U0001f600"]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(1, 7), k=rng.randrange(0, 25)))) for i in range(40)] + [(90, None), (91, "unseen zebra"), (91, "unseen zebra"), (92, "lo lo " * 300)]
+    found = score_texts(table(rows), F.col("doc_id") % 3 != 0, depth=3, most_keys=most_keys).toPandas()
+    naive = NaiveTree([t for i, t in rows if i % 3], 3)
+    wanted = {i: naive.score(t) for i, t in rows}
+    assert len(found) == len(rows)
+    for r in found.itertuples():
+        assert r.score == pytest.approx(wanted[r.doc_id], rel=1e-5, abs=1e-6)
+    # the chances of all bytes after a context add up to one
+    assert sum(10 ** sum(math.log10(naive.chance(b"lo ", n) if bit else 1 - naive.chance(b"lo ", n)) for n, bit in nodes_of(byte)) for byte in range(256)) == pytest.approx(1)
+
+
+def test_texts_longer_than_a_piece():
+    texts = [ctw.text_bytes("abcdefghij" * 3), ctw.text_bytes(""), ctw.text_bytes("xyz")]
+    whole = ctw.contexts(next(ctw.pieces(texts, 4)), 4)
+    for size in (1, 3, 7, 31):
+        parts = [ctw.contexts(batch, 4) for batch in ctw.pieces(texts, 4, size)]
+        assert all((np.concatenate([p[i] for p in parts]) == whole[i]).all() for i in (0, 1))
+
+
+def test_key_table():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000))
+    held = ctw.KeyTable(keys[::2], np.arange(len(keys[::2])) + 1.0)
+    there, values = held.find(keys)
+    assert there[::2].all() and not there[1::2].any() and (values[::2] == np.arange(len(keys[::2])) + 1).all()
+    assert not ctw.KeyTable(np.zeros(0, np.int64), np.zeros(0)).find(keys)[0].any()
 
 
 def test_scores_against_brute_force(table):
