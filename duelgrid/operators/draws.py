@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.functions.stats import average_rank, finite, guarded_percentile, top_credit
-from duelgrid.operators.baselines import class_weights, cv_summary, losses, select_strength, signed
+from duelgrid.operators.baselines import class_weights, cv_summary, losses, select_strength, signed, with_folds
 from duelgrid.operators.contests import class_masses, observations, smooth
 from duelgrid.params import STRENGTHS, Params
 
@@ -70,7 +70,7 @@ def validation_draw_losses(contests: DataFrame, draws: DataFrame, strengths: tup
 
 def draw_cv_losses(contests: DataFrame, draws: DataFrame, folds: DataFrame, strengths: tuple[float, ...] = STRENGTHS, last_train_week: int = 15) -> DataFrame:
     """Loss of every replicate, fold, model and strength on the training games; a game's copies stay in one fold."""
-    rows = observations(contests.where(F.col("week") <= last_train_week)).join(F.broadcast(folds), "game_id")
+    rows = with_folds(observations(contests.where(F.col("week") <= last_train_week)), folds)
     own, _ = draw_masses(rows, draws, ["fold"])
     keys = ["replicate_id", "model", "role", "player_key", "cls"]
     parts = folds.select("fold").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelgrid.params import Params
+from duelgrid.sources.stage import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +58,21 @@ def _week(index: Column) -> Column:
     return (1 + F.floor((index - 1) * 18 / 80)).cast("int")
 
 
+def _staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    return staged(spark, name, [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer")], lambda: build(spark, sf_dir))
+
+
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matchup table: one row a contest, opponents as arrays in order of their ids."""
+    """The matchup table: one row a contest, opponents as arrays in order of their ids; derived once a session."""
+    return _staged(spark, sf_dir, "contests", derive_contests)
+
+
+def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The play table: counts of opponents by category, context and value of each order; derived once a session."""
+    return _staged(spark, sf_dir, "plays", derive_plays)
+
+
+def derive_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     win = F.when(key % 10 == 0, F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)).otherwise(
         F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).otherwise(key % 2)
@@ -89,8 +103,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The play table: counts of opponents by category, context and value of each order."""
+def derive_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     categories = F.transform("members", lambda m: m["category"])
     of = lambda c: F.size(categories) - F.size(F.array_remove(categories, c))
