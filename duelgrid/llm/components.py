@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.storage import materialize
+from duelgrid.llm.storage import Scratch, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -31,17 +31,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of `edges` (u long, v long).
 
-    Each step writes its edges to the shared folder, so lineage stays short and lost executors cost one step. A node's
-    smallest neighbour is found by partial aggregation, so a star with many leaves isn't gathered anywhere; the number
-    of steps grows with the logarithm of the longest path. Only a count and a checksum reach the driver.
+    Each step writes its edges to the shared folder and drops those before, so lineage stays short and lost executors
+    cost one step. A node's smallest neighbour is found by partial aggregation, so a star with many leaves isn't gathered
+    anywhere; the number of steps grows with the logarithm of the longest path. Only a count and a checksum reach the
+    driver. No edges give no nodes; repeated edges and loops don't matter.
     """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    held = Scratch()
+    edges = held.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _signature(edges)
     while seen[0]:
-        edges = materialize(_star(_star(edges, True), False), "edges")
-        now = _signature(edges)
+        fresh = Scratch()
+        edges = fresh.write(_star(_star(edges, True), False), "edges")
+        held.clear()
+        held, now = fresh, _signature(edges)
         if now == seen:
             break
         seen = now
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = materialize(pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    held.clear()
+    return found

@@ -20,15 +20,41 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/duelgrid-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder, store = _folder(spark, path)
+    store.deleteOnExit(folder)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back; the files go when the application ends.
 
     The written table survives lost executors and is read with column pruning by every later pass.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/duelgrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, name)[1]
+
+
+class Scratch:
+    """Written tables of one computation, which go as soon as it has written what it gives back."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path, read = _write(df, name)
+        self.tables.append((df.sparkSession, path))
+        return read
+
+    def clear(self) -> None:
+        for spark, path in self.tables:
+            folder, store = _folder(spark, path)
+            store.delete(folder, True)
+        self.tables = []
