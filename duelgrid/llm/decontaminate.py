@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from duelgrid.llm.rows import map_rows
 
 #: Characters of benchmark text matched in one pass; a larger benchmark is matched in several passes over the documents.
-BLOCK_CHARS = 20_000_000
+#: An automaton of a full block takes about 190 MB of a Python worker (45 MB for a million characters).
+BLOCK_CHARS = 4_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -110,6 +111,18 @@ def _matcher(items: list[tuple], share: float, least: int, short: bool = False):
     return work
 
 
+class Block:
+    """Items that travel to the executors together. A worker builds their automaton once and keeps it for its later tasks."""
+
+    def __init__(self, items: list[tuple], share: float, least: int, short: bool):
+        self.items, self.share, self.least, self.short, self.built = items, share, least, short, None
+
+    def matcher(self):
+        if self.built is None:
+            self.built = _matcher(self.items, self.share, self.least, self.short)
+        return self.built
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.06, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, short_items: bool = False) -> DataFrame:
     """(id, item id, distance, budget, end): documents that hold a benchmark item within the edit budget.
 
@@ -121,7 +134,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.
     Null texts match nothing. One row a document and item; repeated rows of a document are each searched. A benchmark
     over `block_chars` characters is searched in blocks, each broadcast on its own. Blocks hold distinct item texts, and
     the ids of an item's text are joined to what was found, so what travels to the executors is bounded at any
-    benchmark size, however often a text is repeated.
+    benchmark size, however often a text is repeated. Empty tables give no rows; other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_words")).where(F.col("_words").isNotNull())
     items = items.withColumn("_key", F.md5("_words"))
@@ -133,8 +146,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.
     found = None
     for block in range(blocks):
         chosen = texts.where(F.pmod(F.xxhash64("_words"), F.lit(blocks)) == block).collect()
-        held = docs.sparkSession.sparkContext.broadcast([(r["_key"], normalise(r["_words"])) for r in chosen])
-        part = map_rows(rows, lambda held=held: _matcher(held.value, edit_share, min_chars, short_items), f"_id {kind}, _found string, distance int, budget int, end int")
+        held = docs.sparkSession.sparkContext.broadcast(Block([(r["_key"], normalise(r["_words"])) for r in chosen], edit_share, min_chars, short_items))
+        part = map_rows(rows, lambda held=held: held.value.matcher(), f"_id {kind}, _found string, distance int, budget int, end int")
         found = part if found is None else found.unionByName(part)
     met = found.join(items.select("_item", "_key"), F.col("_found") == F.col("_key"))
     return met.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "distance", "budget", "end")

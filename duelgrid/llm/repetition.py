@@ -67,7 +67,8 @@ def measure(text: str | None) -> tuple:
             continue
         _, first, back, times = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
         if width in TOP_LIMITS:
-            most = int(np.argmax(times))
+            often = np.flatnonzero(times == times.max())
+            most = often[np.argmin(first[often])]
             hits = back == most if times[most] > 1 else np.zeros(len(windows), bool)
         else:
             hits = times[back] > 1
@@ -82,9 +83,10 @@ def repetition_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Counts and repetition shares of every whole text: n_words, word_chars (code points in words), n_symbols,
     n_dup_lines, n_repeat_words (words in 5-word windows found twice or more), dup_line_share, dup_line_char_share and
     ngram_shares (by words in the n-gram, in order of NGRAM_LIMITS and TOP_LIMITS together; the duplicated n-grams'
-    characters without their first occurrence, or the most frequent n-gram's).
+    characters without their first occurrence, or the most frequent n-gram's, of several the one that comes first).
 
-    Null and empty texts have zeros. Rows are measured on their own, in any partitioning, with no shuffle. Memory is
+    Null and empty texts have zeros; repeated rows and rows of null ids are each returned; other columns are not read; an
+    empty table gives no rows. Rows are measured on their own, in any partitioning, with no shuffle. Memory is
     a few arrays of a text's words. Words and windows are compared by 64-bit hashes; lines exactly.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

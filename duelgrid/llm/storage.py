@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,3 +61,23 @@ class Scratch:
             folder, store = _folder(spark, path)
             store.delete(folder, True)
         self.tables = []
+
+
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 26
+
+
+def keep_possible(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose long `key` may be among `keys` (same column), before they are shuffled to meet these exactly.
+
+    One bit a key in a bitmap of fixed size, which is broadcast as one row; a table of very many keys fills it, and then
+    more rows pass, never fewer than should.
+    """
+    spark, mixed = rows.sparkSession, F.xxhash64(F.lit(3), key)
+    place = F.pmod(F.shiftright(mixed, 6), F.lit(1 << (FILTER_BITS - 6))).cast("int")
+    words = keys.groupBy(place.alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64(3, {key}) & 63 as int))")).alias("word")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    bitmap = spark.createDataFrame(pa.table({"_bits": pa.array([table])}))
+    test = F.expr(f"(shiftrightunsigned(_bits[cast(pmod(shiftright(xxhash64(3, {key}), 6), {1 << (FILTER_BITS - 6)}) as int)], cast(xxhash64(3, {key}) & 63 as int)) & 1) = 1")
+    return rows.crossJoin(F.broadcast(bitmap)).where(test).drop("_bits")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from duelgrid.llm.components import connected_components
-from duelgrid.llm.decontaminate import best_occurrence, find_benchmark, pieces
+from duelgrid.llm.decontaminate import best_occurrence, find_benchmark, normalise, pieces
 from duelgrid.llm.linededup import dedup_lines
 from duelgrid.llm.mixing import SEED, draw_counts, mix_sources, permute, plan_mix
 from duelgrid.llm.positions import running_positions
@@ -243,6 +243,31 @@ def test_find_benchmark(spark, table):
     assert find_benchmark(table([]), bench).count() == 0
 
 
+def test_find_benchmark_against_brute_force(spark, table):
+    """Every document against every item by dynamic programming."""
+    rng = random.Random(12)
+    items = [(i, words(rng.randrange(6, 14), 500 + i, 40)) for i in range(8)]
+    rows = []
+    for i in range(60):
+        text = words(rng.randrange(0, 30), i, 40)
+        if i % 2:
+            item = list(items[i % 8][1])
+            for _ in range(rng.randrange(0, 6)):
+                at = rng.randrange(len(item))
+                item[at : at + 1] = rng.choice([[], ["x"], [item[at], "y"]])
+            text = f"{text} {''.join(item)} {words(4, 900 + i, 40)}"
+        rows.append((i, text))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in find_benchmark(table(rows), bench).collect()}
+    wanted = {}
+    for i, text in rows:
+        for n, item in items:
+            distance = edit_distance_in(normalise(item), normalise(text))
+            if distance <= int(len(normalise(item)) * 0.06):
+                wanted[i, n] = distance
+    assert found == wanted and len(wanted) >= 15
+
+
 def test_short_and_repeated_items(spark, table, monkeypatch):
     long = words(30, 5, 90)
     bench = spark.createDataFrame([(1, "Is it so?"), (2, long), (4, ""), (5, None), *((100 + i, long) for i in range(40))], "item_id long, text string")
@@ -252,7 +277,7 @@ def test_short_and_repeated_items(spark, table, monkeypatch):
     found = sorted((r.doc_id, r.item_id, r.distance) for r in find_benchmark(table(rows), bench, short_items=True).collect())
     assert found == [(1, 1, 0), *((3, i, 0) for i in [2, *range(100, 140)])]
     # each text travels once, however many items share it
-    assert sum(len(text) for items in sent for _, text in items) <= len(long) + len("Is it so?")
+    assert sum(len(text) for block in sent for _, text in block.items) <= len(long) + len("Is it so?")
 
 
 # --- mixing ---------------------------------------------------------------------------------------------------------

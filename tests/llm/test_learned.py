@@ -83,6 +83,77 @@ def test_repetition_against_brute_force():
     assert not any(measure(" ".join(f"v{i}" for i in range(300)))[-1])
 
 
+def brute_verdict(text):
+    """The verdict by whole n-grams, lines and characters, without hashes or arrays."""
+    words, lines = WORD.findall(text), [line for line in text.split("\n") if WORD.search(line)]
+    total, held = sum(map(len, words)), Counter(lines)
+    repeats, seen = [], set()
+    for line in lines:
+        if line in seen:
+            repeats.append(line)
+        seen.add(line)
+    size = lambda line: len(line.encode())
+    good = len(repeats) <= 0.3 * max(len(lines), 1) and sum(map(size, repeats)) <= 0.2 * max(sum(map(size, lines)), 1) and held is not None
+    good = good and sum(c in "#*$%&|<>" for c in text) <= 0.1 * max(len(words), 1)
+    for width, limit in ((2, 0.2), (3, 0.18), (4, 0.16), (5, 0.2), (6, 0.19), (8, 0.17), (10, 0.15)):
+        grams = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+        times, found, marked = Counter(grams), set(), set()
+        top = next((g for g in grams if times[g] == max(times.values())), None)
+        for i, g in enumerate(grams):
+            if (times[g] > 1 and g == top) if width < 5 else g in found:
+                marked.update(range(i, i + width))
+            found.add(g)
+        good = good and (not total or sum(len(words[j]) for j in marked) / total <= limit)
+    return good
+
+
+def test_verdict_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = op6_repetition(spark, sf).collect()
+    assert len(found) == len(texts) and {r.kept for r in found} == {True, False}
+    for r in found:
+        assert r.kept == (not r.base_failed and brute_verdict(texts[r.doc_id] or "")), r.doc_id
+
+
+def test_quality_against_plain_steps(spark):
+    """Votes of every row, expectation-maximisation over rows one by one, and a scorer at the minimum of its loss."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r.doc_id: r for r in op8_quality(spark, sf).collect()}
+    read = {i: read_text(t) for i, t in texts.items()}
+    votes = {i: r[0] for i, r in read.items()}
+    chance = {i: 0.1 if "0" in v else 0.9 if "1" in v else 0.5 for i, v in votes.items()}
+    for _ in range(200):
+        prior = sum(chance.values()) / len(chance)
+        table = [[{v: 1.0 + sum((chance[i] if good else 1 - chance[i]) for i, vs in votes.items() if vs[j] == v) for v in "10-"} for j in range(len(LABELLERS))] for good in (True, False)]
+        # the prior of the round before goes with the tables of this one
+        share = lambda good, j, v: table[0 if good else 1][j][v] / sum(table[0 if good else 1][j].values())
+        logs = {vs: math.log(prior / (1 - prior)) + sum(math.log(share(True, j, v) / share(False, j, v)) for j, v in enumerate(vs)) for vs in set(votes.values())}
+        chance = {i: 1 / (1 + math.exp(-max(-500, min(500, logs[vs])))) for i, vs in votes.items()}
+    assert all(found[i].votes == votes[i] and found[i].posterior == pytest.approx(chance[i], abs=1e-6) for i in texts)
+    weights = fit_scorer([(r[1], r[2], chance[i], 1) for i, r in sorted(read.items())], rounds=3000)
+    slope = np.zeros_like(weights)
+    for i, (_, buckets, values) in read.items():
+        margin = weights[-1] + sum(weights[b] * v for b, v in zip(buckets, values))
+        miss = (1 / (1 + math.exp(-margin)) - chance[i]) / len(read)
+        slope[-1] += miss
+        np.add.at(slope, buckets, np.multiply(values, miss))
+        if buckets:
+            assert found[i].score == pytest.approx(1 / (1 + math.exp(-margin)), abs=0.05) and found[i].kept == (found[i].score >= 0.3)
+        else:
+            assert found[i].score == 0 and not found[i].kept
+    slope[:-1] += 1e-4 * weights[:-1]
+    assert np.abs(slope).max() < 1e-4
+
+
+def test_quality_of_many_copies(table):
+    """Copies without ids count as many times as they occur, but are read once for the fit."""
+    rows = [(None, "one text that is copied " * 8)] * 300 + [(i, f"word{i} " * 30) for i in range(20)]
+    found = score_quality(table(rows), fit_rows=50).collect()
+    assert len(found) == 320 and len({r.score for r in found if r.doc_id is None}) == 1
+
+
 def test_repetition_edges(table):
     found = {r.doc_id: r for r in repetition_quality(table(ODD)).collect()}
     assert found[1].n_words == found[2].n_words == found[3].n_words == 0 and found[6].n_repeat_words == 30_000
