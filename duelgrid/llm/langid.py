@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.storage import materialize
+from duelgrid.llm.rows import share, shared
 
 #: Bytes of an n-gram, slots of the filters (one byte of language bits in each plane), and hash functions.
 GRAM, SLOT_BITS, HASHES = 4, 20, 3
@@ -122,7 +122,7 @@ def fit_filters(docs: DataFrame, train: Column, min_share: float = 0.004, min_ra
             for which in range(HASHES):
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(slots(codes, which).astype(np.int32)), part.column(2)], names=["plane", "slot", "mask"])
 
-    placed = chosen.mapInArrow(place, "plane int, slot int, mask int").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    placed = chosen.mapInArrow(place, "plane int, slot int, mask int").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     planes[placed["plane"].to_numpy(), placed["slot"].to_numpy()] = placed["mask"].to_numpy().astype(np.uint8)
     return LanguageFilters(langs, planes)
 
@@ -133,13 +133,13 @@ def predict_language(docs: DataFrame, filters: LanguageFilters, carry: list[Colu
     Null, empty and letterless texts are UNKNOWN with score 0; repeated rows are each returned; an empty table gives no
     rows. Columns to carry must not be named lang_pred, score or _text: rename them, or carry them in a struct.
     """
-    held = docs.sparkSession.sparkContext.broadcast(filters)
+    held = share(docs.sparkSession, filters)
     rows = docs.select(*(carry or []), F.col(text_col).alias("_text"))
     kept = rows.drop("_text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["lang_pred string", "score double"])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = shared(held)
         for part in parts:
             found = [model.predict(t.as_py()) for t in part.column(part.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.llm import ctw
+from duelgrid.llm.rows import share, shared
 from duelgrid.llm.storage import materialize
 
 #: Keys (a context and the byte after it) that are broadcast with their probability at most; the others are joined.
@@ -157,8 +158,8 @@ def frequent(keys: DataFrame, most: int) -> ctw.KeyTable:
         if left < 0:
             break
         least = row["o"]
-    chosen = keys.where(octave >= least if least is not None else F.lit(False)).select("key", "log10p").toPandas()
-    return ctw.KeyTable(chosen["key"].to_numpy(np.int64), chosen["log10p"].to_numpy(np.float32))
+    chosen = keys.where(octave >= least if least is not None else F.lit(False)).select("key", "log10p").toArrow()
+    return ctw.KeyTable(chosen["key"].to_numpy(), chosen["log10p"].to_numpy())
 
 
 def _counted(owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,12 +202,12 @@ def score_texts(docs: DataFrame, train: Column, depth: int = ctw.DEPTH, most_key
     levels = fit_tree(counts, depth)
     known = materialize(known_keys(counts, levels[-1]), "keys")
     logs = {w.encode("utf-8"): float(np.log10(n + 1)) for w, n in often.items()}
-    held = spark.sparkContext.broadcast((frequent(known, most_keys), logs))
+    held = share(spark, (frequent(known, most_keys), logs))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, _n_bytes bigint, _n bigint, _known bigint, _part double, _score double, _rare array<struct<token:string,times:int>>, _keys array<struct<key:bigint,times:int>>"
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, common = held.value
+        table, common = shared(held)
         of_tokens, of_keys = (pa.list_(pa.struct([(name, t), ("times", pa.int32())])) for name, t in (("token", pa.string()), ("key", pa.int64())))
         end = common.get(END_TOKEN.encode())
         for part in parts:

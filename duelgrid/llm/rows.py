@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -13,6 +15,18 @@ from pyspark.sql.types import StructType
 SLICE, OUT_ROWS = 256, 8192
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A value for all workers, with the classes of this package it holds, which needn't be installed there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(held: Broadcast) -> object:
+    """The value of `share`; a worker unpacks it once and keeps it for its later tasks."""
+    if getattr(held, "unpacked", None) is None:
+        held.unpacked = pickle.loads(held.value)
+    return held.unpacked
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterable[tuple]]], schema: str) -> DataFrame:
     """For each row, the rows that `make()(row)` gives. `make` runs once for each task and builds what all rows share."""
     target = to_arrow_schema(StructType.fromDDL(schema))

@@ -75,9 +75,9 @@ def keep_possible(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """
     spark, mixed = rows.sparkSession, F.xxhash64(F.lit(3), key)
     place = F.pmod(F.shiftright(mixed, 6), F.lit(1 << (FILTER_BITS - 6))).cast("int")
-    words = keys.groupBy(place.alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64(3, {key}) & 63 as int))")).alias("word")).toPandas()
+    words = keys.groupBy(place.alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64(3, {key}) & 63 as int))")).alias("word")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    table[words["at"].to_numpy()] = words["word"].to_numpy()
     bitmap = spark.createDataFrame(pa.table({"_bits": pa.array([table])}))
     test = F.expr(f"(shiftrightunsigned(_bits[cast(pmod(shiftright(xxhash64(3, {key}), 6), {1 << (FILTER_BITS - 6)}) as int)], cast(xxhash64(3, {key}) & 63 as int)) & 1) = 1")
     return rows.crossJoin(F.broadcast(bitmap)).where(test).drop("_bits")

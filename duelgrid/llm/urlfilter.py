@@ -58,10 +58,10 @@ def build_filter(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(words[:, i].view(np.int64)) for i in range(BLOCK_LONGS))], names=["block", *names])
 
     placed = keys.select(F.xxhash64("key").alias("_h")).mapInArrow(place, "block bigint, " + ", ".join(f"{n} bigint" for n in names))
-    rows = placed.groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names)).toPandas()
+    rows = placed.groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names)).toArrow()
     table = np.zeros((blocks, BLOCK_LONGS), np.uint64)
-    if len(rows):
-        table[rows["block"].to_numpy(np.int64)] = rows[names].to_numpy(np.int64).view(np.uint64)
+    for i, name in enumerate(names):
+        table[rows["block"].to_numpy(), i] = rows[name].to_numpy().view(np.uint64)
     return table
 
 
