@@ -154,6 +154,7 @@ def mix_sized(sized: DataFrame, block: int = 64, share: float = 1.5, most: float
     first, last = F.expr(f"_start div {block}"), F.expr(f"(_start + _size - 1) div {block}")
     parts = placed.where("_size > 0").withColumn("_block", F.explode(F.sequence(first, last)))
     inside = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("_size")) - F.greatest(F.col("_block") * block, F.col("_start"))
-    met = parts.join(taken, (parts["_number"] == taken["number"]) & (parts["_block"] == taken["block"]))
+    # the sizes of these two sides grow alike; neither is to be broadcast
+    met = parts.hint("merge").join(taken, (parts["_number"] == taken["number"]) & (parts["_block"] == taken["block"]))
     sums = met.groupBy("_number", "_pos").agg(F.sum(inside * F.col("_times")).alias("taken"))
     return placed.join(sums, ["_number", "_pos"], "left").drop("_number", "_pos", "_start").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
