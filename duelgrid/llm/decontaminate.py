@@ -8,7 +8,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.rows import map_rows
+from duelgrid.llm.rows import map_rows, share, shared
 
 #: Characters of benchmark text matched in one pass; a larger benchmark is matched in several passes over the documents.
 #: An automaton of a full block takes about 190 MB of a Python worker (45 MB for a million characters).
@@ -146,8 +146,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.
     found = None
     for block in range(blocks):
         chosen = texts.where(F.pmod(F.xxhash64("_words"), F.lit(blocks)) == block).collect()
-        held = docs.sparkSession.sparkContext.broadcast(Block([(r["_key"], normalise(r["_words"])) for r in chosen], edit_share, min_chars, short_items))
-        part = map_rows(rows, lambda held=held: held.value.matcher(), f"_id {kind}, _found string, distance int, budget int, end int")
+        held = share(docs.sparkSession, Block([(r["_key"], normalise(r["_words"])) for r in chosen], edit_share, min_chars, short_items))
+        part = map_rows(rows, lambda held=held: shared(held).matcher(), f"_id {kind}, _found string, distance int, budget int, end int")
         found = part if found is None else found.unionByName(part)
     met = found.join(items.select("_item", "_key"), F.col("_found") == F.col("_key"))
     return met.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "distance", "budget", "end")
