@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from duelgrid.llm import decontaminate
 from duelgrid.llm.components import connected_components
 from duelgrid.llm.decontaminate import best_occurrence, find_benchmark, normalise, pieces
 from duelgrid.llm.linededup import dedup_lines
@@ -272,8 +273,8 @@ def test_short_and_repeated_items(spark, table, monkeypatch):
     long = words(30, 5, 90)
     bench = spark.createDataFrame([(1, "Is it so?"), (2, long), (4, ""), (5, None), *((100 + i, long) for i in range(40))], "item_id long, text string")
     rows = [(1, "He said: is  it so? No."), (2, "this it so? is it sober"), (3, f"a {long} b"), (4, "is it so")]
-    sent, broadcast = [], type(spark.sparkContext).broadcast
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    sent, share = [], decontaminate.share
+    monkeypatch.setattr(decontaminate, "share", lambda session, value: sent.append(value) or share(session, value))
     found = sorted((r.doc_id, r.item_id, r.distance) for r in find_benchmark(table(rows), bench, short_items=True).collect())
     assert found == [(1, 1, 0), *((3, i, 0) for i in [2, *range(100, 140)])]
     # each text travels once, however many items share it
