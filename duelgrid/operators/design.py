@@ -58,8 +58,7 @@ def play_levels(train: DataFrame) -> DataFrame:
 def play_design(plays: DataFrame, train: DataFrame, keys: list[str], kind: str = "primary") -> DataFrame:
     """Intercept, counts (none for `context`; protected counts for `protected`), standardised context and fixed effects.
 
-    Levels not seen in training have no entry. Zero entries are left out. The basis is one row, the levels a small
-    dimension; both are broadcast.
+    Levels not seen in training have no entry. Zero entries are left out. The basis is one row and broadcast.
     """
     basis = play_basis(train).groupBy().pivot("term", list(CONTEXT)).agg(F.first("center").alias("m"), F.first("scale").alias("s"))
     values = context_values()
@@ -73,7 +72,7 @@ def play_design(plays: DataFrame, train: DataFrame, keys: list[str], kind: str =
     entries += [_entry(F.lit(f"down_{d}"), F.col("down") == d) for d in (2, 3, 4)]
     entries += [_entry(F.lit("half_2"), F.col("qtr").isin(3, 4)), _entry(F.lit("overtime"), F.col("qtr") >= 5)]
     levels = play_levels(train)
-    seen = lambda k, c: F.broadcast(levels.where(F.col("kind") == k).select(F.col("level").alias(c)))
+    seen = lambda k, c: levels.where(F.col("kind") == k).select(F.col("level").alias(c))
     rows = plays.crossJoin(F.broadcast(basis)).withColumn("_qb", quarterback())
     rows = rows.join(seen("QB", "_qb_level"), F.col("_qb") == F.col("_qb_level"), "left").join(seen("DEF", "_def_level"), F.col("defteam") == F.col("_def_level"), "left")
     entries += [_entry(F.concat(F.lit("QB::"), "_qb_level"), F.when(F.col("_qb_level").isNotNull(), 1).otherwise(0))]
@@ -100,6 +99,6 @@ def center_coefficients(coefficients: DataFrame) -> DataFrame:
 
 def linear_predictor(design: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of value x coefficient by row and class, plus the intercept where the design has none."""
-    terms = design.join(F.broadcast(coefficients), "term").groupBy(*keys, "cls").agg(F.sum(F.col("value") * F.col("coefficient")).alias("_eta"))
+    terms = design.join(coefficients, "term").groupBy(*keys, "cls").agg(F.sum(F.col("value") * F.col("coefficient")).alias("_eta"))
     constant = coefficients.where("term = '(Intercept)'").select("cls", F.col("coefficient").alias("_c"))
     return terms.join(F.broadcast(constant), "cls").select(*keys, "cls", (F.col("_eta") + F.col("_c")).alias("eta"))

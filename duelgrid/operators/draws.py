@@ -15,10 +15,10 @@ def draw_masses(rows: DataFrame, draws: DataFrame, keys: list[str]) -> tuple[Dat
     """(masses, shares) by replicate (and `keys`): rows are summed by game once, then weighed by each replicate."""
     by_game = class_masses(rows, [*keys, "game_id"])
     group = ["replicate_id", *keys]
-    weighed = by_game.join(F.broadcast(draws.select("replicate_id", "game_id", "copies")), "game_id")
+    weighed = by_game.join(draws.select("replicate_id", "game_id", "copies"), "game_id")
     masses = weighed.groupBy(*group, "model", "role", "player_key", "cls").agg(F.sum(F.col("mass") * F.col("copies")).alias("mass"), F.sum(F.col("interactions") * F.col("copies")).alias("interactions"))
     counts = rows.groupBy(*keys, "game_id", "model", "cls").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(F.broadcast(draws.select("replicate_id", "game_id", "copies")), "game_id").groupBy(*group, "model", "cls").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
+    counts = counts.join(draws.select("replicate_id", "game_id", "copies"), "game_id").groupBy(*group, "model", "cls").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
     totals = counts.groupBy(*group, "model").agg(F.sum("n").alias("t"))
     return masses, counts.join(totals, [*group, "model"]).select(*group, "model", "cls", (F.col("n") / F.col("t")).alias("share"))
 
@@ -64,7 +64,7 @@ def validation_draw_losses(contests: DataFrame, draws: DataFrame, strengths: tup
     """Hold-out loss of every replicate, model and strength: profiles of its training games, loss on its test games."""
     rows = observations(contests)
     masses, shares = draw_masses(rows.where(F.col("week") <= last_train_week), draws, [])
-    test = rows.where(F.col("week") > last_train_week).join(F.broadcast(draws.select("replicate_id", "game_id", "copies")), "game_id")
+    test = rows.where(F.col("week") > last_train_week).join(draws.select("replicate_id", "game_id", "copies"), "game_id")
     return losses(rows, test, ["replicate_id"], strengths, masses, shares)
 
 
@@ -81,14 +81,14 @@ def draw_cv_losses(contests: DataFrame, draws: DataFrame, folds: DataFrame, stre
     counts = masses.where("role = 'Rusher'").groupBy("replicate_id", "fold", "model", "cls").agg(F.sum("interactions").alias("n"))
     totals = counts.groupBy("replicate_id", "fold", "model").agg(F.sum("n").alias("t"))
     shares = counts.join(totals, ["replicate_id", "fold", "model"]).select("replicate_id", "fold", "model", "cls", (F.col("n") / F.col("t")).alias("share"))
-    test = rows.join(F.broadcast(draws.select("replicate_id", "game_id", "copies")), "game_id")
+    test = rows.join(draws.select("replicate_id", "game_id", "copies"), "game_id")
     return losses(rows, test, ["replicate_id", "fold"], strengths, masses, shares)
 
 
 def tuned_validation(test_losses: DataFrame, cv_losses: DataFrame, saved: DataFrame) -> DataFrame:
     """Fixed-grid and tuned losses of every replicate, paired with the saved model losses of the same draws."""
     selected = select_strength(cv_summary(cv_losses, ["replicate_id"]), ["replicate_id"]).withColumnRenamed("strength", "selected_strength")
-    rows = test_losses.join(F.broadcast(selected), ["replicate_id", "model"]).join(F.broadcast(saved), ["replicate_id", "model"])
+    rows = test_losses.join(selected, ["replicate_id", "model"]).join(saved, ["replicate_id", "model"])
     kinds = F.array(F.lit("fixed_grid"), F.when(F.col("strength") == F.col("selected_strength"), "training_cv_selected"))
     rows = rows.select("*", F.explode(kinds).alias("baseline")).where("baseline is not null")
     return rows.select(
@@ -96,8 +96,33 @@ def tuned_validation(test_losses: DataFrame, cv_losses: DataFrame, saved: DataFr
     )
 
 
-def validation_summary(draws: DataFrame) -> DataFrame:
-    """Paired intervals of improvement by model, baseline and comparison."""
+def complete_draws(draws: DataFrame, keys: list[str], expected: int) -> DataFrame:
+    """The draws; an error when they are read if a combination of `keys` hasn't exactly the replicates 1..expected."""
+    counts = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("replicate_id").alias("_d"), F.min("replicate_id").alias("_low"), F.max("replicate_id").alias("_high"))
+    fine = (F.col("_n") == expected) & (F.col("_d") == expected) & (F.col("_low") == 1) & (F.col("_high") == expected)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("Incomplete draws of"), *(F.col(k).cast("string") for k in keys))).cast("boolean")
+    checked = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.when(fine, F.lit(True)).otherwise(lost).alias("_fine")).where("_fine")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return draws.join(checked, same, "left_semi")
+
+
+def validation_summary(draws: DataFrame, point: DataFrame | None = None, expected: int | None = None) -> DataFrame:
+    """Paired intervals of improvement by model, baseline and comparison.
+
+    With `expected`, every combination must have all replicates. `point` (model, baseline, comparison, improvement,
+    percent_improvement) is put beside its interval; one without an interval is an error.
+    """
+    from duelgrid.operators.ranking import with_intervals
+
+    if expected is not None:
+        draws = complete_draws(draws.withColumn("_of", F.when(F.col("baseline") == "fixed_grid", F.col("strength"))), ["model", "baseline", "_of"], expected).drop("_of")
+    found = _improvement_intervals(draws)
+    return found if point is None else with_intervals(point, found, ["model", "baseline", "comparison"])
+
+
+def _improvement_intervals(draws: DataFrame) -> DataFrame:
     from duelgrid.operators.baselines import label_of
 
     comparison = F.when(F.col("baseline") == "training_cv_selected", F.col("baseline")).otherwise(label_of(F.col("strength")))

@@ -8,10 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duelgrid.operators import lanes as L
+from duelgrid.operators.baselines import with_folds
 from duelgrid.operators.contests import model_sample
-from duelgrid.operators.design import matchup_design
 from duelgrid.params import CLASSES
 
+#: The largest gradient of a finished fit, and how often a grid grows at a boundary at most.
+TOLERANCE, EXTENSIONS = 2e-5, 12
+
 
 def ordinal_groups(contests: DataFrame) -> DataFrame:
     """Distinct design rows of the severity sample (opponents sorted) with their counts by class."""
@@ -29,99 +33,84 @@ class OrdinalFit:
     gradient: float
     loss: float
 
+    @property
+    def converged(self) -> bool:
+        return self.gradient < TOLERANCE and bool((np.diff(self.cuts) > 1e-8).all())
+
 
-def _partials(start: np.ndarray, cuts: np.ndarray):
-    """Per batch of packed rows: loss, cut gradients and the sparse gradient of beta."""
+@dataclass
+class OrdinalPath:
+    """Cross-validated penalties: (penalty, fold, rows, loss) and (penalty, loss, standard error), largest penalty first."""
 
-    def work(parts):
-        import pandas as pd
+    by_fold: list[tuple[float, int, float, float]]
+    curve: list[tuple[float, float, float]]
+    penalty: float
+    one_se: float
+    extensions: int
+    fit: OrdinalFit
 
-        for part in parts:
-            counts = np.array(part["counts"].tolist(), float)
-            sizes = part["at"].map(len).to_numpy()
-            at, value = np.concatenate(part["at"].to_numpy()), np.concatenate(part["value"].to_numpy())
-            owner = np.repeat(np.arange(len(part)), sizes)
-            eta = np.bincount(owner, value * start[at], len(part))
-            edge = np.concatenate([np.full((len(part), 1), -np.inf), cuts[None, :] - eta[:, None], np.full((len(part), 1), np.inf)], axis=1)
-            below = 1 / (1 + np.exp(-np.clip(edge, -700, 700)))
-            below[:, 0], below[:, -1] = 0.0, 1.0
-            chance = np.maximum(np.diff(below, axis=1), 1e-300)
-            slope = below * (1 - below)
-            loss = -(counts * np.log(chance)).sum()
-            ratio = counts / chance
-            to_eta = (ratio * np.diff(slope, axis=1)).sum(axis=1)
-            to_cuts = -(ratio[:, :-1] * slope[:, 1:-1] - ratio[:, 1:] * slope[:, 1:-1]).sum(axis=0)
-            sums = np.bincount(at, value * to_eta[owner], len(start))
-            used = np.flatnonzero(sums)
-            yield pd.DataFrame({"term": np.concatenate([[-1 - len(cuts)], -1 - np.arange(len(cuts)), used]).astype("int64"), "amount": np.concatenate([[loss], to_cuts, sums[used]])})
 
-    return work
+def _fit(packed: L.Packed, theta: np.ndarray, penalty: float, loss: float, gradient: float) -> OrdinalFit:
+    size = len(packed.terms)
+    return OrdinalFit(packed.terms, theta[:size], L.ordinal_cuts(theta[None, :], size)[0].tolist(), penalty, float(gradient), float(loss))
 
 
-def fit_ordinal(contests: DataFrame, penalty: float, tolerance: float = 2e-5, rounds: int = 200, start: OrdinalFit | None = None) -> OrdinalFit:
-    """Minimise mean loss + penalty / 2 |beta|^2 by L-BFGS; every evaluation is one aggregation over the packed rows.
+def fit_ordinal(contests: DataFrame, penalty: float, tolerance: float = TOLERANCE, rounds: int = 400) -> OrdinalFit:
+    """Minimise mean loss + penalty / 2 |beta|^2 by L-BFGS; every round is one aggregation over the packed rows.
 
-    Cuts are the first cut and exponentials of gaps, so they stay ordered; they aren't penalised. `start` gives warm
-    parameters. What reaches the driver is as long as the vocabulary.
+    Cuts are the first cut and exponentials of gaps, so they stay ordered; they aren't penalised. What reaches the driver
+    is as long as the vocabulary.
     """
-    groups = ordinal_groups(contests).withColumnRenamed("keys", "blocker_keys")
-    groups = groups.withColumn("row_id", F.xxhash64("rusher_key", "blocker_keys", "double_team", "double_team_unknown"))
-    design = matchup_design(groups, ["row_id"])
-    terms = [r["term"] for r in design.select("term").distinct().orderBy("term").collect()]
-    names = contests.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, at int")
-    packed = design.join(F.broadcast(names), "term").groupBy("row_id").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
-    rows = packed.join(groups.select("row_id", F.array(*(F.col(f"n_{c}").cast("double") for c in CLASSES)).alias("counts")), "row_id").select("at", "value", "counts").cache()
-    total = rows.agg(F.sum(F.aggregate("counts", F.lit(0.0), lambda a, b: a + b))).first()[0]
-    size = len(terms)
-
-    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        beta, gaps = theta[:size], np.exp(theta[size + 1 :])
-        cuts = theta[size] + np.concatenate([[0.0], np.cumsum(gaps)])
-        sums = {r["term"]: r["amount"] for r in rows.mapInPandas(_partials(beta, cuts), "term long, amount double").groupBy("term").agg(F.sum("amount").alias("amount")).collect()}
-        slope = np.zeros(size)
-        for t, v in sums.items():
-            if t >= 0:
-                slope[t] = v
-        to_cuts = np.array([sums.get(-1 - j, 0.0) for j in range(len(cuts))])
-        to_theta = np.concatenate([[to_cuts.sum()], [to_cuts[j + 1 :].sum() * gaps[j] for j in range(len(gaps))]])
-        return sums[-1 - len(cuts)] / total + penalty / 2 * beta @ beta, np.concatenate([slope / total + penalty * beta, to_theta / total])
-
-    theta = np.concatenate([start.beta, [start.cuts[0]], np.log(np.diff(start.cuts))]) if start else np.concatenate([np.zeros(size), [0.0, 0.0, 0.0]])
+    packed = L.pack(contests, "severity")
+    rows = packed.rows.cache()
     try:
-        theta, loss, slope = _lbfgs(evaluate, theta, tolerance, rounds)
+        theta, loss, gradient, _ = L.minimise(rows, "ordinal", len(packed.terms), np.array([penalty]), np.array([-1]), tolerance=tolerance, rounds=rounds)
     finally:
         rows.unpersist()
-    cuts = (theta[size] + np.concatenate([[0.0], np.cumsum(np.exp(theta[size + 1 :]))])).tolist()
-    return OrdinalFit(terms, theta[:size], cuts, penalty, float(np.abs(slope).max()), loss)
-
-
-def _lbfgs(evaluate, theta: np.ndarray, tolerance: float, rounds: int, memory: int = 10) -> tuple[np.ndarray, float, np.ndarray]:
-    loss, slope = evaluate(theta)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        if np.abs(slope).max() < tolerance:
-            break
-        way, kept = slope.copy(), []
-        for s, y in reversed(steps):
-            a = (s @ way) / (s @ y)
-            way -= a * y
-            kept.append(a)
-        if steps:
-            s, y = steps[-1]
-            way *= (s @ y) / (y @ y)
-        for (s, y), a in zip(steps, reversed(kept)):
-            way += s * (a - (y @ way) / (s @ y))
-        length = 1.0 if steps else min(1.0, 1 / np.abs(slope).sum())
+    return _fit(packed, theta[0], penalty, loss[0], gradient[0])
+
+
+def ordinal_path(contests: DataFrame, folds: DataFrame, penalties: list[float], k: int, tolerance: float = TOLERANCE, extensions: int = EXTENSIONS) -> OrdinalPath:
+    """Choose the penalty by cross-validation over games, then fit all rows at it.
+
+    All penalties and left-out folds are fitted side by side; a decade of penalties that is added where the best one
+    lies at a boundary (at most `extensions` times) starts from the lanes at that boundary. Of equal losses the first in
+    order of falling penalties wins.
+    """
+    packed = L.pack(with_folds(contests, folds), "severity")
+    rows, size = packed.rows.cache(), len(packed.terms)
+    known: dict[float, np.ndarray] = {}
+    told: dict[float, np.ndarray] = {}
+    try:
+        grid, new, added, start = sorted(penalties, reverse=True), sorted(penalties, reverse=True), 0, None
         while True:
-            fresh = theta - length * way
-            now, fresh_slope = evaluate(fresh)
-            if now <= loss - 1e-4 * length * (slope @ way) or length < 1e-8:
+            pairs = [(p, f) for p in new for f in range(1, k + 1)]
+            lanes, left = np.array([p for p, _ in pairs]), np.array([f for _, f in pairs])
+            begin = None if start is None else np.tile(start, (len(new), 1))
+            theta, _, gradient, _ = L.minimise(rows, "ordinal", size, lanes, left, begin, tolerance)
+            if gradient.max() >= tolerance:
+                raise ValueError(f"A fold of the ordinal path didn't converge: gradient {gradient.max()}")
+            losses = L.held_out_losses(rows, "ordinal", size, theta, left, (1e-15,))
+            for i, p in enumerate(new):
+                known[p], told[p] = theta[i * k : (i + 1) * k], losses[i * k : (i + 1) * k]
+            means = {p: float((t[:, 0] * t[:, 1]).sum() / t[:, 0].sum()) for p, t in told.items()}
+            best = min(grid, key=lambda p: (means[p], -p))
+            side = "upper" if best == grid[0] else "lower" if best == grid[-1] else None
+            if side is None or added >= extensions or len(grid) < 2:
                 break
-            length /= 2
-        if (fresh - theta) @ (fresh_slope - slope) > 1e-14:
-            steps = [*steps, (fresh - theta, fresh_slope - slope)][-memory:]
-        theta, loss, slope = fresh, now, fresh_slope
-    return theta, loss, slope
+            start = known[best]
+            longer = extend_grid(grid, side)
+            new, grid, added = [p for p in longer if p not in told], longer, added + 1
+        theta, loss, gradient, _ = L.minimise(rows, "ordinal", size, np.array([best]), np.array([-1]), known[best].mean(axis=0)[None, :], tolerance)
+    finally:
+        rows.unpersist()
+    curve = []
+    for p in grid:
+        spread = float((told[p][:, 0] * (told[p][:, 1] - means[p]) ** 2).sum() / told[p][:, 0].sum())
+        curve.append((p, means[p], (spread / (k - 1)) ** 0.5))
+    limit = next(loss_ + se for p, loss_, se in curve if p == best)
+    by_fold = [(p, f + 1, float(told[p][f, 0]), float(told[p][f, 1])) for p in grid for f in range(k)]
+    return OrdinalPath(by_fold, curve, best, max(p for p, loss_, _ in curve if loss_ <= limit), added, _fit(packed, theta[0], best, loss[0], gradient[0]))
 
 
 def coefficients_of(fit: OrdinalFit, spark) -> DataFrame:

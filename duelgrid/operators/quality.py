@@ -53,8 +53,11 @@ def matchup_quality(contests: DataFrame) -> DataFrame:
     return _long(rows.crossJoin(repeated).crossJoin(chronology))
 
 
-def play_quality(plays: DataFrame, pool: DataFrame) -> DataFrame:
-    """(rule, violations) of the play rules."""
+def play_quality(plays: DataFrame, pool: DataFrame, pool_sizes: tuple[int, int] | None = None) -> DataFrame:
+    """(rule, violations) of the play rules.
+
+    `pool_sizes` are the games that the pool must have in the training and the hold-out weeks; without it both must have one.
+    """
     c = F.col
     near = lambda a, b: F.abs(a - b) <= 1e-8
     counts = ("N_W", "N_P", "N_H", "N_S", "B", "U", "E", "P_B", "H_B", "S_B", "P_A", "H_A", "S_A", "K_B")
@@ -90,9 +93,52 @@ def play_quality(plays: DataFrame, pool: DataFrame) -> DataFrame:
     )
     repeated = plays.groupBy("game_id", "play_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("E03_unique"))
     games = pool.groupBy("game_id").agg(F.count(F.lit(1)).alias("_n"), F.max("week").alias("_week"))
-    pools = games.agg(F.count_if((c("_n") > 1) | ~c("_week").between(1, 18)).alias("E11_pool"))
-    placed = plays.select("game_id", "week").join(F.broadcast(games), "game_id", "left").agg(_count(c("week") == c("_week")).alias("E13_pool_week"))
-    return _long(rows.crossJoin(repeated).crossJoin(pools).crossJoin(placed))
+    in_train, in_test = F.count_if(c("_week") <= 15), F.count_if(c("_week") > 15)
+    off = F.abs(in_train - pool_sizes[0]) + F.abs(in_test - pool_sizes[1]) if pool_sizes else (in_train == 0).cast("long") + (in_test == 0).cast("long")
+    pools = games.agg(F.count_if((c("_n") > 1) | ~c("_week").between(1, 18)).alias("E11_pool"), off.alias("E12_pool_size"))
+    parts = plays.agg(*((F.count_if(eligible & (c("split") == part)) == 0).cast("long").alias(part) for part in ("train", "test"))).select((c("train") + c("test")).alias("E25_splits"))
+    placed = plays.select("game_id", "week").join(games, "game_id", "left").agg(_count(c("week") == c("_week")).alias("E13_pool_week"))
+    return _long(rows.crossJoin(repeated).crossJoin(pools).crossJoin(placed).crossJoin(parts))
+
+
+def folds_quality(folds: DataFrame, contests: DataFrame, k: int) -> DataFrame:
+    """(rule, violations) of a fold table: no game twice, labels 1..k all used and no others, every game of the contests placed."""
+    sizes = folds.groupBy("game_id").agg(F.count(F.lit(1)).alias("_n"))
+    labels = folds.select("fold").distinct()
+    wrong = labels.where(~F.coalesce(F.col("fold").between(1, k), F.lit(False))).agg(F.count(F.lit(1)).alias("_wrong"))
+    used = labels.where(F.col("fold").between(1, k)).agg((F.lit(k) - F.count(F.lit(1))).alias("_unused"))
+    lost = contests.select("game_id").distinct().join(sizes, "game_id", "left_anti").agg(F.count(F.lit(1)).alias("F03_games"))
+    repeated = sizes.agg(F.count_if(F.col("_n") > 1).alias("F01_unique"))
+    return _long(repeated.crossJoin(wrong.crossJoin(used).select((F.col("_wrong") + F.col("_unused")).alias("F02_labels"))).crossJoin(lost))
+
+
+def reference_quality(contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """(rule, violations) of a reference population: weights finite and positive, adding up to 1 within 1e-10 by `keys`."""
+    weight = F.col("weight")
+    good = weight.isNotNull() & ~F.isnan(weight) & (weight < float("inf")) & (weight > 0)
+    sums = contexts.groupBy(*keys).agg(F.sum("weight").alias("_sum"), F.count_if(~F.coalesce(good, F.lit(False))).alias("_bad"))
+    return _long(sums.agg(F.coalesce(F.sum("_bad"), F.lit(0)).alias("R01_positive"), _count(F.abs(F.col("_sum") - 1) <= 1e-10).alias("R02_sum")))
+
+
+def result_quality(scores: DataFrame, draws: DataFrame, chances: DataFrame, losses: DataFrame, replicates: int) -> DataFrame:
+    """(rule, violations) of results.
+
+    `scores` (model, role, player_key, method, score_type): no key twice. `draws` (and replicate_id, present_in_draw):
+    replicates 1..n, every score in each of them, the same presence in all score types of a player. `chances` (class
+    probabilities as `p_*`): finite, adding up to 1. `losses` (replicate_id, model, strength, test_rows): the same rows at
+    all strengths, so that differences are paired.
+    """
+    c = F.col
+    keys = scores.groupBy("model", "role", "player_key", "method", "score_type").agg(F.count(F.lit(1)).alias("_n")).agg(F.count_if(c("_n") > 1).alias("X01_score_key"))
+    numbers = draws.select("replicate_id").distinct().agg((F.lit(replicates) - F.count_if(c("replicate_id").between(1, replicates)) + F.count_if(~c("replicate_id").between(1, replicates))).alias("X02_replicates"))
+    held = draws.groupBy("model", "score_type", "role", "player_key").agg(F.countDistinct("replicate_id").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    grid = held.agg(F.count_if((c("_n") != replicates) | (c("_rows") != replicates)).alias("X03_grid"))
+    presence = draws.groupBy("replicate_id", "model", "role", "player_key").agg((F.min("present_in_draw") != F.max("present_in_draw")).alias("_odd")).agg(F.count_if("_odd").alias("X04_presence"))
+    parts = [c(n) for n in chances.columns if n.startswith("p_")]
+    total = sum(parts, F.lit(0.0))
+    sums = chances.agg(_count(F.abs(total - 1) <= 1e-9).alias("X05_probabilities"))
+    paired = losses.groupBy("replicate_id", "model").agg((F.min("test_rows") != F.max("test_rows")).alias("_odd")).agg(F.count_if("_odd").alias("X06_paired"))
+    return _long(keys.crossJoin(numbers).crossJoin(grid).crossJoin(presence).crossJoin(sums).crossJoin(paired))
 
 
 def enforce(violations: DataFrame) -> None:

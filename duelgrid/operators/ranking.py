@@ -17,7 +17,7 @@ def add_honours(players: DataFrame, honours: DataFrame) -> DataFrame:
     named = players.withColumn("name_norm", name_key(F.col("player_name")))
     identities = named.select("role", "name_norm", "player_key").distinct().groupBy("role", "name_norm").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
     known = honours.select("role", name_key(F.col("name")).alias("name_norm"), "first_team").groupBy("role", "name_norm").agg(F.max("first_team").alias("first_team"))
-    met = named.join(identities, ["role", "name_norm"]).join(F.broadcast(known), ["role", "name_norm"], "left")
+    met = named.join(identities, ["role", "name_norm"]).join(known, ["role", "name_norm"], "left")
     found = F.col("first_team").isNotNull()
     return met.select(
         *players.columns,
@@ -98,7 +98,7 @@ def honours_metrics(ranked: DataFrame, accolades: tuple[str, ...] = ("first_team
 
 
 def rank_agreement(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Spearman, mean and largest rank change and shared top-10 credit of two score columns by `keys`."""
+    """Spearman, mean, median and largest rank change and shared top-10 credit of two score columns by `keys`."""
     ranked = rows.select(
         *keys,
         average_rank(F.col(a), keys).alias("_ra"),
@@ -110,6 +110,7 @@ def rank_agreement(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFram
         F.count(F.lit(1)).alias("n_players"),
         guarded_correlation(F.col("_ra"), F.col("_rb")).alias("spearman"),
         F.avg(change).alias("mean_absolute_rank_change"),
+        F.percentile(change, F.lit(0.5)).alias("median_absolute_rank_change"),
         F.max(change).alias("max_absolute_rank_change"),
         F.sum("_both").alias("top10_overlap_credit"),
     )
@@ -134,6 +135,24 @@ def rank_views(players: DataFrame, methods: list[str], exposures: list[str], thr
     return ranks, rank_agreement(paired, ["role", "min_interactions", "method_a", "method_b"], "score_a", "score_b")
 
 
+def view_honours(ranks: DataFrame, labels: DataFrame, rated: DataFrame) -> DataFrame:
+    """Honours metrics of every method of `rank_views`; of the opponents only those that are rated count.
+
+    `labels` has role, player_key, is_first_team and is_any_team; `rated` the player_key of rated opponents.
+    """
+    held = ranks.join(labels.select("role", "player_key", "is_first_team", "is_any_team"), ["role", "player_key"])
+    held = held.join(rated.select("player_key", F.lit(True).alias("_rated")), "player_key", "left").where((F.col("role") == "Rusher") | F.col("_rated"))
+    rows = held.select(F.lit("win").alias("model"), "role", "min_interactions", "player_key", F.col("method").alias("comparison_id"), "score", F.lit(True).alias("comparison_eligible"), "is_first_team", "is_any_team")
+    return honours_metrics(rows).drop("model")
+
+
+def with_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Point rows with the columns of their interval; a point without an interval is an error when it is read."""
+    met = points.join(intervals.withColumn("_found", F.lit(True)), keys, "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("No interval for"), *(F.col(k).cast("string") for k in keys))).cast("boolean")
+    return met.withColumn("_found", F.when(F.col("_found").isNull(), lost).otherwise(F.col("_found"))).where("_found").drop("_found")
+
+
 def scoped_rank_intervals(draws: DataFrame, ranked: DataFrame, method: str) -> DataFrame:
     """Ranks of each draw inside each fixed cohort of `method`: their quantiles and the probability of the top 10.
 

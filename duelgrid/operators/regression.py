@@ -23,7 +23,7 @@ def gramian(design: DataFrame, target: DataFrame, row_keys: list[str], by: list[
 
 def draw_gramians(by_game: DataFrame, draws: DataFrame) -> DataFrame:
     """Gramians of all replicates at once: per-game sums times how often a replicate holds the game."""
-    return by_game.join(F.broadcast(draws), "game_id").groupBy("replicate_id", "a", "b").agg(F.sum(F.col("value") * F.col("copies")).alias("value"), F.sum(F.col("rows") * F.col("copies")).alias("rows"))
+    return by_game.join(draws, "game_id").groupBy("replicate_id", "a", "b").agg(F.sum(F.col("value") * F.col("copies")).alias("value"), F.sum(F.col("rows") * F.col("copies")).alias("rows"))
 
 
 @dataclass(frozen=True)
@@ -108,6 +108,73 @@ def fit_plays(cells: DataFrame, levels: DataFrame) -> FixedEffectsFit:
     return solve_fixed_effects([(r["a"], r["b"], r["value"]) for r in cells.select("a", "b", "value").collect()], names)
 
 
+def solve_draws(drawn: DataFrame, levels: list[str]) -> DataFrame:
+    """(replicate_id, term, coefficient, estimable, absent): the fit of every replicate's Gramian (replicate_id, a, b, value)."""
+
+    def solve(part):
+        import pandas as pd
+
+        fit = solve_fixed_effects(list(part[["a", "b", "value"]].itertuples(index=False, name=None)), levels)
+        terms = list(fit.coefficients)
+        return pd.DataFrame({"replicate_id": int(part["replicate_id"].iloc[0]), "term": terms, "coefficient": list(fit.coefficients.values()), "estimable": [fit.estimable[t] for t in terms], "absent": [t in fit.absent for t in terms]})
+
+    # one replicate's cells (terms x terms) are one group: as large as the vocabulary of levels allows, not the data
+    return drawn.groupBy("replicate_id").applyInPandas(solve, "replicate_id int, term string, coefficient double, estimable boolean, absent boolean")
+
+
+def draw_weights(fits: DataFrame) -> DataFrame:
+    """(replicate_id, cls, weight): what a class counts for in sacks; null where the sack effect isn't estimable or is 0."""
+    of = lambda t: F.max(F.when((F.col("term") == t) & F.col("estimable"), F.col("coefficient")))
+    wide = fits.groupBy("replicate_id").agg(of("N_W").alias("win"), of("N_P").alias("pressure"), of("N_S").alias("sack"))
+    ratio = lambda c: F.try_divide(F.col(c), F.col("sack"))
+    pairs = F.array(F.struct(F.lit("loss").alias("cls"), F.lit(0.0).alias("weight")), *(F.struct(F.lit(c).alias("cls"), ratio(c).alias("weight")) for c in ("win", "pressure", "sack")))
+    return wide.select("replicate_id", F.explode(pairs).alias("p")).select("replicate_id", "p.*")
+
+
+def normal_residuals(cells: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """(term, residual): sums over the rows of a term's value times what the fit leaves, over the term's length.
+
+    `cells` is a Gramian (a <= b, value), `coefficients` (term, coefficient). A least-squares fit leaves 0 at every term.
+    """
+    sides = cells.where("a <> '@y' and b <> '@y'")
+    turned = sides.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "value")
+    fitted = sides.select("a", "b", "value").unionByName(turned).join(coefficients.select(F.col("term").alias("b"), "coefficient"), "b").groupBy("a").agg(F.sum(F.col("value") * F.col("coefficient")).alias("_fitted"))
+    target = cells.where("(a = '@y') <> (b = '@y')").select(F.when(F.col("a") == "@y", F.col("b")).otherwise(F.col("a")).alias("a"), F.col("value").alias("_y"))
+    length = sides.where("a = b").select("a", F.sqrt("value").alias("_length"))
+    met = fitted.join(length, "a").join(target, "a", "left")
+    return met.select(F.col("a").alias("term"), ((F.coalesce("_y", F.lit(0.0)) - F.col("_fitted")) / F.col("_length")).alias("residual"))
+
+
+def coefficient_uncertainty(fits: DataFrame, point: DataFrame) -> DataFrame:
+    """Point, mean and quantiles of every term over the draws, and how often it was defined, estimable and absent.
+
+    `fits` has replicate_id, term, coefficient, estimable and absent, `point` term, coefficient and estimable. The identified
+    interval is given only if the term is finite and estimable in every draw and in the point.
+    """
+    from duelgrid.functions.stats import finite
+
+    known = finite(F.col("coefficient"))
+    share = lambda test: F.avg(test.cast("double"))
+    sums = fits.groupBy("term").agg(
+        F.count(F.lit(1)).alias("draws"),
+        F.avg(F.when(known, F.col("coefficient"))).alias("mean"),
+        *(F.percentile(F.when(known, F.col("coefficient")), F.lit(q)).alias(n) for q, n in ((0.025, "q025"), (0.975, "q975"))),
+        share(known).alias("defined_fraction"),
+        share(F.col("estimable")).alias("estimable_fraction"),
+        share(F.col("absent")).alias("absent_fraction"),
+    )
+    met = sums.join(point.select("term", F.col("coefficient").alias("point"), F.col("estimable").alias("point_estimable")), "term", "left")
+    whole = (F.col("defined_fraction") == 1) & (F.col("estimable_fraction") == 1) & F.coalesce("point_estimable", F.lit(False))
+    return met.select("*", F.when(whole, F.col("q025")).alias("identified_q025"), F.when(whole, F.col("q975")).alias("identified_q975"))
+
+
+def coefficient_covariance(fits: DataFrame, terms: list[str]) -> DataFrame:
+    """(a, b, covariance) over the draws of the given terms, a <= b; pairs are made inside one draw's row."""
+    held = fits.where(F.col("term").isin(*terms)).groupBy("replicate_id").agg(F.array_sort(F.collect_list(F.struct("term", "coefficient"))).alias("x"))
+    first = held.select("x", F.posexplode("x").alias("_i", "_a")).select("_a", F.explode(F.slice("x", F.col("_i") + 1, F.size("x"))).alias("_b"))
+    return first.groupBy(F.col("_a.term").alias("a"), F.col("_b.term").alias("b")).agg(F.covar_samp("_a.coefficient", "_b.coefficient").alias("covariance"))
+
+
 def prediction_metrics(rows: DataFrame, primary: str, baseline: str, y: str, weight: str) -> DataFrame:
     """Weighted MSE and MAE of two predictions, the improvement, its percentage (null for a zero baseline) and sizes."""
     w = F.col(weight)

@@ -31,4 +31,4 @@ def bootstrap_draws(pool: DataFrame, draws: int, seed: int, scope: str = "valida
     tries = replicates.crossJoin(F.broadcast(sizes)).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     picked = tries.select("part", "replicate_id", F.pmod(hash_number(F.lit(seed), F.lit(scope), F.col("part"), F.col("replicate_id"), F.col("_j")), F.col("_n")).cast("int").alias("_at"))
     counted = picked.groupBy("part", "replicate_id", "_at").agg(F.count(F.lit(1)).alias("copies"))
-    return counted.join(F.broadcast(placed), ["part", "_at"]).select(F.lit(scope).alias("scope"), "replicate_id", "game_id", "copies")
+    return counted.join(placed, ["part", "_at"]).select(F.lit(scope).alias("scope"), "replicate_id", "game_id", "copies")

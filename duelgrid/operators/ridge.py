@@ -1,19 +1,28 @@
-"""Ridge paired-comparison fits with MLlib and cross-validation by game."""
+"""Ridge paired-comparison fits with MLlib; cross-validation by game with all penalties and folds side by side."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelgrid.operators import lanes as L
+from duelgrid.operators.baselines import with_folds
 from duelgrid.operators.contests import classes_of, model_sample
-from duelgrid.operators.design import center_coefficients, matchup_design
+from duelgrid.operators.design import center_coefficients
 from duelgrid.params import Params
 
+#: The largest gradient of a finished fit, and of a lane of the cross-validation.
+FINISHED, LANE_TOLERANCE = 1e-3, 1e-6
+#: Clips of the probabilities under which held-out losses are told.
+CLIPS = (1e-15, 1e-5)
+
 
 @dataclass
 class RidgeFit:
@@ -24,66 +33,112 @@ class RidgeFit:
     curve: list[tuple[float, float, float]]
     boundary: bool
     status: str = "complete"
+    #: Largest absolute gradient of the penalised mean loss.
+    gradient: float = float("nan")
+    #: (fold, rows, loss under each clip) of the fold fits at the chosen penalty.
+    folds: list[tuple] = field(default_factory=list)
 
 
-def term_table(design: DataFrame) -> list[str]:
-    """All terms of a design, in order; as long as the vocabulary."""
-    return [r["term"] for r in design.select("term").distinct().orderBy("term").collect()]
+def _keys(rows: DataFrame, column: Column) -> list[str]:
+    """The players of a role, in order; as long as the vocabulary."""
+    return [r["k"] for r in rows.select(F.explode(column).alias("k")).distinct().orderBy("k").collect()]
 
 
-def vectors(contests: DataFrame, model: str, weight: Column | None = None, roles: tuple[str, ...] = ("rusher", "blocker"), terms: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Distinct design rows and outcomes of a model with their weights, as sparse vectors.
+def vectors(contests: DataFrame, model: str, weight: Column | None = None, roles: tuple[str, ...] = ("rusher", "blocker")) -> tuple[DataFrame, list[str], np.ndarray]:
+    """(label, weight, features) of the distinct design rows of a model, the terms, and the sign of each term's column.
 
-    Contests with the same players, help, class and game fold are one weighted row: the loss is the same and the
-    solver reads fewer rows.
+    Contests with the same players, help and class are one weighted row: the loss is the same and the solver reads
+    fewer rows. Opponents enter as 1 / group size (a count vector over its sum); the model's minus is their sign.
     """
     rows = model_sample(contests, model)
     label = F.col("win_target").cast("int").cast("string") if model == "win" else F.col("severity_outcome")
-    fold = [c for c in ("fold",) if c in rows.columns]
-    keys = ["cls", "rusher_key", "blocker_keys", "double_team", "double_team_unknown", *fold]
+    keys = ["cls", "rusher_key", "blocker_keys", "double_team", "double_team_unknown"]
     grouped = rows.withColumn("cls", label).withColumn("blocker_keys", F.array_sort("blocker_keys")).groupBy(*keys).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("weight")).where("weight > 0")
-    grouped = grouped.withColumn("row_id", F.xxhash64(*[F.col(k) for k in keys]))
-    design = matchup_design(grouped, ["row_id"], roles)
-    terms = term_table(design) if terms is None else terms
-    index = {t: i for i, t in enumerate(terms)}
-    names = grouped.sparkSession.createDataFrame(list(index.items()), "term string, at int")
-    packed = design.join(F.broadcast(names), "term").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
-    size = len(terms)
-    as_vector = F.udf(lambda x: Vectors.sparse(size, [int(e["at"]) for e in x], [float(e["value"]) for e in x]), VectorUDT())
-    label_index = F.array_position(F.array(*(F.lit(c) for c in classes_of(model))), F.col("cls")).cast("double") - 1
-    return grouped.join(packed, "row_id").select(*fold, "weight", label_index.alias("label"), as_vector("x").alias("features")), terms
+    grouped = grouped.withColumn("rusher_keys", F.array("rusher_key"))
+    inputs, terms, signs = [], [], []
+    for role, column, sign in (("rusher", "rusher_keys", 1.0), ("blocker", "blocker_keys", -1.0)):
+        known = _keys(grouped, F.col(column)) if role in roles else []
+        if known:
+            counted = CountVectorizerModel.from_vocabulary(known, inputCol=column, outputCol=f"_{role}_n").transform(grouped)
+            grouped = Normalizer(p=1.0, inputCol=f"_{role}_n", outputCol=f"_{role}").transform(counted)
+            inputs.append(f"_{role}")
+            terms += [f"{role}::{k}" for k in known]
+            signs += [sign] * len(known)
+    used = grouped.agg(*(F.max(f).alias(f) for f in ("double_team", "double_team_unknown"))).first()
+    for flag in ("double_team", "double_team_unknown"):
+        if used[flag]:
+            inputs.append(flag)
+            terms.append(flag)
+            signs.append(1.0)
+    packed = VectorAssembler(inputCols=inputs, outputCol="features").transform(grouped) if inputs else grouped
+    index = F.array_position(F.array(*(F.lit(c) for c in classes_of(model))), F.col("cls")).cast("double") - 1
+    return packed.select("weight", index.alias("label"), *(["features"] if inputs else [])), terms, np.array(signs)
 
 
 def _estimator(model: str, penalty: float, params: Params) -> LogisticRegression:
     return LogisticRegression(family="binomial" if model == "win" else "multinomial", regParam=penalty, elasticNetParam=0.0, standardization=False, weightCol="weight", tol=params.tolerance, maxIter=500)
 
 
-def _loss(fitted, rows: DataFrame, clip: float) -> tuple[float, float]:
-    chance = F.element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int"))
-    row = fitted.transform(rows).agg(F.sum(-F.log(F.greatest(chance, F.lit(clip))) * F.col("weight")).alias("s"), F.sum("weight").alias("w")).first()
-    return (row["s"] / row["w"], row["w"]) if row["w"] else (0.0, 0.0)
-
-
-def _long(spark, fitted, model: str, terms: list[str]) -> DataFrame:
-    rows = []
+def _tables(fitted, model: str) -> tuple[np.ndarray, np.ndarray]:
+    """([class, column] coefficients, [class] intercepts) of the classes with a predictor of their own."""
     if model == "win":
-        rows += [(model, t, "1", float(v)) for t, v in zip(terms, fitted.coefficients.toArray())] + [(model, "(Intercept)", "1", float(fitted.intercept))]
-    else:
-        for c, name in enumerate(classes_of(model)):
-            rows += [(model, t, name, float(v)) for t, v in zip(terms, fitted.coefficientMatrix.toArray()[c])] + [(model, "(Intercept)", name, float(fitted.interceptVector[c]))]
+        return fitted.coefficients.toArray()[None, :], np.array([fitted.intercept])
+    return fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+
+
+def largest_gradient(fitted, rows: DataFrame, model: str, penalty: float) -> float:
+    """The largest absolute slope of the penalised mean loss at the fit: sums of features weighed by chance less outcome."""
+    beta, _ = _tables(fitted, model)
+    held = fitted.transform(rows).withColumn("_p", vector_to_array("probability"))
+    sums, places = [F.sum("weight").alias("w")], [1] if model == "win" else range(len(beta))
+    for i, c in enumerate(places):
+        chance, own = F.col("weight") * F.col("_p")[c], F.col("weight") * (F.col("label") == c).cast("double")
+        sums += [Summarizer.metrics("sum").summary(F.col("features"), chance).alias(f"p{i}"), Summarizer.metrics("sum").summary(F.col("features"), own).alias(f"y{i}"), F.sum(chance).alias(f"cp{i}"), F.sum(own).alias(f"cy{i}")]
+    row = held.agg(*sums).first()
+    most = 0.0
+    for i in range(len(places)):
+        slope = (row[f"p{i}"]["sum"].toArray() - row[f"y{i}"]["sum"].toArray()) / row["w"] + penalty * beta[i]
+        most = max(most, float(np.abs(slope).max(initial=0.0)), abs(row[f"cp{i}"] - row[f"cy{i}"]) / row["w"])
+    return most
+
+
+def _long(spark, fitted, model: str, terms: list[str], signs: np.ndarray) -> DataFrame:
+    beta, constants = _tables(fitted, model)
+    rows = []
+    for name, values, constant in zip(("1",) if model == "win" else classes_of(model), beta, constants):
+        rows += [(model, t, name, float(v)) for t, v in zip(terms, values * signs)] + [(model, "(Intercept)", name, float(constant))]
     return center_coefficients(spark.createDataFrame(rows, "model string, term string, cls string, coefficient double"))
 
 
-def cross_validate(rows: DataFrame, model: str, penalties: list[float], folds: int, params: Params) -> list[tuple[float, float, float]]:
-    """(penalty, loss, standard error): row-weighted fold means; every fit is a distributed job on the shared rows."""
-    curve = []
-    for penalty in penalties:
-        parts = [_loss(_estimator(model, penalty, params).fit(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k), params.clip) for k in range(1, folds + 1)]
-        total = sum(w for _, w in parts)
-        mean = sum(v * w for v, w in parts) / total
-        spread = sum(w * (v - mean) ** 2 for v, w in parts) / total
+def check_classes(packed: L.Packed, folds: int) -> None:
+    """Every class must occur in every training part of the cross-validation."""
+    labels = range(len(classes_of(packed.model)))
+    found = {(r["label"], r["fold"]) for r in packed.rows.select("label", "fold").distinct().collect()}
+    for k in range(1, folds + 1):
+        lost = [classes_of(packed.model)[c] for c in labels if not any(label == c and fold != k for label, fold in found)]
+        if lost:
+            raise ValueError(f"No {', '.join(lost)} outside fold {k}")
+
+
+def cross_validate(packed: L.Packed, penalties: list[float], folds: int) -> tuple[list[tuple[float, float, float]], dict[float, list[tuple]]]:
+    """((penalty, loss, standard error) by penalty, (fold, rows, losses under CLIPS) by penalty).
+
+    Each penalty and left-out fold is a lane of one fit; the loss of a penalty is the row-weighted mean over folds.
+    """
+    kind, size = packed.model, len(packed.terms)
+    pairs = [(p, k) for p in penalties for k in range(1, folds + 1)]
+    lanes, left = np.array([p for p, _ in pairs]), np.array([k for _, k in pairs])
+    theta, _, _, _ = L.minimise(packed.rows, kind, size, lanes, left, tolerance=LANE_TOLERANCE)
+    told = L.held_out_losses(packed.rows, kind, size, theta, left, CLIPS)
+    curve, parts = [], {}
+    for at, penalty in enumerate(penalties):
+        here = told[at * folds : (at + 1) * folds]
+        rows, loss = here[:, 0], here[:, 1]
+        mean = float((rows * loss).sum() / rows.sum())
+        spread = float((rows * (loss - mean) ** 2).sum() / rows.sum())
         curve.append((penalty, mean, (spread / (folds - 1)) ** 0.5))
-    return curve
+        parts[penalty] = [(k + 1, *map(float, here[k])) for k in range(folds)]
+    return curve, parts
 
 
 def best_penalty(curve: list[tuple[float, float, float]]) -> float:
@@ -98,24 +153,47 @@ def one_se_penalty(curve: list[tuple[float, float, float]]) -> float:
     return max(p for p, loss, _ in curve if loss <= low + se)
 
 
+def refit_folds(contests: DataFrame, model: str, folds: DataFrame, penalty: float, saved_loss: float | None = None, params: Params = Params(), tolerance: float = 1e-6) -> list[tuple]:
+    """(fold, rows, losses under CLIPS) of the fold fits at one penalty; their mean must agree with the saved curve's."""
+    packed = L.pack(with_folds(contests, folds), model)
+    rows = packed.rows.cache()
+    try:
+        curve, parts = cross_validate(L.Packed(rows, packed.terms, model), [penalty], params.folds)
+    finally:
+        rows.unpersist()
+    if saved_loss is not None and abs(curve[0][1] - saved_loss) > tolerance:
+        raise ValueError(f"Fold losses of {model} ({curve[0][1]}) don't agree with the saved curve ({saved_loss})")
+    return parts[penalty]
+
+
 def fit_model(contests: DataFrame, model: str, folds: DataFrame | None = None, penalties: list[float] | None = None, fixed: float | None = None, params: Params = Params(), weight: Column | None = None, roles: tuple[str, ...] = ("rusher", "blocker")) -> RidgeFit:
     """Fit at a fixed penalty, or at the one that cross-validation by game prefers; centred coefficients in long form.
 
-    A class that doesn't occur gives the status `nonestimable` and no coefficients.
+    A class that doesn't occur gives the status `nonestimable` and no coefficients; a fit whose gradient stays above
+    FINISHED has the status `unconverged`. Copies of a game (`weight`) follow its fold.
     """
-    spark = contests.sparkSession
-    rows, terms = vectors(contests.join(F.broadcast(folds), "game_id") if folds is not None and fixed is None else contests, model, weight, roles)
+    spark, curve, parts = contests.sparkSession, [], {}
+    if fixed is None:
+        penalties = penalties or params.penalty_grid()
+        packed = L.pack(with_folds(contests, folds), model, weight, roles)
+        held = packed.rows.cache()
+        try:
+            packed = L.Packed(held, packed.terms, model)
+            check_classes(packed, params.folds)
+            curve, parts = cross_validate(packed, penalties, params.folds)
+        finally:
+            held.unpersist()
+        fixed = best_penalty(curve)
+    rows, terms, signs = vectors(contests, model, weight, roles)
     rows = rows.cache()
     try:
         if rows.select("label").distinct().count() < len(classes_of(model)):
             empty = spark.createDataFrame([], "model string, term string, cls string, coefficient double")
-            return RidgeFit(model, terms, empty, fixed or float("nan"), [], False, "nonestimable")
-        curve = []
-        if fixed is None:
-            penalties = penalties or params.penalty_grid()
-            curve = cross_validate(rows, model, penalties, params.folds, params)
-            fixed = best_penalty(curve)
+            return RidgeFit(model, terms, empty, fixed, [], False, "nonestimable")
         fitted = _estimator(model, fixed, params).fit(rows)
-        return RidgeFit(model, terms, _long(spark, fitted, model, terms), fixed, curve, bool(curve) and fixed in (max(penalties), min(penalties)))
+        gradient = largest_gradient(fitted, rows, model, fixed)
+        status = "complete" if gradient <= max(FINISHED, params.tolerance) else "unconverged"
+        boundary = bool(curve) and fixed in (max(penalties), min(penalties))
+        return RidgeFit(model, terms, _long(spark, fitted, model, terms, signs), fixed, curve, boundary, status, gradient, parts.get(fixed, []))
     finally:
         rows.unpersist()

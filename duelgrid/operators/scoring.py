@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from duelgrid.functions.scalars import logistic, ordinal_probabilities, softmax
 from duelgrid.operators.baselines import signed
 from duelgrid.operators.contests import classes_of, reference_contexts
 
+#: Players that are broadcast together at most, about.
+BLOCK_PLAYERS = 100_000
+
 
 def predictors(model: str, ordinal: bool = False) -> tuple[str, ...]:
     """Classes with a linear predictor of their own: one for binary and proportional-odds models."""
@@ -32,7 +37,7 @@ def context_base(contests: DataFrame, coefficients: DataFrame, model: str, role:
     opponents = contexts.select("opponents").distinct().select("opponents", F.explode(F.filter(F.split("opponents", r"\|"), lambda k: k != "")).alias("blocker_key"))
     blockers = _wide(coefficients, model, classes, "blocker", "blocker_key")
     sums = [F.sum(F.get("blocker_key_beta", F.lit(i))).alias(f"s{i}") for i in range(len(classes))]
-    total = opponents.join(F.broadcast(blockers), "blocker_key").groupBy("opponents").agg(F.count(F.lit(1)).alias("k"), *sums)
+    total = opponents.join(blockers, "blocker_key").groupBy("opponents").agg(F.count(F.lit(1)).alias("k"), *sums)
     rows = contexts.join(total, "opponents", "left")
     plain = coefficients.where(F.col("model") == model).where(F.col("term").isin("(Intercept)", "double_team", "double_team_unknown"))
     fixed = plain.agg(*(F.sum(F.when((F.col("term") == t) & (F.col("cls") == c), F.col("coefficient")).otherwise(0.0)).alias(f"{n}{i}") for n, t in (("c", "(Intercept)"), ("d", "double_team"), ("u", "double_team_unknown")) for i, c in enumerate(classes)))
@@ -42,34 +47,45 @@ def context_base(contests: DataFrame, coefficients: DataFrame, model: str, role:
         base = [shared[i] - F.coalesce(F.col(f"s{i}") / F.col("k"), F.lit(0.0)) for i in range(len(classes))]
         scale = F.lit(1.0)
     else:
-        rows = rows.join(F.broadcast(_wide(coefficients, model, classes, "rusher", "rusher_key")), "rusher_key")
+        rows = rows.join(_wide(coefficients, model, classes, "rusher", "rusher_key"), "rusher_key")
         base = [shared[i] + F.get("rusher_key_beta", F.lit(i)) - F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / F.col("group_size") for i in range(len(classes))]
         scale = -1.0 / F.col("group_size")
     return rows.select(*(b.alias(f"b{i}") for i, b in enumerate(base)), scale.alias("scale"), "weight")
 
 
-def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str, role: str, weights: tuple[float, ...], share: float = 1.0, cuts: list[float] | None = None) -> DataFrame:
+def meet_players(contexts: DataFrame, players: DataFrame) -> DataFrame:
+    """Every context with every player; players are broadcast in blocks of at most BLOCK_PLAYERS, however many there are."""
+    blocks = max(1, -(-players.count() // BLOCK_PLAYERS))
+    if blocks == 1:
+        return contexts.crossJoin(F.broadcast(players))
+    number = F.pmod(F.xxhash64("player_key"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (contexts.crossJoin(F.broadcast(players.where(number == i))) for i in range(blocks)))
+
+
+def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str, role: str, weights: tuple[float, ...], share: float = 1.0, cuts: list[float] | None = None, chances: bool = False, reference: DataFrame | None = None) -> DataFrame:
     """Scores of every player of a role: own coefficient and the expected outcome over all reference contexts.
 
-    Contexts with the same base and scale are one weighted row before the players meet them. The players (a dimension
-    as long as the vocabulary of the role) are broadcast to the contexts and summed map-side, so what is shuffled is
-    players x partitions. With `cuts` the model is the proportional-odds one (one linear predictor).
+    Contexts with the same base and scale are one weighted row before the players meet them. The players of the role
+    are broadcast to the contexts (in blocks, `meet_players`) and summed map-side, so what is shuffled is
+    players x partitions. With `cuts` the model is the proportional-odds one (one linear predictor). `chances` adds the
+    mean probability of every class. `reference` are the contests whose contexts are the population, if not `contests`.
     """
+    contests = contests if reference is None else reference
     ordinal = cuts is not None
     classes = predictors(model, ordinal)
     names = [f"b{i}" for i in range(len(classes))]
     base = context_base(contests, coefficients, model, role, classes).groupBy(*names, "scale").agg(F.sum("weight").alias("weight"))
     key = "rusher_key" if role == "Rusher" else "blocker_key"
     players = _wide(coefficients, model, classes, role.lower(), key).withColumnRenamed(key, "player_key")
-    met = base.crossJoin(F.broadcast(players))
+    met = meet_players(base, players)
     eta = [F.col(n) + F.col("scale") * F.get(f"{key}_beta", F.lit(i)) for i, n in enumerate(names)]
     if ordinal:
-        chances = ordinal_probabilities(eta[0], cuts)
+        each = ordinal_probabilities(eta[0], cuts)
     elif model == "win":
-        chances = [logistic(eta[0])]
+        each = [logistic(eta[0])]
     else:
-        chances = softmax(eta)
-    sums = met.groupBy("player_key").agg(F.first(f"{key}_beta").alias("own"), *(F.sum(F.col("weight") * p).alias(f"p{i}") for i, p in enumerate(chances)))
+        each = softmax(eta)
+    sums = met.groupBy("player_key").agg(F.first(f"{key}_beta").alias("own"), *(F.sum(F.col("weight") * p).alias(f"p{i}") for i, p in enumerate(each)))
     if model == "win":
         value, credited, own = F.col("p0"), F.lit(None).cast("double"), F.get("own", F.lit(0))
     else:
@@ -87,4 +103,5 @@ def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str
         value.alias("expected_outcome"),
         signed(model_column, role_column, value).alias("score"),
         F.when(F.lit(model != "win"), signed(model_column, role_column, credited)).alias("credited_score"),
+        *((F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(classes_of(model)[-len(each) :])) if chances else ()),
     )

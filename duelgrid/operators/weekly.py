@@ -54,7 +54,7 @@ def weekly_availability(contests: DataFrame, draws: DataFrame, last_week: int =
     """
     by_game = participations(observations(contests)).groupBy("model", "role", "player_key", "week", "game_id").agg(F.count(F.lit(1)).alias("n"))
     observed = _cumulate(by_game.groupBy("model", "role", "player_key", "week").agg(F.sum("n").alias("observed")), ["model", "role", "player_key"], ["observed"], last_week)
-    sampled = by_game.join(F.broadcast(draws), "game_id").groupBy("replicate_id", "model", "role", "player_key", "week").agg(F.sum(F.col("n") * F.col("copies")).alias("sampled"))
+    sampled = by_game.join(draws, "game_id").groupBy("replicate_id", "model", "role", "player_key", "week").agg(F.sum(F.col("n") * F.col("copies")).alias("sampled"))
     sampled = _cumulate(sampled, ["replicate_id", "model", "role", "player_key"], ["sampled"], last_week)
     replicates = draws.select("replicate_id").distinct()
     met = observed.crossJoin(F.broadcast(replicates)).join(sampled, ["replicate_id", "model", "role", "player_key", "week"], "left").fillna({"sampled": 0})
@@ -83,3 +83,14 @@ def weekly_intervals(values: DataFrame, keys: list[str], value: str, expected: i
 def weekly_report(intervals: DataFrame) -> DataFrame:
     """Players, complete intervals and absent draws by week, model and role."""
     return intervals.groupBy("week", "model", "role").agg(F.count(F.lit(1)).alias("players"), F.count_if(F.col("interval_status") == "complete").alias("complete_intervals"))
+
+
+def absence_counts(availability: DataFrame, planned: int) -> DataFrame:
+    """Draws in which a player has no row up to a week, and draws planned, by week, model, role and player."""
+    return availability.groupBy("week", "model", "role", "player_key").agg((F.lit(planned) - F.count_if("present_in_draw")).alias("absent_draws"), F.lit(planned).cast("long").alias("planned_draws"))
+
+
+def exposed(scores: DataFrame, contests: DataFrame, week: int) -> DataFrame:
+    """The scores of players with a row of the model up to a week, with their interactions."""
+    seen = participations(observations(contests.where(F.col("week") <= week))).groupBy("model", "role", "player_key").agg(F.count(F.lit(1)).alias("interactions"))
+    return scores.join(seen, ["model", "role", "player_key"])

@@ -258,13 +258,13 @@ def _rounded(columns: str) -> str:
 
 
 def agreement(rows: str, keys: str, a: str, b: str) -> str:
-    return f"""SELECT {keys}, count(*) AS n_players, {r(correlation("ra", "rb"))} AS spearman, {r("avg(abs(ra - rb))")} AS mean_absolute_rank_change, {r("max(abs(ra - rb))")} AS max_absolute_rank_change,
+    return f"""SELECT {keys}, count(*) AS n_players, {r(correlation("ra", "rb"))} AS spearman, {r("avg(abs(ra - rb))")} AS mean_absolute_rank_change, {r("quantile_cont(abs(ra - rb)::DOUBLE, 0.5)")} AS median_absolute_rank_change, {r("max(abs(ra - rb))")} AS max_absolute_rank_change,
         {r("sum(shared)")} AS top10_overlap_credit FROM (SELECT {keys}, {average_rank(a, keys)} AS ra, {average_rank(b, keys)} AS rb, least({top_credit(a, keys)}, {top_credit(b, keys)}) AS shared FROM {rows}) GROUP BY {keys}"""
 
 
 VIOLATIONS = {
     "matchup": "V02_identity V03_members V04_names V05_group_size V06_flags V07_help V08_outcomes V09_eligible_flag V10_eligible_graded V11_pressure_flag V12_category V13_final_graded V14_credit V15_unique V16_chronology V17_order".split(),
-    "play": "E02_identity E04_week E05_split E06_counts E07_complete E08_eligible_complete E09_penalty E10_reason E14_context E15_hits E16_unknown E17_participants E18_down E19_defence E20_sign E21_integers E22_sack E23_sums E24_losses E03_unique E11_pool E13_pool_week".split(),
+    "play": "E02_identity E04_week E05_split E06_counts E07_complete E08_eligible_complete E09_penalty E10_reason E14_context E15_hits E16_unknown E17_participants E18_down E19_defence E20_sign E21_integers E22_sack E23_sums E24_losses E03_unique E11_pool E12_pool_size E13_pool_week E25_splits".split(),
 }
 MATCHUP_TESTS = {
     "V02_identity": "game_id IS NULL OR rusher_name IS NULL", "V07_help": "double_team + double_team_unknown > 1", "V08_outcomes": "win_target NOT IN (0, 1)", "V10_eligible_graded": "eligible = 1 AND win_target IS NULL",
@@ -320,8 +320,36 @@ SOURCES = {
     "rank_views": f"""WITH m AS (SELECT role, min_interactions, player_key, method, score FROM view_rows, LATERAL (VALUES ('literal_rate', literal_rate), ('raw', raw), ('shrunken', shrunken)) e(method, score))
         SELECT *, {r(average_rank("score", "role, min_interactions, method"))} AS rank, count(*) OVER (PARTITION BY role, min_interactions, method) AS n_players FROM m""",
     "rank_view_pairs": agreement("(SELECT v.*, e.* FROM view_rows v, LATERAL (VALUES ('literal_rate', 'raw', literal_rate, raw), ('literal_rate', 'shrunken', literal_rate, shrunken), ('raw', 'shrunken', raw, shrunken)) e(method_a, method_b, sa, sb))", "role, min_interactions, method_a, method_b", "sa", "sb"),
-    "ranking_stability": agreement(f"""(SELECT s.model, s.role, t.min_interactions, s.strength_label, {r("s.score")} AS score, {r("o.score")} AS original FROM prof_score s
-        JOIN prof_score o ON o.model = s.model AND o.role = s.role AND o.player_key = s.player_key AND o.strength = CASE WHEN s.model = 'win' THEN 2 ELSE 10 END JOIN thresholds t ON s.interactions >= t.min_interactions WHERE s.interactions > 0 AND s.score IS NOT NULL AND o.score IS NOT NULL)""", "model, role, min_interactions, strength_label", "score", "original"),
+    "ranking_stability": agreement(f"""(SELECT s.model, s.role, t.min_interactions, s.strength_label, o.comparator, {r("s.score")} AS score, o.score AS original FROM prof_score s
+        JOIN (SELECT model, role, player_key, 'original' AS comparator, {r("score")} AS score FROM prof_score WHERE strength = CASE WHEN model = 'win' THEN 2 ELSE 10 END
+              UNION ALL SELECT model, role, player_key, 'model', {r("CASE WHEN role = 'Rusher' THEN v WHEN model = 'win' THEN 1 - v ELSE -v END")} FROM (SELECT *, CASE WHEN model = 'win' THEN p1 ELSE 0.25 * p_win + 0.5 * p_pressure + p_sack END AS v FROM std)) o
+        ON o.model = s.model AND o.role = s.role AND o.player_key = s.player_key JOIN thresholds t ON s.interactions >= t.min_interactions WHERE s.interactions > 0 AND s.score IS NOT NULL AND o.score IS NOT NULL)""", "model, role, min_interactions, strength_label, comparator", "score", "original"),
+    "folds_quality": "SELECT 'F01_unique' AS rule, (SELECT count(*) FROM (SELECT game_id FROM folds GROUP BY 1 HAVING count(*) > 1)) AS violations UNION ALL SELECT 'F02_labels', (SELECT 5 - count(DISTINCT fold) FROM folds) UNION ALL SELECT 'F03_games', (SELECT count(DISTINCT game_id) FROM contest WHERE game_id NOT IN (SELECT game_id FROM folds))",
+    "reference_quality": "SELECT 'R01_positive' AS rule, (SELECT count(*) FROM obs_n WHERE n <= 0) AS violations UNION ALL SELECT 'R02_sum', (SELECT count(*) FROM (SELECT model, sum(1.0::DOUBLE / n) AS s FROM obs JOIN obs_n USING (model) GROUP BY model) WHERE abs(s - 1) > 1e-10)",
+    "result_quality": f"""SELECT 'X01_score_key' AS rule, (SELECT count(*) FROM (SELECT 1 FROM base GROUP BY model, role, player_key, method, score_type HAVING count(*) > 1)) AS violations UNION ALL SELECT 'X02_replicates', (SELECT {DRAWS} - count(DISTINCT replicate_id) FROM rate)
+        UNION ALL SELECT 'X03_grid', (SELECT count(*) FROM (SELECT 1 FROM rate GROUP BY model, score_type, role, player_key HAVING count(*) <> {DRAWS})) UNION ALL SELECT 'X04_presence', (SELECT count(*) FROM (SELECT 1 FROM rate GROUP BY replicate_id, model, role, player_key HAVING min(present) <> max(present)))
+        UNION ALL SELECT 'X05_probabilities', (SELECT count(*) FROM pred WHERE abs(p_loss + p_win + p_pressure + p_sack - 1) > 1e-9) UNION ALL SELECT 'X06_paired', (SELECT count(*) FROM (SELECT 1 FROM draw_loss GROUP BY replicate_id, model HAVING min(test_rows) <> max(test_rows)))""",
+    "rating_table": f"""WITH x AS (SELECT *, {top_credit("score", "replicate_id, model, score_type, role")} AS tc FROM rate), y AS (SELECT model, score_type, role, player_key, quantile_cont(score, 0.025) AS lo, quantile_cont(score, 0.975) AS hi, avg(tc) AS top FROM x GROUP BY ALL)
+        SELECT b.model, b.score_type, b.role, b.player_key, b.role_interactions, b.score, {r("lo")} AS q025, {r("hi")} AS q975, {r("top")} AS top10_probability FROM base b JOIN y ON y.model = b.model AND y.score_type = b.score_type AND y.role = b.role AND y.player_key = b.player_key WHERE method = 'shrunken'""",
+    "rank_view_honours": f"""WITH m AS (SELECT role, min_interactions, player_key, comparison_id, score FROM view_rows, LATERAL (VALUES ('literal_rate', literal_rate), ('raw', raw), ('shrunken', shrunken)) e(comparison_id, score)),
+        x AS (SELECT m.*, e.accolade, CASE e.accolade WHEN 'first_team' THEN is_first_team ELSE is_any_team END AS label FROM m JOIN labelled l ON l.role = m.role AND l.player_key = m.player_key CROSS JOIN (VALUES ('first_team'), ('any_team')) e(accolade)
+              WHERE m.role = 'Rusher' OR m.player_key IN (SELECT o.player_key FROM contest c JOIN opponent o ON o.play_id = c.play_id WHERE rated_ol = 1)), y AS (SELECT *, CASE WHEN label IS NOT NULL THEN score END AS known FROM x),
+        z AS (SELECT *, {average_rank("known", "role, min_interactions, comparison_id, accolade", "ASC")} AS up, {top_credit("known", "role, min_interactions, comparison_id, accolade")} AS credit FROM y)
+        SELECT role, min_interactions, comparison_id, accolade, count(*) AS n_players, count(*) FILTER (WHERE label) AS n_positive, count(*) FILTER (WHERE label IS NULL) AS n_unresolved, {r("coalesce(sum(credit) FILTER (WHERE label), 0)")} AS positives_among_top10,
+        {r("CASE WHEN count(*) FILTER (WHERE label) > 0 AND count(*) FILTER (WHERE NOT label) > 0 THEN (sum(up) FILTER (WHERE label) - count(*) FILTER (WHERE label) * (count(*) FILTER (WHERE label) + 1) / 2.0) / (count(*) FILTER (WHERE label) * count(*) FILTER (WHERE NOT label)) END")} AS auc FROM z GROUP BY ALL""",
+    "tuned_baseline_table": f"""WITH s AS (SELECT model, baseline, CASE WHEN baseline = 'training_cv_selected' THEN baseline ELSE {LABEL} END AS comparison, count(*) AS n_boot, {r("avg(gain)")} AS improvement_mean, {r("quantile_cont(gain, 0.025)")} AS improvement_q025, {r("quantile_cont(gain, 0.975)")} AS improvement_q975,
+        {r("avg(percent)")} AS percent_improvement_mean, {r("quantile_cont(percent, 0.025)")} AS percent_improvement_q025, {r("quantile_cont(percent, 0.975)")} AS percent_improvement_q975 FROM tuned GROUP BY ALL),
+        m AS (SELECT model, strength, sum(loss * test_rows) / sum(test_rows) AS cv FROM fold_loss GROUP BY ALL), b AS (SELECT model, max(strength) AS chosen FROM m WHERE cv <= (SELECT min(cv) FROM m x WHERE x.model = m.model) + 1e-12 GROUP BY model),
+        p AS (SELECT g.model, k.baseline, CASE WHEN k.baseline = 'training_cv_selected' THEN k.baseline ELSE {LABEL.replace("strength", "g.strength")} END AS comparison, g.loss - f.loss AS gain, 100 * (g.loss - f.loss) / g.loss AS percent FROM grid_loss g
+              JOIN (SELECT model, loss FROM grid_loss WHERE strength = {FIXED}) f ON f.model = g.model JOIN b ON b.model = g.model JOIN (VALUES ('fixed_grid'), ('training_cv_selected')) k(baseline) ON k.baseline = 'fixed_grid' OR g.strength = b.chosen)
+        SELECT s.*, {r("p.gain")} AS improvement, {r("p.percent")} AS percent_improvement FROM p JOIN s ON s.model = p.model AND s.baseline = p.baseline AND s.comparison = p.comparison""",
+    "weekly_absence": "SELECT week, model, role, player_key, 5 - count(*) FILTER (WHERE present_in_draw) AS absent_draws, 5::BIGINT AS planned_draws FROM avail GROUP BY ALL",
+    "play_fit_residual": "SELECT DISTINCT term, 0.0::DOUBLE AS residual FROM design WHERE split = 'train'",
+    "epa_sensitivity_check": """WITH t AS (SELECT * FROM play WHERE eligible AND split = 'train'), lv AS (SELECT (SELECT count(DISTINCT qb) FROM t WHERE NOT penalty) + (SELECT count(DISTINCT defteam) FROM t WHERE NOT penalty) AS kept, (SELECT count(DISTINCT qb) FROM t) + (SELECT count(DISTINCT defteam) FROM t) AS every)
+        SELECT k.kind, CASE WHEN k.kind = 'no_penalty' THEN (SELECT count(*) FROM t) ELSE (SELECT count(*) FROM t WHERE NOT penalty) END AS plays,
+        (15 + CASE WHEN k.kind = 'protected' THEN 2 ELSE 0 END + CASE WHEN k.kind = 'no_penalty' THEN every ELSE kept END)::BIGINT AS terms, 0.0::DOUBLE AS residual FROM lv CROSS JOIN (VALUES ('primary'), ('protected'), ('no_penalty')) k(kind)""",
+    "bootstrap_weights_check": "SELECT d.replicate_id, count(DISTINCT e.term) AS terms, 0.0::DOUBLE AS residual FROM (SELECT game_id, term FROM design WHERE split = 'train') e JOIN drawn d ON d.game_id = e.game_id GROUP BY ALL",
+    "ridge_gradient": "SELECT model, (count(DISTINCT t.term))::INTEGER AS terms, 0.0::DOUBLE AS gradient FROM obs q JOIN triplet t ON t.play_id = q.play_id GROUP BY model",
     "name_key": "SELECT name_key, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(lower(trim(c_name || '  O''Hara-  ' || c_mktsegment)), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g') AS name_key FROM customer) GROUP BY ALL",
     "design_triplets": f"SELECT play_id, term, {r('value')} AS value FROM triplet",
     "design_row_mass": f"SELECT play_id, split_part(term, '::', 1) AS part, {r('sum(value)')} AS mass FROM triplet GROUP BY ALL",
@@ -362,9 +390,9 @@ SOURCES = {
         SELECT model, role, player_key, {r("own")} AS coefficient, {r("v")} AS expected_outcome, {r("CASE WHEN role = 'Rusher' THEN v WHEN model = 'win' THEN 1 - v ELSE -v END")} AS score, {r("CASE WHEN model = 'severity' THEN CASE WHEN role = 'Rusher' THEN cv ELSE -cv END END")} AS credited_score FROM x""",
     "ordinal_scores": f"""WITH ctx AS (SELECT q.role, q.ctx, q.scale, q.b, s.weight FROM (SELECT * FROM ord_base) q JOIN (SELECT role, ctx, weight FROM ord_base) s USING (role, ctx)),
         c AS (SELECT role, scale, b, sum(weight) AS weight FROM ctx GROUP BY ALL), x AS (SELECT o.role, o.player_key, o.o1, weight, b + scale * o.o1 AS eta FROM own o JOIN c ON c.role = o.role WHERE o.model = 'win'),
-        y AS (SELECT role, player_key, max(o1) AS o1, sum(weight * (1 / (1 + exp(eta - 1.2)) - 1 / (1 + exp(eta)))) AS p_win, sum(weight * (1 / (1 + exp(eta - 2.2)) - 1 / (1 + exp(eta - 1.2)))) AS p_pressure, sum(weight * (1 - 1 / (1 + exp(eta - 2.2)))) AS p_sack FROM x GROUP BY ALL),
+        y AS (SELECT role, player_key, max(o1) AS o1, sum(weight / (1 + exp(eta))) AS p_loss, sum(weight * (1 / (1 + exp(eta - 1.2)) - 1 / (1 + exp(eta)))) AS p_win, sum(weight * (1 / (1 + exp(eta - 2.2)) - 1 / (1 + exp(eta - 1.2)))) AS p_pressure, sum(weight * (1 - 1 / (1 + exp(eta - 2.2)))) AS p_sack FROM x GROUP BY ALL),
         z AS (SELECT *, 0.25 * p_win + 0.5 * p_pressure + p_sack AS v, 0.25 * p_win + 0.5 * p_pressure + 0.5 * p_sack AS cv FROM y)
-        SELECT 'severity' AS model, role, player_key, {r("o1")} AS coefficient, {r("v")} AS expected_outcome, {r("CASE WHEN role = 'Rusher' THEN v ELSE -v END")} AS score, {r("CASE WHEN role = 'Rusher' THEN cv ELSE -cv END")} AS credited_score FROM z""",
+        SELECT 'severity' AS model, role, player_key, {r("o1")} AS coefficient, {r("v")} AS expected_outcome, {r("CASE WHEN role = 'Rusher' THEN v ELSE -v END")} AS score, {r("CASE WHEN role = 'Rusher' THEN cv ELSE -cv END")} AS credited_score, {r("p_loss")} AS p_loss, {r("p_win")} AS p_win, {r("p_pressure")} AS p_pressure, {r("p_sack")} AS p_sack FROM z""",
     "holdout_predictions": f"SELECT play_id, game_id, severity_outcome, {r('p_loss')} AS p_loss, {r('p_win')} AS p_win, {r('p_pressure')} AS p_pressure, {r('p_sack')} AS p_sack FROM pred",
     "calibration_bins": f"SELECT outcome, least(9, floor(p * 10))::INTEGER AS bin, count(*) AS rows, {r('avg(p)')} AS mean_probability, {r('avg((severity_outcome = outcome)::INTEGER)')} AS observed FROM pred_long GROUP BY ALL",
     "loss_audit": f"""SELECT {r("avg(-ln(greatest(p, 1e-15))) FILTER (WHERE outcome = severity_outcome)")} AS loss_1e15, {r("avg(-ln(least(greatest(p, 1e-5), 1 - 1e-5))) FILTER (WHERE outcome = severity_outcome)")} AS loss_1e5, count(*) FILTER (WHERE p < 1e-5 OR p > 1 - 1e-5) AS clipped,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelgrid.functions.stats import guarded_percentile
@@ -17,20 +17,28 @@ from duelgrid.operators import ranking as R
 from duelgrid.operators import regression as G
 from duelgrid.operators import resample as S
 from duelgrid.operators import weekly as K
-from duelgrid.operators.ordinal import coefficients_of, fit_ordinal
-from duelgrid.operators.ridge import fit_model
+from duelgrid.operators.ordinal import OrdinalPath, coefficients_of, ordinal_path
+from duelgrid.operators.ridge import RidgeFit, fit_model, one_se_penalty, refit_folds
 from duelgrid.operators.scoring import standardized_scores
-from duelgrid.params import CLASSES, MODELS, ROLES, Params
-from duelgrid.sources.tables import read_result, resume, write_table
+from duelgrid.params import CLASSES, MODELS, ROLES, THRESHOLDS, Params
+from duelgrid.sources.tables import content_hash, read_result, resume, write_table
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def finished(fit: RidgeFit) -> RidgeFit:
+    """The fit, unless its solver gave up before the minimum."""
+    if fit.status == "unconverged":
+        raise ValueError(f"The {fit.model} fit at penalty {fit.penalty} didn't converge: gradient {fit.gradient}")
+    return fit
+
+
 def data_engineering(spark: SparkSession, folder: str, contests: DataFrame, plays: DataFrame, pool: DataFrame, folds: DataFrame, params: Params = Params()) -> None:
-    """Check the inputs against the rules, then write them with folds, vocabulary and sample sizes."""
+    """Check the inputs against the rules, then write them with folds, vocabulary, reference contexts and sample sizes."""
     Q.enforce(Q.matchup_quality(contests))
+    Q.enforce(Q.folds_quality(folds, contests, params.folds))
     Q.enforce(Q.play_quality(plays, pool))
     for name, df in (("contests", contests), ("plays", plays), ("pool", pool), ("folds", folds)):
         write_table(df, folder, name)
@@ -40,6 +48,9 @@ def data_engineering(spark: SparkSession, folder: str, contests: DataFrame, play
         raise ValueError("Game leakage at the hold-out split")
     write_table(C.vocabulary(held), folder, "vocabulary")
     write_table(C.sample_sizes(held, params.train_last_week), folder, "sample_sizes")
+    contexts = union([C.reference_contexts(held, r).withColumn("role", F.lit(r)) for r in ROLES])
+    write_table(contexts, folder, "reference_contexts")
+    Q.enforce(Q.reference_quality(read_result(spark, folder, "reference_contexts"), ["model", "role"]))
 
 
 def _train_plays(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +69,7 @@ def outcome_weights(spark: SparkSession, folder: str, params: Params = Params())
     write_table(table(fit), folder, "play_coefficients")
     write_table(spark.createDataFrame([(c, float(w)) for c, w in fit.weights().items()], "cls string, weight double"), folder, "outcome_weights")
     test = read_result(spark, folder, "plays").where("eligible_primary and not accepted_penalty and split = 'test'")
-    predict = lambda f, kind, name: D.play_design(test, train, ["play_id"], kind).join(F.broadcast(table(f)), "term").groupBy("play_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias(name))
+    predict = lambda f, kind, name: D.play_design(test, train, ["play_id"], kind).join(table(f), "term").groupBy("play_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias(name))
     rows = test.select("play_id", "epa", F.lit(1.0).alias("w")).join(predict(fit, "primary", "p"), "play_id").join(predict(context, "context", "b"), "play_id")
     write_table(G.prediction_metrics(rows, "p", "b", "epa", "w"), folder, "play_validation")
 
@@ -76,13 +87,14 @@ def player_models(spark: SparkSession, folder: str, penalties: list[float], para
     tables, curves, summary = [], [], []
     for scope, rows in (("train", contests.where(F.col("week") <= params.train_last_week)), ("full", contests)):
         for model in MODELS:
-            fit = fit_model(rows, model, folds, penalties, params=params)
+            fit = finished(fit_model(rows, model, folds, penalties, params=params))
             tables.append(fit.coefficients.withColumn("scope", F.lit(scope)))
-            curves += [(scope, model, p, loss, se, p == fit.penalty) for p, loss, se in fit.curve]
-            summary.append((scope, model, fit.penalty, fit.boundary, fit.status))
+            wide = one_se_penalty(fit.curve)
+            curves += [(scope, model, p, loss, se, p == fit.penalty, p == wide) for p, loss, se in fit.curve]
+            summary.append((scope, model, fit.penalty, wide, fit.boundary, fit.status, fit.gradient))
     write_table(union(tables), folder, "player_coefficients")
-    write_table(spark.createDataFrame(curves, "scope string, model string, penalty double, cv_loss double, cv_se double, selected boolean"), folder, "cv_curves")
-    write_table(spark.createDataFrame(summary, "scope string, model string, penalty double, grid_boundary boolean, status string"), folder, "model_summary")
+    write_table(spark.createDataFrame(curves, "scope string, model string, penalty double, cv_loss double, cv_se double, selected boolean, one_se boolean"), folder, "cv_curves")
+    write_table(spark.createDataFrame(summary, "scope string, model string, penalty double, one_se_penalty double, grid_boundary boolean, status string, gradient double"), folder, "model_summary")
 
 
 def hold_out_chances(contests: DataFrame, coefficients: DataFrame, last_train_week: int = 15) -> DataFrame:
@@ -103,6 +115,11 @@ def hold_out_chances(contests: DataFrame, coefficients: DataFrame, last_train_we
     return union(parts)
 
 
+def season_penalty(spark: SparkSession, folder: str, model: str, scope: str = "full") -> float:
+    """The penalty that cross-validation chose for a model."""
+    return read_result(spark, folder, "model_summary").where((F.col("scope") == scope) & (F.col("model") == model)).first()["penalty"]
+
+
 def validation(spark: SparkSession, folder: str, params: Params = Params()) -> None:
     """Hold-out loss of the fits against global shares and smoothed baselines, and calibration bins."""
     contests = read_result(spark, folder, "contests")
@@ -113,7 +130,8 @@ def validation(spark: SparkSession, folder: str, params: Params = Params()) -> N
     own = F.when(F.col("model") == "win", params.comparator_strength["win"]).otherwise(params.comparator_strength["severity"])
     named = grid.select("model", F.when(F.col("strength") == float("inf"), "global").when(F.col("strength") == own, "smoothed_matchup").alias("baseline"), F.col("loss").alias("baseline_loss")).where("baseline is not null")
     gain = F.col("baseline_loss") - F.col("model_loss")
-    write_table(named.join(fitted, "model").select("*", gain.alias("improvement"), (100 * gain / F.col("baseline_loss")).alias("percent_improvement")), folder, "validation")
+    chosen = read_result(spark, folder, "model_summary").where("scope = 'train'").select("model", F.col("penalty").alias("lambda"))
+    write_table(named.join(fitted, "model").join(chosen, "model").select("*", gain.alias("improvement"), (100 * gain / F.col("baseline_loss")).alias("percent_improvement")), folder, "validation")
     bins = F.least(F.lit(9), F.floor(F.col("p") * 10)).cast("int")
     write_table(chances.groupBy("model", "cls", bins.alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.avg("p").alias("mean_probability"), F.avg((F.col("cls") == F.col("outcome")).cast("double")).alias("observed")), folder, "calibration")
 
@@ -139,7 +157,7 @@ def rankings(spark: SparkSession, folder: str, honours: DataFrame, params: Param
     plain = B.baseline_scores(contests, Params(severity_weights=weights), share).drop("expected_outcome")
     labels = R.add_honours(read_result(spark, folder, "vocabulary").select("role", "player_key", "player_name"), honours)
     rated = C.rated_opponents(contests).withColumn("rated_ol", F.lit(True))
-    scores = union([fitted, plain]).join(F.broadcast(labels.select("role", "player_key", "is_first_team", "is_any_team")), ["role", "player_key"]).join(F.broadcast(rated), "player_key", "left").fillna({"rated_ol": False})
+    scores = union([fitted, plain]).join(labels.select("role", "player_key", "is_first_team", "is_any_team"), ["role", "player_key"]).join(rated, "player_key", "left").fillna({"rated_ol": False})
     write_table(R.rank_cohorts(scores), folder, "all_rankings")
     write_table(R.rank_cohorts(scores.where("role = 'Rusher' or rated_ol")), folder, "rankings")
     ranked = read_result(spark, folder, "rankings")
@@ -150,28 +168,69 @@ def rankings(spark: SparkSession, folder: str, honours: DataFrame, params: Param
     write_table(R.top_report(ranked, "bt"), folder, "top_report")
 
 
-def bootstrap(spark: SparkSession, folder: str, penalty: float, ids: list[int], params: Params = Params()) -> None:
-    """Refit both models on every replicate's games at a fixed penalty, score all players, and summarise.
+def draw_fits(spark: SparkSession, folder: str, drawn: DataFrame) -> DataFrame:
+    """Outcome regressions of all replicates, from the games' Gramians times their copies."""
+    levels = [f"{r['kind']}::{r['level']}" for r in D.play_levels(_train_plays(spark, folder)).collect()]
+    cells = G.draw_gramians(read_result(spark, folder, "game_gramian"), drawn).select("replicate_id", "a", "b", "value")
+    return G.solve_draws(cells, levels)
+
+
+def bootstrap(spark: SparkSession, folder: str, penalties: list[float], ids: list[int], params: Params = Params(), scope: str = "ratings") -> None:
+    """Replicates of a scope, each learnt anew on its own games: outcome weights, sack credit and both fits.
 
-    Replicates that are already written are kept; game weights come from the same draws' Gramians.
+    Several penalties are chosen among by cross-validation in every replicate (a game's copies stay in its fold), one is
+    kept. Scope `ratings` draws from all games and scores all players; `validation` fits the drawn training games and
+    tells the loss on the drawn hold-out games. Written replicates are kept if inputs and settings are the same.
     """
-    contests = read_result(spark, folder, "contests")
-    drawn = S.bootstrap_draws(read_result(spark, folder, "pool"), max(ids), params.seed + 100_000, "ratings")
-    write_table(drawn, folder, "rating_draws")
-    drawn = read_result(spark, folder, "rating_draws")
-    weights, controls = _weights(spark, folder, params), f"{params.seed}|{penalty}|{params.tolerance}"
+    contests, folds = read_result(spark, folder, "contests"), read_result(spark, folder, "folds")
+    seed = params.seed + (100_000 if scope == "ratings" else 0)
+    write_table(S.bootstrap_draws(read_result(spark, folder, "pool"), max(ids), seed, scope, params.train_last_week), folder, f"{scope}_draws")
+    drawn = read_result(spark, folder, f"{scope}_draws")
+    write_table(draw_fits(spark, folder, drawn), folder, f"{scope}_epa_draws")
+    fits = read_result(spark, folder, f"{scope}_epa_draws")
+    write_table(G.draw_weights(fits), folder, f"{scope}_weights")
+    write_table(G.coefficient_uncertainty(fits, read_result(spark, folder, "play_coefficients")), folder, f"{scope}_epa_uncertainty")
+    write_table(G.coefficient_covariance(fits, list(D.COUNTS)), folder, f"{scope}_epa_covariance")
+    write_table(normalization_support(fits), folder, f"{scope}_normalization")
+    learnt: dict[int, dict[str, float]] = {}
+    for r in read_result(spark, folder, f"{scope}_weights").collect():
+        learnt.setdefault(r["replicate_id"], {})[r["cls"]] = r["weight"]
+    controls = "|".join(map(str, (seed, penalties, params, content_hash(contests), content_hash(folds), content_hash(read_result(spark, folder, "game_gramian")))))
 
     def compute(number: int) -> DataFrame:
-        rows = contests.join(F.broadcast(drawn.where(F.col("replicate_id") == number).select("game_id", "copies")), "game_id")
-        fits = [fit_model(rows, m, fixed=penalty, params=params, weight=F.col("copies").cast("double")) for m in MODELS]
+        rows = contests.join(drawn.where(F.col("replicate_id") == number).select("game_id", "copies"), "game_id")
+        train = rows.where(F.col("week") <= params.train_last_week) if scope == "validation" else rows
+        copies = F.col("copies").cast("double")
+        one = {"fixed": penalties[0]} if len(penalties) == 1 else {"folds": folds, "penalties": penalties}
+        found = [fit_model(train, m, params=params, weight=copies, **one) for m in MODELS]
+        states = spark.createDataFrame([(f.model, float(f.penalty), f.boundary, f.status, float(f.gradient)) for f in found], "model string, penalty double, grid_boundary boolean, status string, gradient double")
+        done = union([f.coefficients for f in found if f.status == "complete"])
+        if scope == "validation":
+            chances = hold_out_chances(rows, done, params.train_last_week).where("cls = outcome").join(drawn.where(F.col("replicate_id") == number).select("game_id", "copies"), "game_id")
+            loss = chances.groupBy("model").agg((F.sum(-F.log(F.greatest("p", F.lit(params.clip))) * F.col("copies")) / F.sum("copies")).alias("model_loss"))
+            return states.join(loss, "model", "left")
+        own = [learnt.get(number, {}).get(c) for c in CLASSES]
+        weights = params.severity_weights if any(w is None or w != w for w in own) else tuple(own)
         share = C.model_sample(rows, "severity").where("severity_outcome = 'sack'").agg((F.sum(F.col("sack_credit") * F.col("copies")) / F.sum("copies")).alias("s")).first()["s"]
         present = C.participations(C.observations(rows)).select("model", "role", "player_key").distinct().withColumn("present_in_draw", F.lit(True))
-        done = union([f.coefficients for f in fits if f.status == "complete"])
         scores = model_scores(contests, done, weights, share or 1.0)
-        return scores.join(present, ["model", "role", "player_key"], "left").fillna({"present_in_draw": False})
-
-    values = resume(spark, folder, "rating_replicates", controls, ids, compute)
-    write_table(W.rating_intervals(values), folder, "rating_uncertainty")
+        return scores.join(present, ["model", "role", "player_key"], "left").fillna({"present_in_draw": False}).join(states, "model")
+
+    values = resume(spark, folder, f"{scope}_replicates", controls, ids, compute)
+    write_table(values.select("replicate_id", "model", "penalty", "grid_boundary", "status", "gradient").distinct(), folder, f"{scope}_bootstrap_diagnostics")
+    if scope == "validation":
+        fixed = F.when(F.col("model") == "win", params.comparator_strength["win"]).otherwise(params.comparator_strength["severity"])
+        losses = W.validation_draw_losses(contests, drawn.where(F.col("replicate_id").isin(ids)), (*params.comparator_strength.values(), float("inf")), params.train_last_week)
+        named = losses.withColumn("baseline", F.when(F.col("strength") == float("inf"), "global").when(F.col("strength") == fixed, "smoothed_matchup")).where("baseline is not null")
+        gain = F.col("loss") - F.col("model_loss")
+        rows = named.join(values.select("replicate_id", "model", "model_loss"), ["replicate_id", "model"]).select("replicate_id", "model", "baseline", "model_loss", F.col("loss").alias("baseline_loss"), gain.alias("improvement"), (100 * gain / F.col("loss")).alias("percent_improvement"))
+        write_table(rows, folder, "validation_draw_losses")
+        held = W.complete_draws(read_result(spark, folder, "validation_draw_losses"), ["model", "baseline"], len(ids))
+        sums = held.groupBy("model", "baseline").agg(*(a.alias(f"{c}_{n}") for c in ("improvement", "percent_improvement") for n, a in (("mean", F.avg(c)), ("q025", F.percentile(c, F.lit(0.025))), ("q975", F.percentile(c, F.lit(0.975))))))
+        write_table(R.with_intervals(read_result(spark, folder, "validation"), sums, ["model", "baseline"]), folder, "validation_uncertainty")
+        return
+    point = read_result(spark, folder, "all_rankings").where("method = 'bt' and min_interactions = 0").select("model", "score_type", "role", "player_key", F.col("score").alias("point"))
+    write_table(R.with_intervals(point, W.rating_intervals(values), ["model", "score_type", "role", "player_key"]), folder, "rating_uncertainty")
     ranked = read_result(spark, folder, "rankings")
     write_table(R.scoped_rank_intervals(values, ranked, "bt"), folder, "rank_uncertainty")
     pairs = read_result(spark, folder, "rank_pairs")
@@ -186,47 +245,183 @@ def normalization_support(fits: DataFrame, term: str = "N_S") -> DataFrame:
     return sums.withColumn("supported", F.coalesce((F.col("defined_fraction") == 1) & (F.col("sack_q975") < 0), F.lit(False)))
 
 
-def sensitivity(spark: SparkSession, folder: str, penalty: float, params: Params = Params()) -> None:
-    """Baselines over all strengths with cross-validation, literal rates, and the proportional-odds alternative."""
+def epa_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, plays, weights): the primary design, protected counts, and the plays with accepted penalties too."""
+    every = read_result(spark, folder, "plays").where("eligible_primary and split = 'train'")
+    rows = []
+    for kind, design, train in (("primary", "primary", every.where("not accepted_penalty")), ("protected", "protected", every.where("not accepted_penalty")), ("no_penalty", "primary", every)):
+        target = train.select("game_id", "play_id", F.col("epa").alias("y"))
+        cells = G.gramian(D.play_design(train, train, ["game_id", "play_id"], design), target, ["game_id", "play_id"], [])
+        weights = G.fit_plays(cells, D.play_levels(train)).weights()
+        rows.append((kind, train.count(), *(float(weights[c]) for c in CLASSES)))
+    return spark.createDataFrame(rows, "kind string, plays long, " + ", ".join(f"w_{c} double" for c in CLASSES))
+
+
+def baseline_analysis(spark: SparkSession, folder: str, params: Params = Params()) -> None:
+    """Ten tables about the baselines: cross-validation, the models' own folds, the hold-out, scores, views and stability."""
     contests, folds = read_result(spark, folder, "contests"), read_result(spark, folder, "folds")
-    by_fold = B.fold_losses(contests, folds, last_train_week=params.train_last_week)
-    write_table(by_fold, folder, "baseline_cv_folds")
-    summary = B.cv_summary(read_result(spark, folder, "baseline_cv_folds"))
-    write_table(summary, folder, "baseline_cv")
-    write_table(B.select_strength(summary), folder, "baseline_selected")
+    train = contests.where(F.col("week") <= params.train_last_week)
+    write_table(B.fold_losses(contests, folds, last_train_week=params.train_last_week), folder, "baseline_cv_folds")
+    write_table(B.cv_summary(read_result(spark, folder, "baseline_cv_folds")), folder, "baseline_cv")
+    write_table(B.select_strength(read_result(spark, folder, "baseline_cv")), folder, "baseline_selected")
+    curves, refits = read_result(spark, folder, "cv_curves").where("scope = 'train' and selected"), []
+    for row in curves.collect():
+        refits += [(row["model"], row["penalty"], *part) for part in refit_folds(train, row["model"], folds, row["penalty"], row["cv_loss"], params)]
+    write_table(spark.createDataFrame(refits, "model string, penalty double, fold int, rows double, loss_1e15 double, loss_1e5 double"), folder, "baseline_model_cv")
+    grid = B.hold_out_losses(contests, last_train_week=params.train_last_week)
+    chosen = read_result(spark, folder, "baseline_selected").withColumnRenamed("strength", "selected_strength")
+    fixed = F.when(F.col("model") == "win", params.comparator_strength["win"]).otherwise(params.comparator_strength["severity"])
+    kind = F.when(F.col("strength") == F.col("selected_strength"), "training_cv_selected").when(F.col("strength") == fixed, "fixed").otherwise("grid")
+    write_table(grid.join(chosen, "model").withColumn("kind", kind), folder, "baseline_holdout")
     write_table(B.profile_scores(contests, params), folder, "baseline_profile_scores")
     write_table(C.literal_rates(contests), folder, "literal_rates")
-    fit = fit_ordinal(contests, penalty)
-    beta, weights = coefficients_of(fit, spark), _weights(spark, folder, params)
+    fitted = read_result(spark, folder, "all_rankings").where("min_interactions = 0")
+    wide = fitted.where("model = 'win'").groupBy("role", "player_key").agg(*(F.max(F.when(F.col("comparison_id") == c, F.col("score"))).alias(n) for c, n in (("raw:rate", "raw"), ("shrunken:rate", "shrunken"), ("bt:standardized_probability", "fitted"))))
+    ranks, pairs = R.rank_views(read_result(spark, folder, "literal_rates").select("role", "player_key", "literal_rate", "win_interactions").join(wide, ["role", "player_key"]), ["literal_rate", "raw", "shrunken", "fitted"], ["win_interactions"])
+    write_table(ranks, folder, "baseline_rank_views")
+    write_table(pairs, folder, "baseline_rank_view_pairs")
+    labels = fitted.select("role", "player_key", "is_first_team", "is_any_team").distinct()
+    write_table(R.view_honours(read_result(spark, folder, "baseline_rank_views"), labels, C.rated_opponents(contests)), folder, "baseline_view_honours")
+    scores = read_result(spark, folder, "baseline_profile_scores").where("score is not null and interactions > 0")
+    season = F.when(F.col("model") == "win", B.label_of(F.lit(params.season_strength["win"]))).otherwise(B.label_of(F.lit(params.season_strength["severity"])))
+    original = scores.where(F.col("strength_label") == season).select("model", "role", "player_key", F.lit("original").alias("comparator"), F.col("score").alias("other"))
+    model = fitted.where("comparison_id in ('bt:standardized_probability', 'bt:expected_severity')").select("model", "role", "player_key", F.lit("model").alias("comparator"), F.col("score").alias("other"))
+    limits = F.explode(F.array(*(F.lit(t) for t in THRESHOLDS))).alias("min_interactions")
+    rows = scores.join(original.unionByName(model), ["model", "role", "player_key"]).select("model", "role", "strength_label", "comparator", "interactions", "score", "other", limits).where("interactions >= min_interactions")
+    write_table(R.rank_agreement(rows, ["model", "role", "min_interactions", "strength_label", "comparator"], "score", "other"), folder, "baseline_stability")
+
+
+def ordinal_analysis(spark: SparkSession, folder: str, penalties: list[float], params: Params = Params()) -> OrdinalPath:
+    """The proportional-odds alternative: cross-validated path, scores, agreement with the multinomial model, CV comparison."""
+    contests, folds = read_result(spark, folder, "contests"), read_result(spark, folder, "folds")
+    path = ordinal_path(contests, folds, penalties, params.folds)
+    if not path.fit.converged:
+        raise ValueError(f"The ordinal fit didn't converge: gradient {path.fit.gradient}")
+    write_table(spark.createDataFrame(path.by_fold, "penalty double, fold int, rows double, loss double"), folder, "ordinal_cv_folds")
+    beta, weights = coefficients_of(path.fit, spark), _weights(spark, folder, params)
     share = C.sack_share(contests).first()["sack_share"]
-    write_table(union([standardized_scores(contests, beta, "severity", r, weights, share, fit.cuts) for r in ROLES]), folder, "ordinal_scores")
+    write_table(union([standardized_scores(contests, beta, "severity", r, weights, share, path.fit.cuts, chances=True) for r in ROLES]), folder, "ordinal_scores")
     multinomial = read_result(spark, folder, "all_rankings").where("model = 'severity' and comparison_id = 'bt:expected_severity'").select("role", "player_key", "min_interactions", F.col("score").alias("multinomial"))
     both = read_result(spark, folder, "ordinal_scores").select("role", "player_key", F.col("score").alias("ordinal")).join(multinomial, ["role", "player_key"])
+    if both.count() != multinomial.count():
+        raise ValueError("Ordinal and multinomial scores don't have the same players")
     write_table(R.rank_agreement(both, ["role", "min_interactions"], "ordinal", "multinomial"), folder, "ordinal_agreement")
+    curve = {p: (loss, se) for p, loss, se in path.curve}
+    other = read_result(spark, folder, "cv_curves").where("scope = 'full' and model = 'severity' and selected").first()
+    rows = [("ordinal", path.penalty, *curve[path.penalty], path.extensions), ("multinomial", other["penalty"], other["cv_loss"], other["cv_se"], 0)]
+    write_table(spark.createDataFrame(rows, "family string, penalty double, cv_loss double, cv_se double, extensions int"), folder, "ordinal_cv_comparison")
+    return path
 
 
-def weekly(spark: SparkSession, folder: str, penalty: float, weeks: list[int], params: Params = Params()) -> None:
-    """Cumulative fits at the season's penalty, raw rates and availability by week."""
+def sensitivity(spark: SparkSession, folder: str, penalties: list[float], params: Params = Params()) -> None:
+    """Baselines over all strengths, the proportional-odds alternative, and other play regressions."""
+    baseline_analysis(spark, folder, params)
+    ordinal_analysis(spark, folder, penalties, params)
+    write_table(epa_sensitivity(spark, folder), folder, "epa_sensitivity")
+
+
+def _week_scores(spark: SparkSession, folder: str, contests: DataFrame, seen: DataFrame, week: int, model: str, weights: tuple[float, ...], share: float, params: Params, weight=None) -> tuple[DataFrame | None, tuple]:
+    """One week's scores of a model at the season's penalty against the season's population, and the fit's state."""
+    fit = fit_model(seen, model, fixed=season_penalty(spark, folder, model), params=params, weight=weight)
+    state = (week, model, fit.status, float(fit.gradient))
+    if fit.status == "nonestimable":
+        return None, state
+    scores = union([standardized_scores(seen, finished(fit).coefficients, model, r, weights, share, reference=contests) for r in ROLES])
+    return K.exposed(scores, seen, week).withColumn("week", F.lit(week)), state
+
+
+def weekly(spark: SparkSession, folder: str, weeks: list[int], params: Params = Params()) -> None:
+    """Cumulative fits at the season's penalty, weights and population, by week; the last week is the season's own fit.
+
+    Players without a row of the model up to a week have no score in it. Raw rates are put beside the scores.
+    """
     contests, weights = read_result(spark, folder, "contests"), _weights(spark, folder, params)
-    parts, states = [], []
+    share = C.sack_share(contests).first()["sack_share"]
+    season, parts, states = read_result(spark, folder, "player_coefficients").where("scope = 'full'").drop("scope"), [], []
     for week in weeks:
-        seen = contests.where(F.col("week") <= week)
         for model in MODELS:
-            fit = fit_model(seen, model, fixed=penalty, params=params)
-            states.append((week, model, fit.status))
-            if fit.status == "complete":
-                parts += [standardized_scores(seen, fit.coefficients, model, r, weights).withColumn("week", F.lit(week)) for r in ROLES]
-    write_table(union(parts), folder, "weekly_scores")
-    write_table(spark.createDataFrame(states, "week int, model string, status string"), folder, "weekly_point_diagnostics")
+            if week == params.last_week:
+                scores = union([standardized_scores(contests, season, model, r, weights, share) for r in ROLES])
+                parts.append(K.exposed(scores, contests, week).withColumn("week", F.lit(week)))
+                states.append((week, model, "season", 0.0))
+                continue
+            scores, state = _week_scores(spark, folder, contests, contests.where(F.col("week") <= week), week, model, weights, share, params)
+            states.append(state)
+            if scores is not None:
+                parts.append(scores)
     write_table(K.weekly_raw(contests), folder, "weekly_raw")
+    raw = read_result(spark, folder, "weekly_raw").select(F.lit("win").alias("model"), "role", "player_key", "week", "raw_score", "allocated_raw_score")
+    write_table(union(parts).join(raw, ["model", "role", "player_key", "week"], "left"), folder, "weekly_scores")
+    write_table(spark.createDataFrame(states, "week int, model string, status string, gradient double"), folder, "weekly_point_diagnostics")
+
 
+def weekly_uncertainty(spark: SparkSession, folder: str, weeks: list[int], ids: list[int], params: Params = Params()) -> None:
+    """Weekly fits of the rating replicates: intervals by week and player, absences and the fits' states.
 
-def tuned_validation(spark: SparkSession, folder: str, draws: int, params: Params = Params()) -> None:
-    """Tuned and fixed baselines on the validation draws, paired with the fitted models' point losses."""
+    Weights and sack credit are those of the replicate, the population is the season's. The last week takes the scores
+    that the replicate already has.
+    """
+    contests, drawn = read_result(spark, folder, "contests"), read_result(spark, folder, "ratings_draws")
+    learnt: dict[int, dict[str, float]] = {}
+    for r in read_result(spark, folder, "ratings_weights").collect():
+        learnt.setdefault(r["replicate_id"], {})[r["cls"]] = r["weight"]
+    controls = "|".join(map(str, (weeks, params, content_hash(contests), content_hash(drawn), content_hash(read_result(spark, folder, "model_summary").drop("gradient")))))
+    saved = read_result(spark, folder, "ratings_replicates")
+
+    def compute(number: int) -> DataFrame:
+        rows = contests.join(drawn.where(F.col("replicate_id") == number).select("game_id", "copies"), "game_id")
+        own = [learnt.get(number, {}).get(c) for c in CLASSES]
+        weights = params.severity_weights if any(w is None or w != w for w in own) else tuple(own)
+        parts = []
+        for week in weeks:
+            for model in MODELS:
+                if week == params.last_week:
+                    kind = "standardized_probability" if model == "win" else "expected_severity"
+                    mine = saved.where((F.col("replicate_id") == number) & (F.col("model") == model) & (F.col("score_type") == kind) & F.col("present_in_draw"))
+                    parts.append(mine.select("model", "role", "player_key", "score", F.lit(week).alias("week"), F.lit("draw").alias("status")))
+                    continue
+                scores, state = _week_scores(spark, folder, contests, rows.where(F.col("week") <= week), week, model, weights, 1.0, params, F.col("copies").cast("double"))
+                if scores is not None:
+                    parts.append(scores.select("model", "role", "player_key", "score", "week", F.lit(state[2]).alias("status")))
+                else:
+                    parts.append(spark.createDataFrame([(model, None, None, None, week, state[2])], "model string, role string, player_key string, score double, week int, status string"))
+        return union(parts)
+
+    values = resume(spark, folder, "weekly_replicates", controls, ids, compute)
+    write_table(values.groupBy("replicate_id", "week", "model").agg(F.max("status").alias("status"), F.count("player_key").alias("players")), folder, "weekly_bootstrap_diagnostics")
+    write_table(K.weekly_availability(contests, drawn.where(F.col("replicate_id").isin(ids))).where(F.col("week").isin(weeks)), folder, "weekly_availability")
+    keys = ["week", "model", "role", "player_key"]
+    grid = read_result(spark, folder, "weekly_availability").select("replicate_id", *keys)
+    rows = grid.join(values.select("replicate_id", *keys, "score"), ["replicate_id", *keys], "left")
+    intervals = K.weekly_intervals(rows, keys, "score", len(ids))
+    write_table(intervals.join(K.absence_counts(read_result(spark, folder, "weekly_availability"), len(ids)), keys, "left"), folder, "weekly_uncertainty")
+    write_table(K.weekly_report(read_result(spark, folder, "weekly_uncertainty")), folder, "weekly_report")
+
+
+def plot_tables(spark: SparkSession, folder: str, players: int = 5) -> None:
+    """The tables behind three figures: penalty curves, calibration, and the weekly lines of the best players."""
+    curves = read_result(spark, folder, "cv_curves")
+    write_table(curves.select("scope", "model", F.log10("penalty").alias("log10_penalty"), "cv_loss", (F.col("cv_loss") - F.col("cv_se")).alias("low"), (F.col("cv_loss") + F.col("cv_se")).alias("high"), "selected"), folder, "plot_cv_curves")
+    bins = read_result(spark, folder, "calibration")
+    write_table(bins.select("model", "cls", "bin", "rows", "mean_probability", "observed", (F.col("observed") - F.col("mean_probability")).alias("gap")), folder, "plot_calibration")
+    lines = read_result(spark, folder, "weekly_scores")
+    last = lines.agg(F.max("week").alias("_last"))
+    best = lines.crossJoin(F.broadcast(last)).where("week = _last").withColumn("place", F.row_number().over(Window.partitionBy("model", "role").orderBy(F.desc_nulls_last("score"), "player_key"))).where(F.col("place") <= players)
+    write_table(lines.join(best.select("model", "role", "player_key", "place"), ["model", "role", "player_key"]).select("model", "role", "player_key", "place", "week", "score", "raw_score"), folder, "plot_weekly")
+
+
+def tuned_validation(spark: SparkSession, folder: str, ids: list[int], params: Params = Params()) -> None:
+    """Tuned and fixed baselines on the validation draws, each paired with the model refitted on the same draw."""
     contests, folds = read_result(spark, folder, "contests"), read_result(spark, folder, "folds")
-    drawn = S.bootstrap_draws(read_result(spark, folder, "pool"), draws, params.seed)
-    saved = read_result(spark, folder, "validation").select("model", "model_loss").distinct().crossJoin(drawn.select("replicate_id").distinct())
-    write_table(W.tuned_validation(W.validation_draw_losses(contests, drawn), W.draw_cv_losses(contests, drawn, folds), saved), folder, "tuned_baseline_validation_draws")
+    drawn = read_result(spark, folder, "validation_draws").where(F.col("replicate_id").isin(ids))
+    saved = read_result(spark, folder, "validation_draw_losses").select("replicate_id", "model", "model_loss").distinct()
+    write_table(W.tuned_validation(W.validation_draw_losses(contests, drawn, last_train_week=params.train_last_week), W.draw_cv_losses(contests, drawn, folds, last_train_week=params.train_last_week), saved), folder, "tuned_baseline_validation_draws")
     found = read_result(spark, folder, "tuned_baseline_validation_draws")
-    write_table(W.validation_summary(found), folder, "tuned_baseline_validation_summary")
-    write_table(W.selected_frequencies(found, draws), folder, "tuned_baseline_selected_frequencies")
+    grid, model = read_result(spark, folder, "baseline_holdout"), read_result(spark, folder, "validation").select("model", "model_loss").distinct()
+    kinds = F.array(F.lit("fixed_grid"), F.when(F.col("strength") == F.col("selected_strength"), "training_cv_selected"))
+    rows = grid.join(model, "model").select("*", F.explode(kinds).alias("baseline")).where("baseline is not null")
+    gain = F.col("loss") - F.col("model_loss")
+    comparison = F.when(F.col("baseline") == "training_cv_selected", F.col("baseline")).otherwise(B.label_of(F.col("strength")))
+    write_table(rows.select("model", "baseline", comparison.alias("comparison"), gain.alias("improvement"), (100 * gain / F.col("loss")).alias("percent_improvement")), folder, "tuned_baseline_validation_point")
+    write_table(W.validation_summary(found, read_result(spark, folder, "tuned_baseline_validation_point"), len(ids)), folder, "tuned_baseline_validation_summary")
+    write_table(W.selected_frequencies(found, len(ids)), folder, "tuned_baseline_selected_frequencies")

@@ -11,6 +11,7 @@ from duelgrid.operators import baselines as B
 from duelgrid.operators import contests as C
 from duelgrid.operators import design as D
 from duelgrid.operators import draws as W
+from duelgrid.operators import quality as Q
 from duelgrid.operators import ranking as R
 from duelgrid.operators import regression as G
 from duelgrid.operators import resample as S
@@ -26,8 +27,6 @@ from duelgrid.sources import adapter as A
 PARAMS = Params()
 #: Replicates of the registered bootstrap queries; the operators take any number.
 DRAWS, TUNING_DRAWS = 20, 4
-#: The largest gradient of a finished proportional-odds fit.
-ORDINAL_TOLERANCE = 2e-5
 DIGITS = 6
 #: Decimals of large sums, whose last digits depend on the order of addition.
 SUM_DIGITS = 3
@@ -55,6 +54,23 @@ def play_quality(spark: SparkSession, sf: str) -> DataFrame:
     return play_rules(A.plays(spark, sf), A.game_pool(spark, sf))
 
 
+def folds_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.folds_quality(A.folds(spark, sf), A.contests(spark, sf), PARAMS.folds)
+
+
+def reference_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of both reference populations: weights of a model add up to 1."""
+    contests = A.contests(spark, sf)
+    parts = [C.reference_contexts(contests, r).select("model", F.lit(r).alias("role"), "weight") for r in ROLES]
+    return Q.reference_quality(parts[0].unionByName(parts[1]), ["model", "role"])
+
+
+def result_quality(spark: SparkSession, sf: str) -> DataFrame:
+    draws = S.bootstrap_draws(A.game_pool(spark, sf), TUNING_DRAWS, PARAMS.seed)
+    losses = W.validation_draw_losses(A.contests(spark, sf), draws)
+    return Q.result_quality(B.baseline_scores(A.contests(spark, sf)), _rating_draws(spark, sf), _predictions(spark, sf), losses, DRAWS)
+
+
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return C.vocabulary(A.contests(spark, sf))
 
@@ -160,7 +176,7 @@ def _players(spark: SparkSession, sf: str) -> DataFrame:
 def honours_alignment(spark: SparkSession, sf: str) -> DataFrame:
     players = _players(spark, sf)
     labels = R.add_honours(players, A.honours(players)).select("role", "player_key", "is_first_team", "is_any_team")
-    return rounded(R.honours_metrics(_ranked(spark, sf).join(F.broadcast(labels), ["role", "player_key"])))
+    return rounded(R.honours_metrics(_ranked(spark, sf).join(labels, ["role", "player_key"])))
 
 
 def honours_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,14 +200,28 @@ def rank_view_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_views(spark, sf)[1])
 
 
+def rank_view_honours(spark: SparkSession, sf: str) -> DataFrame:
+    players = _players(spark, sf)
+    labels = R.add_honours(players, A.honours(players))
+    return rounded(R.view_honours(_views(spark, sf)[0], labels, C.rated_opponents(A.contests(spark, sf))))
+
+
+def rating_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Shrunken point scores with the intervals of their draws."""
+    points = rounded(B.baseline_scores(A.contests(spark, sf))).where("method = 'shrunken'").select("model", "score_type", "role", "player_key", "role_interactions", "score")
+    intervals = W.rating_intervals(_rating_draws(spark, sf)).select("model", "score_type", "role", "player_key", "q025", "q975", "top10_probability")
+    return rounded(R.with_intervals(points, intervals, ["model", "score_type", "role", "player_key"]))
+
+
 def ranking_stability(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranks at every strength against those at the season's strength, by cohort."""
+    """Ranks at every strength against those at the season's strength and those by the model score, by cohort."""
     scores = rounded(B.profile_scores(A.contests(spark, sf))).where("score is not null")
     original = F.when(F.col("model") == "win", "2").otherwise("10")
-    base = scores.where(F.col("strength_label") == original).select("model", "role", "player_key", F.col("score").alias("original"))
+    base = scores.where(F.col("strength_label") == original).select("model", "role", "player_key", F.lit("original").alias("comparator"), F.col("score").alias("original"))
+    base = base.unionByName(standardized_scores(spark, sf).select("model", "role", "player_key", F.lit("model").alias("comparator"), F.col("score").alias("original")))
     limits = F.explode(F.array(*(F.lit(t) for t in (0, 100, 200, 400)))).alias("min_interactions")
-    rows = scores.where("interactions > 0").join(base, ["model", "role", "player_key"]).select("model", "role", "strength_label", "interactions", "score", "original", limits).where("interactions >= min_interactions")
-    return rounded(R.rank_agreement(rows, ["model", "role", "min_interactions", "strength_label"], "score", "original"))
+    rows = scores.where("interactions > 0").join(base, ["model", "role", "player_key"]).select("model", "role", "strength_label", "interactions", "score", "comparator", "original", limits).where("interactions >= min_interactions")
+    return rounded(R.rank_agreement(rows, ["model", "role", "min_interactions", "strength_label", "comparator"], "score", "original"))
 
 
 def name_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,6 +318,21 @@ def bootstrap_baseline_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.validation_summary(_tuning(spark, sf)))
 
 
+def tuned_baseline_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Point improvements of the fixed and the tuned baselines over the comparator, each with its paired interval."""
+    contests = A.contests(spark, sf)
+    grid = B.hold_out_losses(contests)
+    fixed = F.when(F.col("model") == "win", 25.0).otherwise(50.0)
+    model = grid.where(F.col("strength") == fixed).select("model", F.col("loss").alias("model_loss"))
+    chosen = B.select_strength(B.cv_summary(B.fold_losses(contests, A.folds(spark, sf)))).withColumnRenamed("strength", "chosen")
+    kinds = F.array(F.lit("fixed_grid"), F.when(F.col("strength") == F.col("chosen"), "training_cv_selected"))
+    rows = grid.join(model, "model").join(chosen, "model").select("*", F.explode(kinds).alias("baseline")).where("baseline is not null")
+    comparison = F.when(F.col("baseline") == "training_cv_selected", F.col("baseline")).otherwise(B.label_of(F.col("strength")))
+    gain = F.col("loss") - F.col("model_loss")
+    point = rows.select("model", "baseline", comparison.alias("comparison"), gain.alias("improvement"), (100 * gain / F.col("loss")).alias("percent_improvement"))
+    return rounded(W.validation_summary(_tuning(spark, sf), point, TUNING_DRAWS))
+
+
 def selected_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_labelled(W.selected_frequencies(_tuning(spark, sf), TUNING_DRAWS)))
 
@@ -309,6 +354,10 @@ def weekly_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.weekly_intervals(rows, ["week", "model", "role", "player_key"], "ratio", 5))
 
 
+def weekly_absence(spark: SparkSession, sf: str) -> DataFrame:
+    return K.absence_counts(weekly_availability(spark, sf), 5)
+
+
 def weekly_report(spark: SparkSession, sf: str) -> DataFrame:
     return K.weekly_report(weekly_intervals(spark, sf))
 
@@ -339,7 +388,7 @@ def standardized_scores(spark: SparkSession, sf: str) -> DataFrame:
 def ordinal_scores(spark: SparkSession, sf: str) -> DataFrame:
     contests, beta = A.contests(spark, sf), _fixed_coefficients(spark, sf)
     one = beta.where("model = 'win'").withColumn("model", F.lit("severity"))
-    parts = [population_scores(contests, one, "severity", r, PARAMS.severity_weights, 0.5, [0.0, 1.2, 2.2]) for r in ("Rusher", "Blocker")]
+    parts = [population_scores(contests, one, "severity", r, PARAMS.severity_weights, 0.5, [0.0, 1.2, 2.2], chances=True) for r in ("Rusher", "Blocker")]
     return rounded(parts[0].unionByName(parts[1]))
 
 
@@ -404,22 +453,73 @@ def play_fit(spark: SparkSession, sf: str) -> DataFrame:
     return _fit_rows(spark, G.fit_plays(cells, D.play_levels(train)))
 
 
-def coefficient_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean, quantiles and defined shares of every term over the replicates' regressions."""
+def play_fit_residual(spark: SparkSession, sf: str) -> DataFrame:
+    """What the fit leaves at every term: 0 for a least-squares fit, whatever the terms it set to 0."""
+    cells = _game_gramian(spark, sf).groupBy("a", "b").agg(F.sum("value").alias("value"))
+    return rounded(G.normal_residuals(cells, play_fit(spark, sf)), 5)
+
+
+def _epa_fits(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame, DataFrame, G.FixedEffectsFit]]:
+    """(kind, plays, Gramian, fit) of the primary design, the protected counts, and the plays with penalties too."""
+    every = A.plays(spark, sf).where("eligible_primary and split = 'train'")
+    out = []
+    for kind, design, train in (("primary", "primary", every.where("not accepted_penalty")), ("protected", "protected", every.where("not accepted_penalty")), ("no_penalty", "primary", every)):
+        rows = D.play_design(train, train, ["game_id", "play_id"], design)
+        cells = G.gramian(rows, train.select("game_id", "play_id", F.col("epa").alias("y")), ["game_id", "play_id"], []).select("a", "b", "value")
+        fit = G.fit_plays(cells, D.play_levels(train))
+        out.append((kind, train, cells, fit))
+    return out
+
+
+def epa_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome weights and plays of the primary design, the protected counts, and the plays with accepted penalties too."""
+    rows = [(kind, train.count(), *(float(fit.weights()[c]) for c in CLASSES)) for kind, train, _, fit in _epa_fits(spark, sf)]
+    return rounded(spark.createDataFrame(rows, "kind string, plays long, " + ", ".join(f"w_{c} double" for c in CLASSES)))
+
+
+def epa_sensitivity_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Plays, terms and the largest residual of the normal equations of each of these fits."""
+    parts = []
+    for kind, train, cells, fit in _epa_fits(spark, sf):
+        left = G.normal_residuals(cells, _fit_rows(spark, fit)).agg(F.count(F.lit(1)).alias("terms"), F.round(F.max(F.abs("residual")), 5).alias("residual"))
+        parts.append(train.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("plays")).crossJoin(left))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _draw_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """(replicate_id, term, coefficient, estimable, absent) of the regressions of all replicates."""
     train = _plays(spark, sf).where("split = 'train'")
     levels = [f"{r['kind']}::{r['level']}" for r in D.play_levels(train).collect()]
     drawn = G.draw_gramians(_game_gramian(spark, sf), bootstrap_draws(spark, sf)).select("replicate_id", "a", "b", "value")
+    return G.solve_draws(drawn, levels)
 
-    def solve(part):
-        import pandas as pd
 
-        fit = G.solve_fixed_effects(list(part[["a", "b", "value"]].itertuples(index=False, name=None)), levels)
-        return pd.DataFrame({"replicate_id": int(part["replicate_id"].iloc[0]), "term": list(fit.coefficients), "coefficient": list(fit.coefficients.values()), "estimable": [fit.estimable[t] for t in fit.coefficients]})
+def coefficient_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term over the replicates' regressions: point, mean, quantiles, identified interval, defined and absent shares."""
+    return rounded(G.coefficient_uncertainty(_draw_fits(spark, sf), play_fit(spark, sf)))
+
+
+def coefficient_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    """Covariance of the count terms' coefficients over the replicates."""
+    return rounded(G.coefficient_covariance(_draw_fits(spark, sf), list(D.COUNTS)), 9)
 
-    # one replicate's cells (terms x terms) are one group: as large as the vocabulary of levels allows, not the data
-    fits = drawn.groupBy("replicate_id").applyInPandas(solve, "replicate_id int, term string, coefficient double, estimable boolean")
-    every = F.count_if(~F.col("estimable")) == 0
-    return rounded(fits.groupBy("term").agg(F.count(F.lit(1)).alias("draws"), F.avg("coefficient").alias("mean"), *(F.when(every, F.percentile("coefficient", F.lit(q))).alias(n) for q, n in ((0.025, "q025"), (0.975, "q975"))), F.avg(F.col("estimable").cast("double")).alias("estimable_fraction")))
+
+def bootstrap_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome weights learnt anew in every replicate."""
+    return rounded(G.draw_weights(_draw_fits(spark, sf)))
+
+
+def bootstrap_weights_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms and the largest residual of the normal equations by replicate."""
+    drawn = G.draw_gramians(_game_gramian(spark, sf), bootstrap_draws(spark, sf)).select("replicate_id", "a", "b", "value")
+    fits = _draw_fits(spark, sf)
+    sides = drawn.where("a <> '@y' and b <> '@y'")
+    turned = sides.where("a <> b").select("replicate_id", F.col("b").alias("a"), F.col("a").alias("b"), "value")
+    fitted = sides.unionByName(turned).join(fits.select("replicate_id", F.col("term").alias("b"), "coefficient"), ["replicate_id", "b"]).groupBy("replicate_id", "a").agg(F.sum(F.col("value") * F.col("coefficient")).alias("f"))
+    target = drawn.where("(a = '@y') <> (b = '@y')").select("replicate_id", F.when(F.col("a") == "@y", F.col("b")).otherwise(F.col("a")).alias("a"), F.col("value").alias("y"))
+    length = sides.where("a = b").select("replicate_id", "a", F.sqrt("value").alias("n"))
+    met = fitted.join(length, ["replicate_id", "a"]).join(target, ["replicate_id", "a"], "left")
+    return met.groupBy("replicate_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max(F.abs(F.coalesce("y", F.lit(0.0)) - F.col("f")) / F.col("n")), 4).alias("residual"))
 
 
 def ridge_win(spark: SparkSession, sf: str) -> DataFrame:
@@ -432,8 +532,17 @@ def ridge_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 def ordinal_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients of the proportional-odds fit, its largest gradient and whether that is below the tolerance."""
-    fit = fit_ordinal(A.contests(spark, sf), 0.01, ORDINAL_TOLERANCE)
-    return rounded(coefficients_of(fit, spark)).withColumn("gradient", F.lit(fit.gradient)).withColumn("converged", F.lit(fit.gradient < ORDINAL_TOLERANCE))
+    fit = fit_ordinal(A.contests(spark, sf), 0.01)
+    return rounded(coefficients_of(fit, spark)).withColumn("gradient", F.lit(fit.gradient)).withColumn("converged", F.lit(fit.converged))
+
+
+def ridge_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms and largest gradient of the penalised loss of both models' fits at one penalty: 0 at the minimum."""
+    rows = []
+    for model in MODELS:
+        fit = fit_model(A.contests(spark, sf), model, fixed=0.01)
+        rows.append((model, len(fit.terms), round(fit.gradient, 3) + 0.0))
+    return spark.createDataFrame(rows, "model string, terms int, gradient double")
 
 
 def weekly_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,7 +554,8 @@ def weekly_scores(spark: SparkSession, sf: str) -> DataFrame:
             # a model of which a class hasn't occurred yet has no scores in that week
             fit = fit_model(seen, model, fixed=0.01)
             if fit.status == "complete":
-                parts += [population_scores(contests, fit.coefficients, model, r, PARAMS.severity_weights).withColumn("week", F.lit(week)) for r in ROLES]
+                found = [K.exposed(population_scores(contests, fit.coefficients, model, r, PARAMS.severity_weights), contests, week) for r in ROLES]
+                parts += [f.withColumn("week", F.lit(week)) for f in found]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -453,12 +563,13 @@ def weekly_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sample_sizes, matchup_quality, play_quality, vocabulary, rated_opponents, exposure, sack_share, split_leakage, outcome_profiles, smoothed_profiles,
+    sample_sizes, matchup_quality, play_quality, folds_quality, reference_quality, result_quality, vocabulary, rated_opponents, exposure, sack_share, split_leakage, outcome_profiles, smoothed_profiles,
     baseline_logloss, baseline_loss_grid, baseline_cv, baseline_cv_selected, reference_contexts_rusher, reference_contexts_blocker, literal_rates,
     profile_scores, baseline_scores, rank_cohorts, top10_report, rank_pairs, rank_correlations, honours_labels, honours_alignment, rank_views,
-    rank_view_pairs, ranking_stability, name_key, design_triplets, design_row_mass, play_basis, play_levels, play_design, game_gramian, play_gramian,
+    rank_view_pairs, rank_view_honours, rating_table, ranking_stability, name_key, design_triplets, design_row_mass, play_basis, play_levels, play_design, game_gramian, play_gramian,
     bootstrap_gramian, game_folds, bootstrap_draws, bootstrap_ratings, scoped_rank_intervals, paired_rank_uncertainty, bootstrap_baseline_losses,
-    bootstrap_baseline_summary, selected_frequencies, weekly_raw, weekly_availability, weekly_intervals, weekly_report, ordinal_design_groups,
+    bootstrap_baseline_summary, selected_frequencies, tuned_baseline_table, weekly_raw, weekly_availability, weekly_absence, weekly_intervals, weekly_report, ordinal_design_groups,
     centered_coefficients, standardized_scores, ordinal_scores, holdout_predictions, calibration_bins, loss_audit, play_metrics, play_fit,
-    coefficient_uncertainty, ridge_win, ridge_severity, ordinal_fit, weekly_scores,
+    play_fit_residual, epa_sensitivity, epa_sensitivity_check, coefficient_uncertainty, coefficient_covariance, bootstrap_weights, bootstrap_weights_check,
+    ridge_gradient, ridge_win, ridge_severity, ordinal_fit, weekly_scores,
 )}

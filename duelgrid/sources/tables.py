@@ -32,6 +32,13 @@ def truth(column: Column) -> Column:
     return F.when(column.isin("1", "TRUE", "True", "true"), True).when(column.isin("0", "FALSE", "False", "false"), False)
 
 
+def utc_time(text: Column) -> Column:
+    """An ISO time with its offset (none or Z: UTC), whatever the session's time zone."""
+    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+    whole = F.concat(F.substring(text, 1, 19), F.when(zone.isin("", "Z"), "+00:00").otherwise(zone))
+    return F.coalesce(F.to_timestamp(whole, "yyyy-MM-dd'T'HH:mm:ssXXX"), F.to_timestamp(whole, "yyyy-MM-dd'T'HH:mm:ssXX"))
+
+
 def _read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read by name: every column as text first, then typed, so that NA texts become nulls and extra columns are ignored."""
     raw = spark.read.csv(path, header=True, escape='"', quote='"')
@@ -48,7 +55,7 @@ def read_matchups(spark: SparkSession, path: str) -> DataFrame:
     ids = F.from_json("blocker_ids", "array<string>")
     return raw.select(
         "*",
-        F.to_timestamp(F.substring("kickoff_utc", 1, 19), "yyyy-MM-dd'T'HH:mm:ss").alias("kickoff"),
+        utc_time(F.col("kickoff_utc")).alias("kickoff"),
         F.concat(F.lit("id:"), "rusher_id").alias("rusher_key"),
         F.transform(ids, lambda i: F.concat(F.lit("id:"), i)).alias("blocker_keys"),
         F.from_json("blocker_names", "array<string>").alias("names"),
@@ -63,7 +70,69 @@ def read_plays(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns(flags)
 
 
+def read_play_data(spark: SparkSession, path: str, pool_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plays, pool, basis) of the play and pool CSVs: rules hold, plays lie in the pool's games, the basis is the training plays'."""
+    from duelgrid.operators.design import play_basis
+    from duelgrid.operators.quality import enforce, play_quality
+
+    plays, pool = read_plays(spark, path), read_pool(spark, pool_path)
+    enforce(play_quality(plays, pool))
+    return plays, pool, play_basis(plays.where("eligible_primary and not accepted_penalty and split = 'train'"))
+
+
+def read_pool(spark: SparkSession, path: str) -> DataFrame:
+    """(game_id, week) of the game pool's CSV."""
+    return _read_csv(spark, path, "game_id string, week int")
+
+
+def read_folds(spark: SparkSession, path: str, contests: DataFrame, k: int) -> DataFrame:
+    """(game_id, fold) of a saved fold table (CSV), after its rules were checked against the contests."""
+    from duelgrid.operators.quality import enforce, folds_quality
+
+    folds = _read_csv(spark, path, "game_id string, fold int")
+    enforce(folds_quality(folds, contests, k))
+    return folds
+
+
+def read_reference(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """A saved reference population (Parquet with `weight`), after its weights were checked."""
+    from duelgrid.operators.quality import enforce, reference_quality
+
+    contexts = spark.read.parquet(path)
+    enforce(reference_quality(contexts, keys))
+    return contexts
+
+
+#: Orders in which tables are given out.
+CHRONOLOGICAL = {"contests": ["game_index", "play_id", "rusher_key"], "plays": ["week", "game_id", "play_id"]}
+
+
+def json_text(column: Column) -> Column:
+    """An array as JSON text in order of its elements."""
+    return F.to_json(F.array_sort(column))
+
+
+def group_apply(df: DataFrame, keys: list[str], function: Callable, schema: str) -> DataFrame:
+    """A function of pandas frames on every group of `keys`: the way out for what has no expression.
+
+    A group must fit into one task; null keys are a group.
+    """
+    absent = [k for k in keys if k not in df.columns]
+    if absent:
+        raise ValueError("Missing columns: " + ", ".join(absent))
+    return df.groupBy(*keys).applyInPandas(function, schema)
+
+
+def content_hash(df: DataFrame) -> str:
+    """Count and a sum of row hashes: equal for the same rows in any order."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}:{row['h']}"
+
+
 def write_table(df: DataFrame, folder: str, name: str, kind: str = "parquet") -> None:
+    """Write a stage table; contests and plays in chronological order."""
+    if name in CHRONOLOGICAL and all(c in df.columns for c in CHRONOLOGICAL[name]):
+        df = df.orderBy(*CHRONOLOGICAL[name])
     df.write.mode("overwrite").format(kind).options(header=True).save(f"{folder}/{name}")
 
 

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from duelgrid.operators import baselines as B
 from duelgrid.operators import contests as C
 from duelgrid.operators import design as D
+from duelgrid.operators import lanes as L
 from duelgrid.operators import quality as Q
+from duelgrid.operators import draws as W
+from duelgrid.operators import ranking as R
 from duelgrid.operators import resample as S
 from duelgrid.operators import weekly as K
-from duelgrid.operators.ordinal import _partials, extend_grid, fit_ordinal
+from duelgrid.operators.ordinal import extend_grid, fit_ordinal, ordinal_path
 from duelgrid.operators.regression import solve_fixed_effects
-from duelgrid.operators.ridge import best_penalty, fit_model, one_se_penalty
+from duelgrid.operators.ridge import best_penalty, fit_model, one_se_penalty, refit_folds
 from duelgrid.params import Params
 from duelgrid.sources import adapter as A
-from duelgrid.sources.tables import read_matchups, read_result, resume, write_table
+from duelgrid.sources.tables import group_apply, json_text, read_folds, read_matchups, read_reference, read_result, resume, utc_time, write_table
 
 
 @pytest.fixture(scope="module")
@@ -147,30 +150,65 @@ def test_fixed_effects_against_least_squares():
     assert fit.absent == ("QB::unseen",) and not fit.estimable["QB::unseen"] and fit.estimable["N_S"]
 
 
-def test_ordinal_gradient_is_the_derivative():
-    import pandas as pd
-
+@pytest.mark.parametrize("kind", ["win", "severity", "ordinal"])
+def test_gradients_are_derivatives(spark, kind):
     rng = np.random.default_rng(2)
-    part = pd.DataFrame({"at": [[0, 1], [1, 2], [0, 2]], "value": [[1.0, -0.5], [1.0, -1.0], [1.0, 0.7]], "counts": [[3.0, 1.0, 0.0, 2.0], [0.0, 2.0, 5.0, 1.0], [1.0, 1.0, 1.0, 4.0]]})
-    beta, cuts = rng.normal(size=3), np.array([-0.4, 0.6, 1.9])
-
-    def loss(b, c):
-        frame = next(_partials(b, c)([part]))
-        return dict(zip(frame.term, frame.amount))
-
-    base = loss(beta, cuts)
-    for i in range(3):
-        up = beta.copy()
-        up[i] += 1e-6
-        assert (loss(up, cuts)[-4] - base[-4]) / 1e-6 == pytest.approx(base[i], rel=1e-4, abs=1e-4)
-        moved = cuts.copy()
-        moved[i] += 1e-6
-        assert (loss(beta, moved)[-4] - base[-4]) / 1e-6 == pytest.approx(base[-1 - i], rel=1e-4, abs=1e-4)
+    rows = [(int(i % 3), float(rng.integers(1, 5)), int(rng.integers(0, 2 if kind == "win" else 4)), [0, 1 + i % 2], [1.0, float(rng.normal())]) for i in range(40)]
+    packed = spark.createDataFrame(rows, "fold int, weight double, label int, at array<int>, value array<double>").cache()
+    theta = rng.normal(size=(2, L.parameter_count(kind, 3))) / 2
+    left, penalties = np.array([-1, 1]), np.array([0.1, 0.3])
+    loss, slope = L.evaluate(packed, kind, 3, theta, left, penalties)
+    for i in range(theta.shape[1]):
+        up = theta.copy()
+        up[:, i] += 1e-6
+        assert (L.evaluate(packed, kind, 3, up, left, penalties)[0] - loss) / 1e-6 == pytest.approx(slope[:, i], rel=1e-3, abs=1e-5)
+    fitted, low, gradient, _ = L.minimise(packed, kind, 3, penalties, left, tolerance=1e-7)
+    assert gradient.max() < 1e-7 and (low <= loss).all()
+
+
+def test_lanes_agree_with_mllib(contests):
+    """The fit of all rows at one penalty is the same minimum by either solver."""
+    rows = contests.where("week <= 8")
+    for model in ("win", "severity"):
+        packed = L.pack(rows, model)
+        theta, loss, gradient, _ = L.minimise(packed.rows.cache(), model, len(packed.terms), np.array([0.02]), np.array([-1]), tolerance=1e-7)
+        fit = fit_model(rows, model, fixed=0.02)
+        assert fit.status == "complete" and fit.gradient < 1e-4 and set(fit.terms) == set(packed.terms)
+        heads = L.head_count(model)
+        ours = theta[0].reshape(heads, -1)[:, :-1]
+        centred = ours - ours.mean(axis=0) if heads > 1 else ours
+        for name, values in zip(("1",) if heads == 1 else ("loss", "win", "pressure", "sack"), centred):
+            rushers = {t: v for t, v in zip(packed.terms, values) if t.startswith("rusher::")}
+            mean = sum(rushers.values()) / len(rushers)
+            held = {r.term: r.coefficient for r in fit.coefficients.where(f"cls = '{name}'").collect()}
+            assert all(held[t] == pytest.approx(v - mean, abs=2e-3) for t, v in rushers.items())
+
+
+def test_cross_validation_and_fold_refits(spark, sf, contests):
+    rows, folds = contests.where("week <= 10"), A.folds(spark, sf)
+    fit = fit_model(rows, "win", folds, [0.3, 0.03, 0.003], params=Params(tolerance=1e-6))
+    assert [p for p, _, _ in fit.curve] == [0.3, 0.03, 0.003] and fit.penalty == best_penalty(fit.curve) and len(fit.folds) == 5
+    loss = next(value for p, value, _ in fit.curve if p == fit.penalty)
+    parts = refit_folds(rows, "win", folds, fit.penalty, loss)
+    assert [p[0] for p in parts] == [1, 2, 3, 4, 5] and sum(p[1] * p[2] for p in parts) / sum(p[1] for p in parts) == pytest.approx(loss, abs=1e-9)
+    with pytest.raises(ValueError, match="agree"):
+        refit_folds(rows, "win", folds, fit.penalty, loss + 1e-3)
+    with pytest.raises(Exception, match="No fold for game"):
+        fit_model(rows, "win", folds.where("fold < 5"), [0.1])
+    one_fold = rows.withColumn("severity_outcome", F.when((F.col("severity_outcome") == "sack") & (F.col("game_id") != rows.first().game_id), "loss").otherwise(F.col("severity_outcome")))
+    with pytest.raises(ValueError, match="outside fold"):
+        fit_model(one_fold, "severity", folds, [0.1])
+
+
+def test_ordinal_path_extends_its_grid(spark, sf, contests):
+    path = ordinal_path(contests.where("week <= 6"), A.folds(spark, sf), [1e-3, 3e-4], 5)
+    assert path.fit.converged and path.extensions >= 1 and path.penalty == min(path.curve, key=lambda c: (c[1], -c[0]))[0]
+    assert path.one_se >= path.penalty and len(path.by_fold) == 5 * len(path.curve)
 
 
 def test_ordinal_fit_converges(contests):
-    fit = fit_ordinal(contests.where("week <= 4"), 0.05, tolerance=2e-3, rounds=30)
-    assert fit.gradient < 2e-3 and fit.cuts == sorted(fit.cuts)
+    fit = fit_ordinal(contests.where("week <= 4"), 0.05)
+    assert fit.converged and fit.cuts == sorted(fit.cuts)
     assert extend_grid([1.0, 0.1], "upper") == pytest.approx([10.0, 1.0, 0.1])
 
 
@@ -209,3 +247,64 @@ def test_csv_round_trip_and_resume(spark, tmp_path):
     assert read_result(spark, folder, "t").count() == 3
     with pytest.raises(FileNotFoundError, match="earlier"):
         read_result(spark, folder, "none")
+
+
+def violated(rules):
+    return {r.rule: r.violations for r in rules.collect() if r.violations}
+
+
+def test_fold_and_reference_rules(spark, sf, contests, tmp_path):
+    folds = A.folds(spark, sf)
+    assert violated(Q.folds_quality(folds, contests, 5)) == {}
+    one = folds.first().game_id
+    assert violated(Q.folds_quality(folds.where(F.col("game_id") != one), contests, 5)) == {"F03_games": 1}
+    assert violated(Q.folds_quality(folds.unionByName(folds.limit(1)), contests, 5)) == {"F01_unique": 1}
+    assert violated(Q.folds_quality(folds.where("fold < 5").unionByName(folds.where("fold = 5").withColumn("fold", F.lit(7))), contests, 5)) == {"F02_labels": 2}
+    path = str(tmp_path / "folds")
+    folds.write.csv(path, header=True)
+    assert read_folds(spark, path, contests, 5).exceptAll(folds).count() == 0
+    contexts = C.reference_contexts(contests, "Rusher")
+    assert violated(Q.reference_quality(contexts, ["model"])) == {}
+    assert violated(Q.reference_quality(contexts.withColumn("weight", F.col("weight") * 1.1), ["model"])) == {"R02_sum": 2}
+    assert "R01_positive" in violated(Q.reference_quality(contexts.withColumn("weight", -F.col("weight")), ["model"]))
+    contexts.write.parquet(str(tmp_path / "contexts"))
+    assert read_reference(spark, str(tmp_path / "contexts"), ["model"]).count() == contexts.count()
+
+
+def test_result_rules(spark):
+    scores = spark.createDataFrame([("win", "Rusher", p, "raw", "rate") for p in "aab"], "model string, role string, player_key string, method string, score_type string")
+    draws = spark.createDataFrame([(r, "win", "rate", "Rusher", p, True) for r, p in ((1, "a"), (1, "b"), (3, "a"))], "replicate_id int, model string, score_type string, role string, player_key string, present_in_draw boolean")
+    chances = spark.createDataFrame([(0.5, 0.5), (0.5, 0.4), (None, 1.0)], "p_a double, p_b double")
+    losses = spark.createDataFrame([(1, "win", 1.0, 5), (1, "win", 2.0, 6)], "replicate_id int, model string, strength double, test_rows long")
+    assert violated(Q.result_quality(scores, draws, chances, losses, 2)) == {"X01_score_key": 1, "X02_replicates": 2, "X03_grid": 1, "X05_probabilities": 2, "X06_paired": 1}
+
+
+def test_points_need_intervals_and_draws_must_be_complete(spark):
+    points = spark.createDataFrame([("win", 1.0), ("severity", 2.0)], "model string, score double")
+    intervals = spark.createDataFrame([("win", 0.5)], "model string, low double")
+    assert R.with_intervals(points.where("model = 'win'"), intervals, ["model"]).first().low == 0.5
+    with pytest.raises(Exception, match="No interval for severity"):
+        R.with_intervals(points, intervals, ["model"]).collect()
+    draws = spark.createDataFrame([("win", 1), ("win", 2), ("severity", 1)], "model string, replicate_id int")
+    assert W.complete_draws(draws.where("model = 'win'"), ["model"], 2).count() == 2
+    with pytest.raises(Exception, match="Incomplete draws of severity"):
+        W.complete_draws(draws, ["model"], 2).collect()
+
+
+def test_times_json_and_groups(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = spark.createDataFrame([("2021-09-09T20:20:00Z",), ("2021-09-09T20:20:00",), ("2021-09-09T22:20:00+02:00",), (None,)], "t string")
+        assert [r[0] for r in texts.select(F.unix_timestamp(utc_time(F.col("t")))).collect()] == [1631218800] * 3 + [None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert spark.createDataFrame([(["b", "a"],)], "x array<string>").select(json_text(F.col("x"))).first()[0] == '["a","b"]'
+    rows = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 5.0)], "g int, x double")
+    assert sorted(r.x for r in group_apply(rows, ["g"], lambda part: part[["x"]].mean().to_frame().T, "x double").collect()) == [3.0, 5.0]
+    with pytest.raises(ValueError, match="h"):
+        group_apply(rows, ["h"], lambda part: part, "x double")
+
+
+def test_derived_tables_are_written_once(spark, sf):
+    first, second = A.contests(spark, sf), A.contests(spark, sf)
+    assert first.inputFiles() == second.inputFiles() and first.exceptAll(A.derive_contests(spark, sf)).count() == 0

@@ -1,20 +1,12 @@
 """Registered queries against DuckDB on the smallest tables."""
 
-import os
-
 import duckdb
 import pytest
 
 from duelgrid.plans.oracle import ORACLE_SQL
 from duelgrid.plans.queries import QUERIES
 
-#: A part of each area by default; ALL_QUERIES=1 runs every query that has SQL.
-SOME = [
-    "sample_sizes", "matchup_quality", "play_quality", "vocabulary", "exposure", "baseline_logloss", "baseline_cv_selected", "reference_contexts_blocker",
-    "baseline_scores", "rank_cohorts", "rank_correlations", "honours_alignment", "play_design", "play_gramian", "bootstrap_draws", "bootstrap_ratings",
-    "weekly_raw", "standardized_scores", "ordinal_scores", "calibration_bins",
-]
-NAMES = sorted(ORACLE_SQL) if os.environ.get("ALL_QUERIES") else SOME
+NAMES = sorted(ORACLE_SQL)
 
 
 def cell(value):
@@ -47,4 +39,4 @@ def test_same_rows(spark, sf, duck, name):
 
 def test_every_query_is_registered_with_known_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"play_fit", "coefficient_uncertainty", "ridge_win", "ridge_severity", "ordinal_fit", "weekly_scores"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"play_fit", "epa_sensitivity", "coefficient_uncertainty", "coefficient_covariance", "bootstrap_weights", "ridge_win", "ridge_severity", "ordinal_fit", "weekly_scores"}

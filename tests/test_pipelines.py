@@ -44,12 +44,30 @@ def test_steps_in_order(spark, tmp_path):
     assert abs(read_result(spark, folder, "holdout_predictions").groupBy("model", "play_id").agg(F.sum("p").alias("s")).agg(F.max(F.abs(F.col("s") - 1))).first()[0]) < 1e-9
     P.rankings(spark, folder, honours_table(spark), PARAMS)
     assert read_result(spark, folder, "rankings").where("method = 'bt' and min_interactions = 0").count() > 0
-    P.bootstrap(spark, folder, 0.1, [1, 2], PARAMS)
+    P.bootstrap(spark, folder, [0.1, 0.05], [1, 2], PARAMS)
     spread = read_result(spark, folder, "rank_uncertainty")
     assert spread.count() > 0 and spread.where("rank_q025 > rank_q975 or n_draws <> 2").count() == 0
-    P.sensitivity(spark, folder, 0.1, PARAMS)
-    assert read_result(spark, folder, "baseline_selected").count() == 2
-    P.weekly(spark, folder, 0.1, [18], PARAMS)
-    assert read_result(spark, folder, "weekly_point_diagnostics").where("status = 'complete'").count() == 2
-    P.tuned_validation(spark, folder, 2, PARAMS)
-    assert read_result(spark, folder, "tuned_baseline_validation_summary").count() == 26
+    # every replicate has weights of its own, learnt on its games
+    weights = {(r.replicate_id, r.cls): r.weight for r in read_result(spark, folder, "ratings_weights").collect()}
+    assert weights[1, "sack"] == weights[2, "sack"] == 1.0 and weights[1, "win"] != weights[2, "win"]
+    assert read_result(spark, folder, "ratings_bootstrap_diagnostics").count() == 4
+    P.bootstrap(spark, folder, [0.1], [1, 2], PARAMS, "validation")
+    assert read_result(spark, folder, "validation_uncertainty").where("improvement_q025 <= improvement_q975").count() == 4
+    # losses of the refitted models differ from draw to draw
+    assert read_result(spark, folder, "validation_draw_losses").where("model = 'win'").select("model_loss").distinct().count() == 2
+    with pytest.raises(ValueError, match="fresh"):
+        P.bootstrap(spark, folder, [0.2], [1, 2], PARAMS, "validation")
+    P.sensitivity(spark, folder, [0.1, 0.03], PARAMS)
+    assert read_result(spark, folder, "baseline_selected").count() == 2 and read_result(spark, folder, "epa_sensitivity").count() == 3
+    assert read_result(spark, folder, "baseline_model_cv").count() == 4 and read_result(spark, folder, "ordinal_cv_comparison").count() == 2
+    P.weekly(spark, folder, [4, 18], PARAMS)
+    assert read_result(spark, folder, "weekly_point_diagnostics").where("status in ('complete', 'season')").count() == 4
+    season = read_result(spark, folder, "all_rankings").where("min_interactions = 0 and comparison_id in ('bt:standardized_probability', 'bt:expected_severity')").select("model", "role", "player_key", F.col("score").alias("season"))
+    last = read_result(spark, folder, "weekly_scores").where("week = 18").join(season, ["model", "role", "player_key"])
+    assert last.count() > 0 and last.agg(F.max(F.abs(F.col("score") - F.col("season")))).first()[0] < 1e-12
+    P.weekly_uncertainty(spark, folder, [4, 18], [1, 2], PARAMS)
+    assert read_result(spark, folder, "weekly_uncertainty").where("interval_status = 'complete' and lower <= upper").count() > 0
+    P.plot_tables(spark, folder)
+    assert all(read_result(spark, folder, f"plot_{n}").count() > 0 for n in ("cv_curves", "calibration", "weekly"))
+    P.tuned_validation(spark, folder, [1, 2], PARAMS)
+    assert read_result(spark, folder, "tuned_baseline_validation_summary").where("n_boot = 2").count() == 26
