@@ -114,7 +114,12 @@ def parameter_count(kind: str, size: int) -> int:
     return size + 3 if kind == "ordinal" else head_count(kind) * (size + 1)
 
 
-def _sums(kind: str, size: int, theta: np.ndarray, left_out: np.ndarray) -> Callable:
+def used_by(folds: np.ndarray, left_out: np.ndarray, upto: bool) -> np.ndarray:
+    """[lane, row]: whether a lane uses a row: its fold isn't the lane's, or, with `upto`, isn't above it."""
+    return folds[None, :] <= left_out[:, None] if upto else folds[None, :] != left_out[:, None]
+
+
+def _sums(kind: str, size: int, theta: np.ndarray, left_out: np.ndarray, upto: bool) -> Callable:
     """Sums over a task's rows for every lane: weight, loss and gradient, in one list a lane."""
 
     def work(parts: Iterator) -> Iterator:
@@ -122,7 +127,7 @@ def _sums(kind: str, size: int, theta: np.ndarray, left_out: np.ndarray) -> Call
 
         total = np.zeros((len(theta), 2 + theta.shape[1]))
         for dense, labels, weights, folds in blocks(parts, size):
-            use = weights[None, :] * (folds[None, :] != left_out[:, None])
+            use = weights[None, :] * used_by(folds, left_out, upto)
             total[:, 0] += use.sum(axis=1)
             if kind == "ordinal":
                 loss, to_eta, to_cuts = ordinal_parts(dense, labels, theta)
@@ -144,8 +149,8 @@ def _sums(kind: str, size: int, theta: np.ndarray, left_out: np.ndarray) -> Call
     return work
 
 
-def evaluate(packed: DataFrame, kind: str, size: int, theta: np.ndarray, left_out: np.ndarray, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(losses, gradients) of the lanes: mean loss of the rows outside the lane's fold plus penalty / 2 x squared coefficients."""
+def evaluate(packed: DataFrame, kind: str, size: int, theta: np.ndarray, left_out: np.ndarray, penalties: np.ndarray, upto: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(losses, gradients) of the lanes: mean loss of the rows that the lane uses plus penalty / 2 x squared coefficients."""
     count = parameter_count(kind, size)
     step = max(1, TASK_NUMBERS // (count + 2))
     losses, slopes = np.zeros(len(theta)), np.zeros_like(theta)
@@ -153,7 +158,7 @@ def evaluate(packed: DataFrame, kind: str, size: int, theta: np.ndarray, left_ou
         part = slice(low, low + step)
         sums = np.zeros((len(theta[part]), 2 + count))
         # one list a lane and task: what reaches the driver is tasks x lanes x terms
-        for row in packed.mapInPandas(_sums(kind, size, theta[part], left_out[part]), "lane int, sums array<double>").toLocalIterator():
+        for row in packed.mapInPandas(_sums(kind, size, theta[part], left_out[part], upto), "lane int, sums array<double>").toLocalIterator():
             sums[row["lane"]] += np.asarray(row["sums"])
         held = np.maximum(sums[:, 0], 1e-300)
         losses[part], slopes[part] = sums[:, 1] / held, sums[:, 2:] / held[:, None]
@@ -192,16 +197,17 @@ def scales(packed: DataFrame, kind: str, size: int, penalties: np.ndarray) -> np
     return 1 / np.sqrt(every[None, :] + penalties[:, None] * penalised(kind, size)[None, :] + 1e-12)
 
 
-def minimise(packed: DataFrame, kind: str, size: int, penalties: np.ndarray, left_out: np.ndarray, start: np.ndarray | None = None, tolerance: float = 1e-6, rounds: int = 400, memory: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimise(packed: DataFrame, kind: str, size: int, penalties: np.ndarray, left_out: np.ndarray, start: np.ndarray | None = None, tolerance: float = 1e-6, rounds: int = 400, memory: int = 10, upto: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(parameters, losses, largest gradients, rounds used) of every lane, by L-BFGS steps taken side by side.
 
     A round is one aggregation over the rows for all lanes that aren't finished; steps that don't lower a lane's loss
-    enough are halved for that lane alone. Data stay in Spark: the driver holds parameters (lanes x terms).
+    enough are halved for that lane alone. Data stay in Spark: the driver holds parameters (lanes x terms). A lane leaves
+    out the rows of its fold in `left_out` or, with `upto`, those of later folds (weeks).
     """
     lanes = len(penalties)
     theta = np.zeros((lanes, parameter_count(kind, size))) if start is None else start.copy()
     scale = scales(packed, kind, size, penalties)
-    loss, slope = evaluate(packed, kind, size, theta, left_out, penalties)
+    loss, slope = evaluate(packed, kind, size, theta, left_out, penalties, upto)
     slope *= scale
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     used, done = np.zeros(lanes, int), np.abs(slope / scale).max(axis=1) < tolerance
@@ -231,7 +237,7 @@ def minimise(packed: DataFrame, kind: str, size: int, penalties: np.ndarray, lef
         while len(open_):
             which = live[open_]
             fresh[which] = theta[which] - length[open_, None] * way[open_] * scale[which]
-            found, ahead = evaluate(packed, kind, size, fresh[which], left_out[which], penalties[which])
+            found, ahead = evaluate(packed, kind, size, fresh[which], left_out[which], penalties[which], upto)
             new_loss[which], new_slope[which] = found, ahead * scale[which]
             good = (found <= loss[which] - 1e-4 * length[open_] * fall[open_] + 1e-15) | (length[open_] < 1e-8)
             length[open_[~good]] /= 2

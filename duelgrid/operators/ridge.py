@@ -197,3 +197,30 @@ def fit_model(contests: DataFrame, model: str, folds: DataFrame | None = None, p
         return RidgeFit(model, terms, _long(spark, fitted, model, terms, signs), fixed, curve, boundary, status, gradient, parts.get(fixed, []))
     finally:
         rows.unpersist()
+
+
+def weekly_fits(contests: DataFrame, model: str, penalty: float, weeks: list[int]) -> tuple[list[str], np.ndarray, dict[int, str]]:
+    """(terms, [week, class, term and intercept] centred coefficients, status by week) of the cumulative fits at one penalty.
+
+    The weeks are lanes of one fit over the season's vocabulary: who hasn't taken part yet has the coefficient 0 before
+    centring. A week in which a class hasn't occurred yet is `nonestimable`, one whose gradient stays above FINISHED
+    `unconverged`.
+    """
+    packed = L.pack(contests.withColumn("fold", F.col("week")), model)
+    rows, size = packed.rows.cache(), len(packed.terms)
+    try:
+        first = {r["label"]: r["week"] for r in rows.groupBy("label").agg(F.min("fold").alias("week")).collect()}
+        theta, _, gradient, _ = L.minimise(rows, model, size, np.full(len(weeks), penalty), np.array(weeks), tolerance=LANE_TOLERANCE, upto=True)
+    finally:
+        rows.unpersist()
+    table = theta.reshape(len(weeks), L.head_count(model), size + 1)
+    if L.head_count(model) > 1:
+        table = table - table.mean(axis=1, keepdims=True)
+    for role, sign in (("rusher::", 1.0), ("blocker::", -1.0)):
+        at = [i for i, t in enumerate(packed.terms) if t.startswith(role)]
+        mean = table[:, :, at].mean(axis=2)
+        table[:, :, at] -= mean[:, :, None]
+        table[:, :, -1] += sign * mean
+    known = len(first) == len(classes_of(model))
+    status = {w: "nonestimable" if not known or w < max(first.values()) else "complete" if gradient[i] <= FINISHED else "unconverged" for i, w in enumerate(weeks)}
+    return packed.terms, table, status

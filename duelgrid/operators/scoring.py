@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +106,55 @@ def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str
         F.when(F.lit(model != "win"), signed(model_column, role_column, credited)).alias("credited_score"),
         *((F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(classes_of(model)[-len(each) :])) if chances else ()),
     )
+
+
+def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], tables: np.ndarray, lanes: list[int], weights: tuple[float, ...], name: str = "week") -> DataFrame:
+    """`standardized_scores` of many coefficient tables ([lane, class, term and intercept]) at once, with the lane's `name`.
+
+    A task works through its contexts in blocks, for all lanes and players, and sends a row a lane and player; the tables
+    are as long as the vocabulary. The population are the contexts of `contests`.
+    """
+    index = {t: i for i, t in enumerate(terms)}
+    prefix = role.lower() + "::"
+    players = [t.removeprefix(prefix) for t in terms if t.startswith(prefix)]
+    own = tables[:, :, [index[prefix + p] for p in players]]
+    contexts = reference_contexts(contests, role).where(F.col("model") == model)
+    focal = F.col("rusher_key") if role == "Blocker" else F.lit("")
+    size = F.col("group_size") if role == "Blocker" else F.lit(0)
+    rows = contexts.select(F.split("opponents", r"\|").alias("opponents"), focal.alias("focal"), size.cast("int").alias("size"), F.col("double_team").alias("d"), F.col("double_team_unknown").alias("u"), "weight")
+    heads, count = tables.shape[1], len(classes_of(model)) if model != "win" else 1
+
+    def work(parts):
+        import pandas as pd
+
+        total = np.zeros((len(lanes), len(players), count))
+        for part in parts:
+            for low in range(0, len(part), 64):
+                piece = part.iloc[low : low + 64]
+                dense = np.zeros((len(piece), len(terms)))
+                scale = np.ones(len(piece))
+                for i, (others, who, k, d, u) in enumerate(zip(piece["opponents"], piece["focal"], piece["size"], piece["d"], piece["u"])):
+                    others = [o for o in others if o]
+                    for o in others:
+                        dense[i, index["blocker::" + o]] -= 1 / (k or len(others))
+                    if k:
+                        dense[i, index["rusher::" + who]] += 1
+                        scale[i] = -1 / k
+                    for flag, value in (("double_team", d), ("double_team_unknown", u)):
+                        if value:
+                            dense[i, index[flag]] += value
+                base = np.einsum("rt,lht->lrh", dense, tables[:, :, :-1]) + tables[:, None, :, -1]
+                eta = base[:, :, None, :] + scale[None, :, None, None] * own.transpose(0, 2, 1)[:, None, :, :]
+                if heads == 1:
+                    chance = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                else:
+                    powers = np.exp(eta - eta.max(axis=3, keepdims=True))
+                    chance = powers / powers.sum(axis=3, keepdims=True)
+                total += np.einsum("lrpc,r->lpc", chance, piece["weight"].to_numpy())
+        lane, player = np.divmod(np.arange(len(lanes) * len(players)), len(players))
+        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
+
+    sums = rows.mapInPandas(work, f"lane int, player_key string, {', '.join(f'p{i} double' for i in range(count))}").groupBy("lane", "player_key").agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in range(count)))
+    value = F.col("p0") if model == "win" else sum((F.col(f"p{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
+    model_column, role_column = F.lit(model), F.lit(role)
+    return sums.select(F.col("lane").alias(name), model_column.alias("model"), role_column.alias("role"), "player_key", value.alias("expected_outcome"), signed(model_column, role_column, value).alias("score"))

@@ -94,3 +94,10 @@ def exposed(scores: DataFrame, contests: DataFrame, week: int) -> DataFrame:
     """The scores of players with a row of the model up to a week, with their interactions."""
     seen = participations(observations(contests.where(F.col("week") <= week))).groupBy("model", "role", "player_key").agg(F.count(F.lit(1)).alias("interactions"))
     return scores.join(seen, ["model", "role", "player_key"])
+
+
+def exposed_by_week(scores: DataFrame, contests: DataFrame, last_week: int = 18) -> DataFrame:
+    """Scores (with `week`) of players with a row of the model up to their week, with their interactions so far."""
+    sums = participations(observations(contests)).groupBy("model", "role", "player_key", "week").agg(F.count(F.lit(1)).alias("interactions"))
+    seen = _cumulate(sums, ["model", "role", "player_key"], ["interactions"], last_week)
+    return scores.join(seen, ["model", "role", "player_key", "week"])

@@ -19,7 +19,8 @@ from duelgrid.operators import weekly as K
 from duelgrid.operators.ordinal import coefficients_of, fit_ordinal, ordinal_groups
 from duelgrid.operators.quality import matchup_quality as matchup_rules
 from duelgrid.operators.quality import play_quality as play_rules
-from duelgrid.operators.ridge import fit_model
+from duelgrid.operators.ridge import fit_model, weekly_fits
+from duelgrid.operators.scoring import lane_scores
 from duelgrid.operators.scoring import standardized_scores as population_scores
 from duelgrid.params import CLASSES, MODELS, ROLES, Params
 from duelgrid.sources import adapter as A
@@ -546,20 +547,17 @@ def ridge_gradient(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weekly_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Standardised scores of both models' cumulative fits at the season's penalty, for every week."""
-    contests, parts = A.contests(spark, sf), []
-    for week in range(1, PARAMS.last_week + 1):
-        seen = contests.where(F.col("week") <= week)
-        for model in MODELS:
-            # a model of which a class hasn't occurred yet has no scores in that week
-            fit = fit_model(seen, model, fixed=0.01)
-            if fit.status == "complete":
-                found = [K.exposed(population_scores(contests, fit.coefficients, model, r, PARAMS.severity_weights), contests, week) for r in ROLES]
-                parts += [f.withColumn("week", F.lit(week)) for f in found]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return rounded(out)
+    """Standardised scores of both models' cumulative fits at one penalty, for every week, of the players seen so far.
+
+    A model of which a class hasn't occurred yet has no scores in that week.
+    """
+    contests, weeks, parts = A.contests(spark, sf), list(range(1, PARAMS.last_week + 1)), []
+    for model in MODELS:
+        terms, tables, status = weekly_fits(contests, model, 0.01, weeks)
+        kept = [i for i, w in enumerate(weeks) if status[w] == "complete"]
+        parts += [lane_scores(contests, model, r, terms, tables[kept], [weeks[i] for i in kept], PARAMS.severity_weights) for r in ROLES]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rounded(K.exposed_by_week(out, contests, PARAMS.last_week))
 
 
 QUERIES = {f.__name__: f for f in (

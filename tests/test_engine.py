@@ -17,7 +17,8 @@ from duelgrid.operators import resample as S
 from duelgrid.operators import weekly as K
 from duelgrid.operators.ordinal import extend_grid, fit_ordinal, ordinal_path
 from duelgrid.operators.regression import solve_fixed_effects
-from duelgrid.operators.ridge import best_penalty, fit_model, one_se_penalty, refit_folds
+from duelgrid.operators.ridge import best_penalty, fit_model, one_se_penalty, refit_folds, weekly_fits
+from duelgrid.operators.scoring import lane_scores, standardized_scores
 from duelgrid.params import Params
 from duelgrid.sources import adapter as A
 from duelgrid.sources.tables import group_apply, json_text, read_folds, read_matchups, read_reference, read_result, resume, utc_time, write_table
@@ -184,6 +185,23 @@ def test_lanes_agree_with_mllib(contests):
             assert all(held[t] == pytest.approx(v - mean, abs=2e-3) for t, v in rushers.items())
 
 
+def test_weeks_side_by_side(contests):
+    """A week's lane is the fit of its rows, and lane scores are the standardised scores."""
+    rows = contests.where("week <= 6")
+    for model in ("win", "severity"):
+        terms, tables, status = weekly_fits(rows, model, 0.02, [4, 6])
+        assert status == {4: "complete", 6: "complete"}
+        names = ("1",) if model == "win" else C.classes_of(model)
+        long = [(model, t, n, float(v)) for n, values in zip(names, tables[1]) for t, v in zip([*terms, "(Intercept)"], values)]
+        beta = contests.sparkSession.createDataFrame(long, "model string, term string, cls string, coefficient double")
+        for role in ("Rusher", "Blocker"):
+            wanted = {r.player_key: r.score for r in standardized_scores(rows, beta, model, role, (0.0, 0.25, 0.5, 1.0)).collect()}
+            found = lane_scores(rows, model, role, terms, tables, [4, 6], (0.0, 0.25, 0.5, 1.0)).where("week = 6").collect()
+            assert len(found) == len(wanted) and all(r.score == pytest.approx(wanted[r.player_key], abs=1e-9) for r in found)
+            fitted = {r.player_key: r.score for r in standardized_scores(rows, fit_model(rows, model, fixed=0.02).coefficients, model, role, (0.0, 0.25, 0.5, 1.0)).collect()}
+            assert all(r.score == pytest.approx(fitted[r.player_key], abs=2e-3) for r in found)
+
+
 def test_cross_validation_and_fold_refits(spark, sf, contests):
     rows, folds = contests.where("week <= 10"), A.folds(spark, sf)
     fit = fit_model(rows, "win", folds, [0.3, 0.03, 0.003], params=Params(tolerance=1e-6))
