@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,12 +112,14 @@ def slot_table(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     table = table.repartition(tasks, "shard", "number", "_part")
     table = table.withColumn("slot", F.explode(F.sequence(F.col("_part") * CHUNK, F.least((F.col("_part") + 1) * CHUNK, F.col("count")) - 1)))
 
-    @F.pandas_udf("long")
-    def block_of(slot: pd.Series, number: pd.Series, blocks: pd.Series) -> pd.Series:
-        turn = slot // blocks
-        return pd.Series(permute((slot % blocks).to_numpy(), blocks.to_numpy(), (turn * 1_000_003 + number * 7919 + seed).to_numpy()))
+    def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            first, slot, number, blocks = (part.column(i).to_numpy() for i in (1, 2, 3, 4))
+            turn, index = np.divmod(first + slot, blocks)
+            block = permute(index, blocks, turn * 1_000_003 + number * 7919 + seed)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(block)], names=["shard", "slot", "number", "block"])
 
-    return table.select("shard", "slot", "number", block_of(F.col("first") + F.col("slot"), F.col("number"), F.col("blocks")).alias("block"))
+    return table.select("shard", "first", "slot", "number", "blocks").mapInArrow(place, "shard int, slot long, number long, block long")
 
 
 def mix_sources(docs: DataFrame, block: int = 64, share: float = 1.5, most: float = 2.0, shards: int = 24, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

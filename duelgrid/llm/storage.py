@@ -63,8 +63,8 @@ class Scratch:
         self.tables = []
 
 
-#: Bits of a key filter: 8 MB, whatever the number of keys.
-FILTER_BITS = 26
+#: The bits of a key filter are 2 to this power: 1 MB, whatever the number of keys.
+FILTER_BITS = 23
 
 
 def keep_possible(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
