@@ -253,7 +253,7 @@ def test_find_benchmark_against_brute_force(spark, table):
         text = words(rng.randrange(0, 30), i, 40)
         if i % 2:
             item = list(items[i % 8][1])
-            for _ in range(rng.randrange(0, 6)):
+            for _ in range(rng.randrange(0, 4)):
                 at = rng.randrange(len(item))
                 item[at : at + 1] = rng.choice([[], ["x"], [item[at], "y"]])
             text = f"{text} {''.join(item)} {words(4, 900 + i, 40)}"
@@ -266,7 +266,7 @@ def test_find_benchmark_against_brute_force(spark, table):
             distance = edit_distance_in(normalise(item), normalise(text))
             if distance <= int(len(normalise(item)) * 0.06):
                 wanted[i, n] = distance
-    assert found == wanted and len(wanted) >= 15
+    assert found == wanted and len(wanted) >= 10 and max(wanted.values()) > 0
 
 
 def test_short_and_repeated_items(spark, table, monkeypatch):
