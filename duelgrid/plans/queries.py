@@ -16,7 +16,7 @@ from duelgrid.operators import ranking as R
 from duelgrid.operators import regression as G
 from duelgrid.operators import resample as S
 from duelgrid.operators import weekly as K
-from duelgrid.operators.ordinal import coefficients_of, fit_ordinal, ordinal_groups
+from duelgrid.operators.ordinal import TOLERANCE, coefficients_of, fit_ordinal, ordinal_groups
 from duelgrid.operators.quality import matchup_quality as matchup_rules
 from duelgrid.operators.quality import play_quality as play_rules
 from duelgrid.operators.ridge import fit_model, weekly_fits
@@ -533,7 +533,7 @@ def ridge_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 def ordinal_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients of the proportional-odds fit, its largest gradient and whether that is below the tolerance."""
-    fit = fit_ordinal(A.contests(spark, sf), 0.01)
+    fit = fit_ordinal(A.contests(spark, sf), 0.01, TOLERANCE)
     return rounded(coefficients_of(fit, spark)).withColumn("gradient", F.lit(fit.gradient)).withColumn("converged", F.lit(fit.converged))
 
 
