@@ -10,11 +10,14 @@ from duelgrid.llm.langid import fit_filters, predict_language
 from duelgrid.llm.linededup import dedup_lines
 from duelgrid.llm.lmscore import score_texts
 from duelgrid.llm.mixing import mix_sources
+from duelgrid.llm.phrases import mine_phrases
 from duelgrid.llm.pipeline import run
 from duelgrid.llm.repetition import repetition_quality, repetition_verdict
 from duelgrid.llm.sharding import assign_shards
 from duelgrid.llm.simhash import near_duplicate_components
+from duelgrid.llm.spelling import count_words, spelling_variants
 from duelgrid.llm.urlfilter import canonical, filter_urls, host_of, path_of
+from duelgrid.llm.vectors import near_duplicate_vectors
 from duelgrid.llm.weaklabel import score_quality
 
 #: (verdict, host, path) of the URL rules.
@@ -95,6 +98,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out(7))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and near words of every word of the documents. Null texts have no words; a null doc_id counts as an empty one. Empty tables give no rows; extra columns are not read."""
+    return spelling_variants(count_words(_table(spark, sf_dir, "documents"), 6, slip_every=199), least_count=5, ratio=5)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language. Null texts are empty; a null lang is `und`. Empty tables give no rows; extra columns are not read."""
+    return mine_phrases(_table(spark, sf_dir, "documents"), most_words=3, least=10, top=2000, covered_percent=50)
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. Null, zero and unfinite vectors link with nothing; repeated rows are linked. Empty tables give no rows; extra columns are not read."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every row that the pipeline's stages keep; each stage states its handling of odd rows. Empty tables give no rows; extra columns are not read."""
     return run(spark, sf_dir)
@@ -111,6 +129,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_lm_score": op10_lm_score,
+    "op11_spelling": op11_spelling,
+    "op12_phrases": op12_phrases,
+    "op13_vectors": op13_vectors,
     "pipeline": pipeline,
 }
 
@@ -139,4 +160,32 @@ ORACLE_SQL = {
         SELECT d.page_id, d.host, d.path, f.rule,
                coalesce(f.verdict, CASE WHEN d.host <> '' AND d.k IN (SELECT k FROM spam) THEN 'block' ELSE 'allow' END) AS verdict
         FROM keyed d LEFT JOIN fits f USING (page_id)""",
+    "op12_phrases": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+        lists AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+        placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0),
+        trios AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM placed),
+        one AS MATERIALIZED (SELECT lang, x, count(*) AS a FROM trios GROUP BY ALL),
+        two AS MATERIALIZED (SELECT lang, x, y, count(*) AS a FROM trios WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        three AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS a FROM trios WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        words AS (SELECT lang, sum(a)::BIGINT AS n FROM one GROUP BY lang),
+        cuts AS (SELECT t.lang, t.x || ' ' || t.y AS phrase, t.a, 1 AS k, p.a AS l, q.a AS r, t.x AS x, t.y AS y, NULL AS z FROM two t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y
+                 UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.a, 1, p.a, q.a, t.x, t.y, t.z FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+                 UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.a, 2, p.a, q.a, t.x, t.y, t.z FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z),
+        scored AS (SELECT *, (a::HUGEINT * a * 1000000 // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+        best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+        longer AS (SELECT lang, x, y, max(a) AS a FROM (SELECT lang, x, y, a FROM three UNION ALL SELECT lang, y, z, a FROM three) GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN longer m ON b.z IS NULL AND m.lang = b.lang AND m.x = b.x AND m.y = b.y WHERE m.a IS NULL OR 100 * m.a < 50 * b.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, w.n, score FROM ranked JOIN words w USING (lang) WHERE rank <= 2000""",
+    "op13_vectors": r"""
+        WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        reached AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reached r JOIN links l ON l.u = r.w),
+        least AS (SELECT u, min(w) AS w FROM reached GROUP BY u),
+        n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, least.w) AS component_id, vec_id = least(vec_id, least.w) AS kept
+        FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN least ON least.u = vec_id""",
 }
