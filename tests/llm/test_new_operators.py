@@ -155,7 +155,7 @@ def test_phrase_scores_pass_64_bits(spark):
 def brute_links(rows, similarity):
     good = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = [[j for j, (_, b) in enumerate(good) if j != i and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= similarity] for i, (_, a) in enumerate(good)]
-    pairs = np.array([(i, j) for i, x in enumerate(links) for j in x]).reshape(-1, 2)
+    pairs = np.array([(i, j) for i, x in enumerate(links) for j in x], int).reshape(-1, 2)
     root = roots(len(good), pairs)
     least = {}
     for r, (i, _) in zip(root, good):
