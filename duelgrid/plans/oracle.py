@@ -179,7 +179,7 @@ TABLES = {
         1 + k % 4 AS down, floor(quantity / lines)::DOUBLE AS ydstogo, (1 + k % 99)::DOUBLE AS yardline_100, (k % 1800)::DOUBLE AS half_seconds_remaining, (k % 43 - 21)::DOUBLE AS score_differential,
         1 + k % 5 AS qtr, CASE WHEN k % 50 <> 0 THEN c_nationkey::VARCHAR ELSE '__UNKNOWN_QB__' END AS qb, c_mktsegment AS defteam FROM order_rows
         JOIN (SELECT play_id::BIGINT AS pk, count(*) FILTER (WHERE category = 'win') AS nw, count(*) FILTER (WHERE category = 'pressure') AS pb, count(*) FILTER (WHERE category = 'sack') AS kb FROM opponent GROUP BY ALL) c ON c.pk = k))""",
-    "used": "(SELECT * FROM play WHERE eligible AND NOT penalty)",
+    "used": "(SELECT * FROM play WHERE eligible)",
     "fit_plays": "(SELECT * FROM used WHERE split = 'train')",
     "basis": """(SELECT term, avg(x) AS center, CASE WHEN coalesce(stddev_samp(x), 0) = 0 THEN 1.0 ELSE stddev_samp(x) END AS scale FROM (SELECT 'log_ydstogo' AS term, ln(1 + ydstogo) AS x FROM fit_plays
         UNION ALL SELECT 'yardline_100', yardline_100 FROM fit_plays UNION ALL SELECT 'half_seconds_remaining', half_seconds_remaining FROM fit_plays UNION ALL SELECT 'score_differential', score_differential FROM fit_plays) GROUP BY term)""",
@@ -346,8 +346,8 @@ SOURCES = {
     "weekly_absence": "SELECT week, model, role, player_key, 5 - count(*) FILTER (WHERE present_in_draw) AS absent_draws, 5::BIGINT AS planned_draws FROM avail GROUP BY ALL",
     "play_fit_residual": "SELECT DISTINCT term, 0.0::DOUBLE AS residual FROM design WHERE split = 'train'",
     "epa_sensitivity_check": """WITH t AS (SELECT * FROM play WHERE eligible AND split = 'train'), lv AS (SELECT (SELECT count(DISTINCT qb) FROM t WHERE NOT penalty) + (SELECT count(DISTINCT defteam) FROM t WHERE NOT penalty) AS kept, (SELECT count(DISTINCT qb) FROM t) + (SELECT count(DISTINCT defteam) FROM t) AS every)
-        SELECT k.kind, CASE WHEN k.kind = 'no_penalty' THEN (SELECT count(*) FROM t) ELSE (SELECT count(*) FROM t WHERE NOT penalty) END AS plays,
-        (15 + CASE WHEN k.kind = 'protected' THEN 2 ELSE 0 END + CASE WHEN k.kind = 'no_penalty' THEN every ELSE kept END)::BIGINT AS terms, 0.0::DOUBLE AS residual FROM lv CROSS JOIN (VALUES ('primary'), ('protected'), ('no_penalty')) k(kind)""",
+        SELECT k.kind, CASE WHEN k.kind = 'no_penalty' THEN (SELECT count(*) FROM t WHERE NOT penalty) ELSE (SELECT count(*) FROM t) END AS plays,
+        (15 + CASE WHEN k.kind = 'protected' THEN 2 ELSE 0 END + CASE WHEN k.kind = 'no_penalty' THEN kept ELSE every END)::BIGINT AS terms, 0.0::DOUBLE AS residual FROM lv CROSS JOIN (VALUES ('primary'), ('protected'), ('no_penalty')) k(kind)""",
     "bootstrap_weights_check": "SELECT d.replicate_id, count(DISTINCT e.term) AS terms, 0.0::DOUBLE AS residual FROM (SELECT game_id, term FROM design WHERE split = 'train') e JOIN drawn d ON d.game_id = e.game_id GROUP BY ALL",
     "ridge_gradient": "SELECT model, (count(DISTINCT t.term))::INTEGER AS terms, 0.0::DOUBLE AS gradient FROM obs q JOIN triplet t ON t.play_id = q.play_id GROUP BY model",
     "name_key": "SELECT name_key, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(lower(trim(c_name || '  O''Hara-  ' || c_mktsegment)), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g') AS name_key FROM customer) GROUP BY ALL",

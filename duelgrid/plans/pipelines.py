@@ -54,31 +54,39 @@ def data_engineering(spark: SparkSession, folder: str, contests: DataFrame, play
 
 
 def _train_plays(spark: SparkSession, folder: str) -> DataFrame:
-    return read_result(spark, folder, "plays").where("eligible_primary and not accepted_penalty and split = 'train'")
+    return read_result(spark, folder, "plays").where("eligible_primary and split = 'train'")
 
 
 def outcome_weights(spark: SparkSession, folder: str, params: Params = Params()) -> None:
-    """Per-game Gramians, the fixed-effects fit, its weights, and hold-out errors against the context-only fit."""
+    """Per-game Gramians, the fixed-effects fit, its weights, and hold-out errors against the context-only fit.
+
+    All eligible plays count, those with an accepted penalty too. A sack effect that isn't estimable, or isn't negative,
+    gives no weights and is an error.
+    """
     train = _train_plays(spark, folder)
     target = train.select("game_id", "play_id", F.col("epa").alias("y"))
     write_table(G.gramian(D.play_design(train, train, ["game_id", "play_id"]), target, ["game_id", "play_id"], ["game_id"]), folder, "game_gramian")
     cells = read_result(spark, folder, "game_gramian").groupBy("a", "b").agg(F.sum("value").alias("value"))
     fit = G.fit_plays(cells, D.play_levels(train))
+    if not fit.estimable.get("N_S", False) or not fit.coefficients["N_S"] < 0:
+        raise ValueError("Outcome weights need an estimable negative sack coefficient")
     context = G.fit_plays(cells.where(~F.col("a").isin(*D.COUNTS) & ~F.col("b").isin(*D.COUNTS)), D.play_levels(train))
     table = lambda f: spark.createDataFrame([(t, float(v), bool(f.estimable[t])) for t, v in f.coefficients.items()], "term string, coefficient double, estimable boolean")
     write_table(table(fit), folder, "play_coefficients")
     write_table(spark.createDataFrame([(c, float(w)) for c, w in fit.weights().items()], "cls string, weight double"), folder, "outcome_weights")
-    test = read_result(spark, folder, "plays").where("eligible_primary and not accepted_penalty and split = 'test'")
+    test = read_result(spark, folder, "plays").where("eligible_primary and split = 'test'")
     predict = lambda f, kind, name: D.play_design(test, train, ["play_id"], kind).join(table(f), "term").groupBy("play_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias(name))
     rows = test.select("play_id", "epa", F.lit(1.0).alias("w")).join(predict(fit, "primary", "p"), "play_id").join(predict(context, "context", "b"), "play_id")
     write_table(G.prediction_metrics(rows, "p", "b", "epa", "w"), folder, "play_validation")
 
 
 def _weights(spark: SparkSession, folder: str, params: Params) -> tuple[float, ...]:
-    """The learnt outcome weights; the given ones where a weight isn't defined."""
+    """The learnt outcome weights; one that isn't defined is an error."""
     found = {r["cls"]: r["weight"] for r in read_result(spark, folder, "outcome_weights").collect()}
     weights = tuple(found.get(c, float("nan")) for c in CLASSES)
-    return params.severity_weights if any(w != w for w in weights) else weights
+    if any(w != w for w in weights):
+        raise ValueError(f"Undefined outcome weights: {found}")
+    return weights
 
 
 def player_models(spark: SparkSession, folder: str, penalties: list[float], params: Params = Params()) -> None:
@@ -246,13 +254,16 @@ def normalization_support(fits: DataFrame, term: str = "N_S") -> DataFrame:
 
 
 def epa_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, plays, weights): the primary design, protected counts, and the plays with accepted penalties too."""
-    every = read_result(spark, folder, "plays").where("eligible_primary and split = 'train'")
+    """(kind, plays, weights): the primary design, protected counts, and only the plays without an accepted penalty.
+
+    All three have the basis and levels of all training plays.
+    """
+    every = _train_plays(spark, folder)
     rows = []
-    for kind, design, train in (("primary", "primary", every.where("not accepted_penalty")), ("protected", "protected", every.where("not accepted_penalty")), ("no_penalty", "primary", every)):
+    for kind, design, train in (("primary", "primary", every), ("protected", "protected", every), ("no_penalty", "primary", every.where("not accepted_penalty"))):
         target = train.select("game_id", "play_id", F.col("epa").alias("y"))
-        cells = G.gramian(D.play_design(train, train, ["game_id", "play_id"], design), target, ["game_id", "play_id"], [])
-        weights = G.fit_plays(cells, D.play_levels(train)).weights()
+        cells = G.gramian(D.play_design(train, every, ["game_id", "play_id"], design), target, ["game_id", "play_id"], [])
+        weights = G.fit_plays(cells, D.play_levels(every)).weights()
         rows.append((kind, train.count(), *(float(weights[c]) for c in CLASSES)))
     return spark.createDataFrame(rows, "kind string, plays long, " + ", ".join(f"w_{c} double" for c in CLASSES))
 

@@ -240,8 +240,8 @@ def design_row_mass(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plays(spark: SparkSession, sf: str) -> DataFrame:
-    """Eligible plays without accepted penalties."""
-    return A.plays(spark, sf).where("eligible_primary and not accepted_penalty")
+    """Eligible plays, those with an accepted penalty too."""
+    return A.plays(spark, sf).where("eligible_primary")
 
 
 def play_basis(spark: SparkSession, sf: str) -> DataFrame:
@@ -461,19 +461,19 @@ def play_fit_residual(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _epa_fits(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame, DataFrame, G.FixedEffectsFit]]:
-    """(kind, plays, Gramian, fit) of the primary design, the protected counts, and the plays with penalties too."""
-    every = A.plays(spark, sf).where("eligible_primary and split = 'train'")
+    """(kind, plays, Gramian, fit) of the primary design, the protected counts, and the plays without penalties alone."""
+    every = _plays(spark, sf).where("split = 'train'")
     out = []
-    for kind, design, train in (("primary", "primary", every.where("not accepted_penalty")), ("protected", "protected", every.where("not accepted_penalty")), ("no_penalty", "primary", every)):
-        rows = D.play_design(train, train, ["game_id", "play_id"], design)
+    for kind, design, train in (("primary", "primary", every), ("protected", "protected", every), ("no_penalty", "primary", every.where("not accepted_penalty"))):
+        rows = D.play_design(train, every, ["game_id", "play_id"], design)
         cells = G.gramian(rows, train.select("game_id", "play_id", F.col("epa").alias("y")), ["game_id", "play_id"], []).select("a", "b", "value")
-        fit = G.fit_plays(cells, D.play_levels(train))
+        fit = G.fit_plays(cells, D.play_levels(every))
         out.append((kind, train, cells, fit))
     return out
 
 
 def epa_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcome weights and plays of the primary design, the protected counts, and the plays with accepted penalties too."""
+    """Outcome weights and plays of the primary design, the protected counts, and the plays without accepted penalties alone."""
     rows = [(kind, train.count(), *(float(fit.weights()[c]) for c in CLASSES)) for kind, train, _, fit in _epa_fits(spark, sf)]
     return rounded(spark.createDataFrame(rows, "kind string, plays long, " + ", ".join(f"w_{c} double" for c in CLASSES)))
 

@@ -77,7 +77,7 @@ def read_play_data(spark: SparkSession, path: str, pool_path: str) -> tuple[Data
 
     plays, pool = read_plays(spark, path), read_pool(spark, pool_path)
     enforce(play_quality(plays, pool))
-    return plays, pool, play_basis(plays.where("eligible_primary and not accepted_penalty and split = 'train'"))
+    return plays, pool, play_basis(plays.where("eligible_primary and split = 'train'"))
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:

@@ -11,14 +11,14 @@ from duelgrid.params import Params
 from duelgrid.plans import pipelines as P
 from duelgrid.sources.honours import honours_table
 from duelgrid.sources.synthetic import EFFECTS, synthetic_contests, synthetic_plays
-from duelgrid.sources.tables import read_result
+from duelgrid.sources.tables import read_result, write_table
 
 PARAMS = Params(folds=2, tolerance=1e-5)
 
 
 def test_planted_effects_are_found(spark):
     plays = synthetic_plays(spark)
-    train = plays.where("eligible_primary and not accepted_penalty and split = 'train'")
+    train = plays.where("eligible_primary and split = 'train'")
     pool = plays.select("game_id", "week").distinct()
     assert not any(r.violations for r in Q.play_quality(plays, pool).collect())
     cells = G.gramian(D.play_design(train, train, ["game_id", "play_id"]), train.select("game_id", "play_id", F.col("epa").alias("y")), ["game_id", "play_id"], ["game_id"])
@@ -28,6 +28,29 @@ def test_planted_effects_are_found(spark):
     assert fit.weights()["sack"] == 1.0 and 0 < fit.weights()["win"] < fit.weights()["pressure"] < 1
 
 
+def test_penalty_plays_count_except_in_one_analysis(spark, tmp_path):
+    """Plays with an accepted penalty have another win effect: all fits see it but that of `no_penalty`."""
+    folder, plays = str(tmp_path), synthetic_plays(spark)
+    moved = plays.withColumn("epa", F.col("epa") - F.when(F.col("accepted_penalty"), 3.0 * F.col("N_W")).otherwise(0.0))
+    write_table(moved, folder, "plays")
+    P.outcome_weights(spark, folder, PARAMS)
+    eligible = plays.where("eligible_primary")
+    found = {r.kind: r for r in P.epa_sensitivity(spark, folder).collect()}
+    assert found["primary"].plays == found["protected"].plays == eligible.where("split = 'train'").count()
+    assert found["no_penalty"].plays == eligible.where("split = 'train' and not accepted_penalty").count() < found["primary"].plays
+    planted = EFFECTS["N_W"] / EFFECTS["N_S"]
+    assert found["no_penalty"].w_win == pytest.approx(planted, abs=0.02) and found["primary"].w_win > planted + 0.08
+    assert {r.cls: r.weight for r in read_result(spark, folder, "outcome_weights").collect()}["win"] == pytest.approx(found["primary"].w_win, abs=1e-9)
+    assert read_result(spark, folder, "play_validation").first()["unique_test_plays"] == eligible.where("split = 'test'").count()
+
+
+def test_sack_effect_must_be_negative(spark, tmp_path):
+    folder = str(tmp_path)
+    write_table(synthetic_plays(spark).withColumn("epa", -F.col("epa")), folder, "plays")
+    with pytest.raises(ValueError, match="negative sack"):
+        P.outcome_weights(spark, folder, PARAMS)
+
+
 def test_steps_in_order(spark, tmp_path):
     folder = str(tmp_path)
     contests, plays = synthetic_contests(spark, 12, 40), synthetic_plays(spark, 12, 40)
