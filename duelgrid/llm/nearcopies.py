@@ -1,4 +1,4 @@
-"""Near-duplicates by word shingles: SimHash sketches meet at code words of covering codes, texts decide."""
+"""Near-duplicates by word shingles: SimHash sketches meet at code words of covering codes, crowded ones by prefixes; texts decide."""
 
 from __future__ import annotations
 
@@ -28,10 +28,8 @@ DIFFERING, RECALL = 0.13, 0.95
 #: Bits beyond which a pair isn't decided on its texts. A pair of similarity 0.8 differs in 38 on average at most, with a
 #: deviation of 6; texts of ten words, in 49 at most. It exceeds the bound with a probability under 0.0001 (0.000001).
 FAR = 72
-#: A bucket of so many nodes is compared completely by its smallest and its largest one.
-COMPLETE = 3
-#: Code words by which a bucket splits at each further level.
-SPLIT = 2
+#: Nodes of a bucket that are compared completely.
+COMPLETE = 8
 #: Bits of a bucket key that hold its window's number.
 WINDOW_BITS = 14
 
@@ -76,9 +74,6 @@ class Windows:
         meet = same**self.codes * q**self.raw
         self.count = min((1 << WINDOW_BITS) - 1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
         self.orders = np.stack([np.random.default_rng([self.codes, self.raw, w]).permutation(BITS) for w in range(self.count)]).astype(np.int16)
-        #: Bits of a window's order that the first anchors use, and levels until an order is used up.
-        self.used = CODE * self.codes + self.raw
-        self.levels = 1 + (BITS - self.used) // (CODE * SPLIT)
 
     def key(self, window: np.ndarray, parts: np.ndarray) -> np.ndarray:
         """One long of a window's number and a hash of the bucket so far with the next code word."""
@@ -99,19 +94,6 @@ class Windows:
             at += size
         return self.key(np.broadcast_to(np.arange(self.count), whole.shape), whole)
 
-    def finer(self, keys: np.ndarray, bits: np.ndarray, level: int) -> np.ndarray:
-        """Keys at a level from those of the level before: the next code words of the key's window; at last, all bits."""
-        window = (keys.view(np.uint64) >> np.uint64(64 - WINDOW_BITS)).astype(np.int64)
-        if level >= self.levels:
-            whole = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            mark = whole[:, 0] ^ (whole[:, 1] * 3) ^ (whole[:, 2] * 5) ^ (whole[:, 3] * 7)
-        else:
-            mark = np.zeros(len(keys), np.int64)
-            for at in range(self.used + CODE * SPLIT * (level - 1), self.used + CODE * SPLIT * level, CODE):
-                values = np.take_along_axis(bits, self.orders[window, at : at + CODE], axis=1).astype(np.int64) @ (1 << np.arange(CODE, dtype=np.int64))
-                mark = (mark << CODE) | nearest_code_word(values)
-        return self.key(window, keys * np.int64(31) + mark * np.int64(0x5851F42D4C957F2D))
-
 
 def _unpacked(part: pa.RecordBatch, first: int) -> np.ndarray:
     words = np.stack([part.column(first + i).to_numpy() for i in range(WORDS)], axis=1)
@@ -154,16 +136,6 @@ def _first_rows(nodes: DataFrame, windows: Windows) -> DataFrame:
     return nodes.select("node", "s0", "s1", "s2", "s3").mapInArrow(work, "anchor bigint, node bigint")
 
 
-def _finer_rows(rows: DataFrame, nodes: DataFrame, windows: Windows, level: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            keys = windows.finer(part.column(1).to_numpy(), _unpacked(part, 2), level)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0)], names=["anchor", "node"])
-
-    met = rows.select("anchor", "node").join(nodes.select("node", "s0", "s1", "s2", "s3"), "node")
-    return met.select("node", "anchor", "s0", "s1", "s2", "s3").mapInArrow(work, "anchor bigint, node bigint")
-
-
 def _differ(left: str, right: str) -> Column:
     return F.bit_count(F.col(left).bitwiseXOR(F.col(right)))
 
@@ -176,14 +148,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _representatives(rows: DataFrame, held: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(each node's densest representative, all pairs of nodes and representatives, rows that these don't cover).
 
-    The smallest node stands for a bucket; in one of up to COMPLETE nodes the largest too, in a larger one the densest:
-    the one whose own buckets hold most nodes, which for edited copies of one text is that text. They are found by
-    partial aggregation and joins carry a row a node, so neither the time nor the rows of a bucket grow faster than its nodes.
+    The nodes of a bucket of up to COMPLETE meet all others. For a larger one the smallest node stands, and the densest: the
+    one whose own buckets hold most nodes, which for edited copies of one text is that text. They are found by partial
+    aggregation and joins carry a row a node, so neither the time nor the rows of a bucket grow faster than its nodes.
     """
     buckets = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_n > 1")
     # written, so that joins are between plain shuffles and the partition of a large bucket can be split
     buckets = held.write(buckets, "buckets")
-    pairs = buckets.where(f"_n <= {COMPLETE}").select(F.col("_a").alias("node"), F.col("_b").alias("v"))
+    pairs = buckets.where("_n = 2").select(F.col("_a").alias("node"), F.col("_b").alias("v"))
     met = held.write(rows.hint("merge").join(buckets.where("_n > 2"), "anchor"), "met")
     crowded = met.where(F.col("_n") > COMPLETE).select("anchor", "node", "_n")
     density = crowded.groupBy("node").agg(F.sum("_n").alias("_d"))
@@ -191,11 +163,58 @@ def _representatives(rows: DataFrame, held: Scratch) -> tuple[DataFrame, DataFra
     dense = held.write(crowded.join(density, "node").groupBy("anchor").agg(F.max(ranked).alias("_c")), "dense")
     center = crowded.join(dense, "anchor").select("node", F.col("_c._d").alias("_d"), F.col("_c.node").alias("v"))
     first = center.where("node <> v").groupBy("node").agg(F.max(F.struct("_d", "v")).alias("_p")).select("node", F.col("_p.v").alias("v"))
-    small = met.where(F.col("_n") <= COMPLETE).select("node", F.explode(F.array("_a", "_b")).alias("v"))
+    few = met.where(F.col("_n") <= COMPLETE).groupBy("anchor").agg(F.array_sort(F.collect_list("node")).alias("_m"))
+    small = few.select("_m", F.posexplode("_m").alias("_i", "node")).select("node", F.explode(F.slice("_m", F.col("_i") + 2, F.size("_m"))).alias("v"))
     every = pairs.unionByName(small).unionByName(center.select("node", "v")).unionByName(met.where(F.col("_n") > COMPLETE).select("node", F.col("_a").alias("v")))
     return first, _ordered(every), crowded.select("anchor", "node")
 
 
+def _prefixes(texts: DataFrame, roots: DataFrame, width: int, similarity: float, held: Scratch) -> DataFrame:
+    """(shingle, node, size, at, indexed, root) of the rarest shingles of each text of `texts` (node, _text).
+
+    Shingles are ordered by the number of these texts that hold them (then by hash), `at` is the place in that order. Of
+    two texts whose similarity is reached, the longer one's first size - ceil(t size) + 1 shingles and the first
+    size - ceil(2 t / (1 + t) size) + 1 of the shorter one (`indexed`) have one in common.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for node, text in zip(part.column(0), part.column(1)):
+                found = np.unique(shingle_hashes(text.as_py(), width)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py())), pa.array(found)], names=["node", "shingle"])
+
+    rows = held.write(texts.select("node", "_text").mapInArrow(work, "node bigint, shingle bigint"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    ordered = rows.join(shared, "shingle", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("_df"), "shingle"))).alias("_s"))
+    size = F.size("_s")
+    length = lambda share: (size - F.ceil(size * share - 1e-9) + 1).cast("int")
+    probe, index = length(similarity), length(2 * similarity / (1 + similarity))
+    cut = ordered.select("node", size.alias("size"), index.alias("_q"), F.slice("_s", F.lit(1), probe).alias("_p")).select("node", "size", "_q", F.posexplode("_p").alias("at", "_e"))
+    cut = cut.where("_e._df > 1").select("_e.shingle", "node", "size", "at", (F.col("at") < F.col("_q")).alias("indexed"))
+    return held.write(cut.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
+
+
+def _prefix_pairs(prefixes: DataFrame, similarity: float, held: Scratch) -> DataFrame:
+    """Distinct pairs (u, v) of nodes of different groups whose prefixes meet and whose sizes and places allow the similarity.
+
+    A shingle whose nodes are all in one group is left out. Of the others, nodes of its most frequent group meet only
+    nodes of other groups: what is compared follows the nodes of a bucket times those outside its largest group.
+    """
+    own = prefixes.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = own.groupBy("shingle").agg(F.max(F.struct("_n", "root")).alias("_m"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
+    rows = held.write(prefixes.join(mixed.select("shingle", F.col("_m.root").alias("_major")), "shingle").withColumn("minor", F.expr("root <> _major")), "mixed")
+    left = rows.select("shingle", *(F.col(c).alias(c + "1") for c in ("node", "size", "at", "root", "minor")))
+    right = rows.where("indexed").select("shingle", *(F.col(c).alias(c + "2") for c in ("node", "size", "at", "root", "minor")))
+    fits = F.expr(
+        f"root1 <> root2 and (size2 < size1 or size2 = size1 and node2 <> node1) and size2 >= {similarity} * size1 - 1e-9"
+        f" and least(size1 - at1, size2 - at2) >= {similarity / (1 + similarity)} * (size1 + size2) - 1e-9"
+    )
+    one = left.where("minor1").join(right, "shingle").where(fits)
+    two = left.where("not minor1").join(right.where("minor2"), "shingle").where(fits)
+    both = one.select("node1", "node2").unionByName(two.select("node1", "node2"))
+    return both.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(len(a) + len(b) - both, 1)
@@ -243,17 +262,28 @@ class _Groups:
         if pairs.isEmpty():
             return None
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = ends.join(self.nodes.select("node", "_rep"), "node").select("node", F.col("_rep._k1").alias("_k1"), F.col("_rep._k2").alias("_k2"))
-        wanted = held.write(wanted, "wanted")
-        # any of the rows that hold the node's text; rows of equal keys are equal
-        texts = self.docs.select(*text_keys(F.col(self.text_col)), F.col(self.text_col).alias("_text"))
-        texts = keep_possible(texts, wanted, "_k1").join(wanted, ["_k1", "_k2"])
-        texts = held.write(texts.groupBy("node").agg(F.first("_text").alias("_text")), "texts")
         self.tried = self.tried.unionByName(pairs)
-        new = self.held.write(_verify(pairs, texts, self.width, self.similarity), "links")
+        new = self.held.write(_verify(pairs, self.texts(ends, held), self.width, self.similarity), "links")
         self.links = self.links.unionByName(new)
         return new
 
+    def texts(self, wanted: DataFrame, held: Scratch) -> DataFrame:
+        """(node, _text) of the wanted nodes: the text of any of the rows that hold it; rows of equal keys are equal."""
+        wanted = wanted.join(self.nodes.select("node", "_rep"), "node").select("node", F.col("_rep._k1").alias("_k1"), F.col("_rep._k2").alias("_k2"))
+        wanted = held.write(wanted, "wanted")
+        texts = self.docs.select(*text_keys(F.col(self.text_col)), F.col(self.text_col).alias("_text"))
+        texts = keep_possible(texts, wanted, "_k1").join(wanted, ["_k1", "_k2"])
+        return held.write(texts.groupBy("node").agg(F.first("_text").alias("_text")), "texts")
+
+    def decide_crowded(self, rows: DataFrame, held: Scratch) -> None:
+        """Decide all pairs of different groups among the nodes of `rows` (anchor, node), exactly, by their rarest shingles."""
+        left = held.write(self.mixed(rows, held).select("node").distinct(), "crowded")
+        if left.isEmpty():
+            return
+        prefixes = _prefixes(self.texts(left, held), self.roots, self.width, self.similarity, held)
+        if self.decide(_prefix_pairs(prefixes, self.similarity, held), self.roots, held) is not None:
+            self.roots = connected_components(self.links)
+
     def decide_level(self, first: DataFrame, every: DataFrame, held: Scratch) -> None:
         """Decide a level's pairs: each node against its densest representative, then all that lie apart after that.
 
@@ -287,49 +317,30 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     smallest id (nulls last; among equal ids, by the text's keys).
 
     Search: windows of a node's 256-bit sketch are brought to the nearest words of a covering code, with a threshold of 0
-    in each window (an anchor is the home alone; recall comes from the number of windows). Nodes at an anchor meet its
-    representatives, and every link is decided on whole texts. Buckets whose nodes are then still in several groups
-    split by the next code words of their window, and their nodes meet again, until every bucket is complete, in one
-    group, a single node, or nodes of one sketch; no bucket is cut and no node left out. A level costs at most three
-    rows for each node and window, whatever the size of the groups. A node is first decided against the densest
-    representative it meets, and only pairs that lie in different groups still are decided after that. As soon as what is
-    left could be compared completely with no more pairs than there are nodes, it is. Tables of a level are dropped when
-    the next one is written.
+    in each window (an anchor is the home alone; recall comes from the number of windows). The nodes of a bucket of up to
+    COMPLETE all meet, those of a larger one meet its representatives, first the densest one, then all of other groups.
+    Links are decided on whole texts. Nodes of larger buckets that are then in several groups are compared exactly, by an
+    index of prefixes of their rarest shingles: of two of these nodes that are in different groups, no link is missed.
+    Windows cost a row for each node and window, whatever the size of the groups.
 
     Texts without words (null, empty, white space) are one node. Rows that repeat an id and a text are one document.
     Other columns are not read; an empty table gives no rows.
     """
-    base, before = Scratch(), Scratch()
+    base, held = Scratch(), Scratch()
     marked = base.write(add_sketches(docs, id_col, text_col), "sketches")
     least = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_k1", "_k2")
     marks = [F.first(f"s{i}").alias(f"s{i}") for i in range(WORDS)]
     nodes = base.write(marked.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("_rep"), F.min(least).alias("_least"), *marks), "nodes")
-    total = nodes.count()
-    windows, found = Windows(total), _Groups(docs, nodes, width, similarity, text_col)
-    level, rows = 0, _first_rows(nodes, windows)
-    while True:
-        held = Scratch()
-        first, every, crowded = _representatives(rows, held)
-        found.decide_level(first, every, held)
-        level += 1
-        after = Scratch()
-        rows = after.write(_finer_rows(found.mixed(crowded, held), nodes, windows, level), "anchors")
-        before.clear()
-        before = after
-        left = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.expr("_n * (_n - 1) div 2"))).first()[0] or 0
-        if left <= total or level > windows.levels:
-            if left:
-                pairs = rows.join(rows.select("anchor", F.col("node").alias("v")), "anchor").where("node < v").select(F.col("node").alias("u"), "v").distinct()
-                found.decide_level(found.tried.select(F.col("u").alias("node"), "v").limit(0), pairs, held)
-            held.clear()
-            break
-        held.clear()
+    windows, found = Windows(nodes.count()), _Groups(docs, nodes, width, similarity, text_col)
+    first, every, crowded = _representatives(_first_rows(nodes, windows), held)
+    found.decide_level(first, every, held)
+    found.decide_crowded(crowded, held)
     rooted = nodes.select("node", "_least").join(found.roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("_root"))
     named = rooted.join(rooted.groupBy("_root").agg(F.min("_least").alias("_first")), "_root").select("node", "_first")
     met = marked.select("_id", "_k1", "_k2", "node").distinct().join(named, "node")
     kept = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_k1") == F.col("_first._k1")) & (F.col("_k2") == F.col("_first._k2"))
     groups = materialize(met.select("_id", "_k1", "_k2", F.col("_first._id").alias("component_id"), kept.alias("kept")), "groups")
-    for used in (base, before, found.held):
+    for used in (base, held, found.held):
         used.clear()
     return groups
 
