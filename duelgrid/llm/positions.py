@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelgrid.llm.storage import materialize
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"{c}_of"]) for c in names))
+
 
 def running_positions(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, cells: int = 256) -> DataFrame:
     """Add `_pos` (0.. without gaps in each group) and, with `weight`, `_start` (sum of the weights before the row).
 
-    Rows of a group are spread over `cells` hash cells of `order`; windows run inside a cell, so no group, however
-    large, meets in one task. Cell totals (groups x cells rows) give each cell its offset. The order inside a group is
-    by cell, then by `order`: the same rows always get the same positions. Key columns must not be null.
+    Rows that are equal in keys, order and weight are one unit of so many rows. Units are spread over `cells` hash cells
+    of `order`; windows run over the units of a cell, so no group, however large or repetitive, meets in one task. Cell
+    totals (groups x cells rows) give each cell its offset. Repeats are numbered inside the partitions they were written
+    in, which follow one another. The order inside a group is by cell, then by `order`: the same rows always get the same
+    positions, and repeats share theirs out. Null is a value; key columns must not be null.
     """
-    cell = F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int")
-    amount: Column = F.col(weight) if weight else F.lit(1)
-    df = df.withColumn("_cell", cell)
-    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_pos", F.row_number().over(inside).cast("long") - 1)
-    if weight:
-        df = df.withColumn("_start", F.sum(weight).over(before) - F.col(weight))
-    totals = df.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_w"))
+    names = list(dict.fromkeys([*keys, *order, *([weight] if weight else [])]))
+    rows = materialize(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rows")
+    parts = rows.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    units = parts.groupBy(*names).agg(F.sum("_n").alias("_rows")).withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    total = F.col("_rows") * F.col(weight) if weight else F.lit(0)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    units = units.withColumn("_total", total).withColumns({"_pos": before("_rows", inside), "_start": before("_total", inside)})
+    totals = units.groupBy(*keys, "_cell").agg(F.sum("_rows").alias("_n"), F.sum("_total").alias("_w"))
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_cell",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w0"),
-    )
-    df = df.join(offsets, [*keys, "_cell"]).withColumn("_pos", F.col("_pos") + F.col("_n0"))
-    if weight:
-        df = df.withColumn("_start", F.col("_start") + F.col("_w0"))
-    return df.drop("_cell", "_n0", "_w0")
+    offsets = totals.select(*keys, "_cell", before("_n", earlier).alias("_n0"), before("_w", earlier).alias("_w0"))
+    units = units.join(offsets, [*keys, "_cell"])
+    units = materialize(units.select(*(F.col(c).alias(f"{c}_of") for c in names), "_rows", (F.col("_pos") + F.col("_n0")).alias("_pos"), (F.col("_start") + F.col("_w0")).alias("_start")), "units")
+    once = units.where("_rows = 1")
+    out = rows.join(once, _same(rows, once, names)).select(*df.columns, "_pos", "_start")
+    many = units.where("_rows > 1")
+    if not many.isEmpty():
+        held = rows.join(many, _same(rows, many, names)).select(*df.columns, "_part", "_at", "_pos", "_start")
+        here = F.row_number().over(Window.partitionBy(*names, "_part").orderBy("_at")) - 1
+        ahead = before("_n", Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        ahead = parts.select(*(F.col(c).alias(f"{c}_of") for c in names), F.col("_part").alias("_part_of"), ahead.alias("_ahead"))
+        held = held.withColumn("_here", here)
+        held = held.join(ahead, _same(held, ahead, [*names, "_part"])).withColumn("_here", F.col("_here") + F.col("_ahead"))
+        start = F.col("_start") + F.col("_here") * (F.col(weight) if weight else F.lit(0))
+        out = out.unionByName(held.select(*df.columns, (F.col("_pos") + F.col("_here")).alias("_pos"), start.alias("_start")))
+    out = out.withColumns({"_pos": F.col("_pos").cast("long"), "_start": F.col("_start").cast("long")})
+    return out if weight else out.drop("_start")

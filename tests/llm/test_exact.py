@@ -80,6 +80,21 @@ def test_running_positions(spark):
         assert list(part._start) == list(np.cumsum(part.w) - part.w)
 
 
+def test_running_positions_of_repeated_rows(spark):
+    """A row that makes up a third of the table, null values, and other columns: no position twice, the same ones again."""
+    rows = [(0, 7, "x", 3, "p")] * 500 + [(0, i, None, i % 4, "q") for i in range(700)] + [(1, None, None, 2, "r")] * 40 + [(1, i, "y", 1, "s") for i in range(60)]
+    frame = spark.createDataFrame(rows, "g int, i int, t string, w int, extra string")
+    found = running_positions(frame, ["g"], ["i", "t"], "w", cells=16).toPandas()
+    assert len(found) == len(rows) and set(found.columns) == {"g", "i", "t", "w", "extra", "_pos", "_start"}
+    for _, part in found.groupby("g"):
+        part = part.sort_values("_pos")
+        assert list(part._pos) == list(range(len(part))) and list(part._start) == list(np.cumsum(part.w) - part.w)
+    again = running_positions(frame.repartition(7), ["g"], ["i", "t"], "w", cells=16).toPandas()
+    ordered = lambda df: df.sort_values(["g", "_pos"]).fillna("-").values.tolist()
+    assert ordered(found) == ordered(again)
+    assert running_positions(frame.limit(0), ["g"], ["i"]).count() == 0
+
+
 # --- lines --------------------------------------------------------------------------------------------------------
 
 
