@@ -1,37 +1,51 @@
-"""Many penalised fits on the same rows at once: penalties and left-out folds are lanes of one aggregation."""
+"""Many penalised fits on the same rows at once: penalties, left-out folds, weeks and replicates are lanes of one aggregation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.operators.contests import classes_of, model_sample
 from duelgrid.operators.design import matchup_design
 
-#: Numbers that the lanes of one job send back from a task at most; more lanes go in several jobs.
+#: Numbers that the lanes of one job have at most (sums of a task, and what each lane counts of each group).
 TASK_NUMBERS = 2_000_000
-#: Entries of the dense block that a task works on.
-BLOCK_ENTRIES = 2_000_000
+#: Numbers that a task works on at once: entries of rows x lanes x heads.
+BLOCK_NUMBERS = 2_000_000
+#: Numbers of a piece of the tasks' sums, which are added up piece by piece before the driver gets them.
+PIECE = 4096
 
 
 @dataclass
 class Packed:
-    """Distinct weighted design rows of a model: (fold, weight, label, at, value), and the terms that `at` counts."""
+    """Distinct weighted design rows of a model: (fold, weight, label, at, value), and the terms that `at` counts.
+
+    With `groups`, the column `fold` is the place in it of the row's group (a game).
+    """
 
     rows: DataFrame
     terms: list[str]
     model: str
+    groups: list[str] = field(default_factory=list)
+
 
+def pack(contests: DataFrame, model: str, weight: Column | None = None, roles: tuple[str, ...] = ("rusher", "blocker"), by: str = "fold", groups: list[str] | None = None) -> Packed:
+    """Contests with the same players, help, class and fold are one weighted row; without `fold` all are in fold 0.
 
-def pack(contests: DataFrame, model: str, weight: Column | None = None, roles: tuple[str, ...] = ("rusher", "blocker")) -> Packed:
-    """Contests with the same players, help, class and fold are one weighted row; without `fold` all are in fold 0."""
+    With `groups`, rows are told apart by the column `by`, and `fold` is its place among them; rows of other groups are left out.
+    """
     rows = model_sample(contests, model)
     cls = F.col("win_target").cast("int").cast("string") if model == "win" else F.col("severity_outcome")
-    fold = F.col("fold") if "fold" in rows.columns else F.lit(0)
+    fold = F.col(by) if by in rows.columns else F.lit(0)
+    if groups is not None:
+        places = contests.sparkSession.createDataFrame([(g, i) for i, g in enumerate(groups)], f"{by} string, _place int")
+        rows = rows.join(places, by)
+        fold = F.col("_place")
     keys = ["_fold", "_cls", "rusher_key", "blocker_keys", "double_team", "double_team_unknown"]
     rows = rows.withColumns({"_fold": fold, "_cls": cls, "blocker_keys": F.array_sort("blocker_keys")})
     grouped = rows.groupBy(*keys).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("weight")).where("weight > 0")
@@ -42,32 +56,60 @@ def pack(contests: DataFrame, model: str, weight: Column | None = None, roles: t
     entries = design.join(names, "term").groupBy("row_id").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
     label = F.array_position(F.array(*(F.lit(c) for c in classes_of(model))), F.col("_cls")).cast("int") - 1
     packed = grouped.join(entries, "row_id").select(F.col("_fold").cast("int").alias("fold"), "weight", label.alias("label"), "at", "value")
-    return Packed(packed, terms, model)
-
-
-def blocks(parts: Iterator, size: int) -> Iterator[tuple]:
-    """(dense design, labels, weights, folds) of the rows of pandas frames, in blocks."""
-    step = max(64, BLOCK_ENTRIES // max(size, 1))
+    return Packed(packed, terms, model, groups or [])
+
+
+class Block:
+    """Some sparse rows: the entries of a row stand together, and an order of the entries puts those of a term together."""
+
+    def __init__(self, part: pa.RecordBatch):
+        column = {n: part.column(part.schema.get_field_index(n)) for n in ("fold", "weight", "label", "at", "value")}
+        self.labels, self.folds = column["label"].to_numpy(), column["fold"].to_numpy()
+        self.weights = column["weight"].to_numpy().astype(float)
+        sizes = np.diff(column["at"].offsets.to_numpy())
+        self.first = np.r_[0, np.cumsum(sizes)[:-1]]
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.at, self.value = column["at"].flatten().to_numpy(), column["value"].flatten().to_numpy()
+        self.order = np.argsort(self.at, kind="stable")
+        held = self.at[self.order]
+        self.starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.empty(0, int)
+        self.terms = held[self.starts]
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        """[row, column]: the rows times a table [term, column]."""
+        out = np.zeros((len(self.labels), table.shape[1]))
+        there = np.diff(np.r_[self.first, len(self.at)]) > 0
+        if there.any():
+            out[there] = np.add.reduceat(table[self.at] * self.value[:, None], self.first[there], axis=0)
+        return out
+
+    def turned(self, slopes: np.ndarray) -> np.ndarray:
+        """[term of `terms`, column]: the terms' entries times slopes [row, column]."""
+        if not len(self.at):
+            return np.zeros((0, slopes.shape[1]))
+        return np.add.reduceat((slopes[self.owner] * self.value[:, None])[self.order], self.starts, axis=0)
+
+
+def blocks(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[Block]:
+    """The rows of Arrow batches in blocks of about BLOCK_NUMBERS / columns entries."""
     for part in parts:
-        for low in range(0, len(part), step):
-            piece = part.iloc[low : low + step]
-            dense = np.zeros((len(piece), size))
-            owner = np.repeat(np.arange(len(piece)), piece["at"].map(len).to_numpy())
-            dense[owner, np.concatenate(piece["at"].to_numpy())] = np.concatenate(piece["value"].to_numpy())
-            yield dense, piece["label"].to_numpy(), piece["weight"].to_numpy(float), piece["fold"].to_numpy()
+        entries = len(part.column(part.schema.get_field_index("at")).flatten())
+        step = max(64, int(BLOCK_NUMBERS / max(columns, 1) / max(entries / max(part.num_rows, 1), 1)))
+        for low in range(0, part.num_rows, step):
+            yield Block(part.slice(low, step))
 
 
-def linear(dense: np.ndarray, theta: np.ndarray, heads: int) -> np.ndarray:
+def linear(block: Block, theta: np.ndarray, heads: int) -> np.ndarray:
     """[lane, row, head] linear predictors of lanes whose parameters are `heads` times (coefficients, intercept)."""
     lanes = len(theta)
-    table = theta.reshape(lanes, heads, -1)
-    eta = dense @ table[:, :, :-1].reshape(lanes * heads, -1).T + table[:, :, -1].reshape(-1)
-    return eta.reshape(len(dense), lanes, heads).transpose(1, 0, 2)
+    table = theta.reshape(lanes * heads, -1)
+    eta = block.times(np.ascontiguousarray(table[:, :-1].T)) + table[:, -1]
+    return eta.reshape(-1, lanes, heads).transpose(1, 0, 2)
 
 
-def logistic_parts(dense: np.ndarray, labels: np.ndarray, theta: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
+def logistic_parts(block: Block, theta: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
     """([lane, row] losses, [lane, row, head] slopes in the linear predictors) of binary (one head) and multinomial models."""
-    eta = linear(dense, theta, heads)
+    eta, labels = linear(block, theta, heads), block.labels
     if heads == 1:
         one = eta[:, :, 0]
         loss = np.logaddexp(0.0, one) - labels * one
@@ -87,11 +129,10 @@ def ordinal_cuts(theta: np.ndarray, size: int) -> np.ndarray:
     return theta[:, size, None] + np.concatenate([np.zeros((len(theta), 1)), np.cumsum(gaps, axis=1)], axis=1)
 
 
-def ordinal_parts(dense: np.ndarray, labels: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ordinal_parts(block: Block, theta: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """([lane, row] losses, [lane, row] slopes in the linear predictor, [lane, row, cut] slopes in the cuts)."""
-    size = dense.shape[1]
-    cuts = ordinal_cuts(theta, size)
-    eta = (dense @ theta[:, :size].T).T
+    cuts, labels = ordinal_cuts(theta, size), block.labels
+    eta = block.times(np.ascontiguousarray(theta[:, :size].T)).T
     edge = np.concatenate([np.full((*eta.shape, 1), -np.inf), cuts[:, None, :] - eta[:, :, None], np.full((*eta.shape, 1), np.inf)], axis=2)
     below = 1 / (1 + np.exp(-np.clip(edge, -700, 700)))
     below[:, :, 0], below[:, :, -1] = 0.0, 1.0
@@ -115,51 +156,79 @@ def parameter_count(kind: str, size: int) -> int:
 
 
 def used_by(folds: np.ndarray, left_out: np.ndarray, upto: bool) -> np.ndarray:
-    """[lane, row]: whether a lane uses a row: its fold isn't the lane's, or, with `upto`, isn't above it."""
+    """[lane, row]: how often a lane counts a row.
+
+    `left_out` is a fold for each lane, whose rows it leaves out, or, with `upto`, above which it does. Or it is a table
+    [lane, fold] of the multiplicities of each fold (each game) in each lane.
+    """
+    if left_out.ndim == 2:
+        return left_out[:, folds]
     return folds[None, :] <= left_out[:, None] if upto else folds[None, :] != left_out[:, None]
 
 
 def _sums(kind: str, size: int, theta: np.ndarray, left_out: np.ndarray, upto: bool) -> Callable:
-    """Sums over a task's rows for every lane: weight, loss and gradient, in one list a lane."""
-
-    def work(parts: Iterator) -> Iterator:
-        import pandas as pd
-
-        total = np.zeros((len(theta), 2 + theta.shape[1]))
-        for dense, labels, weights, folds in blocks(parts, size):
-            use = weights[None, :] * used_by(folds, left_out, upto)
+    """Sums over a task's rows for every lane: weight, loss and gradient."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes, heads = len(theta), 1 if kind == "ordinal" else head_count(kind)
+        total = np.zeros((lanes, 2 + theta.shape[1]))
+        slopes = np.zeros((lanes, heads, size + 1))
+        for block in blocks(parts, lanes * heads):
+            use = block.weights[None, :] * used_by(block.folds, left_out, upto)
             total[:, 0] += use.sum(axis=1)
             if kind == "ordinal":
-                loss, to_eta, to_cuts = ordinal_parts(dense, labels, theta)
-                total[:, 2 : 2 + size] += (use * to_eta) @ dense
+                loss, to_eta, to_cuts = ordinal_parts(block, theta, size)
+                slopes[:, 0, block.terms] += block.turned((use * to_eta).T).T
                 of_cuts = (use[:, :, None] * to_cuts).sum(axis=1)
                 gaps = np.exp(theta[:, size + 1 :])
                 total[:, 2 + size] += of_cuts.sum(axis=1)
                 for k in range(gaps.shape[1]):
                     total[:, 3 + size + k] += of_cuts[:, k + 1 :].sum(axis=1) * gaps[:, k]
             else:
-                heads = head_count(kind)
-                loss, slope = logistic_parts(dense, labels, theta, heads)
+                loss, slope = logistic_parts(block, theta, heads)
                 slope = slope * use[:, :, None]
-                grad = np.concatenate([slope.transpose(0, 2, 1).reshape(-1, len(dense)) @ dense, slope.sum(axis=1).reshape(-1, 1)], axis=1)
-                total[:, 2:] += grad.reshape(len(theta), -1)
+                turned = block.turned(slope.transpose(1, 0, 2).reshape(len(block.labels), -1))
+                slopes[:, :, block.terms] += turned.T.reshape(lanes, heads, -1)
+                slopes[:, :, size] += slope.sum(axis=1)
             total[:, 1] += (use * loss).sum(axis=1)
-        yield pd.DataFrame({"lane": np.arange(len(theta)), "sums": list(total)})
+        if kind == "ordinal":
+            total[:, 2 : 2 + size] = slopes[:, 0, :size]
+        else:
+            total[:, 2:] = slopes.reshape(lanes, -1)
+        yield from pieces(total)
 
     return work
 
 
+def pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(piece, sums) of the numbers of a task's table."""
+    flat = total.ravel()
+    lists = [flat[at : at + PIECE] for at in range(0, len(flat), PIECE)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(lists)), pa.int32()), pa.array(lists, pa.list_(pa.float64()))], names=["piece", "sums"])
+
+
+def added(rows: DataFrame, work: Callable, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over the tasks of the tables that `work` gives in pieces: pieces are added up in Spark, the driver gets each once."""
+
+    def add(part: pa.Table) -> pa.Table:
+        sums = np.stack([s.values.to_numpy() for s in part.column("sums").combine_chunks()]).sum(axis=0)
+        return pa.table({"piece": part.column("piece").slice(0, 1), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+    flat = np.zeros(int(np.prod(shape)))
+    schema = "piece int, sums array<double>"
+    for row in rows.mapInArrow(work, schema).groupBy("piece").applyInArrow(add, schema).toLocalIterator():
+        flat[row["piece"] * PIECE : row["piece"] * PIECE + len(row["sums"])] = row["sums"]
+    return flat.reshape(shape)
+
+
 def evaluate(packed: DataFrame, kind: str, size: int, theta: np.ndarray, left_out: np.ndarray, penalties: np.ndarray, upto: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(losses, gradients) of the lanes: mean loss of the rows that the lane uses plus penalty / 2 x squared coefficients."""
     count = parameter_count(kind, size)
-    step = max(1, TASK_NUMBERS // (count + 2))
+    step = max(1, TASK_NUMBERS // (count + 2 + (left_out.shape[1] if left_out.ndim == 2 else 0)))
     losses, slopes = np.zeros(len(theta)), np.zeros_like(theta)
     for low in range(0, len(theta), step):
         part = slice(low, low + step)
-        sums = np.zeros((len(theta[part]), 2 + count))
-        # one list a lane and task: what reaches the driver is tasks x lanes x terms
-        for row in packed.mapInPandas(_sums(kind, size, theta[part], left_out[part], upto), "lane int, sums array<double>").toLocalIterator():
-            sums[row["lane"]] += np.asarray(row["sums"])
+        sums = added(packed, _sums(kind, size, theta[part], left_out[part], upto), (len(theta[part]), 2 + count))
         held = np.maximum(sums[:, 0], 1e-300)
         losses[part], slopes[part] = sums[:, 1] / held, sums[:, 2:] / held[:, None]
     shape = penalised(kind, size)
@@ -177,18 +246,14 @@ def penalised(kind: str, size: int) -> np.ndarray:
 def scales(packed: DataFrame, kind: str, size: int, penalties: np.ndarray) -> np.ndarray:
     """[lane, parameter]: steps that bring the curvatures of all parameters to the same order."""
 
-    def work(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1)
-        for dense, _, weights, _ in blocks(parts, size):
-            total[:size] += weights @ dense**2
-            total[size] += weights.sum()
-        yield pd.DataFrame({"sums": [total]})
-
-    total = np.zeros(size + 1)
-    for row in packed.mapInPandas(work, "sums array<double>").toLocalIterator():
-        total += np.asarray(row["sums"])
+        for block in blocks(parts, 1):
+            total[:size] += np.bincount(block.at, block.weights[block.owner] * block.value**2, minlength=size)
+            total[size] += block.weights.sum()
+        yield from pieces(total)
+
+    total = added(packed, work, (size + 1,))
     curve = total[:size] / max(total[size], 1e-300) / 4
     if kind == "ordinal":
         every = np.concatenate([curve, np.full(3, 0.25)])
@@ -254,22 +319,26 @@ def minimise(packed: DataFrame, kind: str, size: int, penalties: np.ndarray, lef
 
 
 def held_out_losses(packed: DataFrame, kind: str, size: int, theta: np.ndarray, folds: np.ndarray, clips: tuple[float, ...]) -> np.ndarray:
-    """[lane, 1 + clips]: weight of the lane's own fold, and its mean loss under each clip of the probabilities."""
+    """[lane, 1 + clips]: weight of the lane's own fold, and its mean loss under each clip of the probabilities.
 
-    def work(parts: Iterator) -> Iterator:
-        import pandas as pd
+    `folds` is the fold of each lane, or a table [lane, fold] of the multiplicities with which a lane counts each.
+    """
 
-        total = np.zeros((len(theta), 1 + len(clips)))
-        for dense, labels, weights, of in blocks(parts, size):
-            use = weights[None, :] * (of[None, :] == folds[:, None])
-            loss = ordinal_parts(dense, labels, theta)[0] if kind == "ordinal" else logistic_parts(dense, labels, theta, head_count(kind))[0]
+    def work(parts: Iterator[pa.RecordBatch], some: slice) -> Iterator[pa.RecordBatch]:
+        held, own = theta[some], folds[some]
+        total = np.zeros((len(held), 1 + len(clips)))
+        for block in blocks(parts, len(held) * head_count(kind)):
+            use = block.weights[None, :] * (own[:, block.folds] if own.ndim == 2 else block.folds[None, :] == own[:, None])
+            loss = ordinal_parts(block, held, size)[0] if kind == "ordinal" else logistic_parts(block, held, head_count(kind))[0]
             total[:, 0] += use.sum(axis=1)
             for i, clip in enumerate(clips):
                 total[:, 1 + i] += (use * -np.log(np.clip(np.exp(-loss), clip, 1.0 if kind != "win" else 1 - clip))).sum(axis=1)
-        yield pd.DataFrame({"lane": np.arange(len(theta)), "sums": list(total)})
+        yield from pieces(total)
 
-    total = np.zeros((len(theta), 1 + len(clips)))
-    for row in packed.mapInPandas(work, "lane int, sums array<double>").toLocalIterator():
-        total[row["lane"]] += np.asarray(row["sums"])
+    step, out = max(1, TASK_NUMBERS // (theta.shape[1] + (folds.shape[1] if folds.ndim == 2 else 0))), []
+    for low in range(0, len(theta), step):
+        some = slice(low, low + step)
+        out.append(added(packed, lambda parts, some=some: work(parts, some), (len(theta[some]), 1 + len(clips))))
+    total = np.concatenate(out)
     total[:, 1:] /= np.maximum(total[:, :1], 1e-300)
     return total

@@ -32,12 +32,15 @@ def rank_cohorts(scores: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) ->
     """Ranks inside exposure cohorts: over all eligible players, and over those comparable in every method.
 
     A method is `method:score_type`. Eligible: exposure of at least the threshold. Comparable: eligible, with a finite
-    score in every method of the model and role. Top-10 credit is over the eligible ones.
+    score in every method of the model and role. Top-10 credit is over the eligible ones. A player whose methods tell
+    different exposures is an error.
     """
     scores = scores.withColumn("comparison_id", F.concat_ws(":", "method", "score_type"))
     everything = scores.groupBy("model", "role").agg(F.countDistinct("comparison_id").alias("_methods"))
-    players = scores.groupBy("model", "role", "player_key").agg(F.countDistinct(F.when(finite(F.col("score")), F.col("comparison_id"))).alias("_finite"), F.max("role_interactions").alias("_exposure"))
-    players = players.join(F.broadcast(everything), ["model", "role"]).select("model", "role", "player_key", (F.col("_finite") == F.col("_methods")).alias("_complete"))
+    players = scores.groupBy("model", "role", "player_key").agg(F.countDistinct(F.when(finite(F.col("score")), F.col("comparison_id"))).alias("_finite"), F.min("role_interactions").alias("_least"), F.max("role_interactions").alias("_most"))
+    differ = F.raise_error(F.concat_ws(" ", F.lit("Exposures differ of"), "model", "role", "player_key")).cast("boolean")
+    complete = F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_finite") == F.col("_methods")).otherwise(differ)
+    players = players.join(F.broadcast(everything), ["model", "role"]).select("model", "role", "player_key", complete.alias("_complete"))
     limits = F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("min_interactions")
     rows = scores.join(players, ["model", "role", "player_key"]).select("*", limits).where(F.col("role_interactions") >= F.col("min_interactions"))
     cohort = [*COHORT, "comparison_id"]
@@ -173,13 +176,25 @@ def scoped_rank_intervals(draws: DataFrame, ranked: DataFrame, method: str) -> D
 
 
 def paired_rank_uncertainty(pairs: DataFrame, draws: DataFrame, type_a: str, type_b: str, method_a: str, method_b: str) -> DataFrame:
-    """Per-draw rank difference of two score types inside the fixed cohorts of a pair of methods (severity model)."""
+    """Per-draw rank difference of two score types inside the fixed cohorts of a pair of methods (severity model).
+
+    A player of a cohort needs one finite score of each type in every draw, with the same presence in both: else the
+    result is an error when it is read.
+    """
     point = pairs.where((F.col("model") == "severity") & (F.col("method_a") == method_a) & (F.col("method_b") == method_b)).select("role", "min_interactions", "player_key", (F.col("rank_a") - F.col("rank_b")).alias("point"))
     wide = draws.where("model = 'severity'").groupBy("role", "player_key", "replicate_id").agg(
-        F.max(F.when(F.col("score_type") == type_a, F.col("score"))).alias("a"), F.max(F.when(F.col("score_type") == type_b, F.col("score"))).alias("b"), F.max("present_in_draw").alias("present")
+        F.max(F.when(F.col("score_type") == type_a, F.col("score"))).alias("a"),
+        F.max(F.when(F.col("score_type") == type_b, F.col("score"))).alias("b"),
+        F.max("present_in_draw").alias("present"),
+        *(F.count_if(F.col("score_type") == t).alias(f"_n{i}") for i, t in enumerate((type_a, type_b))),
+        *(F.max(F.when(F.col("score_type") == t, F.col("present_in_draw"))).alias(f"_p{i}") for i, t in enumerate((type_a, type_b))),
     )
     key = ["role", "min_interactions", "replicate_id"]
-    rows = wide.join(point, ["role", "player_key"])
+    ids = draws.where("model = 'severity'").select("replicate_id").distinct()
+    rows = point.crossJoin(F.broadcast(ids)).join(wide, ["role", "player_key", "replicate_id"], "left")
+    fine = finite(F.col("a")) & finite(F.col("b")) & (F.col("_n0") == 1) & (F.col("_n1") == 1) & F.col("_p0").eqNullSafe(F.col("_p1")) & F.col("_p0").isNotNull()
+    lost = F.raise_error(F.concat_ws(" ", F.lit("Missing, repeated or invalid paired scores of"), "role", "player_key", F.lit("in draw"), F.col("replicate_id").cast("string"))).cast("boolean")
+    rows = rows.where(F.when(F.coalesce(fine, F.lit(False)), F.lit(True)).otherwise(lost))
     rows = rows.select("*", (average_rank(F.col("a"), key) - average_rank(F.col("b"), key)).alias("delta"))
     share = lambda test: F.avg(test.cast("double"))
     return rows.groupBy("role", "min_interactions", "player_key").agg(
@@ -190,6 +205,7 @@ def paired_rank_uncertainty(pairs: DataFrame, draws: DataFrame, type_a: str, typ
         F.percentile("delta", F.lit(0.975)).alias("rank_delta_q975"),
         share(F.col("delta") > 0).alias("positive_proportion"),
         share(F.col("delta") == 0).alias("zero_proportion"),
+        share(F.col("delta") < 0).alias("negative_proportion"),
         share(F.signum("delta") == F.signum("point")).alias("same_sign_proportion"),
         share(F.col("present")).alias("presence_rate"),
         F.count(F.lit(1)).alias("n_draws"),

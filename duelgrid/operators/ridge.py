@@ -199,6 +199,21 @@ def fit_model(contests: DataFrame, model: str, folds: DataFrame | None = None, p
         rows.unpersist()
 
 
+def centred_tables(terms: list[str], model: str, theta: np.ndarray) -> np.ndarray:
+    """[lane, class, term and intercept]: coefficients centred over classes, then over each role's players, whose mean the intercept takes."""
+    table = theta.reshape(len(theta), L.head_count(model), len(terms) + 1)
+    if L.head_count(model) > 1:
+        table = table - table.mean(axis=1, keepdims=True)
+    else:
+        table = table.copy()
+    for role, sign in (("rusher::", 1.0), ("blocker::", -1.0)):
+        at = [i for i, t in enumerate(terms) if t.startswith(role)]
+        mean = table[:, :, at].mean(axis=2)
+        table[:, :, at] -= mean[:, :, None]
+        table[:, :, -1] += sign * mean
+    return table
+
+
 def weekly_fits(contests: DataFrame, model: str, penalty: float, weeks: list[int]) -> tuple[list[str], np.ndarray, dict[int, str]]:
     """(terms, [week, class, term and intercept] centred coefficients, status by week) of the cumulative fits at one penalty.
 
@@ -213,14 +228,7 @@ def weekly_fits(contests: DataFrame, model: str, penalty: float, weeks: list[int
         theta, _, gradient, _ = L.minimise(rows, model, size, np.full(len(weeks), penalty), np.array(weeks), tolerance=LANE_TOLERANCE, upto=True)
     finally:
         rows.unpersist()
-    table = theta.reshape(len(weeks), L.head_count(model), size + 1)
-    if L.head_count(model) > 1:
-        table = table - table.mean(axis=1, keepdims=True)
-    for role, sign in (("rusher::", 1.0), ("blocker::", -1.0)):
-        at = [i for i, t in enumerate(packed.terms) if t.startswith(role)]
-        mean = table[:, :, at].mean(axis=2)
-        table[:, :, at] -= mean[:, :, None]
-        table[:, :, -1] += sign * mean
+    table = centred_tables(packed.terms, model, theta)
     known = len(first) == len(classes_of(model))
     status = {w: "nonestimable" if not known or w < max(first.values()) else "complete" if gradient[i] <= FINISHED else "unconverged" for i, w in enumerate(weeks)}
     return packed.terms, table, status

@@ -63,13 +63,14 @@ def meet_players(contexts: DataFrame, players: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (contexts.crossJoin(F.broadcast(players.where(number == i))) for i in range(blocks)))
 
 
-def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str, role: str, weights: tuple[float, ...], share: float = 1.0, cuts: list[float] | None = None, chances: bool = False, reference: DataFrame | None = None) -> DataFrame:
+def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str, role: str, weights: tuple[float, ...], share: float = 1.0, cuts: list[float] | None = None, chances: bool = False, reference: DataFrame | None = None, credits: bool = False) -> DataFrame:
     """Scores of every player of a role: own coefficient and the expected outcome over all reference contexts.
 
     Contexts with the same base and scale are one weighted row before the players meet them. The players of the role
     are broadcast to the contexts (in blocks, `meet_players`) and summed map-side, so what is shuffled is
     players x partitions. With `cuts` the model is the proportional-odds one (one linear predictor). `chances` adds the
-    mean probability of every class. `reference` are the contests whose contexts are the population, if not `contests`.
+    mean probability of every class, `credits` the coefficient under the weights in which a sack counts for `share`.
+    `reference` are the contests whose contexts are the population, if not `contests`.
     """
     contests = contests if reference is None else reference
     ordinal = cuts is not None
@@ -88,13 +89,14 @@ def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str
         each = softmax(eta)
     sums = met.groupBy("player_key").agg(F.first(f"{key}_beta").alias("own"), *(F.sum(F.col("weight") * p).alias(f"p{i}") for i, p in enumerate(each)))
     if model == "win":
-        value, credited, own = F.col("p0"), F.lit(None).cast("double"), F.get("own", F.lit(0))
+        value, credited, own, credited_own = F.col("p0"), F.lit(None).cast("double"), F.get("own", F.lit(0)), F.lit(None).cast("double")
     else:
         credit = (*weights[:-1], weights[-1] * share)
         value = sum((F.col(f"p{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
         credited = sum((F.col(f"p{i}") * w for i, w in enumerate(credit)), F.lit(0.0))
-        mean = sum(weights) / len(weights)
-        own = F.get("own", F.lit(0)) if ordinal else sum((F.get("own", F.lit(i)) * (w - mean) for i, w in enumerate(weights)), F.lit(0.0))
+        index = lambda w: sum((F.get("own", F.lit(i)) * (x - sum(w) / len(w)) for i, x in enumerate(w)), F.lit(0.0))
+        own = F.get("own", F.lit(0)) if ordinal else index(weights)
+        credited_own = F.lit(None).cast("double") if ordinal else index(credit)
     role_column, model_column = F.lit(role), F.lit(model)
     return sums.select(
         model_column.alias("model"),
@@ -104,15 +106,21 @@ def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str
         value.alias("expected_outcome"),
         signed(model_column, role_column, value).alias("score"),
         F.when(F.lit(model != "win"), signed(model_column, role_column, credited)).alias("credited_score"),
+        *([credited_own.alias("credited_coefficient")] if credits else []),
         *((F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(classes_of(model)[-len(each) :])) if chances else ()),
     )
 
 
-def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], tables: np.ndarray, lanes: list[int], weights: tuple[float, ...], name: str = "week") -> DataFrame:
-    """`standardized_scores` of many coefficient tables ([lane, class, term and intercept]) at once, with the lane's `name`.
+#: Probabilities that a task holds at once, of lanes x contexts x players x classes.
+CHANCES = 2_000_000
+
 
-    A task works through its contexts in blocks, for all lanes and players, and sends a row a lane and player; the tables
-    are as long as the vocabulary. The population are the contexts of `contests`.
+def lane_outcomes(contests: DataFrame, model: str, role: str, terms: list[str], tables: np.ndarray, lanes: list[int]) -> DataFrame:
+    """(lane, player_key, own, p): coefficients and mean class probabilities of every player under each lane's table.
+
+    `tables` is [lane, class, term and intercept]. A task works through its contexts in blocks, for all lanes and players,
+    and sends a row a lane and player; the tables are as long as the vocabulary. The population are the contexts of
+    `contests`.
     """
     index = {t: i for i, t in enumerate(terms)}
     prefix = role.lower() + "::"
@@ -123,14 +131,16 @@ def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], ta
     size = F.col("group_size") if role == "Blocker" else F.lit(0)
     rows = contexts.select(F.split("opponents", r"\|").alias("opponents"), focal.alias("focal"), size.cast("int").alias("size"), F.col("double_team").alias("d"), F.col("double_team_unknown").alias("u"), "weight")
     heads, count = tables.shape[1], len(classes_of(model)) if model != "win" else 1
+    step = max(1, CHANCES // max(1, len(lanes) * len(players) * heads))
 
     def work(parts):
         import pandas as pd
 
         total = np.zeros((len(lanes), len(players), count))
+        flat = np.ascontiguousarray(tables[:, :, :-1].reshape(len(lanes) * heads, -1).T)
         for part in parts:
-            for low in range(0, len(part), 64):
-                piece = part.iloc[low : low + 64]
+            for low in range(0, len(part), step):
+                piece = part.iloc[low : low + step]
                 dense = np.zeros((len(piece), len(terms)))
                 scale = np.ones(len(piece))
                 for i, (others, who, k, d, u) in enumerate(zip(piece["opponents"], piece["focal"], piece["size"], piece["d"], piece["u"])):
@@ -143,7 +153,7 @@ def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], ta
                     for flag, value in (("double_team", d), ("double_team_unknown", u)):
                         if value:
                             dense[i, index[flag]] += value
-                base = np.einsum("rt,lht->lrh", dense, tables[:, :, :-1]) + tables[:, None, :, -1]
+                base = (dense @ flat).reshape(len(piece), len(lanes), heads).transpose(1, 0, 2) + tables[:, None, :, -1]
                 eta = base[:, :, None, :] + scale[None, :, None, None] * own.transpose(0, 2, 1)[:, None, :, :]
                 if heads == 1:
                     chance = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
@@ -152,9 +162,39 @@ def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], ta
                     chance = powers / powers.sum(axis=3, keepdims=True)
                 total += np.einsum("lrpc,r->lpc", chance, piece["weight"].to_numpy())
         lane, player = np.divmod(np.arange(len(lanes) * len(players)), len(players))
-        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
+        coefficients = own.transpose(0, 2, 1).reshape(-1, heads)
+        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], "own": list(coefficients), **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
+
+    sums = rows.mapInPandas(work, f"lane int, player_key string, own array<double>, {', '.join(f'p{i} double' for i in range(count))}")
+    return sums.groupBy("lane", "player_key").agg(F.first("own").alias("own"), F.array(*(F.sum(f"p{i}") for i in range(count))).alias("p"))
 
-    sums = rows.mapInPandas(work, f"lane int, player_key string, {', '.join(f'p{i} double' for i in range(count))}").groupBy("lane", "player_key").agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in range(count)))
-    value = F.col("p0") if model == "win" else sum((F.col(f"p{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
+
+def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], tables: np.ndarray, lanes: list[int], weights: tuple[float, ...], name: str = "week") -> DataFrame:
+    """`standardized_scores` of many coefficient tables ([lane, class, term and intercept]) at once, with the lane's `name`."""
+    sums = lane_outcomes(contests, model, role, terms, tables, lanes)
+    value = F.get("p", F.lit(0)) if model == "win" else sum((F.get("p", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(0.0))
     model_column, role_column = F.lit(model), F.lit(role)
     return sums.select(F.col("lane").alias(name), model_column.alias("model"), role_column.alias("role"), "player_key", value.alias("expected_outcome"), signed(model_column, role_column, value).alias("score"))
+
+
+def lane_score_types(outcomes: DataFrame, model: str, role: str, settings: DataFrame) -> DataFrame:
+    """(lane, model, role, player_key, score_type, score) of `lane_outcomes` under each lane's outcome weights.
+
+    `settings` (lane, weights, share) has a row a lane: class weights (an array) and the credit of a sack. Where a weight
+    isn't defined, the severity scores are null: the row stays, and says that the lane has no score.
+    """
+    rows = outcomes.join(settings, "lane")
+    model_column, role_column = F.lit(model), F.lit(role)
+    if model == "win":
+        kinds = [("coefficient", F.get("own", F.lit(0))), ("standardized_probability", signed(model_column, role_column, F.get("p", F.lit(0))))]
+    else:
+        count = len(classes_of(model))
+        plain = [F.when(~F.isnan(F.get("weights", F.lit(i))), F.get("weights", F.lit(i))) for i in range(count)]
+        credited = [*plain[:-1], plain[-1] * F.when(~F.isnan("share"), F.col("share"))]
+        kinds = []
+        for names, w in ((("coefficient", "expected_severity"), plain), (("credited_coefficient", "expected_credited_severity"), credited)):
+            mean = sum(w, F.lit(0.0)) / count
+            kinds.append((names[0], sum((F.get("own", F.lit(i)) * (x - mean) for i, x in enumerate(w)), F.lit(0.0))))
+            kinds.append((names[1], signed(model_column, role_column, sum((F.get("p", F.lit(i)) * x for i, x in enumerate(w)), F.lit(0.0)))))
+    long = F.explode(F.array(*(F.struct(F.lit(n).alias("score_type"), v.alias("score")) for n, v in kinds)))
+    return rows.select("lane", model_column.alias("model"), role_column.alias("role"), "player_key", long.alias("k")).select("lane", "model", "role", "player_key", "k.*")

@@ -46,6 +46,23 @@ def weekly_raw(contests: DataFrame, copies: Column | None = None, last_week: int
     )
 
 
+def weekly_raw_draws(contests: DataFrame, draws: DataFrame, last_week: int = 18) -> DataFrame:
+    """(replicate_id, role, player_key, week, raw_score): `weekly_raw`'s rates in every replicate, from sums by game."""
+    rows = participations(model_sample(contests, "win"))
+    by_game = rows.groupBy("role", "player_key", "week", "game_id").agg(F.count(F.lit(1)).alias("n"), F.sum("win_target").alias("w"))
+    sums = by_game.join(draws.select("replicate_id", "game_id", "copies"), "game_id").groupBy("replicate_id", "role", "player_key", "week")
+    sums = sums.agg(F.sum(F.col("n") * F.col("copies")).alias("interactions"), F.sum(F.col("w") * F.col("copies")).alias("wins"))
+    total = _cumulate(sums, ["replicate_id", "role", "player_key"], ["interactions", "wins"], last_week)
+    good = F.when(F.col("role") == "Rusher", F.col("wins")).otherwise(F.col("interactions") - F.col("wins"))
+    return total.select("replicate_id", "role", "player_key", "week", F.try_divide(good, F.col("interactions")).alias("raw_score"))
+
+
+def raw_bounds(values: DataFrame, keys: list[str], expected: int) -> DataFrame:
+    """(keys, raw_lower, raw_upper) of `raw_score`, where all expected draws have one."""
+    whole = F.count_if(finite(F.col("raw_score"))) == expected
+    return values.groupBy(*keys).agg(*(F.when(whole, F.percentile("raw_score", F.lit(q))).alias(n) for q, n in ((0.025, "raw_lower"), (0.975, "raw_upper"))))
+
+
 def weekly_availability(contests: DataFrame, draws: DataFrame, last_week: int = 18) -> DataFrame:
     """Observed and sampled interactions by replicate, week, model, role and player, for players observed so far.
 
@@ -80,6 +97,16 @@ def weekly_intervals(values: DataFrame, keys: list[str], value: str, expected: i
     )
 
 
+def weekly_summary(contests: DataFrame, drawn: DataFrame, values: DataFrame, availability: DataFrame, planned: int) -> DataFrame:
+    """Intervals of the replicates' scores (replicate_id, week, model, role, player_key, score), bounds of their raw rates, and absences."""
+    keys = ["week", "model", "role", "player_key"]
+    grid = availability.select("replicate_id", *keys)
+    rows = grid.join(values.select("replicate_id", *keys, "score"), ["replicate_id", *keys], "left")
+    raw = grid.where("model = 'win'").join(weekly_raw_draws(contests, drawn), ["replicate_id", "week", "role", "player_key"], "left")
+    intervals = weekly_intervals(rows, keys, "score", planned).join(raw_bounds(raw, keys, planned), keys, "left")
+    return intervals.join(absence_counts(availability, planned), keys, "left")
+
+
 def weekly_report(intervals: DataFrame) -> DataFrame:
     """Players, complete intervals and absent draws by week, model and role."""
     return intervals.groupBy("week", "model", "role").agg(F.count(F.lit(1)).alias("players"), F.count_if(F.col("interval_status") == "complete").alias("complete_intervals"))

@@ -369,7 +369,7 @@ SOURCES = {
         SELECT model, score_type, role, min_interactions, player_key, {r("max(comparison_rank)")} AS comparison_rank, count(*) AS n_draws, {r("quantile_cont(rk::DOUBLE, 0.025)")} AS rank_q025, {r("quantile_cont(rk::DOUBLE, 0.975)")} AS rank_q975, {r("avg(tc)")} AS top10_probability FROM y GROUP BY ALL""",
     "paired_rank_uncertainty": f"""WITH x AS (SELECT *, {average_rank("a", "role, min_interactions, replicate_id")} - {average_rank("b", "role, min_interactions, replicate_id")} AS delta FROM paired)
         SELECT role, min_interactions, player_key, {r("max(point)")} AS rank_delta_point, {r("avg(delta)")} AS rank_delta_mean, {r("quantile_cont(delta::DOUBLE, 0.5)")} AS rank_delta_median, {r("quantile_cont(delta::DOUBLE, 0.025)")} AS rank_delta_q025, {r("quantile_cont(delta::DOUBLE, 0.975)")} AS rank_delta_q975,
-        {r("avg((delta > 0)::INTEGER)")} AS positive_proportion, {r("avg((delta = 0)::INTEGER)")} AS zero_proportion, {r("avg((sign(delta) = sign(point))::INTEGER)")} AS same_sign_proportion, {r("avg(present::INTEGER)")} AS presence_rate, count(*) AS n_draws FROM x GROUP BY ALL""",
+        {r("avg((delta > 0)::INTEGER)")} AS positive_proportion, {r("avg((delta = 0)::INTEGER)")} AS zero_proportion, {r("avg((delta < 0)::INTEGER)")} AS negative_proportion, {r("avg((sign(delta) = sign(point))::INTEGER)")} AS same_sign_proportion, {r("avg(present::INTEGER)")} AS presence_rate, count(*) AS n_draws FROM x GROUP BY ALL""",
     "bootstrap_baseline_losses": f"SELECT replicate_id, model, {LABEL} AS strength, {r('loss')} AS loss, test_rows, test_games FROM draw_loss",
     "bootstrap_baseline_summary": f"""SELECT model, baseline, CASE WHEN baseline = 'training_cv_selected' THEN baseline ELSE {LABEL} END AS comparison, count(*) AS n_boot, {r("avg(gain)")} AS improvement_mean, {r("quantile_cont(gain, 0.025)")} AS improvement_q025, {r("quantile_cont(gain, 0.975)")} AS improvement_q975,
         {r("avg(percent)")} AS percent_improvement_mean, {r("quantile_cont(percent, 0.025)")} AS percent_improvement_q025, {r("quantile_cont(percent, 0.975)")} AS percent_improvement_q975 FROM tuned GROUP BY ALL""",

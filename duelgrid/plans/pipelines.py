@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from duelgrid.operators import draws as W
 from duelgrid.operators import quality as Q
 from duelgrid.operators import ranking as R
 from duelgrid.operators import regression as G
+from duelgrid.operators import replicates as N
 from duelgrid.operators import resample as S
 from duelgrid.operators import weekly as K
 from duelgrid.operators.ordinal import OrdinalPath, coefficients_of, ordinal_path
@@ -146,11 +148,11 @@ def validation(spark: SparkSession, folder: str, params: Params = Params()) -> N
 
 def model_scores(contests: DataFrame, coefficients: DataFrame, weights: tuple[float, ...], share: float) -> DataFrame:
     """Fitted scores of both models and roles in the long form that cohorts are ranked in (method bt)."""
-    wide = union([standardized_scores(contests, coefficients, m, r, weights, share) for m in MODELS for r in ROLES])
+    wide = union([standardized_scores(contests, coefficients, m, r, weights, share, credits=True) for m in MODELS for r in ROLES])
     kinds = F.array(
         F.struct(F.lit("coefficient").alias("score_type"), F.col("coefficient").alias("score")),
         F.struct(F.when(F.col("model") == "win", "standardized_probability").otherwise("expected_severity").alias("score_type"), F.col("score").alias("score")),
-        F.struct(F.when(F.col("model") == "severity", "expected_credited_severity").alias("score_type"), F.col("credited_score").alias("score")),
+        *(F.struct(F.when(F.col("model") == "severity", n).alias("score_type"), F.col(c).alias("score")) for n, c in (("credited_coefficient", "credited_coefficient"), ("expected_credited_severity", "credited_score"))),
     )
     long = wide.select("model", "role", "player_key", F.explode(kinds).alias("k")).select("model", "role", "player_key", "k.*").where("score_type is not null")
     seen = C.exposure(contests).select("model", "role", "player_key", F.col("interactions").alias("role_interactions"))
@@ -176,6 +178,14 @@ def rankings(spark: SparkSession, folder: str, honours: DataFrame, params: Param
     write_table(R.top_report(ranked, "bt"), folder, "top_report")
 
 
+def learnt_weights(spark: SparkSession, folder: str, scope: str, ids: list[int]) -> dict[int, list[float]]:
+    """The outcome weights of each replicate by class; NaN where one isn't defined."""
+    found: dict[int, dict[str, float]] = {i: {} for i in ids}
+    for r in read_result(spark, folder, f"{scope}_weights").where(F.col("replicate_id").isin(ids)).collect():
+        found[r["replicate_id"]][r["cls"]] = r["weight"]
+    return {i: [float("nan") if own.get(c) is None else float(own[c]) for c in CLASSES] for i, own in found.items()}
+
+
 def draw_fits(spark: SparkSession, folder: str, drawn: DataFrame) -> DataFrame:
     """Outcome regressions of all replicates, from the games' Gramians times their copies."""
     levels = [f"{r['kind']}::{r['level']}" for r in D.play_levels(_train_plays(spark, folder)).collect()]
@@ -183,12 +193,15 @@ def draw_fits(spark: SparkSession, folder: str, drawn: DataFrame) -> DataFrame:
     return G.solve_draws(cells, levels)
 
 
-def bootstrap(spark: SparkSession, folder: str, penalties: list[float], ids: list[int], params: Params = Params(), scope: str = "ratings") -> None:
+def bootstrap(spark: SparkSession, folder: str, penalties: list[float], ids: list[int], params: Params = Params(), scope: str = "ratings", at_once: int = 20) -> None:
     """Replicates of a scope, each learnt anew on its own games: outcome weights, sack credit and both fits.
 
     Several penalties are chosen among by cross-validation in every replicate (a game's copies stay in its fold), one is
     kept. Scope `ratings` draws from all games and scores all players; `validation` fits the drawn training games and
-    tells the loss on the drawn hold-out games. Written replicates are kept if inputs and settings are the same.
+    tells the loss on the drawn hold-out games. Replicates, folds and penalties are lanes of one fit, `at_once`
+    replicates a commit. Committed replicates are kept if inputs, settings and code are the same. A replicate without some
+    class, or whose fit doesn't converge, is an error. One whose weights aren't defined has null severity scores, so that
+    the intervals' `defined_fraction` tells of it.
     """
     contests, folds = read_result(spark, folder, "contests"), read_result(spark, folder, "folds")
     seed = params.seed + (100_000 if scope == "ratings" else 0)
@@ -200,31 +213,40 @@ def bootstrap(spark: SparkSession, folder: str, penalties: list[float], ids: lis
     write_table(G.coefficient_uncertainty(fits, read_result(spark, folder, "play_coefficients")), folder, f"{scope}_epa_uncertainty")
     write_table(G.coefficient_covariance(fits, list(D.COUNTS)), folder, f"{scope}_epa_covariance")
     write_table(normalization_support(fits), folder, f"{scope}_normalization")
-    learnt: dict[int, dict[str, float]] = {}
-    for r in read_result(spark, folder, f"{scope}_weights").collect():
-        learnt.setdefault(r["replicate_id"], {})[r["cls"]] = r["weight"]
+    learnt = learnt_weights(spark, folder, scope, ids)
     controls = "|".join(map(str, (seed, penalties, params, content_hash(contests), content_hash(folds), content_hash(read_result(spark, folder, "game_gramian")))))
-
-    def compute(number: int) -> DataFrame:
-        rows = contests.join(drawn.where(F.col("replicate_id") == number).select("game_id", "copies"), "game_id")
-        train = rows.where(F.col("week") <= params.train_last_week) if scope == "validation" else rows
-        copies = F.col("copies").cast("double")
-        one = {"fixed": penalties[0]} if len(penalties) == 1 else {"folds": folds, "penalties": penalties}
-        found = [fit_model(train, m, params=params, weight=copies, **one) for m in MODELS]
-        states = spark.createDataFrame([(f.model, float(f.penalty), f.boundary, f.status, float(f.gradient)) for f in found], "model string, penalty double, grid_boundary boolean, status string, gradient double")
-        done = union([f.coefficients for f in found if f.status == "complete"])
+    games = N.games_of(contests, drawn, ids, folds)
+    use = games.weeks <= params.train_last_week if scope == "validation" else np.ones(len(games.names), bool)
+    packed = {m: games.packed(contests, m) for m in MODELS}
+    shares = C.model_sample(contests, "severity").where("severity_outcome = 'sack'").join(drawn, "game_id").groupBy("replicate_id").agg((F.sum(F.col("sack_credit") * F.col("copies")) / F.sum("copies")).alias("s"))
+    credit = {r["replicate_id"]: r["s"] for r in shares.where(F.col("replicate_id").isin(ids)).collect()}
+
+    def compute(some: list[int]) -> DataFrame:
+        states, parts, losses = [], [], []
+        settings = spark.createDataFrame([(i, learnt[i], float("nan") if credit.get(i) is None else credit[i]) for i in some], "lane int, weights array<double>, share double")
+        for model in MODELS:
+            theta, gradient, status, chosen, edge = N.replicate_fits(packed[model], games, some, penalties, use)
+            lost = [(i, s) for i, s in zip(some, status) if s != "complete"]
+            if lost:
+                raise ValueError(f"The {model} fits of replicates {lost} failed; no draw is replaced or left out")
+            states += [(i, model, float(p), e, s, float(g)) for i, p, e, s, g in zip(some, chosen, edge, status, gradient)]
+            if scope == "validation":
+                told = N.replicate_losses(packed[model], games, some, theta, ~use, params.clip)
+                losses += [(i, model, float(loss)) for i, (_, loss) in zip(some, told)]
+            else:
+                parts.append(N.replicate_scores(contests, packed[model], theta, some, settings))
+        found = spark.createDataFrame(states, "replicate_id int, model string, penalty double, grid_boundary boolean, status string, gradient double")
         if scope == "validation":
-            chances = hold_out_chances(rows, done, params.train_last_week).where("cls = outcome").join(drawn.where(F.col("replicate_id") == number).select("game_id", "copies"), "game_id")
-            loss = chances.groupBy("model").agg((F.sum(-F.log(F.greatest("p", F.lit(params.clip))) * F.col("copies")) / F.sum("copies")).alias("model_loss"))
-            return states.join(loss, "model", "left")
-        own = [learnt.get(number, {}).get(c) for c in CLASSES]
-        weights = params.severity_weights if any(w is None or w != w for w in own) else tuple(own)
-        share = C.model_sample(rows, "severity").where("severity_outcome = 'sack'").agg((F.sum(F.col("sack_credit") * F.col("copies")) / F.sum("copies")).alias("s")).first()["s"]
-        present = C.participations(C.observations(rows)).select("model", "role", "player_key").distinct().withColumn("present_in_draw", F.lit(True))
-        scores = model_scores(contests, done, weights, share or 1.0)
-        return scores.join(present, ["model", "role", "player_key"], "left").fillna({"present_in_draw": False}).join(states, "model")
-
-    values = resume(spark, folder, f"{scope}_replicates", controls, ids, compute)
+            return found.join(spark.createDataFrame(losses, "replicate_id int, model string, model_loss double"), ["replicate_id", "model"])
+        seen = C.exposure(contests).select("model", "role", "player_key", F.col("interactions").alias("role_interactions"))
+        mine = drawn.where(F.col("replicate_id").isin(some))
+        present = C.participations(C.observations(contests)).join(mine, "game_id").select("replicate_id", "model", "role", "player_key").distinct().withColumn("present_in_draw", F.lit(True))
+        scores = union(parts).withColumnRenamed("lane", "replicate_id").join(seen, ["model", "role", "player_key"]).withColumn("method", F.lit("bt"))
+        return scores.join(present, ["replicate_id", "model", "role", "player_key"], "left").fillna({"present_in_draw": False}).join(found, ["replicate_id", "model"])
+
+    values = resume(spark, folder, f"{scope}_replicates", controls, ids, compute, at_once)
+    for held in packed.values():
+        held.rows.unpersist()
     write_table(values.select("replicate_id", "model", "penalty", "grid_boundary", "status", "gradient").distinct(), folder, f"{scope}_bootstrap_diagnostics")
     if scope == "validation":
         fixed = F.when(F.col("model") == "win", params.comparator_strength["win"]).otherwise(params.comparator_strength["severity"])
@@ -237,8 +259,11 @@ def bootstrap(spark: SparkSession, folder: str, penalties: list[float], ids: lis
         sums = held.groupBy("model", "baseline").agg(*(a.alias(f"{c}_{n}") for c in ("improvement", "percent_improvement") for n, a in (("mean", F.avg(c)), ("q025", F.percentile(c, F.lit(0.025))), ("q975", F.percentile(c, F.lit(0.975))))))
         write_table(R.with_intervals(read_result(spark, folder, "validation"), sums, ["model", "baseline"]), folder, "validation_uncertainty")
         return
+    write_table(values, folder, "ratings_scores")
+    values = read_result(spark, folder, "ratings_scores")
     point = read_result(spark, folder, "all_rankings").where("method = 'bt' and min_interactions = 0").select("model", "score_type", "role", "player_key", F.col("score").alias("point"))
-    write_table(R.with_intervals(point, W.rating_intervals(values), ["model", "score_type", "role", "player_key"]), folder, "rating_uncertainty")
+    whole = W.complete_draws(values, ["model", "score_type", "role", "player_key"], len(ids))
+    write_table(R.with_intervals(point, W.rating_intervals(whole), ["model", "score_type", "role", "player_key"]), folder, "rating_uncertainty")
     ranked = read_result(spark, folder, "rankings")
     write_table(R.scoped_rank_intervals(values, ranked, "bt"), folder, "rank_uncertainty")
     pairs = read_result(spark, folder, "rank_pairs")
@@ -366,46 +391,46 @@ def weekly(spark: SparkSession, folder: str, weeks: list[int], params: Params =
     write_table(spark.createDataFrame(states, "week int, model string, status string, gradient double"), folder, "weekly_point_diagnostics")
 
 
-def weekly_uncertainty(spark: SparkSession, folder: str, weeks: list[int], ids: list[int], params: Params = Params()) -> None:
+def weekly_uncertainty(spark: SparkSession, folder: str, weeks: list[int], ids: list[int], params: Params = Params(), at_once: int = 20) -> None:
     """Weekly fits of the rating replicates: intervals by week and player, absences and the fits' states.
 
-    Weights and sack credit are those of the replicate, the population is the season's. The last week takes the scores
-    that the replicate already has.
+    A replicate and a week are a lane: at the replicate's penalty and weights, on its copies of the games up to the week,
+    against the season's population. All replicates and weeks of a commit are one fit a model. The last week takes the
+    scores that the replicate already has. All players seen up to a week have a score in every draw; an interval needs
+    all draws. raw_lower and raw_upper are bounds of the draws' raw rates, where all draws have one.
     """
     contests, drawn = read_result(spark, folder, "contests"), read_result(spark, folder, "ratings_draws")
-    learnt: dict[int, dict[str, float]] = {}
-    for r in read_result(spark, folder, "ratings_weights").collect():
-        learnt.setdefault(r["replicate_id"], {})[r["cls"]] = r["weight"]
-    controls = "|".join(map(str, (weeks, params, content_hash(contests), content_hash(drawn), content_hash(read_result(spark, folder, "model_summary").drop("gradient")))))
-    saved = read_result(spark, folder, "ratings_replicates")
-
-    def compute(number: int) -> DataFrame:
-        rows = contests.join(drawn.where(F.col("replicate_id") == number).select("game_id", "copies"), "game_id")
-        own = [learnt.get(number, {}).get(c) for c in CLASSES]
-        weights = params.severity_weights if any(w is None or w != w for w in own) else tuple(own)
-        parts = []
-        for week in weeks:
-            for model in MODELS:
-                if week == params.last_week:
-                    kind = "standardized_probability" if model == "win" else "expected_severity"
-                    mine = saved.where((F.col("replicate_id") == number) & (F.col("model") == model) & (F.col("score_type") == kind) & F.col("present_in_draw"))
-                    parts.append(mine.select("model", "role", "player_key", "score", F.lit(week).alias("week"), F.lit("draw").alias("status")))
-                    continue
-                scores, state = _week_scores(spark, folder, contests, rows.where(F.col("week") <= week), week, model, weights, 1.0, params, F.col("copies").cast("double"))
-                if scores is not None:
-                    parts.append(scores.select("model", "role", "player_key", "score", "week", F.lit(state[2]).alias("status")))
-                else:
-                    parts.append(spark.createDataFrame([(model, None, None, None, week, state[2])], "model string, role string, player_key string, score double, week int, status string"))
-        return union(parts)
-
-    values = resume(spark, folder, "weekly_replicates", controls, ids, compute)
+    learnt = learnt_weights(spark, folder, "ratings", ids)
+    chosen: dict[str, dict[int, float]] = {m: {} for m in MODELS}
+    for r in read_result(spark, folder, "ratings_bootstrap_diagnostics").where(F.col("replicate_id").isin(ids)).collect():
+        chosen[r["model"]][r["replicate_id"]] = r["penalty"]
+    controls = "|".join(map(str, (weeks, params, content_hash(contests), content_hash(drawn), sorted(learnt.items()), chosen)))
+    games, fitted = N.games_of(contests, drawn, ids), [w for w in weeks if w != params.last_week]
+    packed = {m: games.packed(contests, m) for m in MODELS}
+
+    def compute(some: list[int]) -> DataFrame:
+        parts, told = [], []
+        for model in MODELS:
+            if fitted:
+                scores, states = N.weekly_lanes(contests, packed[model], games, some, fitted, chosen[model], learnt)
+                parts.append(scores)
+                told += states
+        out = spark.createDataFrame(told, "replicate_id int, week int, model string, status string, gradient double")
+        if any(s == "unconverged" for *_, s, _ in told):
+            raise ValueError("A weekly fit of a replicate didn't converge")
+        return out.join(union(parts), ["replicate_id", "week", "model"], "left") if parts else out.withColumns({"role": F.lit(None).cast("string"), "player_key": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+
+    values = resume(spark, folder, "weekly_replicates", controls, ids, compute, at_once)
+    for held in packed.values():
+        held.rows.unpersist()
+    if params.last_week in weeks:
+        last = read_result(spark, folder, "ratings_scores").where(F.col("score_type").isin("standardized_probability", "expected_severity") & F.col("replicate_id").isin(ids))
+        status = F.when(F.col("score").isNull(), "nonestimable").otherwise("complete")
+        values = values.unionByName(last.select("replicate_id", "model", "role", "player_key", "score", F.lit(params.last_week).alias("week"), status.alias("status"), F.lit(None).cast("double").alias("gradient")))
     write_table(values.groupBy("replicate_id", "week", "model").agg(F.max("status").alias("status"), F.count("player_key").alias("players")), folder, "weekly_bootstrap_diagnostics")
-    write_table(K.weekly_availability(contests, drawn.where(F.col("replicate_id").isin(ids))).where(F.col("week").isin(weeks)), folder, "weekly_availability")
-    keys = ["week", "model", "role", "player_key"]
-    grid = read_result(spark, folder, "weekly_availability").select("replicate_id", *keys)
-    rows = grid.join(values.select("replicate_id", *keys, "score"), ["replicate_id", *keys], "left")
-    intervals = K.weekly_intervals(rows, keys, "score", len(ids))
-    write_table(intervals.join(K.absence_counts(read_result(spark, folder, "weekly_availability"), len(ids)), keys, "left"), folder, "weekly_uncertainty")
+    mine = drawn.where(F.col("replicate_id").isin(ids))
+    write_table(K.weekly_availability(contests, mine).where(F.col("week").isin(weeks)), folder, "weekly_availability")
+    write_table(K.weekly_summary(contests, mine, values, read_result(spark, folder, "weekly_availability"), len(ids)), folder, "weekly_uncertainty")
     write_table(K.weekly_report(read_result(spark, folder, "weekly_uncertainty")), folder, "weekly_report")
 
 

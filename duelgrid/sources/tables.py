@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,20 +148,51 @@ def read_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
-def resume(spark: SparkSession, folder: str, name: str, controls: str, ids: list[int], compute: Callable[[int], DataFrame]) -> DataFrame:
-    """Compute the replicates that aren't written yet, one Parquet folder each, and return all of them.
+def code_hash() -> str:
+    """A hash of this package's modules outside the corpus operators: results of other code aren't mixed with ours."""
+    found = hashlib.sha256()
+    root = Path(__file__).resolve().parent.parent
+    for path in sorted(p for part in ("functions", "operators", "plans", "sources") for p in (root / part).glob("*.py")):
+        found.update(path.read_bytes())
+    return found.hexdigest()[:16]
 
-    `controls` (inputs and settings) is stored with every replicate; a different value is an error, not a mix.
+
+def resume(spark: SparkSession, folder: str, name: str, controls: str, ids: list[int], compute: Callable[[list[int]], DataFrame], at_once: int = 1) -> DataFrame:
+    """Compute the replicates that aren't committed yet, `at_once` in a job, and return the rows of all `ids`.
+
+    `compute` gives rows with `replicate_id` for a list of replicates. A commit is a folder of its rows and of the
+    replicates it claims, written under another name and renamed when it is whole: a run that was killed leaves nothing
+    half done, and a replicate without rows is done too. Where two drivers committed a replicate, the first name counts.
+    `controls` (inputs and settings) and the code are stored with every replicate; other ones are an error, not a mix.
     """
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = []
-    for number in ids:
-        path = f"{folder}/{name}/replicate_id={number}"
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(hadoop).exists(done):
-            compute(number).withColumn("_controls", F.lit(controls)).write.mode("overwrite").parquet(path)
-        paths.append(path)
-    found = spark.read.option("basePath", f"{folder}/{name}").parquet(*paths)
-    if found.where(F.col("_controls") != controls).limit(1).count():
-        raise ValueError("Inputs or settings changed; use a fresh output folder")
-    return found.drop("_controls")
+    base, controls = f"{folder}/{name}", f"{controls}|{code_hash()}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(base)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def commits() -> list[str]:
+        return sorted(f.getPath().getName() for f in store.listStatus(root) if f.getPath().getName().startswith("commit-")) if store.exists(root) else []
+
+    def claims() -> DataFrame:
+        parts = [spark.read.parquet(f"{base}/{c}/done").withColumn("_commit", F.lit(c)) for c in commits()]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "replicate_id int, controls string, _commit string")
+
+    def check(found: DataFrame) -> None:
+        if found.where(F.col("controls") != controls).limit(1).count():
+            raise ValueError("Inputs, settings or code changed; use a fresh output folder")
+
+    done = claims()
+    check(done)
+    wanted = spark.createDataFrame([(i,) for i in ids], "replicate_id int")
+    left = [r["replicate_id"] for r in wanted.join(done, "replicate_id", "left_anti").orderBy("replicate_id").collect()]
+    for at in range(0, len(left), at_once):
+        some, mark = left[at : at + at_once], uuid.uuid4().hex
+        compute(some).write.parquet(f"{base}/_tmp-{mark}/rows")
+        spark.createDataFrame([(i, controls) for i in some], "replicate_id int, controls string").coalesce(1).write.parquet(f"{base}/_tmp-{mark}/done")
+        if not store.rename(hadoop.Path(f"{base}/_tmp-{mark}"), hadoop.Path(f"{base}/commit-{some[0]:06d}-{mark}")):
+            raise OSError(f"Can't commit replicates {some} in {base}")
+    found = claims()
+    check(found)
+    first = found.join(wanted, "replicate_id").groupBy("replicate_id").agg(F.min("_commit").alias("_commit"))
+    rows = reduce(DataFrame.unionByName, (spark.read.parquet(f"{base}/{c}/rows").withColumn("_commit", F.lit(c)) for c in commits()))
+    return rows.join(first, ["replicate_id", "_commit"]).drop("_commit")

@@ -258,12 +258,23 @@ def test_csv_round_trip_and_resume(spark, tmp_path):
         read_matchups(spark, path)
     folder, calls = str(tmp_path / "out"), []
 
-    def compute(n):
-        calls.append(n)
-        return spark.createDataFrame([(n * 1.0,)], "score double")
-
-    assert resume(spark, folder, "draws", "a", [1, 2], compute).count() == 2
-    assert resume(spark, folder, "draws", "a", [1, 2, 3], compute).count() == 3 and calls == [1, 2, 3]
+    def compute(some):
+        calls.extend(some)
+        return spark.createDataFrame([(n, n * 1.0) for n in some if n != 2], "replicate_id int, score double")
+
+    assert resume(spark, folder, "draws", "a", [1, 2], compute, 2).count() == 1
+    # a replicate without rows is done, and is not computed again
+    assert resume(spark, folder, "draws", "a", [1, 2, 3], compute).count() == 2 and calls == [1, 2, 3]
+    assert resume(spark, folder, "draws", "a", [3], compute).collect() == [(3, 3.0)] and calls == [1, 2, 3]
+
+    def killed(some):
+        return compute(some).withColumn("score", F.when(F.col("replicate_id") == 5, F.raise_error(F.lit("killed")).cast("double")).otherwise(F.col("score")))
+
+    with pytest.raises(Exception, match="killed"):
+        resume(spark, folder, "draws", "a", [4, 5, 6], killed, 1)
+    # what was committed stays, what was not leaves nothing
+    assert sorted(r.replicate_id for r in resume(spark, folder, "draws", "a", [1, 3, 4, 5, 6], compute, 4).collect()) == [1, 3, 4, 5, 6]
+    assert calls == [1, 2, 3, 4, 5, 5, 6]
     with pytest.raises(ValueError, match="fresh"):
         resume(spark, folder, "draws", "b", [1, 2, 3, 4], compute)
     write_table(spark.range(3), folder, "t")
