@@ -17,7 +17,7 @@ from duelgrid.llm.storage import Scratch, keep_possible, materialize
 #: Bytes that end a piece of text, and those that part words inside a piece.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text that are hashed at once, words whose n-grams are, and n-grams that a task merges before it hands them on.
-BYTES, WORDS, GRAMS = 1 << 21, 1 << 18, 1 << 20
+BYTES, WORDS, GRAMS = 1 << 19, 1 << 18, 1 << 19
 #: Bases of the polynomials of bytes and of words, and their inverses modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 INVERSES = {b: pow(b, -1, 1 << 64) for b in (BYTE_BASE, WORD_BASE)}
@@ -98,8 +98,8 @@ def _seeds(lang: str) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
 
 
-def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """(langs, keys, texts) of some rows: of about BYTES of text, or of one longer text."""
+def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list, pa.RecordBatch]]:
+    """(langs, keys, texts, rows) of some rows: of about BYTES of text, or of one longer text."""
     for part in parts:
         at = 0
         while at < part.num_rows:
@@ -109,15 +109,15 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]
                 size += len(texts[-1])
                 at += 1
             piece = part.slice(first, at - first)
-            yield piece.column(0).to_pylist(), piece.column(1).to_numpy(), texts
+            yield piece.column(0).to_pylist(), piece.column(1).to_numpy(), texts, piece
 
 
-def _scan(hasher: Hasher, block: tuple[list, list, list], widths: range, ahead: int = 0) -> Iterator[tuple]:
+def _scan(hasher: Hasher, block: tuple, widths: range, ahead: int = 0) -> Iterator[tuple]:
     """(n, first word, fingerprint, second, valid, row, words) of all n-grams of a block, by stretch of words and width.
 
     Stretches of all widths but the last one reach `ahead` n-grams into the next stretch.
     """
-    langs, _, texts = block
+    langs, _, texts, _ = block
     start, end, piece, *marks = hasher.words(np.frombuffer(b"\n".join(texts), np.uint8))
     row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
     pairs = np.array([_seeds(x) for x in langs], np.uint64).reshape(-1, 2)
@@ -214,19 +214,17 @@ def _materialised(docs: DataFrame, wanted: DataFrame, most_words: int, bits: int
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bits)
-        for part in parts:
-            for at in range(part.num_rows):
-                row = part.slice(at, 1)
-                text, wanted = row.column(2)[0].as_buffer().to_pybytes(), {(w["fp"], w["low"]): w["n"] for w in row.column(3)[0].as_py()}
-                asked, out = np.sort(np.array([k[0] for k in wanted], np.int64)), []
-                for n, first, one, two, valid, _, (start, end) in _scan(hasher, (row.column(0).to_pylist(), None, [text]), range(2, most_words + 1)):
-                    place = np.minimum(np.searchsorted(asked, one), len(asked) - 1)
-                    for i in np.flatnonzero(valid & (asked[place] == one)).tolist():
-                        count = wanted.pop((int(one[i]), int(two[i])), None)
-                        if count is not None:
-                            out.append((int(one[i]), int(two[i]), count, row.column(0)[0].as_py(), _phrase(text, start, end, first + i, n)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["fp", "second", "n", "lang", "phrase"])
+        for block in _blocks(parts):
+            wanted = {(w["fp"], w["low"]): w["n"] for row in block[3].column(3).to_pylist() for w in row}
+            asked, data, out = np.sort(np.array([k[0] for k in wanted], np.int64)), b"\n".join(block[2]), []
+            for n, first, one, two, valid, rows, (start, end) in _scan(hasher, block, range(2, most_words + 1)):
+                place = np.minimum(np.searchsorted(asked, one), len(asked) - 1)
+                for i in np.flatnonzero(valid & (asked[place] == one)).tolist():
+                    count = wanted.pop((int(one[i]), int(two[i])), None)
+                    if count is not None:
+                        out.append((int(one[i]), int(two[i]), count, block[0][rows[i]], _phrase(data, start, end, first + i, n)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["fp", "second", "n", "lang", "phrase"])
 
     met = texts.join(pointers, "text_key").select("_lang", "text_key", "_text", "_wanted")
     return met.mapInArrow(work, "fp bigint, second bigint, n bigint, lang string, phrase string").dropDuplicates(["fp", "second"])
@@ -239,14 +237,21 @@ def _parts(phrases: DataFrame, bits: int) -> DataFrame:
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bits)
         for part in parts:
-            cuts, inner, kept = [], [], []
-            for fp, second, lang, phrase in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4))):
-                _, _, _, *marks = hasher.words(np.frombuffer(phrase.encode("utf-8", "surrogatepass"), np.uint8))
-                whole, seeds = len(marks[0]), [np.array([s], np.uint64) for s in _seeds(lang)]
-                of = {n: np.stack(hasher.named(hasher.grams(marks, n), seeds, n), axis=1).tolist() for n in range(1, whole + 1)}
-                kept.append(of[whole][0] == [fp, second])
-                cuts.append([{"k": k, "side": s, "fp": g[0], "second": g[1]} for k in range(1, whole) for s, g in ((0, of[k][0]), (1, of[whole - k][-1]))])
-                inner.append([{"fp": g[0], "second": g[1]} for n in range(2, whole) for g in of[n]])
+            fps, seconds, _, langs, texts = (c.to_pylist() for c in part.columns)
+            # each phrase is a piece of its own
+            _, _, row, *marks = hasher.words(np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8))
+            sizes = np.bincount(row, minlength=len(texts))
+            pairs, of = np.array([_seeds(x) for x in langs], np.uint64).reshape(-1, 2), {}
+            for n in range(1, int(sizes.max(initial=0)) + 1):
+                seeds = pairs[row[: len(row) - n + 1]]
+                of[n] = [x.tolist() for x in hasher.named(hasher.grams(marks, n), [seeds[:, 0], seeds[:, 1]], n)]
+            gram = lambda n, at: {"fp": of[n][0][at], "second": of[n][1][at]}
+            cuts, inner, kept, first = [], [], [], 0
+            for fp, second, size in zip(fps, seconds, sizes.tolist()):
+                kept.append(gram(size, first) == {"fp": fp, "second": second})
+                cuts.append([{"k": k, "side": side, **gram(*at)} for k in range(1, size) for side, at in ((0, (k, first)), (1, (size - k, first + k)))])
+                inner.append([gram(n, first + i) for n in range(2, size) for i in range(size - n + 1)])
+                first += size
             as_pair = pa.struct([("fp", pa.int64()), ("second", pa.int64())])
             as_cut = pa.struct([("k", pa.int32()), ("side", pa.int32()), *as_pair])
             whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(cuts, pa.list_(as_cut)), pa.array(inner, pa.list_(as_pair))], names=[*part.schema.names, "cuts", "inner"])
