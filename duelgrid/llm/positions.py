@@ -24,29 +24,29 @@ def running_positions(df: DataFrame, keys: list[str], order: list[str], weight:
     positions, and repeats share theirs out. Null is a value; key columns must not be null.
     """
     names = list(dict.fromkeys([*keys, *order, *([weight] if weight else [])]))
-    rows = materialize(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rows")
-    parts = rows.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    units = parts.groupBy(*names).agg(F.sum("_n").alias("_rows")).withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
-    total = F.col("_rows") * F.col(weight) if weight else F.lit(0)
+    rows = materialize(df.withColumns({"_written": F.spark_partition_id(), "_line": F.monotonically_increasing_id()}), "rows")
+    parts = rows.groupBy(*names, "_written").agg(F.count(F.lit(1)).alias("_units"))
+    units = parts.groupBy(*names).agg(F.sum("_units").alias("_repeats")).withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    total = F.col("_repeats") * F.col(weight) if weight else F.lit(0)
     inside = Window.partitionBy(*keys, "_cell").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
-    units = units.withColumn("_total", total).withColumns({"_pos": before("_rows", inside), "_start": before("_total", inside)})
-    totals = units.groupBy(*keys, "_cell").agg(F.sum("_rows").alias("_n"), F.sum("_total").alias("_w"))
+    units = units.withColumn("_total", total).withColumns({"_pos": before("_repeats", inside), "_start": before("_total", inside)})
+    totals = units.groupBy(*keys, "_cell").agg(F.sum("_repeats").alias("_units"), F.sum("_total").alias("_w"))
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_cell", before("_n", earlier).alias("_n0"), before("_w", earlier).alias("_w0"))
+    offsets = totals.select(*keys, "_cell", before("_units", earlier).alias("_rows0"), before("_w", earlier).alias("_sum0"))
     units = units.join(offsets, [*keys, "_cell"])
-    units = materialize(units.select(*(F.col(c).alias(f"{c}_of") for c in names), "_rows", (F.col("_pos") + F.col("_n0")).alias("_pos"), (F.col("_start") + F.col("_w0")).alias("_start")), "units")
-    once = units.where("_rows = 1")
+    units = materialize(units.select(*(F.col(c).alias(f"{c}_of") for c in names), "_repeats", (F.col("_pos") + F.col("_rows0")).alias("_pos"), (F.col("_start") + F.col("_sum0")).alias("_start")), "units")
+    once = units.where("_repeats = 1")
     out = rows.join(once, _same(rows, once, names)).select(*df.columns, "_pos", "_start")
-    many = units.where("_rows > 1")
+    many = units.where("_repeats > 1")
     if not many.isEmpty():
-        held = rows.join(many, _same(rows, many, names)).select(*df.columns, "_part", "_at", "_pos", "_start")
-        here = F.row_number().over(Window.partitionBy(*names, "_part").orderBy("_at")) - 1
-        ahead = before("_n", Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-        ahead = parts.select(*(F.col(c).alias(f"{c}_of") for c in names), F.col("_part").alias("_part_of"), ahead.alias("_ahead"))
-        held = held.withColumn("_here", here)
-        held = held.join(ahead, _same(held, ahead, [*names, "_part"])).withColumn("_here", F.col("_here") + F.col("_ahead"))
-        start = F.col("_start") + F.col("_here") * (F.col(weight) if weight else F.lit(0))
-        out = out.unionByName(held.select(*df.columns, (F.col("_pos") + F.col("_here")).alias("_pos"), start.alias("_start")))
+        held = rows.join(many, _same(rows, many, names)).select(*df.columns, "_written", "_line", "_pos", "_start")
+        here = F.row_number().over(Window.partitionBy(*names, "_written").orderBy("_line")) - 1
+        ahead = before("_units", Window.partitionBy(*names).orderBy("_written").rowsBetween(Window.unboundedPreceding, -1))
+        ahead = parts.select(*(F.col(c).alias(f"{c}_of") for c in names), F.col("_written").alias("_written_of"), ahead.alias("_ahead"))
+        held = held.withColumn("_inner", here)
+        held = held.join(ahead, _same(held, ahead, [*names, "_written"])).withColumn("_inner", F.col("_inner") + F.col("_ahead"))
+        start = F.col("_start") + F.col("_inner") * (F.col(weight) if weight else F.lit(0))
+        out = out.unionByName(held.select(*df.columns, (F.col("_pos") + F.col("_inner")).alias("_pos"), start.alias("_start")))
     out = out.withColumns({"_pos": F.col("_pos").cast("long"), "_start": F.col("_start").cast("long")})
     return out if weight else out.drop("_start")
