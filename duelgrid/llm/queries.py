@@ -22,8 +22,10 @@ from duelgrid.llm.weaklabel import score_quality
 
 #: (verdict, host, path) of the URL rules.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Pages whose canonical URLs form the list of the URL filter: those of some sites, and those with runs of symbols in the title.
-SPAM_SITES, JUNK_TITLE = r"(^|\.)(spam-farm|cheap-pills|casino-win)\.", r"<title>[^<]*[#*$%|]{3}"
+#: Pages whose canonical URLs form the list of the URL filter: those of some sites, those with runs of symbols in the title,
+#: and the half of the others whose md5 of the page_id begins with a digit below 8. Other spellings of these URLs, which no
+#: rule or pattern of their own names, are found by the list alone.
+SPAM_SITES, JUNK_TITLE, LISTED = r"(^|\.)(spam-farm|cheap-pills|casino-win)\.", r"<title>[^<]*[#*$%|]{3}", "8"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +77,8 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page by rules, else by the list. Null urls have an empty host and path and are allowed. Empty tables give no rows; extra columns are not read."""
     pages = _table(spark, sf_dir, "pages")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    listed = host.rlike(SPAM_SITES) | F.coalesce(F.col("html"), F.lit("")).rlike(JUNK_TITLE)
+    chosen = F.coalesce(F.md5(F.col("page_id").cast("string").cast("binary")) < LISTED, F.lit(False))
+    listed = host.rlike(SPAM_SITES) | F.coalesce(F.col("html"), F.lit("")).rlike(JUNK_TITLE) | chosen
     blocked = pages.where((host != "") & listed).select(canonical(host, path).alias("key"))
     return filter_urls(pages, URL_RULES, blocked)
 
@@ -152,7 +155,7 @@ ORACLE_SQL = {
                regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         keyed AS (SELECT *, regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '') AS k FROM parts),
         spam AS (SELECT DISTINCT k FROM keyed WHERE host <> '' AND (regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.')
-                  OR regexp_matches(coalesce(html, ''), '<title>[^<]*[#*$%|]{3}'))),
+                  OR regexp_matches(coalesce(html, ''), '<title>[^<]*[#*$%|]{3}') OR coalesce(md5(page_id::VARCHAR) < '8', false))),
         rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, h, p)),
         fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
