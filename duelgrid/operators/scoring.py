@@ -163,10 +163,11 @@ def lane_outcomes(contests: DataFrame, model: str, role: str, terms: list[str],
                 total += np.einsum("lrpc,r->lpc", chance, piece["weight"].to_numpy())
         lane, player = np.divmod(np.arange(len(lanes) * len(players)), len(players))
         coefficients = own.transpose(0, 2, 1).reshape(-1, heads)
-        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], "own": list(coefficients), **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
+        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], **{f"o{i}": coefficients[:, i] for i in range(heads)}, **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
 
-    sums = rows.mapInPandas(work, f"lane int, player_key string, own array<double>, {', '.join(f'p{i} double' for i in range(count))}")
-    return sums.groupBy("lane", "player_key").agg(F.first("own").alias("own"), F.array(*(F.sum(f"p{i}") for i in range(count))).alias("p"))
+    names = [f"o{i}" for i in range(heads)] + [f"p{i}" for i in range(count)]
+    sums = rows.mapInPandas(work, f"lane int, player_key string, {', '.join(f'{n} double' for n in names)}").groupBy("lane", "player_key").agg(*(F.max(n).alias(n) if n[0] == "o" else F.sum(n).alias(n) for n in names))
+    return sums.select("lane", "player_key", F.array(*(n for n in names if n[0] == "o")).alias("own"), F.array(*(n for n in names if n[0] == "p")).alias("p"))
 
 
 def lane_scores(contests: DataFrame, model: str, role: str, terms: list[str], tables: np.ndarray, lanes: list[int], weights: tuple[float, ...], name: str = "week") -> DataFrame:
