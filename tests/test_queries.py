@@ -17,10 +17,22 @@ def test_fits_cover_weeks_models_and_grid(spark, sf, monkeypatch):
         calls.append((model, penalties))
         return SimpleNamespace(coefficients=nothing, status="complete")
 
-    monkeypatch.setattr(queries, "fit_model", fit)
-    monkeypatch.setattr(queries, "population_scores", lambda contests, beta, model, role, weights: spark.createDataFrame([(model, role)], "model string, role string"))
+    asked = []
+
+    def weekly(contests, model, penalty, weeks):
+        asked.append((model, penalty, tuple(weeks)))
+        return [], np.zeros((len(weeks), 1, 1)), dict.fromkeys(weeks, "complete")
+
+    def scores(contests, model, role, terms, tables, lanes, weights):
+        return spark.createDataFrame([(w, model, role, "id:0") for w in lanes], "week int, model string, role string, player_key string")
+
+    monkeypatch.setattr(queries, "weekly_fits", weekly)
+    monkeypatch.setattr(queries, "lane_scores", scores)
+    monkeypatch.setattr(queries.K, "exposed_by_week", lambda found, contests, last_week: found)
     rows = {(r["week"], r["model"], r["role"]) for r in queries.weekly_scores(spark, sf).collect()}
+    assert asked == [(m, 0.01, tuple(range(1, 19))) for m in ("win", "severity")]
     assert rows == {(w, m, r) for w in range(1, 19) for m in ("win", "severity") for r in ("Rusher", "Blocker")}
+    monkeypatch.setattr(queries, "fit_model", fit)
     queries.ridge_win(spark, sf)
     assert calls[-1] == ("win", Params().penalty_grid())
 
