@@ -56,6 +56,8 @@ def pack(contests: DataFrame, model: str, weight: Column | None = None, roles: t
     entries = design.join(names, "term").groupBy("row_id").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
     label = F.array_position(F.array(*(F.lit(c) for c in classes_of(model))), F.col("_cls")).cast("int") - 1
     packed = grouped.join(entries, "row_id").select(F.col("_fold").cast("int").alias("fold"), "weight", label.alias("label"), "at", "value")
+    # few bytes, but much work a row: dealt over all cores, where a size in bytes would put them into one task
+    packed = packed.repartition(contests.sparkSession.sparkContext.defaultParallelism)
     return Packed(packed, terms, model, groups or [])
 
 

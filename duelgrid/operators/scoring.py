@@ -166,7 +166,9 @@ def lane_outcomes(contests: DataFrame, model: str, role: str, terms: list[str],
         yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], **{f"o{i}": coefficients[:, i] for i in range(heads)}, **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
 
     names = [f"o{i}" for i in range(heads)] + [f"p{i}" for i in range(count)]
-    sums = rows.mapInPandas(work, f"lane int, player_key string, {', '.join(f'{n} double' for n in names)}").groupBy("lane", "player_key").agg(*(F.max(n).alias(n) if n[0] == "o" else F.sum(n).alias(n) for n in names))
+    # few bytes, but lanes x players of work a row: dealt over all cores
+    dealt = rows.repartition(contests.sparkSession.sparkContext.defaultParallelism)
+    sums = dealt.mapInPandas(work, f"lane int, player_key string, {', '.join(f'{n} double' for n in names)}").groupBy("lane", "player_key").agg(*(F.max(n).alias(n) if n[0] == "o" else F.sum(n).alias(n) for n in names))
     return sums.select("lane", "player_key", F.array(*(n for n in names if n[0] == "o")).alias("own"), F.array(*(n for n in names if n[0] == "p")).alias("p"))
 
 

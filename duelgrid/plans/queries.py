@@ -21,7 +21,7 @@ from duelgrid.operators import weekly as K
 from duelgrid.operators.ordinal import TOLERANCE, coefficients_of, fit_ordinal, ordinal_groups
 from duelgrid.operators.quality import matchup_quality as matchup_rules
 from duelgrid.operators.quality import play_quality as play_rules
-from duelgrid.operators.ridge import FINISHED, fit_model, weekly_fits
+from duelgrid.operators.ridge import fit_model, weekly_fits
 from duelgrid.operators.scoring import lane_scores
 from duelgrid.operators.scoring import standardized_scores as population_scores
 from duelgrid.params import CLASSES, MODELS, ROLES, Params
@@ -562,11 +562,11 @@ def weekly_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.exposed_by_week(out, contests, PARAMS.last_week))
 
 
-def _rating_lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, N.Games, dict[int, list[float]]]:
+def _rating_lanes(spark: SparkSession, sf: str, count: int) -> tuple[DataFrame, DataFrame, N.Games, dict[int, list[float]]]:
     """(contests, draws, games, outcome weights of each replicate) of the rating replicates."""
     contests = A.contests(spark, sf)
-    draws = S.bootstrap_draws(A.game_pool(spark, sf), DRAWS, PARAMS.seed + 100_000, "ratings")
-    ids = list(range(1, DRAWS + 1))
+    draws = S.bootstrap_draws(A.game_pool(spark, sf), count, PARAMS.seed + 100_000, "ratings")
+    ids = list(range(1, count + 1))
     levels = [f"{r['kind']}::{r['level']}" for r in D.play_levels(_plays(spark, sf).where("split = 'train'")).collect()]
     fits = G.solve_draws(G.draw_gramians(_game_gramian(spark, sf), draws).select("replicate_id", "a", "b", "value"), levels)
     learnt = {(r["replicate_id"], r["cls"]): r["weight"] for r in G.draw_weights(fits).collect()}
@@ -575,30 +575,9 @@ def _rating_lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, N
     return contests, draws, N.games_of(contests, draws, ids, A.folds(spark, sf)), weights
 
 
-def weekly_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
-    """Intervals of both models' weekly scores over the rating replicates: every replicate and week is a lane of one fit at one penalty."""
-    contests, draws, games, weights = _rating_lanes(spark, sf)
-    ids, weeks, parts = list(games.copies), list(range(1, PARAMS.last_week + 1)), []
-    for model in MODELS:
-        packed = games.packed(contests, model)
-        parts.append(N.weekly_lanes(contests, packed, games, ids, weeks, dict.fromkeys(ids, 0.01), weights)[0])
-        packed.rows.unpersist()
-    return rounded(K.weekly_summary(contests, draws, parts[0].unionByName(parts[1]), K.weekly_availability(contests, draws), DRAWS), 4)
-
-
-def replicate_penalties(spark: SparkSession, sf: str) -> DataFrame:
-    """The penalty of the whole grid that cross-validation chooses for the win model in each rating replicate, and the fit's state."""
-    contests, _, games, _ = _rating_lanes(spark, sf)
-    packed, ids = games.packed(contests, "win"), list(games.copies)
-    _, gradient, status, chosen, edge = N.replicate_fits(packed, games, ids, PARAMS.penalty_grid(), np.ones(len(games.names), bool))
-    packed.rows.unpersist()
-    rows = [(i, p, e, s, g < FINISHED) for i, p, e, s, g in zip(ids, chosen, edge, status, gradient)]
-    return rounded(spark.createDataFrame(rows, "replicate_id int, penalty double, grid_boundary boolean, status string, converged boolean"), 9)
-
-
 def model_rating_draws(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of the fitted scores of both models over the rating replicates, at one penalty and the weights of each replicate."""
-    contests, _, games, weights = _rating_lanes(spark, sf)
+    contests, _, games, weights = _rating_lanes(spark, sf, DRAWS)
     ids, parts = list(games.copies), []
     settings = spark.createDataFrame([(i, weights[i], 0.5) for i in ids], "lane int, weights array<double>, share double")
     for model in MODELS:
@@ -620,5 +599,5 @@ QUERIES = {f.__name__: f for f in (
     bootstrap_baseline_summary, selected_frequencies, tuned_baseline_table, weekly_raw, weekly_availability, weekly_absence, weekly_intervals, weekly_report, ordinal_design_groups,
     centered_coefficients, standardized_scores, ordinal_scores, holdout_predictions, calibration_bins, loss_audit, play_metrics, play_fit,
     play_fit_residual, epa_sensitivity, epa_sensitivity_check, coefficient_uncertainty, coefficient_covariance, bootstrap_weights, bootstrap_weights_check,
-    ridge_gradient, ridge_win, ridge_severity, ordinal_fit, weekly_scores, weekly_uncertainty, replicate_penalties, model_rating_draws,
+    ridge_gradient, ridge_win, ridge_severity, ordinal_fit, weekly_scores, model_rating_draws,
 )}
