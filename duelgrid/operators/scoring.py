@@ -5,15 +5,20 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.functions.scalars import logistic, ordinal_probabilities, softmax
+from duelgrid.functions.chances import chebyshev_nodes, class_sums, interpolate
+from duelgrid.functions.scalars import logistic, ordinal_probabilities
 from duelgrid.operators.baselines import signed
 from duelgrid.operators.contests import classes_of, reference_contexts
 
-#: Players that are broadcast together at most, about.
+#: Players that are broadcast together, or meet a cell of contexts together, at most, about.
 BLOCK_PLAYERS = 100_000
+#: Contests whose contexts make a cell, about.
+CELL_CONTESTS = 50_000
+#: Probabilities that a task holds at once.
+CHANCES = 2_000_000
 
 
 def predictors(model: str, ordinal: bool = False) -> tuple[str, ...]:
@@ -29,29 +34,29 @@ def _wide(coefficients: DataFrame, model: str, classes: tuple[str, ...], prefix:
 
 
 def context_base(contests: DataFrame, coefficients: DataFrame, model: str, role: str, classes: tuple[str, ...]) -> DataFrame:
-    """(base, scale, weight): what each reference context adds to a player's linear predictor, by class.
+    """(b0, ..., scale, weight, number): what each reference context adds to a player's linear predictor, by class.
 
-    Rusher: minus the opponents' mean, scale 1. Blocker: the focal player less the others' sum / k, scale -1 / k.
+    Rusher: minus the opponents' mean, scale 1. Blocker: the focal player less the others' sum / k, scale -1 / k. `number`
+    is a hash of the context. Contexts are grouped by what they are already, so adding up their opponents shuffles nothing.
     """
     contexts = reference_contexts(contests, role).where(F.col("model") == model)
-    # sums are taken once for each distinct set of opponents
-    opponents = contexts.select("opponents").distinct().select("opponents", F.explode(F.filter(F.split("opponents", r"\|"), lambda k: k != "")).alias("blocker_key"))
+    keys = contexts.columns
     blockers = _wide(coefficients, model, classes, "blocker", "blocker_key")
     sums = [F.sum(F.get("blocker_key_beta", F.lit(i))).alias(f"s{i}") for i in range(len(classes))]
-    total = opponents.join(blockers, "blocker_key").groupBy("opponents").agg(F.count(F.lit(1)).alias("k"), *sums)
-    rows = contexts.join(total, "opponents", "left")
+    opponents = contexts.withColumn("blocker_key", F.explode_outer(F.filter(F.split("opponents", r"\|"), lambda k: k != "")))
+    rows = opponents.join(blockers, "blocker_key", "left").groupBy(*keys).agg(F.count("blocker_key_beta").alias("k"), *sums)
     plain = coefficients.where(F.col("model") == model).where(F.col("term").isin("(Intercept)", "double_team", "double_team_unknown"))
     fixed = plain.agg(*(F.sum(F.when((F.col("term") == t) & (F.col("cls") == c), F.col("coefficient")).otherwise(0.0)).alias(f"{n}{i}") for n, t in (("c", "(Intercept)"), ("d", "double_team"), ("u", "double_team_unknown")) for i, c in enumerate(classes)))
     rows = rows.crossJoin(F.broadcast(fixed))
     shared = [F.col(f"c{i}") + F.col("double_team") * F.col(f"d{i}") + F.col("double_team_unknown") * F.col(f"u{i}") for i in range(len(classes))]
     if role == "Rusher":
-        base = [shared[i] - F.coalesce(F.col(f"s{i}") / F.col("k"), F.lit(0.0)) for i in range(len(classes))]
+        base = [shared[i] - F.coalesce(F.try_divide(F.col(f"s{i}"), F.col("k")), F.lit(0.0)) for i in range(len(classes))]
         scale = F.lit(1.0)
     else:
         rows = rows.join(_wide(coefficients, model, classes, "rusher", "rusher_key"), "rusher_key")
         base = [shared[i] + F.get("rusher_key_beta", F.lit(i)) - F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / F.col("group_size") for i in range(len(classes))]
         scale = -1.0 / F.col("group_size")
-    return rows.select(*(b.alias(f"b{i}") for i, b in enumerate(base)), scale.alias("scale"), "weight")
+    return rows.select(*(b.alias(f"b{i}") for i, b in enumerate(base)), scale.alias("scale"), "weight", F.xxhash64(*(c for c in keys if c != "weight")).alias("number"))
 
 
 def meet_players(contexts: DataFrame, players: DataFrame) -> DataFrame:
@@ -63,31 +68,94 @@ def meet_players(contexts: DataFrame, players: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (contexts.crossJoin(F.broadcast(players.where(number == i))) for i in range(blocks)))
 
 
+def met_sums(base: DataFrame, players: DataFrame, each) -> DataFrame:
+    """(player_key, own, p0, ...): the weighted sums of `each(predictor)` over all contexts, for models of one predictor.
+
+    Every player meets every context.
+    """
+    met = meet_players(base, players)
+    chances = each(F.col("b0") + F.col("scale") * F.get("own", F.lit(0)))
+    return met.groupBy("player_key").agg(F.first("own").alias("own"), *(F.sum(F.col("weight") * p).alias(f"p{i}") for i, p in enumerate(chances)))
+
+
+def interpolated_sums(base: DataFrame, players: DataFrame, each) -> DataFrame:
+    """`met_sums` from the sums at a few Chebyshev points of the players' coefficients.
+
+    The sums are smooth functions of a player's one coefficient: contexts meet the points, players the sums there (a row of
+    at most as many numbers as there are points). `functions.chances.node_count` tells how many points keep the error below
+    1e-12; where that is no fewer than the players, those meet the contexts themselves.
+    """
+    own = F.get("own", F.lit(0))
+    span = players.agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low"), F.max(own).alias("high")).first()
+    found = chebyshev_nodes(span["low"], span["high"], span["n"])
+    if found is None:
+        return met_sums(base, players, each)
+    points, weights = found
+    nodes = players.sparkSession.createDataFrame([(str(i), [float(x)]) for i, x in enumerate(points)], "player_key string, own array<double>")
+    at = met_sums(base, nodes, each)
+    columns = [c for c in at.columns if c not in ("player_key", "own")]
+    factor = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.col("player_key").cast("int"))
+    node = F.struct(F.get("own", F.lit(0)).alias("x"), factor.alias("w"), *columns)
+    table = at.agg(F.collect_list(node).alias("nodes"))
+    rows = players.crossJoin(F.broadcast(table)).withColumn("hit", F.get(F.filter("nodes", lambda n: n["x"] == own), F.lit(0)))
+
+    def value(column: str) -> Column:
+        total = F.aggregate("nodes", F.lit(0.0), lambda t, n: t + n[column] * F.try_divide(n["w"], own - n["x"]))
+        return F.when(F.col("hit").isNotNull(), F.col("hit")[column]).otherwise(total / F.aggregate("nodes", F.lit(0.0), lambda t, n: t + F.try_divide(n["w"], own - n["x"])))
+
+    return rows.select("player_key", "own", *(value(c).alias(c) for c in columns))
+
+
+def softmax_sums(base: DataFrame, players: DataFrame, classes: int, contests: int) -> DataFrame:
+    """(player_key, own, p0, ...): the weighted sums of class probabilities of several predictors over all contexts.
+
+    Contexts are dealt to cells by their hash and players to blocks; each cell meets each block in one task, as products of
+    matrices (`class_sums`) of at most CHANCES pairs at a time. `contests` is about how many there are. No contexts, no rows.
+    """
+    spark = base.sparkSession
+    cells = max(spark.sparkContext.defaultParallelism, -(-contests // CELL_CONTESTS))
+    blocks = max(1, -(-players.count() // BLOCK_PLAYERS))
+    names = [f"b{i}" for i in range(classes)]
+    block, cell = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    left = base.select(F.pmod("number", F.lit(cells)).cast("int").alias("cell"), block.alias("block"), *names, "scale", "weight")
+    right = players.select(cell.alias("cell"), F.pmod(F.xxhash64("player_key"), F.lit(blocks)).cast("int").alias("block"), "player_key", "own")
+
+    def work(contexts, found):
+        import pandas as pd
+
+        found = found if len(contexts) else found[:0]
+        own = np.array(found["own"].tolist(), dtype=float).reshape(len(found), classes)
+        total = np.zeros((len(found), classes))
+        step = max(1, CHANCES // max(1, len(found)))
+        for low in range(0, len(contexts), step):
+            piece = contexts.iloc[low : low + step]
+            total += class_sums(piece[names].to_numpy(), piece["scale"].to_numpy(), piece["weight"].to_numpy(), own)
+        return pd.DataFrame({"player_key": found["player_key"], "own": found["own"], **{f"p{i}": total[:, i] for i in range(classes)}})
+
+    sums = [f"p{i}" for i in range(classes)]
+    parts = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(work, f"player_key string, own array<double>, {', '.join(f'{n} double' for n in sums)}")
+    return parts.groupBy("player_key").agg(F.first("own").alias("own"), *(F.sum(n).alias(n) for n in sums))
+
+
 def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str, role: str, weights: tuple[float, ...], share: float = 1.0, cuts: list[float] | None = None, chances: bool = False, reference: DataFrame | None = None, credits: bool = False) -> DataFrame:
     """Scores of every player of a role: own coefficient and the expected outcome over all reference contexts.
 
-    Contexts with the same base and scale are one weighted row before the players meet them. The players of the role
-    are broadcast to the contexts (in blocks, `meet_players`) and summed map-side, so what is shuffled is
-    players x partitions. With `cuts` the model is the proportional-odds one (one linear predictor). `chances` adds the
-    mean probability of every class, `credits` the coefficient under the weights in which a sack counts for `share`.
+    In models of one linear predictor contexts meet a few points of it, which the players' sums are interpolated from
+    (`interpolated_sums`); in the severity model they meet the players as matrices (`softmax_sums`). With `cuts` the model is the proportional-odds one. `chances` adds
+    the mean probability of every class, `credits` the coefficient under the weights in which a sack counts for `share`.
     `reference` are the contests whose contexts are the population, if not `contests`.
     """
     contests = contests if reference is None else reference
     ordinal = cuts is not None
     classes = predictors(model, ordinal)
-    names = [f"b{i}" for i in range(len(classes))]
-    base = context_base(contests, coefficients, model, role, classes).groupBy(*names, "scale").agg(F.sum("weight").alias("weight"))
+    base = context_base(contests, coefficients, model, role, classes)
     key = "rusher_key" if role == "Rusher" else "blocker_key"
-    players = _wide(coefficients, model, classes, role.lower(), key).withColumnRenamed(key, "player_key")
-    met = meet_players(base, players)
-    eta = [F.col(n) + F.col("scale") * F.get(f"{key}_beta", F.lit(i)) for i, n in enumerate(names)]
-    if ordinal:
-        each = ordinal_probabilities(eta[0], cuts)
-    elif model == "win":
-        each = [logistic(eta[0])]
+    players = _wide(coefficients, model, classes, role.lower(), key).withColumnsRenamed({key: "player_key", f"{key}_beta": "own"})
+    if len(classes) > 1:
+        sums = softmax_sums(base, players, len(classes), contests.count())
     else:
-        each = softmax(eta)
-    sums = met.groupBy("player_key").agg(F.first(f"{key}_beta").alias("own"), *(F.sum(F.col("weight") * p).alias(f"p{i}") for i, p in enumerate(each)))
+        sums = interpolated_sums(base, players, lambda eta: ordinal_probabilities(eta, cuts) if ordinal else [logistic(eta)])
+    outcomes = [c for c in sums.columns if c not in ("player_key", "own")]
     if model == "win":
         value, credited, own, credited_own = F.col("p0"), F.lit(None).cast("double"), F.get("own", F.lit(0)), F.lit(None).cast("double")
     else:
@@ -107,19 +175,16 @@ def standardized_scores(contests: DataFrame, coefficients: DataFrame, model: str
         signed(model_column, role_column, value).alias("score"),
         F.when(F.lit(model != "win"), signed(model_column, role_column, credited)).alias("credited_score"),
         *([credited_own.alias("credited_coefficient")] if credits else []),
-        *((F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(classes_of(model)[-len(each) :])) if chances else ()),
+        *((F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(classes_of(model)[-len(outcomes) :])) if chances else ()),
     )
 
 
-#: Probabilities that a task holds at once, of lanes x contexts x players x classes.
-CHANCES = 2_000_000
-
-
 def lane_outcomes(contests: DataFrame, model: str, role: str, terms: list[str], tables: np.ndarray, lanes: list[int]) -> DataFrame:
     """(lane, player_key, own, p): coefficients and mean class probabilities of every player under each lane's table.
 
-    `tables` is [lane, class, term and intercept]. A task works through its contexts in blocks, for all lanes and players,
-    and sends a row a lane and player; the tables are as long as the vocabulary. The population are the contexts of
+    `tables` is [lane, class, term and intercept]. A task works through its contexts in blocks, lane by lane as products of
+    matrices (`class_sums`), and sends a row a lane and player; the tables are as long as the vocabulary. A binary model is
+    computed at points that its players are interpolated from, where those are fewer. The population are the contexts of
     `contests`.
     """
     index = {t: i for i, t in enumerate(terms)}
@@ -130,13 +195,15 @@ def lane_outcomes(contests: DataFrame, model: str, role: str, terms: list[str],
     focal = F.col("rusher_key") if role == "Blocker" else F.lit("")
     size = F.col("group_size") if role == "Blocker" else F.lit(0)
     rows = contexts.select(F.split("opponents", r"\|").alias("opponents"), focal.alias("focal"), size.cast("int").alias("size"), F.col("double_team").alias("d"), F.col("double_team_unknown").alias("u"), "weight")
-    heads, count = tables.shape[1], len(classes_of(model)) if model != "win" else 1
-    step = max(1, CHANCES // max(1, len(lanes) * len(players) * heads))
+    heads = tables.shape[1]
+    step = max(1, CHANCES // max(1, len(lanes) * heads, len(players), len(terms)))
+    nodes = [chebyshev_nodes(o.min(), o.max(), len(players)) if heads == 1 and players else None for o in own]
+    met = [o.T if n is None else n[0][:, None] for o, n in zip(own, nodes)]
 
     def work(parts):
         import pandas as pd
 
-        total = np.zeros((len(lanes), len(players), count))
+        total = [np.zeros((len(o), heads)) for o in met]
         flat = np.ascontiguousarray(tables[:, :, :-1].reshape(len(lanes) * heads, -1).T)
         for part in parts:
             for low in range(0, len(part), step):
@@ -153,19 +220,16 @@ def lane_outcomes(contests: DataFrame, model: str, role: str, terms: list[str],
                     for flag, value in (("double_team", d), ("double_team_unknown", u)):
                         if value:
                             dense[i, index[flag]] += value
-                base = (dense @ flat).reshape(len(piece), len(lanes), heads).transpose(1, 0, 2) + tables[:, None, :, -1]
-                eta = base[:, :, None, :] + scale[None, :, None, None] * own.transpose(0, 2, 1)[:, None, :, :]
-                if heads == 1:
-                    chance = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                else:
-                    powers = np.exp(eta - eta.max(axis=3, keepdims=True))
-                    chance = powers / powers.sum(axis=3, keepdims=True)
-                total += np.einsum("lrpc,r->lpc", chance, piece["weight"].to_numpy())
+                base = (dense @ flat).reshape(len(piece), len(lanes), heads) + tables[None, :, :, -1]
+                weight = piece["weight"].to_numpy()
+                for at, own_of in enumerate(met):
+                    total[at] += class_sums(base[:, at], scale, weight, own_of)
+        total = np.array([sums if n is None else interpolate(*n, sums, o[0]) for sums, n, o in zip(total, nodes, own)]).reshape(len(lanes), len(players), heads)
         lane, player = np.divmod(np.arange(len(lanes) * len(players)), len(players))
         coefficients = own.transpose(0, 2, 1).reshape(-1, heads)
-        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], **{f"o{i}": coefficients[:, i] for i in range(heads)}, **{f"p{i}": total[:, :, i].ravel() for i in range(count)}})
+        yield pd.DataFrame({"lane": np.array(lanes)[lane], "player_key": [players[p] for p in player], **{f"o{i}": coefficients[:, i] for i in range(heads)}, **{f"p{i}": total[:, :, i].ravel() for i in range(heads)}})
 
-    names = [f"o{i}" for i in range(heads)] + [f"p{i}" for i in range(count)]
+    names = [f"o{i}" for i in range(heads)] + [f"p{i}" for i in range(heads)]
     # few bytes, but lanes x players of work a row: dealt over all cores
     dealt = rows.repartition(contests.sparkSession.sparkContext.defaultParallelism)
     sums = dealt.mapInPandas(work, f"lane int, player_key string, {', '.join(f'{n} double' for n in names)}").groupBy("lane", "player_key").agg(*(F.max(n).alias(n) if n[0] == "o" else F.sum(n).alias(n) for n in names))

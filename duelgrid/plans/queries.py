@@ -370,7 +370,11 @@ def ordinal_design_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fixed_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    """Coefficients from hashes of model, term and class, for every player of the vocabulary."""
+    """Coefficients from hashes of model, term and class, for every player of the vocabulary; written, for they are read several times."""
+    return A.derived(spark, sf, "fixed-coefficients", _hashed_coefficients)
+
+
+def _hashed_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     players = _players(spark, sf).select(F.concat(F.lower("role"), F.lit("::"), "player_key").alias("term"))
     fixed = spark.createDataFrame([("(Intercept)",), ("double_team",), ("double_team_unknown",)], "term string")
     pairs = F.explode(F.array(F.struct(F.lit("win").alias("model"), F.lit("1").alias("cls")), *(F.struct(F.lit("severity").alias("model"), F.lit(c).alias("cls")) for c in CLASSES))).alias("p")

@@ -58,18 +58,18 @@ def _week(index: Column) -> Column:
     return (1 + F.floor((index - 1) * 18 / 80)).cast("int")
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return staged(spark, name, [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer")], lambda: build(spark, sf_dir))
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matchup table: one row a contest, opponents as arrays in order of their ids; derived once a session."""
-    return _staged(spark, sf_dir, "contests", derive_contests)
+    return derived(spark, sf_dir, "contests", derive_contests)
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The play table: counts of opponents by category, context and value of each order; derived once a session."""
-    return _staged(spark, sf_dir, "plays", derive_plays)
+    return derived(spark, sf_dir, "plays", derive_plays)
 
 
 def derive_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
