@@ -408,6 +408,27 @@ TABLES["ord_base"] = """(SELECT 'Rusher' AS role, q.play_id || '/' AS ctx, 1.0::
     FROM obs q JOIN obs_n m ON m.model = q.model JOIN const t ON t.model = 'win' JOIN opp_beta ob ON ob.play_id = q.play_id AND ob.model = 'win' JOIN opponent o ON o.play_id = q.play_id
     JOIN beta bb ON bb.model = 'win' AND bb.term = 'blocker::' || o.player_key JOIN beta rb ON rb.model = 'win' AND rb.term = 'rusher::' || q.rusher_key WHERE q.model = 'severity')"""
 
+# Fits solved by elimination in SQL: replicate 0 is the point fit, the others are drawn. Terms are levels first, scaled to length 1; a pivot
+# below 1e-9 is passed over and its term stays 0. `solved` has a row a replicate and term, after centring the levels.
+TABLES["fit_cells"] = """(WITH c AS (SELECT 0 AS replicate_id, a, b, sum(value) AS v FROM gram GROUP BY ALL UNION ALL SELECT d.replicate_id, a, b, sum(value * copies) FROM gram g JOIN drawn d ON d.game_id = g.game_id GROUP BY ALL)
+    SELECT * FROM c UNION ALL SELECT replicate_id, b, a, v FROM c WHERE a <> b)"""
+TABLES["fit_terms"] = """(SELECT replicate_id, a AS term, sqrt(v) AS length, row_number() OVER (PARTITION BY replicate_id ORDER BY NOT (starts_with(a, 'QB::') OR starts_with(a, 'DEF::')), a) AS i FROM fit_cells WHERE a = b AND a <> '@y' AND v > 0)"""
+TABLES["solved"] = """(WITH RECURSIVE sides AS (SELECT replicate_id, term, length, i FROM fit_terms UNION ALL SELECT replicate_id, '@y', 1.0, max(i) + 1 FROM fit_terms GROUP BY replicate_id),
+    lines AS (SELECT a.replicate_id, a.i, list(coalesce(c.v, 0.0) / (a.length * b.length) ORDER BY b.i) AS line FROM fit_terms a JOIN sides b ON b.replicate_id = a.replicate_id LEFT JOIN fit_cells c ON c.replicate_id = a.replicate_id AND c.a = a.term AND c.b = b.term GROUP BY ALL),
+    steps(replicate_id, k, n, m, kept) AS (SELECT replicate_id, 1::BIGINT, count(*), list(line ORDER BY i), []::BIGINT[] FROM lines GROUP BY replicate_id
+        UNION ALL SELECT replicate_id, k + 1, n, CASE WHEN m[k][k] > 1e-9 THEN list_transform(m, lambda line, i: CASE WHEN i = k THEN list_transform(line, lambda v: v / m[k][k]) ELSE list_transform(line, lambda v, j: v - line[k] * m[k][j] / m[k][k]) END) ELSE m END,
+            CASE WHEN m[k][k] > 1e-9 THEN list_append(kept, k) ELSE kept END FROM steps WHERE k <= n),
+    x AS (SELECT t.replicate_id, t.term, CASE WHEN list_contains(s.kept, t.i) THEN s.m[t.i][s.n + 1] / t.length ELSE 0.0 END AS value, s.n - len(s.kept) AS passed, CASE WHEN starts_with(t.term, 'QB::') THEN 'QB' WHEN starts_with(t.term, 'DEF::') THEN 'DEF' END AS kind
+          FROM steps s JOIN fit_terms t ON t.replicate_id = s.replicate_id WHERE s.k = s.n + 1),
+    shift AS (SELECT replicate_id, kind, avg(value) AS moved FROM x WHERE kind IS NOT NULL GROUP BY ALL)
+    SELECT x.replicate_id, x.term, passed, value - coalesce(s.moved, 0.0) + CASE WHEN x.term = '(Intercept)' THEN (SELECT sum(moved) FROM shift z WHERE z.replicate_id = x.replicate_id) ELSE 0.0 END AS coefficient FROM x LEFT JOIN shift s ON s.replicate_id = x.replicate_id AND s.kind = x.kind)"""
+# intercept and levels of two kinds leave two terms undetermined; with no more than these, every term is estimable
+SOURCES["play_fit"] = f"SELECT term, {r('coefficient')} AS coefficient, passed = 2 AS estimable FROM solved WHERE replicate_id = 0"
+SOURCES["bootstrap_weights"] = f"""WITH w AS (SELECT replicate_id, max(coefficient) FILTER (WHERE term = 'N_W') AS win, max(coefficient) FILTER (WHERE term = 'N_P') AS pressure, max(coefficient) FILTER (WHERE term = 'N_S') AS sack FROM solved WHERE replicate_id > 0 GROUP BY ALL)
+    SELECT replicate_id, cls, {r("CASE cls WHEN 'loss' THEN 0.0 WHEN 'win' THEN win / nullif(sack, 0) WHEN 'pressure' THEN pressure / nullif(sack, 0) ELSE sack / nullif(sack, 0) END")} AS weight FROM w, (VALUES ('loss'), ('win'), ('pressure'), ('sack')) c(cls)"""
+SOURCES["coefficient_covariance"] = f"""SELECT a.term AS a, b.term AS b, {r('covar_samp(a.coefficient, b.coefficient)', 9)} AS covariance FROM solved a JOIN solved b ON b.replicate_id = a.replicate_id AND a.term <= b.term
+    WHERE a.replicate_id > 0 AND a.term IN ('N_W', 'N_P', 'N_S', 'B', 'E') AND b.term IN ('N_W', 'N_P', 'N_S', 'B', 'E') GROUP BY ALL"""
+
 
 def _needed(text: str, found: dict[str, None] | None = None) -> dict[str, None]:
     """The tables a text names, each after those it needs."""

@@ -39,4 +39,4 @@ def test_same_rows(spark, sf, duck, name):
 
 def test_every_query_is_registered_with_known_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"play_fit", "epa_sensitivity", "coefficient_uncertainty", "coefficient_covariance", "bootstrap_weights", "ridge_win", "ridge_severity", "ordinal_fit", "weekly_scores", "model_rating_draws"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"epa_sensitivity", "coefficient_uncertainty", "ridge_win", "ridge_severity", "ordinal_fit", "weekly_scores", "model_rating_draws"}
