@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from duelgrid.operators import baselines as B
 from duelgrid.operators import contests as C
 from duelgrid.operators import quality as Q
+from duelgrid.plans import queries
 from duelgrid.sources import adapter as A
 
 
@@ -24,3 +26,19 @@ def test_contexts_follow_the_contests_in_number_of_tasks(spark, sf, monkeypatch,
     found = C.reference_contexts(contests, role)
     assert found.rdd.getNumPartitions() >= contests.count() // 100
     assert {tuple(r) for r in found.select("model", "opponents", F.round("weight", 12)).collect()} == wanted
+
+
+def test_gramians_shuffle_sums_not_plays(spark, sf):
+    plan = queries._game_gramian(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_losses_of_many_jobs_equal_those_of_one(spark, sf, monkeypatch):
+    contests, folds = A.contests(spark, sf), A.folds(spark, sf)
+    key = lambda df: {(r["fold"], r["model"], r["strength"]): (round(r["loss"], 12), r["test_rows"], r["test_games"]) for r in df.collect()}
+    found = B.fold_losses(contests, folds)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    wanted = key(found)
+    monkeypatch.setattr(B, "PROFILE_NUMBERS", 1)
+    monkeypatch.setattr(B, "STEP_ROWS", 1)
+    assert key(B.fold_losses(contests, folds)) == wanted
