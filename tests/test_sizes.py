@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from duelgrid.operators import baselines as B
 from duelgrid.operators import contests as C
 from duelgrid.operators import quality as Q
+from duelgrid.operators.ridge import vectors
 from duelgrid.operators.scoring import opponent_sums
 from duelgrid.plans import queries
 from duelgrid.sources import adapter as A
@@ -49,3 +50,11 @@ def test_contexts_add_up_opponents_inside_the_row(spark):
     contexts = spark.createDataFrame([(1, "a|b|x"), (2, "")], "id int, opponents string")
     table = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [10.0, 20.0])], "blocker_key string, blocker_key_beta array<double>")
     assert sorted(map(tuple, opponent_sums(contexts, table, 2).collect())) == [(1, "a|b|x", 2, 11.0, 22.0), (2, "", 0, 0.0, 0.0)]
+
+
+def test_design_rows_follow_the_contests_in_number_of_tasks(spark, sf, monkeypatch):
+    contests = A.contests(spark, sf)
+    monkeypatch.setattr(C, "TASK_CONTESTS", 100)
+    rows, terms, _ = vectors(contests, "severity")
+    assert rows.rdd.getNumPartitions() >= contests.count() // 100
+    assert rows.agg(F.sum("weight")).first()[0] == C.model_sample(contests, "severity").count() and terms
