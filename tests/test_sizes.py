@@ -58,3 +58,30 @@ def test_design_rows_follow_the_contests_in_number_of_tasks(spark, sf, monkeypat
     rows, terms, _ = vectors(contests, "severity")
     assert rows.rdd.getNumPartitions() >= contests.count() // 100
     assert rows.agg(F.sum("weight")).first()[0] == C.model_sample(contests, "severity").count() and terms
+
+
+def test_cohorts_read_contests_once(spark, sf):
+    plan = queries._ranked(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "score" in plan and "blocker_keys" not in plan and "rusher_key" not in plan
+
+
+def test_profiles_explode_opponents_alone(spark, sf):
+    plan = C.outcome_profiles(A.contests(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(blocker_keys") == 1 and "lambda" not in plan
+
+
+def test_masses_equal_those_of_participations(spark, sf):
+    contests = A.contests(spark, sf)
+    none = F.array().cast("array<string>")
+    odd = contests.withColumn("blocker_keys", F.when(F.col("play_id") % 7 == 0, none).when(F.col("play_id") % 11 != 0, F.col("blocker_keys")))
+    odd = odd.withColumn("rusher_key", F.when(F.col("play_id") % 5 != 0, F.col("rusher_key")))
+    key = ["model", "role", "player_key", "cls"]
+    rows = lambda df: {tuple(r[k] for k in key): (round(r["mass"], 9), r["interactions"]) for r in df.collect()}
+    for table in (contests, odd):
+        wanted = rows(C.participations(C.observations(table)).groupBy(*key).agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("interactions")))
+        assert wanted and rows(C.class_masses(C.observations(table), [])) == wanted and rows(C.season_masses(table)) == wanted
+        shown = {tuple(r[k] for k in key): (round(r["mass"], 9), round(r["total"], 9), r["interactions"]) for r in C.outcome_profiles(table).collect()}
+        for (model, role, player, cls), (mass, total, seen) in shown.items():
+            held = {c: v for (m, o, p, c), v in wanted.items() if (m, o, p) == (model, role, player)}
+            assert mass == (0 if player is None else held.get(cls, (0.0, 0))[0])
+            assert abs(total - sum(v for v, _ in held.values())) < 1e-6 and seen == sum(n for _, n in held.values())
