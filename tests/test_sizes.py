@@ -85,3 +85,13 @@ def test_masses_equal_those_of_participations(spark, sf):
             held = {c: v for (m, o, p, c), v in wanted.items() if (m, o, p) == (model, role, player)}
             assert mass == (0 if player is None else held.get(cls, (0.0, 0))[0])
             assert abs(total - sum(v for v, _ in held.values())) < 1e-6 and seen == sum(n for _, n in held.values())
+
+
+def test_members_are_sorted_without_a_function(spark, sf, tmp_path):
+    plan = A._order_lines(spark, sf, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
+    rows = [(1, s, "N", 30.0) for s in (9, 10, 1, 61, None, -3)] + [(2, 7, "R", 50.0), (2, 67, "A", 45.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r["order"]: r for r in A._order_lines(spark, str(tmp_path), 2).collect()}
+    assert [tuple(m) for m in found[1].members] == [(None, None, "win"), ("s-3", 0, "win"), ("s1", 0, "win"), ("s10", 1, "win"), ("s9", 0, "win")]
+    assert [tuple(m) for m in found[2].members] == [("s7", 0, "sack")] and (found[2].lines, found[2].sacks, found[2].pressures) == (2, 1, 1)
