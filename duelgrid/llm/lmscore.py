@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.llm import ctw
-from duelgrid.llm.rows import share, shared
 from duelgrid.llm.storage import materialize
 
 #: Keys (a context and the byte after it) that are broadcast with their probability at most; the others are joined.
@@ -21,8 +21,9 @@ MOST_KEYS = 1 << 20
 MOST_TOKENS = 1 << 19
 #: Stands for a text's end among the tokens (no word holds a line feed).
 END_TOKEN = "\n"
-#: Texts counted together, and scored together, inside a task; bytes counted together.
-SLICE, ROWS, COUNTED = 1024, 512, 1 << 22
+#: Texts whose words are counted together, and texts scored together, inside a task; bytes of such texts (or a single
+#: text); rows in a batch that goes back.
+SLICE, ROWS, BYTES, OUT_ROWS = 1024, 512, 1 << 21, 1 << 16
 LN2, LN10 = math.log(2.0), math.log(10.0)
 
 
@@ -30,13 +31,23 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def _slices(texts: pa.Array, rows: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(place, texts) of neighbours: at most `rows` of them, and BYTES together unless it is one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+        end = min(at + rows, max(at + 1, fits))
+        yield at, texts.slice(at, end - at).to_pylist()
+        at = end
+
+
 def count_tokens(rows: DataFrame) -> DataFrame:
     """(token, n): counts of tokens over all texts of `_text`."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, SLICE):
-                texts = part.column(0).slice(at, SLICE).to_pylist()
+            for _, texts in _slices(part.column(0), SLICE):
                 held: Counter = Counter()
                 for text in texts:
                     held.update(_words(text))
@@ -50,11 +61,10 @@ def count_contexts(rows: DataFrame, depth: int) -> DataFrame:
     """(code, byte, n): how often a byte follows a context of `depth` bytes, over all texts of `_text`."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = [ctw.text_bytes(t) for t in part.column(0).to_pylist()]
-            for batch in ctw.pieces(texts, depth, COUNTED):
-                keys, n = np.unique(ctw.contexts(batch, depth)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+        texts = (ctw.text_bytes(t) for part in parts for _, some in _slices(part.column(0), SLICE) for t in some)
+        for keys, n in ctw.counted(texts, depth):
+            for at in range(0, len(keys), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + OUT_ROWS]), pa.array(n[at : at + OUT_ROWS])], names=["key", "n"])
 
     summed = rows.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     return summed.select(F.shiftright("key", 8).alias("code"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
@@ -202,17 +212,19 @@ def score_texts(docs: DataFrame, train: Column, depth: int = ctw.DEPTH, most_key
     levels = fit_tree(counts, depth)
     known = materialize(known_keys(counts, levels[-1]), "keys")
     logs = {w.encode("utf-8"): float(np.log10(n + 1)) for w, n in often.items()}
-    held = share(spark, (frequent(known, most_keys), logs))
+    table = frequent(known, most_keys)
+    # as arrays, of which a worker holds one copy
+    held = spark.sparkContext.broadcast((table.keys, table.values, logs))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, _n_bytes bigint, _n bigint, _known bigint, _part double, _score double, _rare array<struct<token:string,times:int>>, _keys array<struct<key:bigint,times:int>>"
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, common = shared(held)
+        *arrays, common = held.value
+        table = ctw.KeyTable.of(*arrays)
         of_tokens, of_keys = (pa.list_(pa.struct([(name, t), ("times", pa.int32())])) for name, t in (("token", pa.string()), ("key", pa.int64())))
         end = common.get(END_TOKEN.encode())
         for part in parts:
-            for at in range(0, part.num_rows, ROWS):
-                texts = part.column(1).slice(at, ROWS).to_pylist()
+            for at, texts in _slices(part.column(1), ROWS):
                 n, sure, base, owners, names, times = [], [], [], [], [], []
                 for number, text in enumerate(texts):
                     words = _words(text)
@@ -243,7 +255,7 @@ def score_texts(docs: DataFrame, train: Column, depth: int = ctw.DEPTH, most_key
                 whose, which, repeats = _counted(*(np.concatenate([m[i] for m in missed]) for i in (0, 1)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).slice(at, ROWS), pa.array([len(r) - 1 for r in raw], pa.int64()), pa.array(n, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
+                        part.column(0).slice(at, len(texts)), pa.array([len(r) - 1 for r in raw], pa.int64()), pa.array(n, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
                         _pair_lists(np.array(owners, np.int64), pa.array([w.decode("utf-8", "replace") for w in names], pa.string()), np.array(times), len(texts), of_tokens),
                         _pair_lists(whose, pa.array(which, pa.int64()), repeats, len(texts), of_keys),
                     ],

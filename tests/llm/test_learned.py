@@ -3,14 +3,16 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from duelgrid.llm import ctw, weaklabel
+from duelgrid.llm import ctw, lmscore, weaklabel
 from duelgrid.llm.langid import LanguageFilters, fit_filters, predict_language
 from duelgrid.llm.lmscore import score_texts
 from duelgrid.llm.queries import held_out, op4_language, op6_repetition, op8_quality
@@ -289,6 +291,51 @@ def test_key_table():
     assert not ctw.KeyTable(np.zeros(0, np.int64), np.zeros(0)).find(keys)[0].any()
 
 
+def peak_mb(work):
+    """The most that Python and numpy hold at once while `work` runs."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rows, words", [(8000, 300), (2, 1_200_000)])
+def test_workers_hold_little(rows, words):
+    """Counting and looking up keys works on pieces, whatever the size of the Arrow batch or of a text (16 MB here)."""
+    tasks = []
+
+    class Rows:
+        def mapInArrow(self, work, schema):
+            tasks.append(work)
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        lmscore.count_contexts(Rows(), 5)
+    rng = random.Random(1)
+    vocabulary = [f"{a}{b}" for a in ("ba", "lo", "rin", "te") for b in ("ka", "mo", "s", "ündig")]
+    texts = [" ".join(rng.choices(vocabulary, k=words)) for _ in range(rows)]
+    part = pa.record_batch([pa.array([None, *texts])], names=["_text"])
+    found = Counter()
+
+    def count():
+        for batch in tasks[0](iter([part.slice(0, 1), part.slice(1)])):
+            assert batch.num_rows <= 1 << 17
+            for key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                found[key] += n
+
+    # the array of keys, a text as str and bytes
+    assert peak_mb(count) < 130
+    assert sum(found.values()) == sum(len(t.encode()) + 1 for t in texts) + 1
+    body = [ctw.text_bytes(t) for t in texts]
+    held = ctw.KeyTable(np.array(list(found)), np.arange(len(found)))
+    assert ctw.KeyTable.of(held.keys, held.values).bits == held.bits
+    there = []
+    assert peak_mb(lambda: there.extend(held.find(ctw.contexts(batch, 5)[1])[0].all() for batch in ctw.pieces(body, 5))) < 40
+    assert all(there)
+
+
 def test_scores_against_brute_force(table):
     rng = random.Random(5)
     vocabulary = [f"{a}{b}" for a in ("Ba", "lo", "rin", "TE") for b in ("ka", "mo", "s", "ündig")]
