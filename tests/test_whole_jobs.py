@@ -22,7 +22,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["bootstrap_baseline_summary"])
+@pytest.mark.parametrize("name", ["bootstrap_baseline_summary", "tuned_baseline_table"])
 def test_tuned_baselines_take_every_replicate(spark, sf, monkeypatch, name):
     def asked(pool, draws, *rest):
         raise Asked(draws)
