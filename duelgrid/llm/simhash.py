@@ -131,7 +131,8 @@ def near_pairs(marks: DataFrame, max_bits: int) -> DataFrame:
     homes = _anchor_rows(marks, max_bits, RADIUS, "u")
     replicas = _anchor_rows(marks, max_bits, RADIUS + THRESHOLD, "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
-    return homes.join(replicas, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    # Spark takes the replicas to be as few as the fingerprints, which are 87 times fewer, and would broadcast them
+    return homes.join(replicas.hint("merge"), "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

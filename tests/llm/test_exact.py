@@ -399,3 +399,13 @@ def test_urls_against_brute_force(spark):
 def test_kept_text_hash_matches(table):
     row = dedup_lines(table([(1, "a line that stays")])).selectExpr("sha2(kept_text, 256) AS h").first()
     assert row.h == hashlib.sha256(b"a line that stays").hexdigest()
+
+
+def test_replicas_of_fingerprints_are_not_broadcast(spark):
+    from duelgrid.llm.simhash import near_pairs
+
+    rows = spark.createDataFrame([(0b1011,), (0b1000,), (0b111 << 40,)], "fp bigint")
+    found = near_pairs(rows, 2)
+    assert [tuple(r) for r in found.collect()] == [(0b1000, 0b1011)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
