@@ -53,3 +53,9 @@ def test_losses_of_replicates_are_those_of_repeated_rows(spark, sf, monkeypatch)
     monkeypatch.setattr(B, "PROFILE_NUMBERS", 1)
     monkeypatch.setattr(B, "STEP_ROWS", 1)
     assert key(W.draw_cv_losses(odd, draws, folds)) == found
+
+
+def test_sensitivity_gramians_are_made_once(spark, sf):
+    for _, _, cells, _ in queries._epa_fits(spark, sf):
+        plan = cells._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and "Generate" not in plan and "epa" not in plan
