@@ -1,11 +1,13 @@
 """Queries that take every replicate of the settings, against the same steps with few replicates."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from duelgrid.operators import baselines as B
 from duelgrid.operators import contests as C
 from duelgrid.operators import draws as W
+from duelgrid.operators import lanes as L
 from duelgrid.operators import resample as S
 from duelgrid.params import Params
 from duelgrid.plans import queries
@@ -59,3 +61,15 @@ def test_sensitivity_gramians_are_made_once(spark, sf):
     for _, _, cells, _ in queries._epa_fits(spark, sf):
         plan = cells._jdf.queryExecution().optimizedPlan().toString()
         assert "Relation" in plan and "Generate" not in plan and "epa" not in plan
+
+
+def test_fits_take_few_rounds(spark, sf, monkeypatch):
+    """Steps start from the curvature between terms: a cross-validation of all penalties takes a few aggregations (over 100 without), at the same minimum."""
+    packed = L.pack(B.with_folds(A.contests(spark, sf), A.folds(spark, sf)), "win")
+    rows, size = packed.rows.cache(), len(packed.terms)
+    penalties, left = np.array([1.0, 1e-2, 1e-3, 1e-4]), np.array([1, 2, 3, 4])
+    theta, loss, gradient, rounds = L.minimise(rows, "win", size, penalties, left)
+    assert gradient.max() < 1e-6 and rounds.max() <= 15
+    monkeypatch.setattr(L, "CURVED_TERMS", 0)
+    plain, low, gradient, many = L.minimise(rows, "win", size, penalties, left)
+    assert gradient.max() < 1e-6 and many.max() > 2 * rounds.max() and np.abs(loss - low).max() < 1e-8
